@@ -35,3 +35,61 @@ for _g in ("daily", "weekly", "monthly", "yearly"):
         return getattr(_m(spark, sf_dir), f"row_counts_{_g}")
 
     register(f"row_counts_{_g}", with_ctes(f"SELECT * FROM row_counts_{_g}", f"row_counts_{_g}"))(_rc)
+
+
+@register(
+    "dedup_latest",
+    with_ctes("SELECT record_hash, ingested_at, service_date, passenger_count, vehicle_count FROM dedup", "dedup"),
+)
+def q_dedup_latest(spark, sf_dir):
+    from portflow.operators.records import dedup_latest
+
+    return dedup_latest(_m(spark, sf_dir).stg).select(
+        "record_hash", "ingested_at", "service_date", "passenger_count", "vehicle_count"
+    )
+
+
+@register(
+    "record_keys",
+    with_ctes("SELECT event_id, route_key, route_pair_key, route_code, route_name, departure_port, arrival_port FROM rec", "rec"),
+)
+def q_record_keys(spark, sf_dir):
+    return _m(spark, sf_dir).records.select(
+        "event_id", "route_key", "route_pair_key", "route_code", "route_name", "departure_port", "arrival_port"
+    )
+
+
+@register(
+    "record_calendar",
+    with_ctes(
+        "SELECT event_id, service_date, service_week_start, service_month_start, service_year, service_month, service_season FROM rec",
+        "rec",
+    ),
+)
+def q_record_calendar(spark, sf_dir):
+    return _m(spark, sf_dir).records.select(
+        "event_id", "service_date", "service_week_start", "service_month_start", "service_year", "service_month",
+        "service_season",
+    )
+
+
+_MODEL_KEYS = {
+    "int_route_day": "route_day",
+    "int_port_movement": "port_movement",
+    "int_port_day": "port_day",
+    "dim_port": "dim_port",
+    "dim_route": "dim_route",
+    "dim_route_pair": "dim_route_pair",
+    "fct_route_daily": "fct_route_daily",
+    "fct_route_weekly": "fct_route_weekly",
+    "fct_route_monthly": "fct_route_monthly",
+    "fct_port_daily": "fct_port_daily",
+    "fct_port_weekly": "fct_port_weekly",
+    "fct_port_monthly": "fct_port_monthly",
+}
+for _key, _attr in _MODEL_KEYS.items():
+
+    def _model(spark, sf_dir, _attr=_attr):
+        return getattr(_m(spark, sf_dir), _attr)
+
+    register(_key, with_ctes(f"SELECT * FROM {_attr}", _attr))(_model)
