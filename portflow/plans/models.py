@@ -125,3 +125,27 @@ class TrafficModels:
     @property
     def ports(self) -> DataFrame:
         return self.fct_port_daily
+
+
+# Warehouse table name → TrafficModels attribute.
+TABLE_ATTRS = {
+    "raw_sailing_traffic": "raw",
+    "stg_sailing_traffic": "stg",
+    "int_traffic_record": "records",
+    "int_route_day": "route_day",
+    "int_port_movement": "port_movement",
+    "int_port_day": "port_day",
+    "dim_port": "dim_port",
+    "dim_route": "dim_route",
+    "dim_route_pair": "dim_route_pair",
+    "fct_route_traffic_daily": "fct_route_daily",
+    "fct_route_traffic_weekly": "fct_route_weekly",
+    "fct_route_traffic_monthly": "fct_route_monthly",
+    "fct_port_activity_daily": "fct_port_daily",
+    "fct_port_activity_weekly": "fct_port_weekly",
+    "fct_port_activity_monthly": "fct_port_monthly",
+    "row_counts_daily": "row_counts_daily",
+    "row_counts_weekly": "row_counts_weekly",
+    "row_counts_monthly": "row_counts_monthly",
+    "row_counts_yearly": "row_counts_yearly",
+}
