@@ -427,12 +427,13 @@ def _ranked(df: DataFrame, order: list[Column], n: int | None) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-CORRIDOR_ORDER = [F.col("passengers").desc(), F.col("vehicles").desc(), F.col("pair_label").asc()]
+def corridor_order() -> list[Column]:
+    return [F.col("passengers").desc(), F.col("vehicles").desc(), F.col("pair_label").asc()]
 
 
 def top_corridors(routes: DataFrame, n: int = 10) -> DataFrame:
     """ANA16."""
-    return _ranked(route_rank(routes), CORRIDOR_ORDER, n)
+    return _ranked(route_rank(routes), corridor_order(), n)
 
 
 def port_rank(ports: DataFrame) -> DataFrame:
