@@ -31,4 +31,10 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from portflow.plans import queries_adhoc, queries_analytics, queries_core, queries_quality  # noqa: F401
+    from portflow.plans import (  # noqa: F401
+        queries_adhoc,
+        queries_analytics,
+        queries_core,
+        queries_quality,
+        queries_snapshots,
+    )
