@@ -13,9 +13,11 @@ one table, not the chain).
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from portflow.operators import records as R
 from portflow.operators import rollups as U
@@ -126,6 +128,45 @@ class TrafficModels:
     def ports(self) -> DataFrame:
         return self.fct_port_daily
 
+    # --- materialisation ----------------------------------------------------
+    def materialize(self, root: str | None = None, day_grain: bool = True) -> "TrafficModels":
+        """Write the canonical records (and the day-grain facts) once and read them back.
+
+        Tables go under ``root`` or a fresh folder inside the session's
+        ``spark.checkpoint.dir`` (a shared folder on a cluster). Records are
+        partitioned by month (month directories, not thousands of day
+        directories) and sorted by day within files, so date filters prune
+        directories and skip row groups. Reading back cuts the lineage: every
+        later subquery or re-use starts from storage instead of re-running the
+        star join and the dedup.
+        """
+        from portflow.session import ensure_checkpoint_dir
+
+        base = root or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/portflow-{uuid.uuid4().hex[:12]}"
+        rec_path = f"{base}/int_traffic_record"
+        (
+            self.records.repartition("service_month_start")
+            .sortWithinPartitions("service_date", "route_key")
+            .write.mode("overwrite").partitionBy("service_month_start").parquet(rec_path)
+        )
+        self.__dict__["records"] = self.spark.read.parquet(rec_path).select(*_RECORD_ORDER)
+        for key in list(self.__dict__):
+            if key not in ("records", "raw", "stg", "spark", "sf_dir", "_raw"):
+                self.__dict__.pop(key)
+        if day_grain:
+            for name, attr, sort in (
+                ("row_counts_daily", "row_counts_daily", ["service_date"]),
+                ("fct_route_traffic_daily", "fct_route_daily", ["service_date", "departure_port"]),
+                ("fct_port_activity_daily", "fct_port_daily", ["service_date", "port_name"]),
+            ):
+                path = f"{base}/{name}"
+                df = getattr(self, attr)
+                df.repartition(F.col("service_date")).sortWithinPartitions(*sort).write.mode("overwrite").parquet(path)
+                self.__dict__[attr] = self.spark.read.parquet(path).select(*df.columns)
+        return self
+
+
+from portflow.operators.records import RECORD_COLUMNS as _RECORD_ORDER  # noqa: E402
 
 # Warehouse table name → TrafficModels attribute.
 TABLE_ATTRS = {

@@ -36,5 +36,6 @@ def load_all() -> None:
         queries_analytics,
         queries_core,
         queries_quality,
+        queries_panel,
         queries_snapshots,
     )
