@@ -96,15 +96,16 @@ def notable_change(daily: DataFrame, routes: DataFrame, delta_threshold_pct: flo
     conc = known.groupBy("departure_port", "arrival_port").agg(
         F.coalesce(F.sum("total_passengers"), F.lit(0)).alias("p")
     ).agg(F.struct(F.max("p").alias("top"), F.sum("p").alias("total"))).scalar()
+    trend = trend.select("*", conc.getField("top").alias("c_top"), conc.getField("total").alias("c_total"))
     delta = (F.col("recent") - F.col("prior")) / F.col("prior") * 100.0
-    share = conc.getField("top").cast("double") / conc.getField("total").cast("double") * 100.0
+    share = F.col("c_top").cast("double") / F.col("c_total").cast("double") * 100.0
     r1 = F.when(
         (F.col("n") >= 14) & (F.col("prior") > 0) & (F.abs(delta) >= delta_threshold_pct)
         & (F.col("recent") >= min_recent_avg_passengers),
         F.concat(F.lit("7-day passenger average changed "), signed_pct(delta, 1), F.lit(" vs prior week")),
     )
     r2 = F.when(
-        (F.coalesce(conc.getField("total"), F.lit(0)) > 0) & (share >= concentration_threshold_pct),
+        (F.coalesce(F.col("c_total"), F.lit(0)) > 0) & (share >= concentration_threshold_pct),
         F.concat(F.lit("Top corridor concentration reached "), py_fixed(share, 1), F.lit("%")),
     )
     # Scalar subqueries may not sit inside lambdas: project them first.
@@ -617,3 +618,159 @@ def panel_cache_match(lines: DataFrame, current_start: Column, current_end: Colu
         (default_scope & (F.col("kpi_start").cast("date") == current_start) & (F.col("kpi_end").cast("date") == current_end))
         .alias("use_cached"),
     )
+
+
+# --- PAN-M: live four-paragraph report -----------------------------------------------------------
+
+def live_report(daily: DataFrame, routes: DataFrame, ports: DataFrame, view) -> DataFrame:
+    """PAN-M: current state, notable shifts, anomaly call-out and outlook (4 rows, in order).
+
+    KPI values come from the current 7-day window of the view, the baseline
+    text from the baseline windows, the corridor shift from CALENDAR weeks
+    (last 7 vs the 7 before) and the 7/30-day deltas from day ROWS.
+    """
+    from portflow.operators import analytics as N
+
+    dv, rv, pv = view.apply(daily), view.apply(routes), view.apply(ports)
+    wm = N.window_metrics(daily, routes, ports, view)
+    cur = wm.where(F.col("window_index") == 0).agg(F.struct(
+        F.first("window_start").alias("s"), F.first("window_end").alias("e"), F.first("pax").alias("pax"),
+        F.first("veh").alias("veh"))).scalar()
+    base = wm.where(F.col("window_index") >= 1).agg(F.struct(
+        F.count(F.lit(1)).alias("n"), F.min("window_start").alias("s"), F.max("window_end").alias("e"))).scalar()
+    cur_v = N.View(cur.getField("s"), cur.getField("e"))
+    top_c = N.top_corridors(cur_v.apply(rv), 1).agg(F.struct(
+        F.first("pair_label").alias("label"), F.first("passengers").alias("pax"))).scalar()
+    top_p = N.port_balance(cur_v.apply(pv), 1).agg(F.first("port_name")).scalar()
+    cong = N.congestion_index(dv).select("congestion_index").scalar()
+
+    r = _ranked(prepare_daily(dv))
+    p = F.col("total_passengers").cast("double")
+    t = r.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.when(F.col("rn") <= 7, p)).alias("r7"), F.avg(F.when(F.col("rn").between(8, 14), p)).alias("p7"),
+        F.avg(F.when(F.col("rn") <= 30, p)).alias("r30"), F.avg(F.when(F.col("rn").between(31, 60), p)).alias("p30"),
+    )
+    known = rv.where(F.col("departure_port").isNotNull() & F.col("arrival_port").isNotNull())
+    mx = rv.agg(F.max("service_date")).scalar()
+
+    def leader(start, end):
+        g = known.where(F.col("service_date").between(start, end)).groupBy("departure_port", "arrival_port").agg(
+            F.sum("total_passengers").alias("p")).orderBy(F.col("p").desc(), "departure_port", "arrival_port").limit(1)
+        return g.agg(F.first(F.concat(F.col("departure_port"), F.lit(" -> "), F.col("arrival_port")))).scalar()
+
+    recent_top, prior_top = leader(F.date_sub(mx, 6), mx), leader(F.date_sub(mx, 13), F.date_sub(mx, 7))
+    # Stage 1: every subquery-backed value becomes a plain column (formatting
+    # below references its inputs many times; columns keep the plan small).
+    t = t.select(
+        F.when((F.col("n") >= 14) & (F.col("p7") > 0), (F.col("r7") - F.col("p7")) / F.col("p7") * 100.0).alias("d7"),
+        F.when((F.col("n") >= 60) & (F.col("p30") > 0), (F.col("r30") - F.col("p30")) / F.col("p30") * 100.0).alias("d30"),
+        cur.alias("cur"), base.alias("base"), top_c.alias("top_c"), top_p.alias("top_p"), cong.alias("cong"),
+        recent_top.alias("recent_top"), prior_top.alias("prior_top"),
+    ).select(
+        "d7", "d30", "top_p", "recent_top", "prior_top",
+        F.col("cur.s").alias("cs"), F.col("cur.e").alias("ce"),
+        F.coalesce(F.col("cur.pax"), F.lit(0)).alias("pax"), F.coalesce(F.col("cur.veh"), F.lit(0)).alias("veh"),
+        F.coalesce(F.col("base.n"), F.lit(0)).alias("bn"), F.col("base.s").alias("bs"), F.col("base.e").alias("be"),
+        F.col("top_c.label").alias("top_label"), F.coalesce(F.col("top_c.pax"), F.lit(0)).alias("top_pax"),
+        F.coalesce(F.col("cong"), F.lit(0.0)).alias("cong"),
+    ).withColumn(
+        "share", F.when(F.col("pax") > 0, F.col("top_pax").cast("double") / F.col("pax").cast("double") * 100.0).otherwise(0.0)
+    )
+    d7, d30, pax, veh, bn = F.col("d7"), F.col("d30"), F.col("pax"), F.col("veh"), F.col("bn")
+    recent_top, prior_top = F.col("recent_top"), F.col("prior_top")
+    period = F.concat(_label_date(F.col("cs")), F.lit(" -> "), _label_date(F.col("ce")))
+    baseline = (
+        F.when(bn >= 8, F.concat(bn.cast("string"), F.lit(" x 7-day windows: "), _label_date(F.col("bs")), F.lit(" -> "),
+                                 _label_date(F.col("be"))))
+        .when(bn >= 1, F.concat(_label_date(F.col("bs")), F.lit(" -> "), _label_date(F.col("be"))))
+        .otherwise(F.lit("No comparison baseline available"))
+    )
+    p1 = F.concat(
+        F.lit("Current period: "), period, F.lit(". The network recorded "), compact(pax), F.lit(" passengers and "),
+        compact(veh), F.lit(" vehicles. The leading corridor is "), F.coalesce(F.col("top_label"), F.lit("No data")),
+        F.lit(" ("), py_fixed(F.col("share"), 1), F.lit("% of scoped passengers), with "), F.coalesce(F.col("top_p"), F.lit("No data")),
+        F.lit(" as the highest-flow port. Congestion index is "), py_fixed(F.col("cong"), 0),
+        F.lit("%. Comparison baseline: "), baseline, F.lit("."),
+    )
+    weekly = F.when(d7.isNull(), F.lit("Not enough history for 7-day change.")).otherwise(
+        F.concat(F.lit("7-day average passengers are "), signed_pct(d7, 1), F.lit(" vs prior week.")))
+    monthly = F.when(d30.isNull(), F.lit("Not enough history for 30-day change.")).otherwise(
+        F.concat(F.lit("30-day average passengers are "), signed_pct(d30, 1), F.lit(" vs prior 30-day window.")))
+    shift = (
+        F.when(recent_top.isNull() | prior_top.isNull(), F.lit("Route rank shift data unavailable."))
+        .when(recent_top == prior_top, F.concat(F.lit("Top corridor remains "), recent_top, F.lit(" across the last two weekly windows.")))
+        .otherwise(F.concat(F.lit("Top corridor shifted from "), prior_top, F.lit(" to "), recent_top, F.lit(" in the latest week.")))
+    )
+    p2 = F.concat(F.lit("Notable shifts: "), weekly, F.lit(" "), monthly, F.lit(" "), shift)
+    p3 = F.concat(F.lit("Anomaly call-out: "), F.when(
+        d7.isNotNull() & (F.abs(d7) >= 20),
+        F.concat(F.lit("Traffic momentum moved "), signed_pct(d7, 1), F.lit(
+            " week-over-week, which is a notable swing. Likely causes include schedule shifts, route substitution, or reporting lag."))
+    ).otherwise(F.lit("No high-severity anomaly flag triggered in the current scope.")))
+    hint = (
+        F.when(d7.isNull(), F.lit("Direction is stable."))
+        .when(d7 > 5, F.lit("Expect a mild upward drift over the next 7-14 days."))
+        .when(d7 < -5, F.lit("Expect a mild downward normalization over the next 7-14 days."))
+        .otherwise(F.lit("Expect relatively flat movement over the next 7-14 days."))
+    )
+    p4 = F.concat(F.lit("Outlook: "), hint, F.lit(
+        " This is a short operational directional signal based on recent window behavior; re-check after the next ingestion snapshot."))
+    return t.select(p1.alias("p1"), p2.alias("p2"), p3.alias("p3"), p4.alias("p4")).select(
+        F.posexplode(F.array("p1", "p2", "p3", "p4")).alias("pos", "paragraph")
+    ).select((F.col("pos") + 1).alias("ord"), "paragraph")
+
+
+# --- PAN-U: presets ---------------------------------------------------------------------------------
+
+def _resolve_lookback(token: str, span_days: Column) -> Column:
+    t = token.strip().lower()
+    if t in {"full", "all"}:
+        return F.greatest(span_days, F.lit(7))
+    if t in {"year", "1y", "365", "last365", "last365d"}:
+        return F.lit(365)
+    return F.lit(max(7, int(t)))
+
+
+def panel_presets(daily: DataFrame, routes: DataFrame, presets: list[str]) -> DataFrame:
+    """PAN-U: per preset, the window clipped to the available days and its data version.
+
+    Presets are nested windows ending on the newest day, so each day (and
+    route row) is tagged with every preset that contains it — one pass, no
+    range join — then aggregated per preset.
+    """
+    d = F.col("service_date")
+    b = daily.agg(F.struct(F.min(d).alias("mn"), F.max(d).alias("mx"))).scalar()
+    span = F.datediff(b.getField("mx"), b.getField("mn")) + 1
+    items = []
+    for i, token in enumerate(presets):
+        lb = _resolve_lookback(token, span)
+        eff = F.least(lb, span)
+        items.append(F.struct(F.lit(i + 1).alias("ord"), F.lit(token).alias("preset"), lb.alias("lookback_days"),
+                              eff.alias("effective_days"), F.date_sub(b.getField("mx"), eff - 1).alias("start_date"),
+                              b.getField("mx").alias("end_date")))
+    arr = F.array(*items)
+
+    def tag(df: DataFrame) -> DataFrame:
+        # Project the preset list first (subqueries may not sit inside lambdas).
+        return df.withColumn("_presets", arr).select(
+            "*", F.explode(F.filter("_presets", lambda x: d >= x["start_date"])).alias("ps")).drop("_presets")
+
+    dp = tag(prepare_daily(daily)).groupBy("ps").agg(
+        F.count(F.lit(1)).alias("day_rows"), F.sum("rows_count").alias("rows_total"),
+        F.sum("total_passengers").alias("passengers_total"))
+    order = [F.col("p").desc(), F.col("departure_port").asc(), F.col("arrival_port").asc()]
+    w = Window.partitionBy("ps").orderBy(*order)
+    top = (tag(prepare_routes(routes)).groupBy("ps", "departure_port", "arrival_port").agg(F.sum("total_passengers").alias("p"))
+           .withColumn("r", F.row_number().over(w)).where(F.col("r") <= 5))
+    digest = top.groupBy("ps").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
+        "r", F.concat(F.col("departure_port"), F.lit("->"), F.col("arrival_port"), F.lit(":"), F.col("p").cast("string")).alias("s")))),
+        lambda x: x["s"]), "|").alias("digest"))
+    # The preset table has one row per preset: a bounded, tiny equi-join.
+    out = dp.join(digest, "ps", "left")
+    return out.select(
+        "ps.ord", "ps.preset", "ps.lookback_days", "ps.effective_days", "ps.start_date", "ps.end_date", "day_rows",
+        F.concat(F.col("ps.end_date").cast("string"), F.lit("|rows:"), F.col("rows_total").cast("string"), F.lit("|pax:"),
+                 F.col("passengers_total").cast("string"), F.lit("|top:"),
+                 F.substring(F.sha2(F.coalesce(F.col("digest"), F.lit("none")), 256), 1, 16)).alias("data_version"),
+    )

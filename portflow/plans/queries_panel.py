@@ -132,3 +132,126 @@ def _attach_oracles():
 
 
 _attach_oracles()
+
+
+# ---- snapshot table, live report, presets, lookups ---------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from portflow.operators import analytics as N  # noqa: E402
+from portflow.sources.sinks import snapshot_upsert  # noqa: E402
+
+PANEL_TS = _dt.datetime(2026, 1, 3, 0, 5, 0)
+
+
+def _panel_row(m, kpi_window_days: int = 7, ts=PANEL_TS):
+    d, r, p = m.daily, m.routes, m.ports
+    ctx = P.panel_context(d, r, p, kpi_window_days)
+    version = P.py_data_version(d, r).scalar()
+    notable = P.notable_change(d, r).select("should_trigger").scalar()
+    return P.panel_snapshot_row(ctx, version, notable, F.lit(ts).cast("timestamp_ntz"))
+
+
+def snapshot_table_of(m) -> DataFrame:
+    """Deepen-chart rows of the SQL model + the auto-panel row, as the snapshot table holds them."""
+    deepen = S.intelligence_snapshots(m.daily, m.fct_route_daily, m.fct_port_daily)
+    return deepen.unionByName(_panel_row(m))
+
+
+_SNAP_OUT = ["snapshot_ts", "chart_id", "insight_type", "data_version", "filter_hash", "title", "summary", "facts",
+             "anomalies", "comparisons", "recommendations", "report_text", "insight_text", "generation_mode"]
+
+
+@register("panel_snapshot")
+def q_panel_snapshot(spark, sf_dir):
+    """PAN-L: the auto-panel row of the snapshot table."""
+    m = _frames(spark, sf_dir)[0]
+    return _panel_row(m).select(*_SNAP_OUT)
+
+
+@register("live_report")
+def q_live_report(spark, sf_dir):
+    m = _frames(spark, sf_dir)[0]
+    return P.live_report(m.daily, m.routes, m.ports, N.full_view(m.daily))
+
+
+@register("filter_hash")
+def q_filter_hash(spark, sf_dir):
+    """PAN-P: the filter hash of every corridor filter the dashboard offers."""
+    m = _frames(spark, sf_dir)[0]
+    b = N.bounds(m.daily)
+    opts = N.corridor_options(m.routes)
+    filters = F.struct(
+        b.getField("mx").cast("string").alias("end"), F.lit("weekly").alias("grain"), F.lit("All ports").alias("port"),
+        F.col("corridor").alias("route"), b.getField("mn").cast("string").alias("start"), F.lit(10).alias("top_n"))
+    return opts.select("corridor", filters.alias("f")).select("corridor", P.filter_hash(F.col("f")).alias("filter_hash"))
+
+
+@register("panel_presets")
+def q_panel_presets(spark, sf_dir):
+    m = _frames(spark, sf_dir)[0]
+    return P.panel_presets(m.daily, m.routes, ["full", "year", "90", "30", "7"])
+
+
+def _snapshots(spark, sf_dir):
+    return snapshot_table_of(_frames(spark, sf_dir)[0])
+
+
+@register("snapshot_lookup")
+def q_snapshot_lookup(spark, sf_dir):
+    """PAN-Q: the panel row for the current data version (exact hash first, then a NULL-hash row)."""
+    m = _frames(spark, sf_dir)[0]
+    snaps = snapshot_table_of(m)
+    version = P.py_data_version(m.daily, m.routes).scalar()
+    return P.snapshot_lookup(snaps, F.lit("agent_panel"), version, F.lit("0000000000000000"), F.lit("auto_panel")).select(*_SNAP_OUT)
+
+
+@register("snapshot_latest")
+def q_snapshot_latest(spark, sf_dir):
+    """PAN-R: newest row per chart, ignoring the version."""
+    snaps = _snapshots(spark, sf_dir)
+    parts = [P.snapshot_latest(snaps, F.lit(c)) for c in ("agent_panel", "traffic_pulse", "top_corridors", "port_balance")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(*_SNAP_OUT)
+
+
+@register("snapshot_freshness")
+def q_snapshot_freshness(spark, sf_dir):
+    """PAN-S at three probe times: 1 h, exactly 48 h and 48.1 h after the newest panel row."""
+    snaps = _snapshots(spark, sf_dir)
+    out = None
+    for label, hours in (("1h", 1.0), ("48h", 48.0), ("48.1h", 48.1)):
+        now = F.lit(PANEL_TS + _dt.timedelta(hours=hours)).cast("timestamp_ntz")
+        f = P.snapshot_freshness(snaps, now).select(F.lit(label).alias("probe"), "*")
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+@register("snapshot_lines")
+def q_snapshot_lines(spark, sf_dir):
+    return P.snapshot_lines(_snapshots(spark, sf_dir))
+
+
+@register("panel_cache_match")
+def q_panel_cache_match(spark, sf_dir):
+    """PAN-V on the dashboard page (default scope): KPI dates of the stored panel vs the current 7 days."""
+    m = _frames(spark, sf_dir)[0]
+    lines = P.snapshot_lines(snapshot_table_of(m)).where(F.col("chart_id") == "agent_panel")
+    view = N.default_view(m.daily)
+    cur_end = view.apply(m.daily).agg(F.max("service_date")).scalar()
+    return P.panel_cache_match(lines, F.date_sub(cur_end, 6), cur_end, F.lit(True))
+
+
+@register("snapshot_upsert")
+def q_snapshot_upsert(spark, sf_dir):
+    """SRC7: re-running the writers later (same keys, one with filter_hash '') plus a 14-day-window panel row."""
+    m = _frames(spark, sf_dir)[0]
+    target = snapshot_table_of(m)
+    later = F.lit(PANEL_TS + _dt.timedelta(days=1)).cast("timestamp_ntz")
+    rerun = target.withColumn("snapshot_ts", later).withColumn(
+        "filter_hash", F.when(F.col("chart_id") == "agent_panel", F.lit("")).otherwise(F.col("filter_hash")))
+    wider = _panel_row(m, 14, PANEL_TS + _dt.timedelta(days=2)).withColumn("data_version", F.concat(F.col("data_version"), F.lit("|kpi14")))
+    merged = snapshot_upsert(target, rerun.unionByName(wider))
+    return merged.select(*_SNAP_OUT)
