@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from portflow.plans import queries_analytics, queries_snapshots  # noqa: F401  (their CTEs are used here)
 from portflow.plans.oracle_base import cte, with_ctes
 
 
@@ -226,3 +227,242 @@ PY_VERSION_SQL = with_ctes(
     """,
     "pd_", "pr_",
 )
+
+
+# ---- report card, snapshot table and friends ---------------------------------------------------------
+
+def _compact(x: str) -> str:
+    from portflow.plans.queries_analytics import _compact_sql
+
+    return _compact_sql(x)
+
+
+cte("pscope", ("pkb",),
+    """SELECT CASE WHEN end_date IS NULL OR NOT has THEN 'No comparison baseline available'
+                   ELSE strftime(b_start, '%d %b %Y') || ' -> ' || strftime(b_end, '%d %b %Y') END AS baseline_label,
+              CAST(kpi_start AS VARCHAR) AS kpi_start, CAST(end_date AS VARCHAR) AS kpi_end,
+              'Global network | Report period ' || strftime(kpi_start, '%d %b %Y') || ' -> ' || strftime(end_date, '%d %b %Y') AS scope_label
+       FROM (SELECT *, CASE WHEN has AND b_end - 55 >= view_start THEN b_end - 55 ELSE view_start END AS b_start FROM (
+               SELECT *, kpi_start - 1 AS b_end, kpi_start - 1 >= view_start AS has FROM pkb))""")
+
+_OUTLOOK = """(CASE WHEN w.value_pct IS NULL THEN 'Hold the current view until another reporting window lands.'
+      WHEN w.value_pct >= 8 THEN 'Expect demand to stay firm or edge higher in the next reporting window unless the spike reverses quickly.'
+      WHEN w.value_pct <= -8 THEN 'Expect a soft patch in the next reporting window unless this week''s drop proves to be temporary.'
+      ELSE 'Expect broadly stable movement in the next reporting window.' END)"""
+
+cte(
+    "preport",
+    ("pk", "ptc", "ptp", "pprev", "pdelta", "psig", "pact", "pscope"),
+    f"""
+    SELECT 'Harbor Intelligence Report Card' AS title,
+           'Current period: ' || {_compact('k.passengers')} || ' passengers and ' || {_compact('k.vehicles')}
+             || ' vehicles. Congestion held at ' || printf('%.0f', round(k.congestion_raw, 1)) || '% of baseline.'
+             || COALESCE(' ' || tc.pair_label || ' led with ' || printf('%.1f', tc.share_pct) || '% of traffic.', '')
+             || COALESCE(' ' || tp.port_name || ' remained the busiest port.', '') AS summary,
+           list_filter([
+             'Comparison baseline: ' || sc.baseline_label || '.',
+             'Traffic rows in the current period: ' || {_compact('k.traffic_rows')} || ' across ' || CAST(k.active_corridors AS VARCHAR) || ' active corridors.',
+             'Top corridor ' || tc.pair_label || ' carried ' || {_compact('tc.passengers')} || ' passengers (' || printf('%.1f', tc.share_pct) || '% share).',
+             'Top port ' || tp.port_name || ' handled ' || {_compact('tp.passengers')} || ' passengers.'], lambda x: x IS NOT NULL)[1:4] AS facts,
+           CASE WHEN (SELECT COUNT(*) FROM psig WHERE severity IN ('watch', 'alert')) > 0
+                THEN (SELECT list(summary ORDER BY ord) FROM psig WHERE severity IN ('watch', 'alert'))[1:3]
+                ELSE COALESCE((SELECT list(summary ORDER BY ord) FROM psig)[1:1], []) END AS anomalies,
+           COALESCE((SELECT list(summary ORDER BY ord) FROM pdelta)[1:3], []) AS comparisons,
+           list_filter([(SELECT action FROM pact WHERE ord = 1), 'Outlook: ' || {_OUTLOOK}], lambda x: x IS NOT NULL)[1:3] AS recommendations,
+           concat_ws(' ', w.summary, CASE WHEN mo.value_pct IS NOT NULL THEN mo.summary END,
+                     CASE WHEN tc.pair_label IS NOT NULL AND pr.previous_top_corridor_label IS NOT NULL AND pr.previous_top_corridor_label <> ''
+                          THEN CASE WHEN tc.pair_label = pr.previous_top_corridor_label
+                                    THEN 'Route leadership remains anchored on ' || tc.pair_label || '.'
+                                    ELSE 'Route leadership rotated from ' || pr.previous_top_corridor_label || ' to ' || tc.pair_label || '.' END END,
+                     {_OUTLOOK}) AS report_text,
+           COALESCE('Recommended action rationale: ' || (SELECT rationale FROM pact WHERE ord = 1),
+                    'Recommended action rationale unavailable.') AS insight_text
+    FROM pk k CROSS JOIN pscope sc CROSS JOIN pprev pr
+    LEFT JOIN (SELECT * FROM ptc WHERE rank = 1) tc ON TRUE
+    LEFT JOIN (SELECT * FROM ptp WHERE rank = 1) tp ON TRUE
+    LEFT JOIN (SELECT * FROM pdelta WHERE name = 'passengers_7d_avg') w ON TRUE
+    LEFT JOIN (SELECT * FROM pdelta WHERE name = 'passengers_30d_avg') mo ON TRUE
+    """,
+)
+
+cte("pnotable", ("prk", "routes"), NOTABLE_SQL[NOTABLE_SQL.index("SELECT len(reasons)"):])
+cte("pversion", ("pd_", "pr_"), PY_VERSION_SQL[PY_VERSION_SQL.index("SELECT CASE WHEN n = 0"):])
+
+cte(
+    "ppanel",
+    ("preport", "pversion", "pnotable"),
+    """
+    SELECT TIMESTAMP '2026-01-03 00:05:00' AS snapshot_ts, 'agent_panel' AS chart_id, 'auto_panel' AS insight_type,
+           'weekly' AS grain, CAST(NULL AS VARCHAR) AS filter_hash, (SELECT data_version FROM pversion) AS data_version,
+           title, summary, facts, anomalies, comparisons, recommendations, report_text, insight_text,
+           CASE WHEN (SELECT should_trigger FROM pnotable) THEN 'deterministic_no_api_key' ELSE 'deterministic_skip' END AS generation_mode
+    FROM preport
+    """,
+)
+_SNAP = ("snapshot_ts, chart_id, insight_type, data_version, filter_hash, title, summary, facts, anomalies, comparisons, "
+         "recommendations, report_text, insight_text, generation_mode")
+cte("snaptab", ("sdeep", "ppanel"), f"SELECT {_SNAP} FROM sdeep UNION ALL SELECT {_SNAP} FROM ppanel")
+
+PANEL_SNAPSHOT_SQL = with_ctes(f"SELECT {_SNAP} FROM ppanel", "ppanel")
+LOOKUP_SQL = with_ctes(
+    f"""SELECT {_SNAP} FROM snaptab WHERE chart_id = 'agent_panel' AND data_version = (SELECT data_version FROM pversion)
+        AND (filter_hash = '0000000000000000' OR filter_hash IS NULL) AND insight_type = 'auto_panel'
+        ORDER BY CASE WHEN filter_hash = '0000000000000000' THEN 0 WHEN filter_hash IS NULL THEN 1 ELSE 2 END, snapshot_ts DESC LIMIT 1""",
+    "snaptab", "pversion",
+)
+LATEST_SQL = with_ctes(
+    f"SELECT {_SNAP} FROM snaptab WHERE chart_id IN ('agent_panel', 'traffic_pulse', 'top_corridors', 'port_balance') "
+    "QUALIFY row_number() OVER (PARTITION BY chart_id ORDER BY snapshot_ts DESC) = 1",
+    "snaptab",
+)
+FRESHNESS_SQL = with_ctes(
+    """SELECT probe, latest_snapshot_ts, hours_since_latest, latest_snapshot_ts IS NULL OR hours_since_latest > 48 AS is_stale FROM (
+         SELECT p.probe, l.latest_snapshot_ts,
+                CAST(epoch_us(p.now) - epoch_us(l.latest_snapshot_ts) AS DOUBLE) / 3.6e9 AS hours_since_latest
+         FROM (VALUES ('1h', TIMESTAMP '2026-01-03 01:05:00'), ('48h', TIMESTAMP '2026-01-05 00:05:00'),
+                      ('48.1h', TIMESTAMP '2026-01-05 00:11:00')) AS p(probe, now),
+              (SELECT MAX(snapshot_ts) AS latest_snapshot_ts FROM snaptab WHERE chart_id = 'agent_panel' AND insight_type = 'auto_panel') l)""",
+    "snaptab",
+)
+
+
+def _odistinct(expr: str) -> str:
+    return f"list_filter({expr}, lambda x, i: x IS NOT NULL AND x <> '' AND list_position({expr}, x) = i)"
+
+
+LINES_SQL = with_ctes(
+    f"""
+    SELECT chart_id, insight_type, data_version, snapshot_ts,
+           CASE WHEN chart_id = 'agent_panel' AND insight_type = 'auto_panel' THEN
+                {_odistinct("[trim(summary), CASE WHEN trim(report_text) <> trim(summary) THEN trim(report_text) END, "
+                            "CASE WHEN recs[1] IS NOT NULL THEN CASE WHEN lower(recs[1]) LIKE 'action:%' THEN recs[1] ELSE 'Action: ' || recs[1] END END, recs[2]]")}
+           ELSE {_odistinct("list_concat([trim(summary), CASE WHEN insight_type <> 'deepen_chart' THEN trim(report_text) END, trim(insight_text)], "
+                            "list_transform(COALESCE(facts, []), lambda x: trim(x)), list_transform(COALESCE(anomalies, []), lambda x: trim(x)), "
+                            "list_transform(COALESCE(comparisons, []), lambda x: trim(x)), list_transform(COALESCE(recommendations, []), lambda x: trim(x)))")}
+           END AS lines,
+           CASE WHEN chart_id = 'agent_panel' THEN (SELECT kpi_start FROM pscope) END AS kpi_start,
+           CASE WHEN chart_id = 'agent_panel' THEN (SELECT kpi_end FROM pscope) END AS kpi_end,
+           CASE WHEN chart_id = 'agent_panel' THEN (SELECT scope_label FROM pscope) END AS scope_label
+    FROM (SELECT *, list_filter(list_transform(COALESCE(recommendations, []), lambda x: trim(x)), lambda x: x <> '') AS recs FROM snaptab)
+    """,
+    "snaptab", "pscope",
+)
+CACHE_SQL = with_ctes(
+    """SELECT 'agent_panel' AS chart_id, (SELECT data_version FROM pversion) AS data_version,
+              CAST(kpi_start AS DATE) = (SELECT MAX(service_date) - 6 FROM daily) AND CAST(kpi_end AS DATE) = (SELECT MAX(service_date) FROM daily)
+              AS use_cached FROM pscope""",
+    "pscope", "pversion", "daily",
+)
+PRESETS_SQL = with_ctes(
+    """SELECT * FROM (
+    WITH b AS (SELECT MIN(service_date) AS mn, MAX(service_date) AS mx, date_diff('day', MIN(service_date), MAX(service_date)) + 1 AS span FROM pd_),
+    ps AS (SELECT ord, preset, lb AS lookback_days, least(lb, span) AS effective_days, mx - CAST(least(lb, span) - 1 AS INTEGER) AS start_date,
+                  mx AS end_date FROM b, (VALUES (1, 'full', NULL), (2, 'year', 365), (3, '90', 90), (4, '30', 30), (5, '7', 7)) v(ord, preset, l0),
+                  LATERAL (SELECT COALESCE(l0, greatest(span, 7)) AS lb))
+    SELECT ps.ord, ps.preset, ps.lookback_days, ps.effective_days, ps.start_date, ps.end_date, d.day_rows,
+           CAST(ps.end_date AS VARCHAR) || '|rows:' || CAST(d.rows_total AS VARCHAR) || '|pax:' || CAST(d.pax AS VARCHAR) || '|top:'
+             || substr(sha256(COALESCE(g.digest, 'none')), 1, 16) AS data_version
+    FROM ps
+    JOIN (SELECT ps.ord, COUNT(*) AS day_rows, SUM(rows_count) AS rows_total, SUM(total_passengers) AS pax
+          FROM ps JOIN pd_ ON pd_.service_date >= ps.start_date GROUP BY ps.ord) d ON d.ord = ps.ord
+    LEFT JOIN (SELECT ord, string_agg(departure_port || '->' || arrival_port || ':' || CAST(p AS VARCHAR), '|' ORDER BY r) AS digest FROM (
+                 SELECT ps.ord, departure_port, arrival_port, SUM(total_passengers) AS p,
+                        row_number() OVER (PARTITION BY ps.ord ORDER BY SUM(total_passengers) DESC, departure_port, arrival_port) AS r
+                 FROM ps JOIN pr_ ON pr_.service_date >= ps.start_date GROUP BY ps.ord, departure_port, arrival_port)
+               WHERE r <= 5 GROUP BY ord) g ON g.ord = ps.ord)
+    """,
+    "pd_", "pr_",
+)
+FILTER_HASH_SQL = with_ctes(
+    """SELECT corridor, substr(sha256('{"end":"' || CAST(b.mx AS VARCHAR) || '","grain":"weekly","port":"All ports","route":"' || corridor
+              || '","start":"' || CAST(b.mn AS VARCHAR) || '","top_n":10}'), 1, 16) AS filter_hash
+       FROM (SELECT DISTINCT departure_port || ' -> ' || arrival_port AS corridor FROM routes
+             WHERE departure_port IS NOT NULL AND arrival_port IS NOT NULL),
+            (SELECT MIN(service_date) AS mn, MAX(service_date) AS mx FROM daily) b""",
+    "routes", "daily",
+)
+
+UPSERT_SQL = with_ctes(
+    """SELECT TIMESTAMP '2026-01-04 00:05:00' AS snapshot_ts, chart_id, insight_type, data_version,
+              CASE WHEN chart_id = 'agent_panel' THEN '' ELSE filter_hash END AS filter_hash, title, generation_mode FROM snaptab
+       UNION ALL
+       SELECT TIMESTAMP '2026-01-05 00:05:00', 'agent_panel', 'auto_panel', (SELECT data_version FROM pversion) || '|kpi14',
+              CAST(NULL AS VARCHAR), 'Harbor Intelligence Report Card',
+              CASE WHEN (SELECT should_trigger FROM pnotable) THEN 'deterministic_no_api_key' ELSE 'deterministic_skip' END""",
+    "snaptab", "pversion", "pnotable",
+)
+
+
+def _signed(x: str) -> str:
+    return signed(x)
+
+
+LIVE_SQL = with_ctes(
+    f"""
+    SELECT ord, paragraph FROM (
+      SELECT unnest([p1, p2, p3, p4]) AS paragraph, unnest([1, 2, 3, 4]) AS ord FROM (
+        SELECT
+          'Current period: ' || strftime(cs, '%d %b %Y') || ' -> ' || strftime(ce, '%d %b %Y') || '. The network recorded '
+            || {_compact('pax')} || ' passengers and ' || {_compact('veh')} || ' vehicles. The leading corridor is '
+            || COALESCE(top_label, 'No data') || ' (' || printf('%.1f', share) || '% of scoped passengers), with '
+            || COALESCE(top_port, 'No data') || ' as the highest-flow port. Congestion index is ' || printf('%.0f', cong)
+            || '%. Comparison baseline: '
+            || CASE WHEN bn >= 8 THEN CAST(bn AS VARCHAR) || ' x 7-day windows: ' || strftime(bs, '%d %b %Y') || ' -> ' || strftime(be, '%d %b %Y')
+                    WHEN bn >= 1 THEN strftime(bs, '%d %b %Y') || ' -> ' || strftime(be, '%d %b %Y')
+                    ELSE 'No comparison baseline available' END || '.' AS p1,
+          'Notable shifts: '
+            || CASE WHEN d7 IS NULL THEN 'Not enough history for 7-day change.' ELSE '7-day average passengers are ' || {_signed('d7')} || ' vs prior week.' END
+            || ' ' || CASE WHEN d30 IS NULL THEN 'Not enough history for 30-day change.'
+                           ELSE '30-day average passengers are ' || {_signed('d30')} || ' vs prior 30-day window.' END
+            || ' ' || CASE WHEN recent_top IS NULL OR prior_top IS NULL THEN 'Route rank shift data unavailable.'
+                           WHEN recent_top = prior_top THEN 'Top corridor remains ' || recent_top || ' across the last two weekly windows.'
+                           ELSE 'Top corridor shifted from ' || prior_top || ' to ' || recent_top || ' in the latest week.' END AS p2,
+          'Anomaly call-out: ' || CASE WHEN d7 IS NOT NULL AND abs(d7) >= 20
+               THEN 'Traffic momentum moved ' || {_signed('d7')} || ' week-over-week, which is a notable swing. Likely causes include schedule shifts, route substitution, or reporting lag.'
+               ELSE 'No high-severity anomaly flag triggered in the current scope.' END AS p3,
+          'Outlook: ' || CASE WHEN d7 IS NULL THEN 'Direction is stable.'
+                              WHEN d7 > 5 THEN 'Expect a mild upward drift over the next 7-14 days.'
+                              WHEN d7 < -5 THEN 'Expect a mild downward normalization over the next 7-14 days.'
+                              ELSE 'Expect relatively flat movement over the next 7-14 days.' END
+            || ' This is a short operational directional signal based on recent window behavior; re-check after the next ingestion snapshot.' AS p4
+        FROM (
+          SELECT c.window_start AS cs, c.window_end AS ce, COALESCE(c.pax, 0) AS pax, COALESCE(c.veh, 0) AS veh,
+                 b.bn, b.bs, b.be, tc.pair_label AS top_label,
+                 CASE WHEN COALESCE(c.pax, 0) > 0 THEN CAST(COALESCE(tc.passengers, 0) AS DOUBLE) / CAST(c.pax AS DOUBLE) * 100.0 ELSE 0.0 END AS share,
+                 tp.port_name AS top_port, COALESCE(cg.congestion_index, 0.0) AS cong,
+                 CASE WHEN t.n >= 14 AND t.p7 > 0 THEN (t.r7 - t.p7) / t.p7 * 100.0 END AS d7,
+                 CASE WHEN t.n >= 60 AND t.p30 > 0 THEN (t.r30 - t.p30) / t.p30 * 100.0 END AS d30,
+                 sh.recent_top, sh.prior_top
+          FROM (SELECT * FROM wmet WHERE window_index = 0) c
+          CROSS JOIN (SELECT COUNT(*) AS bn, MIN(window_start) AS bs, MAX(window_end) AS be FROM wmet WHERE window_index >= 1) b
+          LEFT JOIN (SELECT * FROM (
+                       SELECT departure_port || ' -> ' || arrival_port AS pair_label, SUM(total_passengers) AS passengers, SUM(total_vehicles) AS vehicles
+                       FROM rv, wp WHERE rv.service_date BETWEEN wp.cur_start AND wp.cur_end AND departure_port IS NOT NULL AND arrival_port IS NOT NULL
+                       GROUP BY departure_port, arrival_port) ORDER BY passengers DESC, vehicles DESC, pair_label LIMIT 1) tc ON TRUE
+          LEFT JOIN (SELECT port_name FROM (
+                       SELECT port_name, SUM(total_departing_passengers) AS d, SUM(total_arriving_passengers) AS a FROM pv, wp
+                       WHERE pv.service_date BETWEEN wp.cur_start AND wp.cur_end GROUP BY port_name)
+                     ORDER BY d DESC, a DESC, port_name NULLS FIRST LIMIT 1) tp ON TRUE
+          CROSS JOIN (SELECT least(CASE WHEN pk2 != 0 THEN r7 / pk2 * 100.0 ELSE 0.0 END, 100.0) AS congestion_index FROM (
+                        SELECT COALESCE(AVG(CASE WHEN rn <= 7 THEN CAST(rows_count AS DOUBLE) END), 0.0) AS r7,
+                               COALESCE(quantile_cont(CAST(rows_count AS DOUBLE), 0.95), 0.0) AS pk2
+                        FROM (SELECT rows_count, row_number() OVER (ORDER BY service_date DESC) AS rn FROM dv))) cg
+          CROSS JOIN (SELECT COUNT(*) AS n, AVG(CASE WHEN rn <= 7 THEN CAST(total_passengers AS DOUBLE) END) AS r7,
+                             AVG(CASE WHEN rn BETWEEN 8 AND 14 THEN CAST(total_passengers AS DOUBLE) END) AS p7,
+                             AVG(CASE WHEN rn <= 30 THEN CAST(total_passengers AS DOUBLE) END) AS r30,
+                             AVG(CASE WHEN rn BETWEEN 31 AND 60 THEN CAST(total_passengers AS DOUBLE) END) AS p30
+                      FROM (SELECT COALESCE(total_passengers, 0) AS total_passengers, row_number() OVER (ORDER BY service_date DESC) AS rn
+                            FROM dv WHERE service_date IS NOT NULL)) t
+          CROSS JOIN (SELECT
+              (SELECT departure_port || ' -> ' || arrival_port FROM (
+                 SELECT departure_port, arrival_port, SUM(total_passengers) AS p FROM rv, (SELECT MAX(service_date) AS mx FROM rv) m
+                 WHERE departure_port IS NOT NULL AND arrival_port IS NOT NULL AND service_date BETWEEN mx - 6 AND mx GROUP BY ALL
+                 ORDER BY p DESC, departure_port, arrival_port LIMIT 1)) AS recent_top,
+              (SELECT departure_port || ' -> ' || arrival_port FROM (
+                 SELECT departure_port, arrival_port, SUM(total_passengers) AS p FROM rv, (SELECT MAX(service_date) AS mx FROM rv) m
+                 WHERE departure_port IS NOT NULL AND arrival_port IS NOT NULL AND service_date BETWEEN mx - 13 AND mx - 7 GROUP BY ALL
+                 ORDER BY p DESC, departure_port, arrival_port LIMIT 1)) AS prior_top) sh
+        )))
+    """,
+    "wmet", "wp", "rv", "pv", "dv",
+)

@@ -254,4 +254,27 @@ def q_snapshot_upsert(spark, sf_dir):
         "filter_hash", F.when(F.col("chart_id") == "agent_panel", F.lit("")).otherwise(F.col("filter_hash")))
     wider = _panel_row(m, 14, PANEL_TS + _dt.timedelta(days=2)).withColumn("data_version", F.concat(F.col("data_version"), F.lit("|kpi14")))
     merged = snapshot_upsert(target, rerun.unionByName(wider))
-    return merged.select(*_SNAP_OUT)
+    return merged.select("snapshot_ts", "chart_id", "insight_type", "data_version", "filter_hash", "title", "generation_mode")
+
+
+def _attach_more_oracles():
+    from portflow.plans import oracle_panel as O
+    from portflow.plans.registry import ORACLE
+
+    ORACLE.update({
+        "panel_snapshot": O.PANEL_SNAPSHOT_SQL,
+        "panel_report": O.with_ctes(
+            "SELECT title, summary, facts, anomalies, comparisons, recommendations, report_text, insight_text FROM preport", "preport"),
+        "snapshot_lookup": O.LOOKUP_SQL,
+        "snapshot_latest": O.LATEST_SQL,
+        "snapshot_freshness": O.FRESHNESS_SQL,
+        "snapshot_lines": O.LINES_SQL,
+        "panel_cache_match": O.CACHE_SQL,
+        "panel_presets": O.PRESETS_SQL,
+        "filter_hash": O.FILTER_HASH_SQL,
+        "snapshot_upsert": O.UPSERT_SQL,
+        "live_report": O.LIVE_SQL,
+    })
+
+
+_attach_more_oracles()
