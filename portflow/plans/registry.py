@@ -38,4 +38,5 @@ def load_all() -> None:
         queries_quality,
         queries_panel,
         queries_snapshots,
+        queries_sources,
     )
