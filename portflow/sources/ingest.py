@@ -59,7 +59,9 @@ def extract_records(payloads: DataFrame, strict: bool = False) -> tuple[DataFram
     )
     typed = typed.withColumn("reason", reason)
     if strict:
-        typed = typed.withColumn("_chk", F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("Unexpected response: "), F.col("reason")))))
+        # A filter keeps the check in the plan (an unused column would be pruned).
+        fail = F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("Unexpected response: "), F.col("reason"))))
+        typed = typed.where(fail.isNull())
     bad = typed.where(F.col("reason").isNotNull()).select("payload", "source_file", "reason")
     recs = (
         typed.where(F.col("reason").isNull())
