@@ -50,10 +50,25 @@ def with_keys(df: DataFrame) -> DataFrame:
     )
 
 
-def int_traffic_record(stg: DataFrame) -> DataFrame:
+def records_from_raw(raw: DataFrame) -> DataFrame:
+    """The canonical record straight from the landing table.
+
+    Same result as ``int_traffic_record(stg_clean(raw))``: the dedup orders by
+    raw fields only and cleaning is row-wise, so valid-date filter → dedup →
+    clean is equivalent, and the cleaning (regular expressions on four text
+    columns) runs after the dedup shuffle, on deduplicated rows, spread over
+    the shuffle partitions whatever the input partitioning.
+    """
+    from portflow.operators.staging import safe_date, stg_clean
+
+    valid = raw.where(safe_date(F.col("service_date")).isNotNull())
+    return int_traffic_record(stg_clean(dedup_latest(valid)), deduplicated=True)
+
+
+def int_traffic_record(stg: DataFrame, deduplicated: bool = False) -> DataFrame:
     """REC1–REC6 → the canonical record table (schema ``RECORD_COLUMNS``)."""
     d = F.col("service_date")
-    keyed = with_keys(dedup_latest(stg))
+    keyed = with_keys(stg if deduplicated else dedup_latest(stg))
     return keyed.select(
         F.col("record_hash").alias("event_id"),
         "source_record_id",

@@ -44,7 +44,7 @@ class TrafficModels:
 
     @cached_property
     def records(self) -> DataFrame:
-        return R.int_traffic_record(self.stg)
+        return R.records_from_raw(self.raw)
 
     # --- intermediates ----------------------------------------------------
     @cached_property

@@ -21,7 +21,9 @@ def _m(spark, sf_dir):
 
 
 def _frames(spark, sf_dir):
-    m = _m(spark, sf_dir)
+    # View bounds and window plans are scalar subqueries over the day grain:
+    # store it once so they do not each re-run the star join.
+    m = _m(spark, sf_dir).materialize()
     view = N.full_view(m.daily)
     return m, view, view.apply(m.daily), view.apply(m.routes), view.apply(m.ports)
 

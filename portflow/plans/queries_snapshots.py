@@ -106,7 +106,9 @@ cte("sdeep", ("sbase",), _deepen_sql())
 
 
 def _m(spark, sf_dir):
-    return TrafficModels(spark, sf_dir)
+    # The model's one-row parts are scalar subqueries over the day grain:
+    # store the day grain once so each subquery reads a small table.
+    return TrafficModels(spark, sf_dir).materialize()
 
 
 def _scoped(spark, sf_dir):
