@@ -41,8 +41,12 @@ class View:
     end: Column
     # Newest day with data inside the view, when already known (saves a subquery).
     last_day: Column | None = None
+    # The view covers every available day: filtering the day-grain frames is a no-op.
+    full: bool = False
 
     def apply(self, df: DataFrame, col: str = "service_date") -> DataFrame:
+        if self.full and col == "service_date":
+            return df
         return df.where(F.col(col).between(self.start, self.end))
 
 
@@ -54,7 +58,7 @@ def bounds(daily: DataFrame) -> Column:
 def full_view(daily: DataFrame) -> View:
     """All available days."""
     b = bounds(daily)
-    return View(b.getField("mn"), b.getField("mx"), b.getField("mx"))
+    return View(b.getField("mn"), b.getField("mx"), b.getField("mx"), full=True)
 
 
 def default_view(daily: DataFrame, days: int = 90) -> View:

@@ -196,3 +196,49 @@ def row_counts(rec: DataFrame, grain: str) -> DataFrame:
         F.coalesce(F.sum("passenger_count"), F.lit(0)).cast("long").alias("total_passengers"),
         F.coalesce(F.sum("vehicle_count"), F.lit(0)).cast("long").alias("total_vehicles"),
     )
+
+
+def port_day_from_route_day(route_day: DataFrame) -> DataFrame:
+    """INT3 from the route-day grain (exact: every record sits in one route-day group).
+
+    Each route-day row counts once for its departure port and once for its
+    arrival port; NULL ports drop out as movements without a port do.
+    """
+    sides = F.array(
+        F.struct(F.lit(True).alias("is_dep"), F.col("departure_port").alias("port_name")),
+        F.struct(F.lit(False).alias("is_dep"), F.col("arrival_port").alias("port_name")),
+    )
+    x = route_day.select(*CALENDAR, "traffic_record_count", "total_passengers", "total_vehicles",
+                         F.explode(sides).alias("s")).where(F.col("s.port_name").isNotNull())
+
+    def side(is_dep: bool, c: str):
+        cond = F.col("s.is_dep") if is_dep else ~F.col("s.is_dep")
+        return F.coalesce(F.sum(F.when(cond, F.col(c)).otherwise(F.lit(0))), F.lit(0)).cast("long")
+
+    return x.groupBy(*CALENDAR, F.col("s.port_name").alias("port_name")).agg(
+        side(True, "traffic_record_count").alias("departure_record_count"),
+        side(False, "traffic_record_count").alias("arrival_record_count"),
+        side(True, "total_passengers").alias("total_departing_passengers"),
+        side(False, "total_passengers").alias("total_arriving_passengers"),
+        side(True, "total_vehicles").alias("total_departing_vehicles"),
+        side(False, "total_vehicles").alias("total_arriving_vehicles"),
+    )
+
+
+def row_counts_from_route_day(route_day: DataFrame, grain: str) -> DataFrame:
+    """RPT1–4 from the route-day grain.
+
+    Exact: route key, pair key and both ports are grouping columns of the
+    route-day rows, so their distinct count within a period is the same over
+    route-day rows as over records; counts and sums add up.
+    """
+    src, name = GRAIN_COLUMNS[grain]
+    return route_day.groupBy(F.col(src).alias(name)).agg(
+        F.sum("traffic_record_count").cast("long").alias("rows_count"),
+        F.countDistinct("route_key").alias("distinct_itineraries"),
+        F.countDistinct("route_pair_key").alias("distinct_route_pairs"),
+        F.countDistinct("departure_port").alias("distinct_departure_ports"),
+        F.countDistinct("arrival_port").alias("distinct_arrival_ports"),
+        F.coalesce(F.sum("total_passengers"), F.lit(0)).cast("long").alias("total_passengers"),
+        F.coalesce(F.sum("total_vehicles"), F.lit(0)).cast("long").alias("total_vehicles"),
+    )

@@ -57,7 +57,9 @@ class TrafficModels:
 
     @cached_property
     def port_day(self) -> DataFrame:
-        return U.int_port_day(self.port_movement)
+        # Same rows as aggregating the port movements; one aggregation of the
+        # (smaller) route-day grain instead of another pass over records.
+        return U.port_day_from_route_day(self.route_day)
 
     # --- marts ------------------------------------------------------------
     @cached_property
@@ -99,19 +101,19 @@ class TrafficModels:
     # --- reports ----------------------------------------------------------
     @cached_property
     def row_counts_daily(self) -> DataFrame:
-        return U.row_counts(self.records, "daily")
+        return U.row_counts_from_route_day(self.route_day, "daily")
 
     @cached_property
     def row_counts_weekly(self) -> DataFrame:
-        return U.row_counts(self.records, "weekly")
+        return U.row_counts_from_route_day(self.route_day, "weekly")
 
     @cached_property
     def row_counts_monthly(self) -> DataFrame:
-        return U.row_counts(self.records, "monthly")
+        return U.row_counts_from_route_day(self.route_day, "monthly")
 
     @cached_property
     def row_counts_yearly(self) -> DataFrame:
-        return U.row_counts(self.records, "yearly")
+        return U.row_counts_from_route_day(self.route_day, "yearly")
 
     # --- day-grain inputs of the analytics layer ----------------------------
     @property
@@ -129,40 +131,39 @@ class TrafficModels:
         return self.fct_port_daily
 
     # --- materialisation ----------------------------------------------------
-    def materialize(self, root: str | None = None, day_grain: bool = True) -> "TrafficModels":
-        """Write the canonical records (and the day-grain facts) once and read them back.
-
-        Tables go under ``root`` or a fresh folder inside the session's
-        ``spark.checkpoint.dir`` (a shared folder on a cluster). Records are
-        partitioned by month (month directories, not thousands of day
-        directories) and sorted by day within files, so date filters prune
-        directories and skip row groups. Reading back cuts the lineage: every
-        later subquery or re-use starts from storage instead of re-running the
-        star join and the dedup.
+    def materialize(self, root: str | None = None, records: bool = False) -> "TrafficModels":
+        """Store the route-day grain (and optionally the records) once and read it back.
+
+        Every day-grain table derives exactly from ``int_route_day``, so one
+        chain run and one write feed them all. Tables go under ``root`` or a
+        fresh folder inside the session's ``spark.checkpoint.dir`` (a shared
+        folder on a cluster), partitioned by month (month directories, not
+        thousands of day directories) and sorted by day within files, so date
+        filters prune directories and skip row groups. Reading back cuts the
+        lineage: later subqueries start from storage, not from the star join.
         """
         from portflow.session import ensure_checkpoint_dir
 
         base = root or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/portflow-{uuid.uuid4().hex[:12]}"
-        rec_path = f"{base}/int_traffic_record"
+        if records:
+            rec_path = f"{base}/int_traffic_record"
+            (
+                self.records.repartition("service_month_start")
+                .sortWithinPartitions("service_date", "route_key")
+                .write.mode("overwrite").partitionBy("service_month_start").parquet(rec_path)
+            )
+            self.__dict__["records"] = self.spark.read.parquet(rec_path).select(*_RECORD_ORDER)
+        rd = self.route_day
+        rd_path = f"{base}/int_route_day"
         (
-            self.records.repartition("service_month_start")
-            .sortWithinPartitions("service_date", "route_key")
-            .write.mode("overwrite").partitionBy("service_month_start").parquet(rec_path)
+            rd.repartition("service_month_start")
+            .sortWithinPartitions("service_date", "departure_port", "arrival_port")
+            .write.mode("overwrite").partitionBy("service_month_start").parquet(rd_path)
         )
-        self.__dict__["records"] = self.spark.read.parquet(rec_path).select(*_RECORD_ORDER)
-        for key in list(self.__dict__):
-            if key not in ("records", "raw", "stg", "spark", "sf_dir", "_raw"):
-                self.__dict__.pop(key)
-        if day_grain:
-            for name, attr, sort in (
-                ("row_counts_daily", "row_counts_daily", ["service_date"]),
-                ("fct_route_traffic_daily", "fct_route_daily", ["service_date", "departure_port"]),
-                ("fct_port_activity_daily", "fct_port_daily", ["service_date", "port_name"]),
-            ):
-                path = f"{base}/{name}"
-                df = getattr(self, attr)
-                df.repartition(F.col("service_date")).sortWithinPartitions(*sort).write.mode("overwrite").parquet(path)
-                self.__dict__[attr] = self.spark.read.parquet(path).select(*df.columns)
+        stored = self.spark.read.parquet(rd_path).select(*[F.col(f.name).cast(f.dataType) for f in rd.schema.fields])
+        for key in [k for k in self.__dict__ if k not in ("spark", "sf_dir", "_raw", "raw", "stg", "records")]:
+            self.__dict__.pop(key)
+        self.__dict__["route_day"] = stored
         return self
 
 

@@ -20,10 +20,10 @@ def _m(spark, sf_dir):
     return TrafficModels(spark, sf_dir)
 
 
-def _frames(spark, sf_dir):
-    # View bounds and window plans are scalar subqueries over the day grain:
-    # store it once so they do not each re-run the star join.
-    m = _m(spark, sf_dir).materialize()
+def _frames(spark, sf_dir, store: bool = False):
+    # The full view needs no filter; builders with several scalar subqueries
+    # over the day grain (window plans) ask for it to be stored once.
+    m = _m(spark, sf_dir).materialize() if store else _m(spark, sf_dir)
     view = N.full_view(m.daily)
     return m, view, view.apply(m.daily), view.apply(m.routes), view.apply(m.ports)
 
@@ -247,7 +247,7 @@ def q_netflow_reconcile(spark, sf_dir):
 
 
 def _metrics(spark, sf_dir):
-    m, view, d, r, p = _frames(spark, sf_dir)
+    m, view, d, r, p = _frames(spark, sf_dir, store=True)
     return N.window_metrics(m.daily, m.routes, m.ports, view)
 
 
@@ -332,7 +332,7 @@ cte(
 
 
 def _kpi_frames(spark, sf_dir):
-    m, view, d, r, p = _frames(spark, sf_dir)
+    m, view, d, r, p = _frames(spark, sf_dir, store=True)
     cur_end = view.last_day
     cur = N.View(F.date_sub(cur_end, 6), cur_end, cur_end)
     return cur.apply(r), cur.apply(p)

@@ -27,7 +27,7 @@ def test_no_python_udfs_in_registered_queries(spark):
 
 
 def test_snapshot_scope_prunes_month_partitions(spark):
-    m = TrafficModels(spark, SF_SMALL).materialize()
+    m = TrafficModels(spark, SF_SMALL).materialize(records=True)
     scope = S.scope_bounds(m.daily)
     rec = S.in_scope(m.records, scope, month_col="service_month_start")
     p = plan(rec.select("service_date"))
