@@ -164,6 +164,15 @@ class TrafficModels:
         for key in [k for k in self.__dict__ if k not in ("spark", "sf_dir", "_raw", "raw", "stg", "records")]:
             self.__dict__.pop(key)
         self.__dict__["route_day"] = stored
+        # The two day-grain tables that analytics read over and over are small
+        # (days, days × ports): store them too, derived from the stored grain.
+        for attr, sort in (("row_counts_daily", ["service_date"]), ("port_day", ["service_date", "port_name"])):
+            df = getattr(self, attr)
+            path = f"{base}/{attr}"
+            df.repartition(F.col("service_date")).sortWithinPartitions(*sort).write.mode("overwrite").parquet(path)
+            self.__dict__[attr] = self.spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in df.schema.fields])
+        for key in ("fct_port_daily", "fct_port_weekly", "fct_port_monthly", "dim_port"):
+            self.__dict__.pop(key, None)
         return self
 
 
