@@ -386,6 +386,10 @@ def panel_actions(ctx: DataFrame) -> DataFrame:
 
 def panel_source_json(ctx: DataFrame) -> DataFrame:
     """PAN-K: the source document ``auto_panel_source_v2`` as JSON (list caps 5/5/6/8/4/4)."""
+    return ctx.select(_source_json().alias("source_snapshot_json"))
+
+
+def _source_json() -> Column:
     k = F.struct(
         "passengers", "vehicles", "traffic_rows", "active_corridors",
         py_round(F.col("congestion_raw"), 1).alias("congestion_index_pct"),
@@ -409,7 +413,7 @@ def panel_source_json(ctx: DataFrame) -> DataFrame:
         F.col("previous_top_corridor_label"),
         F.slice("notable_change_reasons", 1, 4).alias("notable_change_reasons"),
     )
-    return ctx.select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("source_snapshot_json"))
+    return F.to_json(doc, {"ignoreNullFields": "false"})
 
 
 # --- PAN-L: rendered report card ------------------------------------------------------------------
@@ -419,7 +423,7 @@ def _clean_list(arr: Column, cap: int) -> Column:
     return F.slice(F.filter(F.transform(arr, lambda x: F.trim(x)), lambda x: x != ""), 1, cap)
 
 
-def panel_report(ctx: DataFrame) -> DataFrame:
+def panel_report(ctx: DataFrame, with_source_json: bool = False) -> DataFrame:
     """PAN-L: the deterministic report card (title, summary, lists, text)."""
     top = F.col("top_corridors")[0]
     port = F.col("top_ports")[0]
@@ -475,6 +479,7 @@ def panel_report(ctx: DataFrame) -> DataFrame:
         F.array_join(parts, " ").alias("report_text"),
         F.when(action0.isNotNull(), F.concat(F.lit("Recommended action rationale: "), action0["rationale"]))
         .otherwise(F.lit("Recommended action rationale unavailable.")).alias("insight_text"),
+        *([_source_json().alias("source_snapshot_json")] if with_source_json else []),
     )
 
 
@@ -529,8 +534,8 @@ def panel_snapshot_row(ctx: DataFrame, data_version: Column, notable: Column, sn
     writes when no provider is configured.
     """
     ts = snapshot_ts if snapshot_ts is not None else F.lit(DEFAULT_NOW).cast("timestamp_ntz")
-    rep = panel_report(ctx)
-    src = panel_source_json(ctx).select("source_snapshot_json").scalar()
+    # Report and source document from ONE pass over the context.
+    rep = panel_report(ctx, with_source_json=True)
     null_s = F.lit(None).cast("string")
     return rep.select(
         ts.alias("snapshot_ts"), F.lit("agent_panel").alias("chart_id"), F.lit("auto_panel").alias("insight_type"),
@@ -538,7 +543,7 @@ def panel_snapshot_row(ctx: DataFrame, data_version: Column, notable: Column, sn
         "facts", "anomalies", "comparisons", "recommendations", "report_text", "insight_text",
         F.when(notable, "deterministic_no_api_key").otherwise("deterministic_skip").alias("generation_mode"),
         F.when(notable, F.lit("LLM provider API key not set")).otherwise(null_s).alias("generation_error"),
-        null_s.alias("model_name"), src.alias("source_snapshot_json"), null_s.alias("overlay_json"),
+        null_s.alias("model_name"), "source_snapshot_json", null_s.alias("overlay_json"),
     )
 
 

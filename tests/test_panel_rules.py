@@ -108,3 +108,21 @@ def test_freshness_boundaries(spark):
     assert not stale(48.0) and stale(48.1)
     empty = snaps.where(F.lit(False))
     assert P.snapshot_freshness(empty, F.lit(ts).cast("timestamp_ntz")).first().is_stale
+
+
+def test_source_document_agrees_with_checked_parts(spark):
+    """The JSON source document carries the same values as the oracle-checked panel queries."""
+    import json
+
+    from portflow.plans.models import TrafficModels
+    from tests.conftest import SF_SMALL
+
+    m = TrafficModels(spark, SF_SMALL).materialize()
+    ctx = P.panel_context(m.daily, m.routes, m.ports, 7)
+    doc = json.loads(P.panel_source_json(ctx).first().source_snapshot_json)
+    kpis = P.panel_kpis(m.daily, m.routes, 7).first().asDict()
+    assert doc["schema_version"] == "auto_panel_source_v2"
+    assert doc["kpis"] == kpis
+    assert [d["summary"] for d in doc["deltas"]] == [r.summary for r in P.panel_deltas(ctx).orderBy("ord").collect()]
+    assert len(doc["top_corridors"]) <= 5 and len(doc["signals"]) <= 8 and len(doc["action_candidates"]) <= 4
+    assert doc["scope"]["kpi_end"] == m.daily.agg(F.max("service_date")).first()[0].isoformat()
