@@ -155,3 +155,54 @@ def custom_checks(raw: DataFrame, rec: DataFrame) -> DataFrame:
     ]
     frames = [df.select(*_result(t, c, k, F.col("violations"))) for t, c, k, df in parts]
     return reduce(DataFrame.unionByName, frames).withColumn("passed", F.col("violations") == 0)
+
+
+def landing_checks(raw: DataFrame) -> DataFrame:
+    """Raw-table, staging and safe-cast checks in ONE aggregation over the landing table.
+
+    Staging is a row-wise function of raw (valid-date filter + casts), so its
+    checks — and the two custom safe-cast checks, which read the payload —
+    are conditional sums over the same scan; no second pass over the landing.
+    """
+    from portflow.operators.staging import safe_date, safe_int
+
+    p = F.col("raw_payload")
+    staged = safe_date(F.col("service_date")).isNotNull()
+
+    def cnt(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("long")
+
+    def dropped(field: str) -> Column:
+        v = F.get_json_object(p, f"$.{field}")
+        return (safe_date(F.get_json_object(p, "$.date")).isNotNull() & F.nullif(F.trim(v), F.lit("")).isNotNull()
+                & safe_int(v).isNull())
+
+    rows = [
+        ("raw_sailing_traffic", "record_hash", "not_null", F.col("record_hash").isNull()),
+        ("stg_sailing_traffic", "passenger_count", "non_negative", staged & (safe_int(F.col("passenger_count")) < 0)),
+        ("stg_sailing_traffic", "vehicle_count", "non_negative", staged & (safe_int(F.col("vehicle_count")) < 0)),
+        ("stg_sailing_traffic", "passenger_count", "passenger_count_safe_cast_did_not_drop_values", dropped("passengercount")),
+        ("stg_sailing_traffic", "vehicle_count", "vehicle_count_safe_cast_did_not_drop_values", dropped("vehiclecount")),
+    ]
+    one = raw.agg(*[cnt(c).alias(f"v{i}") for i, (_, _, _, c) in enumerate(rows)])
+    stack = F.array(*[
+        F.struct(F.lit(t).alias("table_name"), F.lit(col).alias("column_name"), F.lit(k).alias("check_name"),
+                 F.col(f"v{i}").alias("violations"))
+        for i, (t, col, k, _) in enumerate(rows)
+    ])
+    return one.select(F.inline(stack)).withColumn("passed", F.col("violations") == 0)
+
+
+def collision_checks(rec: DataFrame) -> DataFrame:
+    """DQ8–DQ10 only (the record-level custom checks)."""
+    code, name, dep, arr = (F.col(c) for c in ("route_code", "route_name", "departure_port", "arrival_port"))
+    parts = [
+        ("int_traffic_record", "route_key", "route_key_has_no_hash_collisions",
+         key_collisions(rec, "route_key", natural_route_key(code, name, dep, arr))),
+        ("int_traffic_record", "route_pair_key", "route_pair_key_has_no_hash_collisions",
+         key_collisions(rec, "route_pair_key", natural_pair_key(code, name, dep, arr))),
+        ("int_traffic_record", "route_pair_key", "route_pair_key_maps_to_single_route_key",
+         key_collisions(rec, "route_pair_key", F.col("route_key"))),
+    ]
+    frames = [df.select(*_result(t, c, k, F.col("violations"))) for t, c, k, df in parts]
+    return reduce(DataFrame.unionByName, frames).withColumn("passed", F.col("violations") == 0)

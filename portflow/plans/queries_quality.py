@@ -111,5 +111,6 @@ def q_dq_summary(spark, sf_dir):
     once, and each table's checks read storage instead of the star join.
     """
     m = TrafficModels(spark, sf_dir).materialize(records=True)
-    parts = [dq_table(m, t) for t in Q.CHECKS] + [Q.custom_checks(m.raw, m.records)]
-    return reduce(DataFrame.unionByName, parts)
+    landing = ("raw_sailing_traffic", "stg_sailing_traffic")
+    parts = [Q.landing_checks(m.raw)] + [dq_table(m, t) for t in Q.CHECKS if t not in landing]
+    return reduce(DataFrame.unionByName, parts + [Q.collision_checks(m.records)])

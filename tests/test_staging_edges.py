@@ -105,3 +105,25 @@ def test_null_ports_fail_route_checks(spark):
     assert res[("departure_port", "not_null")] == 1 and res[("arrival_port", "not_null")] == 1
     # port movements drop the missing side
     assert m.port_movement.count() == 2
+
+
+def test_landing_checks_count_violations(spark):
+    from portflow.operators.quality import custom_checks, landing_checks, run_checks
+
+    df = raw(spark, [
+        dict(record_hash="v1", passenger_count="-3", raw_payload='{"date": "2024-03-06", "passengercount": -3}'),
+        dict(record_hash="v2", passenger_count="x", raw_payload='{"date": "2024-03-06", "passengercount": "x"}'),
+        dict(record_hash="v3", vehicle_count="12.0", raw_payload='{"date": "2024-03-06", "vehiclecount": "12.0"}'),
+        dict(record_hash="v4", service_date="bad", passenger_count="-1", raw_payload='{"date": "bad", "passengercount": "y"}'),
+    ])
+    got = {(r.column_name, r.check_name): r.violations for r in landing_checks(df).collect()}
+    assert got[("passenger_count", "non_negative")] == 1  # the row with a bad date is not staged
+    assert got[("passenger_count", "passenger_count_safe_cast_did_not_drop_values")] == 1
+    assert got[("vehicle_count", "vehicle_count_safe_cast_did_not_drop_values")] == 1
+    # Same numbers as the per-table runner and the custom checks.
+    per_table = {(r.column_name, r.check_name): r.violations
+                 for r in run_checks("stg_sailing_traffic", stg_clean(df)).collect()}
+    assert per_table[("passenger_count", "non_negative")] == 1
+    rec = int_traffic_record(stg_clean(df))
+    custom = {r.check_name: r.violations for r in custom_checks(df, rec).collect()}
+    assert custom["passenger_count_safe_cast_did_not_drop_values"] == 1
