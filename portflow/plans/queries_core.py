@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from portflow.plans.models import TrafficModels
 from portflow.plans.oracle_base import with_ctes

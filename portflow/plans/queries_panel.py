@@ -7,7 +7,6 @@ deepen-chart rows plus the auto-panel row built from the same data.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from portflow.operators import snapshots as S
 from portflow.plans.models import TrafficModels

@@ -6,7 +6,6 @@ import datetime as _dt
 
 from pyspark.sql import functions as F
 
-from portflow.operators.staging import stg_clean
 from portflow.plans.models import TrafficModels
 from portflow.plans.oracle_base import cte, js, with_ctes
 from portflow.plans.registry import register
