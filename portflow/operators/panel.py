@@ -325,7 +325,7 @@ def panel_context(daily: DataFrame, routes: DataFrame, ports: DataFrame, kpi_win
             F.concat(F.lit("Congestion index is "), py_fixed(cong1, 0),
                      F.lit("% versus the 95th percentile traffic-row baseline."))),
     )
-    signals = _dedup(F.concat(delta_signals, extra), "summary", 8)
+    sig_raw = F.concat(delta_signals, extra)
 
     act = lambda a, r, p: F.struct(a.alias("action"), F.lit(r).alias("rationale"), F.lit(p).alias("priority"))
     primary = F.col("deltas")[0]["value_pct"]
@@ -352,17 +352,24 @@ def panel_context(daily: DataFrame, routes: DataFrame, ports: DataFrame, kpi_win
         F.concat(F.lit("Monitor the next ingestion window for "), F.coalesce(port["port_name"], F.lit("the network")), F.lit(".")),
         "The current snapshot does not justify escalation, but the next update should confirm whether recent demand patterns persist or revert.",
         "monitor"))
-    chosen = F.filter(candidates, lambda x: x.isNotNull())
-    actions = _dedup(F.when(F.size(chosen) > 0, chosen).otherwise(fallback), "action", 4)
+    act_raw = candidates
     empty_actions = F.array(act(
         F.lit("Validate upstream ingestion before publishing commentary."),
         "The reporting snapshot is empty, so any narrative would be unreliable.", "escalate"))
     empty = F.col("n_rows") == 0
-    return base.select(
+    # Stage the raw lists as columns first: the de-duplication references its
+    # input several times, and columns keep the generated code small.
+    staged = base.select("*", sig_raw.alias("_sig_raw"), act_raw.alias("_act_raw"), fallback.alias("_act_fallback"))
+    chosen = F.filter("_act_raw", lambda x: x.isNotNull())
+    staged = staged.withColumn("_act_chosen", F.when(F.size(chosen) > 0, chosen).otherwise(F.col("_act_fallback")))
+    signals = _dedup(F.col("_sig_raw"), "summary", 8)
+    actions = _dedup(F.col("_act_chosen"), "action", 4)
+    return staged.select(
         "*",
         F.when(empty, F.array().cast("array<struct<kind:string,severity:string,summary:string>>")).otherwise(signals).alias("signals"),
         F.when(empty, empty_actions).otherwise(actions).alias("action_candidates"),
-    ).withColumn("deltas", F.when(empty, F.filter("deltas", lambda x: F.lit(False))).otherwise(F.col("deltas")))
+    ).drop("_sig_raw", "_act_raw", "_act_fallback", "_act_chosen").withColumn(
+        "deltas", F.when(empty, F.filter("deltas", lambda x: F.lit(False))).otherwise(F.col("deltas")))
 
 
 def panel_deltas(ctx: DataFrame) -> DataFrame:
