@@ -298,8 +298,8 @@ def panel_context(daily: DataFrame, routes: DataFrame, ports: DataFrame, kpi_win
         F.coalesce(reasons, F.array()).alias("notable_change_reasons"),
     ).withColumn("deltas", _deltas(n))
 
-    top = F.col("top_corridors")[0]
-    port = F.col("top_ports")[0]
+    top = F.get(F.col("top_corridors"), 0)
+    port = F.get(F.col("top_ports"), 0)
     share = top["share_pct"]
     cong1 = py_round(F.col("congestion_raw"), 1)
     prev_c = F.col("previous_top_corridor_label")
@@ -328,7 +328,7 @@ def panel_context(daily: DataFrame, routes: DataFrame, ports: DataFrame, kpi_win
     sig_raw = F.concat(delta_signals, extra)
 
     act = lambda a, r, p: F.struct(a.alias("action"), F.lit(r).alias("rationale"), F.lit(p).alias("priority"))
-    primary = F.col("deltas")[0]["value_pct"]
+    primary = F.get(F.col("deltas"), 0)["value_pct"]
     rotation = top.isNotNull() & has_prev & (prev_c != top["pair_label"])
     candidates = F.array(
         F.when(primary <= -20, act(
@@ -432,11 +432,11 @@ def _clean_list(arr: Column, cap: int) -> Column:
 
 def panel_report(ctx: DataFrame, with_source_json: bool = False) -> DataFrame:
     """PAN-L: the deterministic report card (title, summary, lists, text)."""
-    top = F.col("top_corridors")[0]
-    port = F.col("top_ports")[0]
+    top = F.get(F.col("top_corridors"), 0)
+    port = F.get(F.col("top_ports"), 0)
     cong1 = py_round(F.col("congestion_raw"), 1)
-    weekly = F.filter("deltas", lambda d: d["name"] == "passengers_7d_avg")[0]
-    monthly = F.filter("deltas", lambda d: d["name"] == "passengers_30d_avg")[0]
+    weekly = F.get(F.filter("deltas", lambda d: d["name"] == "passengers_7d_avg"), 0)
+    monthly = F.get(F.filter("deltas", lambda d: d["name"] == "passengers_30d_avg"), 0)
     wv = weekly["value_pct"]
     outlook = (
         F.when(weekly.isNull() | wv.isNull(), "Hold the current view until another reporting window lands.")
@@ -464,7 +464,7 @@ def panel_report(ctx: DataFrame, with_source_json: bool = False) -> DataFrame:
     anomalies = F.when(F.size(flagged) > 0, F.slice(flagged, 1, 3)).otherwise(
         F.slice(F.transform("signals", lambda s: s["summary"]), 1, 1))
     comparisons = F.slice(F.filter(F.transform("deltas", lambda d: d["summary"]), lambda x: x.isNotNull() & (x != "")), 1, 3)
-    action0 = F.col("action_candidates")[0]
+    action0 = F.get(F.col("action_candidates"), 0)
     recs = F.filter(F.array(action0["action"], F.concat(F.lit("Outlook: "), outlook)), lambda x: x.isNotNull())
     prev_c = F.col("previous_top_corridor_label")
     parts = F.filter(F.array(
@@ -605,13 +605,13 @@ def snapshot_lines(snapshots: DataFrame) -> DataFrame:
     generic = keep(F.concat(F.array(t(F.col("summary")), F.when(~deepen, t(F.col("report_text"))), t(F.col("insight_text"))), lists))
     recs = F.coalesce(F.filter(F.transform("recommendations", lambda x: t(x)), lambda x: x != ""), F.array().cast("array<string>"))
     overlay = F.col("generation_mode") == "llm_overlay"
-    first = recs[0]
+    first = F.get(recs, 0)
     panel = keep(F.concat(
         F.array(F.when(~overlay, t(F.col("summary"))),
                 F.when(t(F.col("report_text")) != t(F.col("summary")), t(F.col("report_text"))),
                 F.when(~overlay & first.isNotNull(),
                        F.when(F.lower(first).startswith("action:"), first).otherwise(F.concat(F.lit("Action: "), first))),
-                F.when(~overlay, recs[1])),
+                F.when(~overlay, F.get(recs, 1))),
     ))
     is_panel = (F.col("chart_id") == "agent_panel") & (F.col("insight_type") == "auto_panel")
     return snapshots.select(
