@@ -32,11 +32,17 @@ def py_round_scaled(x: Column, k: int) -> Column:
     return (f + F.when(up & ~down_tie, 1).otherwise(0)).cast("long")
 
 
+def _negative(x: Column) -> Column:
+    """x < 0, or x is negative zero (Python keeps its sign: ``f"{-0.0:.1f}"`` is ``-0.0``)."""
+    d = x.cast("double")
+    return (d < 0) | (d.cast("string") == "-0.0")
+
+
 def py_fixed(x: Column, k: int) -> Column:
     """``f"{x:.{k}f}"``."""
     n = py_round_scaled(x, k)
     a = F.abs(n)
-    sign = F.when(x.cast("double") < 0, F.lit("-")).otherwise(F.lit(""))
+    sign = F.when(_negative(x), F.lit("-")).otherwise(F.lit(""))
     if k == 0:
         body = a.cast("string")
     else:
@@ -53,7 +59,7 @@ def fixed(x: Column, decimals: int) -> Column:
 def grouped_int(x: Column) -> Column:
     """``f"{x:,.0f}"``: rounded half-even, thousands separated by commas."""
     n = py_round_scaled(x, 0)
-    sign = F.when(x.cast("double") < 0, F.lit("-")).otherwise(F.lit(""))
+    sign = F.when(_negative(x), F.lit("-")).otherwise(F.lit(""))
     return F.concat(sign, F.format_number(F.abs(n), 0))
 
 
@@ -71,4 +77,4 @@ def compact(x: Column) -> Column:
 
 def signed_pct(x: Column, decimals: int = 1) -> Column:
     """``f"{x:+.1f}%"``."""
-    return F.concat(F.when(x.cast("double") >= 0, F.lit("+")).otherwise(F.lit("")), py_fixed(x, decimals), F.lit("%"))
+    return F.concat(F.when(~_negative(x), F.lit("+")).otherwise(F.lit("")), py_fixed(x, decimals), F.lit("%"))

@@ -19,7 +19,7 @@ def _py_compact(v):
     return f"{v:,.0f}"
 
 
-TIES = [19.15, 0.25, 0.15, 2.675, -2.5, -0.04, 1.125, 2.5, 3.5, 0.05, 1234.5, 9999.5, 19150.0, 12250.0, 1125000.0]
+TIES = [-0.0, 19.15, 0.25, 0.15, 2.675, -2.5, -0.04, 1.125, 2.5, 3.5, 0.05, 1234.5, 9999.5, 19150.0, 12250.0, 1125000.0]
 
 
 @settings(max_examples=25, deadline=None)
