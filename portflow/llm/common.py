@@ -9,7 +9,10 @@ names; a lost executor costs the running stage only.
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors (once a session), as ``--py-files`` would: they need no copy of their own."""
+    mark = "portflow.shipped"
+    if spark.conf.get(mark, "") == spark.sparkContext.applicationId:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="portflow-ship-"), "portflow_code.zip")  # read by the driver's file server
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in sorted(os.walk(top)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(top)))
+    spark.sparkContext.addPyFile(path)
+    spark.conf.set(mark, spark.sparkContext.applicationId)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
