@@ -220,10 +220,11 @@ def connected(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def banded_components(items: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of items linked by ``verify`` among items that share a band key; whole, without all pairs.
+def banded_components(items: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(node, root) of linked items among items that share a band key; whole, without all pairs.
 
-    ``items``: cid (long), keys (array of long). ``verify`` takes pairs (a, b) and returns those that are linked.
+    ``items``: cid (long), keys (array of long). ``prepare`` gets the cids of all items that share a key with another
+    and returns a function that takes pairs (a, b) of them and returns those that are linked.
     In every bucket, first one hub (the item that meets most others, then the smallest cid) is compared with the
     rest; members that are by then connected need no comparison any more, the others are compared with 4, 16, ...
     further hubs of their bucket until none is left that is neither connected to nor compared with each other member.
@@ -234,6 +235,7 @@ def banded_components(items: DataFrame, verify: Callable[[DataFrame], DataFrame]
     members = flat.join(sizes, "key")
     score = members.groupBy("cid").agg(F.sum("size").alias("score"))
     rest = stored(members.join(score, "cid").select("key", "cid", "score", F.col("cid").alias("comp")), "buckets")
+    verify = prepare(rest.select("cid").distinct())
     edges = tested = labels = None
     hubs = 1
     while True:

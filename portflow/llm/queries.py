@@ -24,6 +24,13 @@ def query(fn):
     return run
 
 
+@query
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fold, score, train
@@ -45,6 +52,14 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(write_ids(table(spark, sf_dir, "documents")))
 
 
+@query
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that is alike another, with the line kept in its place."""
+    from .line_dedup import fuzzy_lines
+
+    return fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
