@@ -60,6 +60,14 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark item found in a document."""
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
