@@ -131,11 +131,14 @@ def prefix_hash(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words ``[^\\x20\\x09-\\x0D]+`` and, by row, where each row's words begin."""
+def word_hashes(data: np.ndarray, off: np.ndarray, inside: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased (A-Z) words and, by row, where each row's words begin.
+
+    ``inside``: which bytes are parts of words; by default all but white space (0x20, 0x09 to 0x0D).
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    word = ~_SPACE[data]
+    word = inside[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     last = word.copy()

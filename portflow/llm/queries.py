@@ -52,6 +52,13 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(write_ids(table(spark, sf_dir, "documents")))
 
 
+@query
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that is alike another, with the line kept in its place."""
