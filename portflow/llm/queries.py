@@ -24,6 +24,36 @@ def query(fn):
     return run
 
 
+@query
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import QUERY_EVERY, nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors.where(F.col("vec_id") % QUERY_EVERY == 0), vectors)
+
+
+ORACLE["op2_neighbours"] = """
+with v as (
+  select vec_id, list_transform(embedding, x -> x::double) as e, len(embedding) as d from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+), r as (
+  select q.vec_id as query_id, b.vec_id, list_inner_product(q.e, b.e) as score
+  from v q join v b on q.d = b.d and q.vec_id <> b.vec_id where q.vec_id % 20 = 0
+), k as (
+  select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from r
+)
+select query_id, rank::int as rank, vec_id, score from k where rank <= 20
+"""
+
+
 @query
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
