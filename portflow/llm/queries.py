@@ -97,6 +97,13 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query
 def op9_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each benchmark item found in a document."""
