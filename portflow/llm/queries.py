@@ -41,9 +41,9 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op2_neighbours"] = """
 with v as (
-  select vec_id, list_transform(embedding, x -> x::double) as e, len(embedding) as d from embeddings
+  select vec_id, list_transform(embedding, lambda x: x::double) as e, len(embedding) as d from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), r as (
   select q.vec_id as query_id, b.vec_id, list_inner_product(q.e, b.e) as score
   from v q join v b on q.d = b.d and q.vec_id <> b.vec_id where q.vec_id % 20 = 0
