@@ -1,8 +1,8 @@
-"""Column-expression helpers (all built-in Spark functions, no UDFs)."""
+"""Column-expression helpers (built-in Spark functions; the canonical JSON text alone is an Arrow-batched function)."""
 
-from portflow.functions.calendar import month_start, season, week_start, weekday_abbrev
+from portflow.functions.calendar import month_start, season, week_start
 from portflow.functions.keys import natural_route_key, route_key, route_pair_key, pair_label
-from portflow.functions.numeric import pct_ratio, round_ratio, safe_share
+from portflow.functions.numeric import round_ratio, safe_share
 from portflow.functions.text import clean_text, fold_port, unicode_trim
 
 __all__ = [
@@ -11,7 +11,6 @@ __all__ = [
     "month_start",
     "natural_route_key",
     "pair_label",
-    "pct_ratio",
     "round_ratio",
     "route_key",
     "route_pair_key",
@@ -19,5 +18,4 @@ __all__ = [
     "season",
     "unicode_trim",
     "week_start",
-    "weekday_abbrev",
 ]

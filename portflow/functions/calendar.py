@@ -24,7 +24,3 @@ def season(d: Column) -> Column:
         .otherwise("autumn")
     )
 
-
-def weekday_abbrev(d: Column) -> Column:
-    """Mon, Tue, ... Sun (locale-independent English abbreviations)."""
-    return F.date_format(d, "EEE")

@@ -34,11 +34,6 @@ def round_ratio(num, den, scale: int = 2, default: float | None = 0.0) -> Column
     return out if default is None else F.coalesce(out, F.lit(float(default)))
 
 
-def pct_ratio(num, den, scale: int = 1, default: float = 0.0) -> Column:
-    """round(100*num/den, scale) with ``default`` when den ≤ 0."""
-    return round_ratio(_col(num).cast("long") * 100, den, scale, default)
-
-
 def safe_share(num, den) -> Column:
     """100*num/den as a double, 0 when den is 0 (no rounding)."""
     num, den = _col(num), _col(den)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from portflow.functions.fmt import compact, py_fixed, py_round_scaled, signed_pct
+from portflow.functions.text import unicode_trim
 
 # Rule thresholds of the notable-change detector.
 DELTA_THRESHOLD_PCT = 5.0
@@ -524,11 +525,34 @@ def py_data_version(daily: DataFrame, routes: DataFrame | None) -> DataFrame:
 
 
 def filter_hash(filters: Column) -> Column:
-    """PAN-P: sha256 of the filters as compact JSON with sorted keys, first 16 hex.
+    """PAN-P: sha256 of the filters as compact ASCII JSON, first 16 hex.
 
-    ``filters`` is a struct whose fields are already in sorted key order.
+    Characters beyond ASCII are escaped as four hexadecimal digits (a pair of
+    them beyond the basic plane). ``filters`` is a struct; its fields must be
+    in sorted key order (see ``sorted_struct``).
     """
-    return F.substring(F.sha2(F.to_json(filters), 256), 1, 16)
+    return F.substring(F.sha2(ascii_json(F.to_json(filters)), 256), 1, 16)
+
+
+def sorted_struct(**fields: Column) -> Column:
+    """A struct with its fields in key order."""
+    return F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+
+
+def ascii_json(text: Column) -> Column:
+    """JSON text with every character beyond ASCII written as ``\\uXXXX``."""
+
+    def escaped(unit: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(unit)), 4, "0"))
+
+    def one(c: Column) -> Column:
+        point = F.ascii(c)
+        low = point - 0x10000
+        pair = F.concat(escaped((low / 1024).cast("int") + 0xD800), escaped(F.pmod(low, F.lit(1024)) + 0xDC00))
+        return F.when(point < 128, c).when(point < 0x10000, escaped(point)).otherwise(pair)
+
+    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(1)))
+    return F.when(F.length(text) > 0, F.array_join(F.transform(chars, one), "")).otherwise(text)
 
 
 # --- PAN-L row, PAN-Q … PAN-T: the snapshot table ------------------------------------------------------
@@ -588,31 +612,41 @@ def snapshot_freshness(snapshots: DataFrame, now: Column, chart_id: str = "agent
 def snapshot_lines(snapshots: DataFrame) -> DataFrame:
     """PAN-T: display lines per snapshot row, plus KPI dates and scope label from the JSON.
 
-    Panel rows: summary (unless an overlay), report text if different,
-    'Action: ' + first recommendation, the second recommendation. Other
-    rows: summary, report text (not for deepen rows), insight text, then
-    the four lists; trimmed, empty dropped, ordered de-duplication.
+    Panel rows: summary (unless an overlay), report text if different (an
+    overlay's text in its blocks), 'Action: ' + first recommendation, the
+    second recommendation. Other rows: a report text that holds the four
+    headings gives its blocks alone; else summary, report text (not for
+    deepen rows), insight text, then the four lists. Blocks are separated by
+    empty lines; lines are trimmed, empty ones dropped, repeats kept once. A
+    NULL text counts as empty.
     """
+    empty = F.array().cast("array<string>")
+
     def t(c: Column) -> Column:
-        return F.trim(c)
+        return unicode_trim(F.coalesce(c, F.lit("")))
 
     def keep(arr: Column) -> Column:
-        return F.array_distinct(F.filter(arr, lambda x: x.isNotNull() & (x != "")))
-
-    lists = F.concat(*[F.coalesce(F.transform(F.col(c), lambda x: t(x)), F.array().cast("array<string>"))
-                       for c in ("facts", "anomalies", "comparisons", "recommendations")])
-    deepen = F.col("insight_type") == "deepen_chart"
-    generic = keep(F.concat(F.array(t(F.col("summary")), F.when(~deepen, t(F.col("report_text"))), t(F.col("insight_text"))), lists))
-    recs = F.coalesce(F.filter(F.transform("recommendations", lambda x: t(x)), lambda x: x != ""), F.array().cast("array<string>"))
-    overlay = F.col("generation_mode") == "llm_overlay"
-    first = F.get(recs, 0)
-    panel = keep(F.concat(
-        F.array(F.when(~overlay, t(F.col("summary"))),
-                F.when(t(F.col("report_text")) != t(F.col("summary")), t(F.col("report_text"))),
-                F.when(~overlay & first.isNotNull(),
-                       F.when(F.lower(first).startswith("action:"), first).otherwise(F.concat(F.lit("Action: "), first))),
-                F.when(~overlay, F.get(recs, 1))),
-    ))
+        return F.array_distinct(F.filter(arr, lambda x: x != ""))
+
+    def blocks(c: Column) -> Column:
+        return F.filter(F.transform(F.split(c, "\n\n"), t), lambda x: x != "")
+
+    def lines(c: str) -> Column:
+        return F.coalesce(F.transform(F.col(c), t), empty)
+
+    summary, report, insight = t(F.col("summary")), t(F.col("report_text")), t(F.col("insight_text"))
+    low = F.lower(report)
+    headed = low.contains("current state:") & low.contains("notable shifts:") & low.contains("anomaly call-out:") & low.contains("outlook:")
+    lists = F.concat(*[lines(c) for c in ("facts", "anomalies", "comparisons", "recommendations")])
+    deepen = F.coalesce(F.col("insight_type") == "deepen_chart", F.lit(False))
+    generic = F.when(headed, blocks(report)).otherwise(
+        keep(F.concat(F.array(summary, F.when(deepen, F.lit("")).otherwise(report), insight), lists)))
+    recs = F.filter(lines("recommendations"), lambda x: x != "")
+    overlay = t(F.col("generation_mode")) == "llm_overlay"
+    first, second = F.coalesce(F.get(recs, 0), F.lit("")), F.coalesce(F.get(recs, 1), F.lit(""))
+    action = F.when((first == "") | F.lower(first).startswith("action:"), first).otherwise(F.concat(F.lit("Action: "), first))
+    told = F.when(report == summary, empty).when(overlay, blocks(report)).otherwise(F.array(report))
+    panel = keep(F.when(overlay, told).otherwise(F.concat(F.array(summary), told, F.array(action, second))))
     is_panel = (F.col("chart_id") == "agent_panel") & (F.col("insight_type") == "auto_panel")
     return snapshots.select(
         "chart_id", "insight_type", "data_version", "snapshot_ts",

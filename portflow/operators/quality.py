@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portflow.functions.keys import natural_pair_key, natural_route_key
+from portflow.functions.text import unicode_trim
 from portflow.operators.staging import safe_date, safe_int
 
 
@@ -121,16 +122,20 @@ def run_checks(table: str, df: DataFrame, checks: list[tuple[str, str]] | None =
 
 # --- custom checks -----------------------------------------------------------
 
-def safe_cast_dropped(raw: DataFrame, field: str) -> DataFrame:
-    """DQ6/DQ7: raw rows with a valid payload date and a non-empty value that did not cast."""
+def cast_dropped(field: str) -> Column:
+    """DQ6/DQ7 condition: the payload has a valid date and a non-empty value that does not cast to a whole number."""
     p = F.col("raw_payload")
     v = F.get_json_object(p, f"$.{field}")
-    cond = (
+    return (
         safe_date(F.get_json_object(p, "$.date")).isNotNull()
-        & F.nullif(F.trim(v), F.lit("")).isNotNull()
+        & F.nullif(unicode_trim(v), F.lit("")).isNotNull()
         & safe_int(v).isNull()
     )
-    return raw.agg(F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("long").alias("violations"))
+
+
+def safe_cast_dropped(raw: DataFrame, field: str) -> DataFrame:
+    """DQ6/DQ7: raw rows whose value the safe cast dropped."""
+    return raw.agg(F.coalesce(F.sum(F.when(cast_dropped(field), 1).otherwise(0)), F.lit(0)).cast("long").alias("violations"))
 
 
 def key_collisions(rec: DataFrame, key: str, natural: Column) -> DataFrame:
@@ -164,25 +169,17 @@ def landing_checks(raw: DataFrame) -> DataFrame:
     checks — and the two custom safe-cast checks, which read the payload —
     are conditional sums over the same scan; no second pass over the landing.
     """
-    from portflow.operators.staging import safe_date, safe_int
-
-    p = F.col("raw_payload")
     staged = safe_date(F.col("service_date")).isNotNull()
 
     def cnt(cond: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("long")
 
-    def dropped(field: str) -> Column:
-        v = F.get_json_object(p, f"$.{field}")
-        return (safe_date(F.get_json_object(p, "$.date")).isNotNull() & F.nullif(F.trim(v), F.lit("")).isNotNull()
-                & safe_int(v).isNull())
-
     rows = [
         ("raw_sailing_traffic", "record_hash", "not_null", F.col("record_hash").isNull()),
         ("stg_sailing_traffic", "passenger_count", "non_negative", staged & (safe_int(F.col("passenger_count")) < 0)),
         ("stg_sailing_traffic", "vehicle_count", "non_negative", staged & (safe_int(F.col("vehicle_count")) < 0)),
-        ("stg_sailing_traffic", "passenger_count", "passenger_count_safe_cast_did_not_drop_values", dropped("passengercount")),
-        ("stg_sailing_traffic", "vehicle_count", "vehicle_count_safe_cast_did_not_drop_values", dropped("vehiclecount")),
+        ("stg_sailing_traffic", "passenger_count", "passenger_count_safe_cast_did_not_drop_values", cast_dropped("passengercount")),
+        ("stg_sailing_traffic", "vehicle_count", "vehicle_count_safe_cast_did_not_drop_values", cast_dropped("vehiclecount")),
     ]
     one = raw.agg(*[cnt(c).alias(f"v{i}") for i, (_, _, _, c) in enumerate(rows)])
     stack = F.array(*[

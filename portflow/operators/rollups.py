@@ -1,8 +1,8 @@
 """Rollups: route-day and port-day intermediates, dimensions, facts, row counts.
 
 Weekly and monthly facts aggregate the day grain, never the records again.
-Distinct counts (row counts reports) must read records: distinct counts do
-not re-aggregate.
+Distinct counts (row counts reports) read the route-day grain, whose grouping
+key holds every counted column; they never add up distinct counts of days.
 """
 
 from __future__ import annotations
@@ -60,24 +60,6 @@ def int_port_movement(rec: DataFrame) -> DataFrame:
     )
 
 
-def int_port_day(movement: DataFrame) -> DataFrame:
-    """INT3: conditional sums by movement type per day × port."""
-    dep = F.col("movement_type") == "departure"
-    arr = F.col("movement_type") == "arrival"
-
-    def csum(cond, value):
-        return F.coalesce(F.sum(F.when(cond, value).otherwise(F.lit(0))), F.lit(0)).cast("long")
-
-    return movement.groupBy(*CALENDAR, "port_name").agg(
-        csum(dep, F.lit(1)).alias("departure_record_count"),
-        csum(arr, F.lit(1)).alias("arrival_record_count"),
-        csum(dep, F.col("passenger_count")).alias("total_departing_passengers"),
-        csum(arr, F.col("passenger_count")).alias("total_arriving_passengers"),
-        csum(dep, F.col("vehicle_count")).alias("total_departing_vehicles"),
-        csum(arr, F.col("vehicle_count")).alias("total_arriving_vehicles"),
-    )
-
-
 def dim_port(port_day: DataFrame) -> DataFrame:
     """DIM1: per port, active days and lifetime sums."""
     return (
@@ -184,20 +166,6 @@ GRAIN_COLUMNS = {
 }
 
 
-def row_counts(rec: DataFrame, grain: str) -> DataFrame:
-    """RPT1–4: per period, record count, four distinct counts and two sums."""
-    src, name = GRAIN_COLUMNS[grain]
-    return rec.groupBy(F.col(src).alias(name)).agg(
-        F.count(F.lit(1)).alias("rows_count"),
-        F.countDistinct("route_key").alias("distinct_itineraries"),
-        F.countDistinct("route_pair_key").alias("distinct_route_pairs"),
-        F.countDistinct("departure_port").alias("distinct_departure_ports"),
-        F.countDistinct("arrival_port").alias("distinct_arrival_ports"),
-        F.coalesce(F.sum("passenger_count"), F.lit(0)).cast("long").alias("total_passengers"),
-        F.coalesce(F.sum("vehicle_count"), F.lit(0)).cast("long").alias("total_vehicles"),
-    )
-
-
 def port_day_from_route_day(route_day: DataFrame) -> DataFrame:
     """INT3 from the route-day grain (exact: every record sits in one route-day group).
 

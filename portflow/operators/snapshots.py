@@ -122,9 +122,12 @@ def snap_top_port(port_scope: DataFrame) -> DataFrame:
 
 
 def snap_base(daily: DataFrame, route_daily: DataFrame, port_daily: DataFrame, month_col: str | None = None) -> DataFrame:
-    """SNP9 + the one base row every snapshot row is formatted from."""
+    """SNP9 + the one base row every snapshot row is formatted from.
+
+    ``month_col``: the month column of ``route_daily``, if it is partitioned by it (days and ports are small tables).
+    """
     scope = scope_bounds(daily)
-    ds = in_scope(daily, scope, month_col=month_col)
+    ds = in_scope(daily, scope)
     corridors = snap_corridors(in_scope(route_daily, scope, month_col=month_col))
     totals = snap_totals(ds, scope)
     trend = snap_trend(ds).select(F.struct("*")).scalar()
@@ -133,7 +136,7 @@ def snap_base(daily: DataFrame, route_daily: DataFrame, port_daily: DataFrame, m
                  F.first("sailings").alias("sailings"))
     ).scalar()
     digest = snap_route_digest(corridors).scalar()
-    tp = snap_top_port(in_scope(port_daily, scope, month_col=month_col)).agg(
+    tp = snap_top_port(in_scope(port_daily, scope)).agg(
         F.struct(F.first("port_name").alias("port_name"), F.first("passengers").alias("passengers"))
     ).scalar()
     return totals.select(

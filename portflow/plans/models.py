@@ -5,10 +5,10 @@ DataFrame, so one query that needs a model twice (e.g. a full outer join of
 two aggregates of the same facts) shares one sub-plan and Spark reuses the
 exchange. Nothing is collected; every attribute is a DataFrame.
 
-``materialize`` writes the chain to a warehouse folder, partitioned by the
-month of the date grain and clustered within files, and re-reads each table
-so downstream models start from storage (lineage cut, executor loss costs
-one table, not the chain).
+``materialize`` stores the chain once a session, partitioned by the month of
+the date grain and clustered within files, and re-reads each table so
+downstream models start from storage (lineage cut, executor loss costs one
+table, not the chain).
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from portflow.operators import records as R
 from portflow.operators import rollups as U
+from portflow.operators.records import RECORD_COLUMNS
 from portflow.operators.staging import stg_clean
 from portflow.sources import testdata
+from portflow.sources.sinks import write_table
 
 
 class TrafficModels:
@@ -131,52 +133,67 @@ class TrafficModels:
         return self.fct_port_daily
 
     # --- materialisation ----------------------------------------------------
-    def materialize(self, root: str | None = None, records: bool = False) -> "TrafficModels":
-        """Store the route-day grain (and optionally the records) once and read it back.
+    def materialize(self, records: bool = False) -> "TrafficModels":
+        """The chain with its route-day grain (and optionally the records) stored once and read back.
 
         Every day-grain table derives exactly from ``int_route_day``, so one
-        chain run and one write feed them all. Tables go under ``root`` or a
-        fresh folder inside the session's ``spark.checkpoint.dir`` (a shared
-        folder on a cluster), partitioned by month (month directories, not
-        thousands of day directories) and sorted by day within files, so date
-        filters prune directories and skip row groups. Reading back cuts the
-        lineage: later subqueries start from storage, not from the star join.
+        chain run and one write feed them all, and every builder of a session
+        that reads the same input files shares the stored tables: the first
+        one writes them under the session's ``spark.checkpoint.dir`` (a shared
+        folder on a cluster), ``drop_stored`` deletes them at the session's
+        end. Route-day and records are partitioned by month (month
+        directories, not thousands of day directories) and sorted by day
+        within files, so scopes prune directories and skip row groups.
+        Reading back cuts the lineage: later subqueries start from storage.
         """
+        key = _input_key(self)
+        stored = _STORED.setdefault(key, {}) if key else {}
+        if "route_day" not in stored:
+            stored["route_day"] = self._store("int_route_day", self.route_day, MONTH, ["service_date", "departure_port", "arrival_port"])
+            self.__dict__["route_day"] = stored["route_day"]
+            # The two day-grain tables that analytics read over and over are
+            # small (days, days × ports): stored too, from the stored grain.
+            for attr, sort in (("row_counts_daily", ["service_date"]), ("port_day", ["service_date", "port_name"])):
+                self.__dict__.pop(attr, None)
+                stored[attr] = self._store(attr, getattr(self, attr), None, sort)
+        if records and "records" not in stored:
+            stored["records"] = self._store("int_traffic_record", self.records, MONTH, ["service_date", "route_key"]).select(*RECORD_COLUMNS)
+        for name in [k for k in self.__dict__ if k not in ("spark", "sf_dir", "_raw", "raw", "stg", "records")]:
+            self.__dict__.pop(name)
+        self.__dict__.update({k: v for k, v in stored.items() if k != "records" or records})
+        return self
+
+    def _store(self, name: str, df: DataFrame, partition_by: list[str] | None, cluster_by: list[str]) -> DataFrame:
         from portflow.session import ensure_checkpoint_dir
 
-        base = root or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/portflow-{uuid.uuid4().hex[:12]}"
-        if records:
-            rec_path = f"{base}/int_traffic_record"
-            (
-                self.records.repartition("service_month_start")
-                .sortWithinPartitions("service_date", "route_key")
-                .write.mode("overwrite").partitionBy("service_month_start").parquet(rec_path)
-            )
-            self.__dict__["records"] = self.spark.read.parquet(rec_path).select(*_RECORD_ORDER)
-        rd = self.route_day
-        rd_path = f"{base}/int_route_day"
-        (
-            rd.repartition("service_month_start")
-            .sortWithinPartitions("service_date", "departure_port", "arrival_port")
-            .write.mode("overwrite").partitionBy("service_month_start").parquet(rd_path)
-        )
-        stored = self.spark.read.parquet(rd_path).select(*[F.col(f.name).cast(f.dataType) for f in rd.schema.fields])
-        for key in [k for k in self.__dict__ if k not in ("spark", "sf_dir", "_raw", "raw", "stg", "records")]:
-            self.__dict__.pop(key)
-        self.__dict__["route_day"] = stored
-        # The two day-grain tables that analytics read over and over are small
-        # (days, days × ports): store them too, derived from the stored grain.
-        for attr, sort in (("row_counts_daily", ["service_date"]), ("port_day", ["service_date", "port_name"])):
-            df = getattr(self, attr)
-            path = f"{base}/{attr}"
-            df.repartition(F.col("service_date")).sortWithinPartitions(*sort).write.mode("overwrite").parquet(path)
-            self.__dict__[attr] = self.spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in df.schema.fields])
-        for key in ("fct_port_daily", "fct_port_weekly", "fct_port_monthly", "dim_port"):
-            self.__dict__.pop(key, None)
-        return self
+        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/portflow-{uuid.uuid4().hex[:12]}/{name}"
+        write_table(df, path, partition_by, cluster_by)
+        _PATHS.append(path)
+        return self.spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in df.schema.fields])
+
+
+MONTH = ["service_month_start"]
+_STORED: dict[tuple, dict[str, DataFrame]] = {}
+_PATHS: list[str] = []
+
+
+def _input_key(models: TrafficModels) -> tuple | None:
+    """Session and input files of a chain over the testdata; None for a chain over a DataFrame of the caller."""
+    if models.sf_dir is None:
+        return None
+    files = testdata.table(models.spark, models.sf_dir, "lineitem").inputFiles()
+    return models.spark.sparkContext.applicationId, models.sf_dir.rstrip("/"), tuple(sorted(files))
+
 
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the stored chains of this process (their tables must not be read any more)."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _PATHS:
+        folder = hadoop(path).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _PATHS.clear()
+    _STORED.clear()
 
-from portflow.operators.records import RECORD_COLUMNS as _RECORD_ORDER  # noqa: E402
 
 # Warehouse table name → TrafficModels attribute.
 TABLE_ATTRS = {

@@ -384,7 +384,7 @@ FILTER_HASH_SQL = with_ctes(
 
 UPSERT_SQL = with_ctes(
     """SELECT TIMESTAMP '2026-01-04 00:05:00' AS snapshot_ts, chart_id, insight_type, data_version,
-              CASE WHEN chart_id = 'agent_panel' THEN '' ELSE filter_hash END AS filter_hash, title, generation_mode FROM snaptab
+              filter_hash, title, generation_mode FROM snaptab
        UNION ALL
        SELECT TIMESTAMP '2026-01-05 00:05:00', 'agent_panel', 'auto_panel', (SELECT data_version FROM pversion) || '|kpi14',
               CAST(NULL AS VARCHAR), 'Harbor Intelligence Report Card',
@@ -393,6 +393,13 @@ UPSERT_SQL = with_ctes(
 )
 
 
+UPSERT_LOOKUP_SQL = with_ctes(
+    """SELECT TIMESTAMP '2026-01-04 00:05:00' AS snapshot_ts, chart_id, insight_type, data_version, filter_hash, title, summary
+       FROM snaptab WHERE chart_id = 'agent_panel'""",
+    "snaptab",
+)
+
+
 def _signed(x: str) -> str:
     return signed(x)
 

@@ -29,16 +29,6 @@ def _ctx(spark, sf_dir):
     return P.panel_context(d, r, p, 7)
 
 
-def snapshot_table(spark, sf_dir) -> DataFrame:
-    m, d, r, p = _frames(spark, sf_dir)
-    deepen = S.intelligence_snapshots(d, m.fct_route_daily, m.fct_port_daily)
-    ctx = P.panel_context(d, r, p, 7)
-    version = P.py_data_version(d, r).scalar()
-    notable = P.notable_change(d, r).select("should_trigger").scalar()
-    row = P.panel_snapshot_row(ctx, version, notable)
-    return deepen.unionByName(row)
-
-
 @register("notable_change")
 def q_notable_change(spark, sf_dir):
     _, d, r, _ = _frames(spark, sf_dir)
@@ -153,7 +143,7 @@ def _panel_row(m, kpi_window_days: int = 7, ts=PANEL_TS):
 
 def snapshot_table_of(m) -> DataFrame:
     """Deepen-chart rows of the SQL model + the auto-panel row, as the snapshot table holds them."""
-    deepen = S.intelligence_snapshots(m.daily, m.fct_route_daily, m.fct_port_daily)
+    deepen = S.intelligence_snapshots(m.daily, m.route_day, m.fct_port_daily, month_col="service_month_start")
     return deepen.unionByName(_panel_row(m))
 
 
@@ -180,9 +170,9 @@ def q_filter_hash(spark, sf_dir):
     m = _frames(spark, sf_dir)[0]
     b = N.bounds(m.daily)
     opts = N.corridor_options(m.routes)
-    filters = F.struct(
-        b.getField("mx").cast("string").alias("end"), F.lit("weekly").alias("grain"), F.lit("All ports").alias("port"),
-        F.col("corridor").alias("route"), b.getField("mn").cast("string").alias("start"), F.lit(10).alias("top_n"))
+    filters = P.sorted_struct(
+        route=F.col("corridor"), port=F.lit("All ports"), grain=F.lit("weekly"), top_n=F.lit(10),
+        start=b.getField("mn").cast("string"), end=b.getField("mx").cast("string"))
     return opts.select("corridor", filters.alias("f")).select("corridor", P.filter_hash(F.col("f")).alias("filter_hash"))
 
 
@@ -256,6 +246,18 @@ def q_snapshot_upsert(spark, sf_dir):
     return merged.select("snapshot_ts", "chart_id", "insight_type", "data_version", "filter_hash", "title", "generation_mode")
 
 
+@register("upsert_then_lookup")
+def q_upsert_then_lookup(spark, sf_dir):
+    """SRC7 then PAN-Q: a panel row re-written with hash '' keeps its NULL hash and is found again under its version."""
+    m = _frames(spark, sf_dir)[0]
+    target = snapshot_table_of(m)
+    later = F.lit(PANEL_TS + _dt.timedelta(days=1)).cast("timestamp_ntz")
+    merged = snapshot_upsert(target, target.withColumn("snapshot_ts", later).withColumn("filter_hash", F.lit("")))
+    version = P.py_data_version(m.daily, m.routes).scalar()
+    found = P.snapshot_lookup(merged, F.lit("agent_panel"), version, F.lit("0000000000000000"), F.lit("auto_panel"))
+    return found.select("snapshot_ts", "chart_id", "insight_type", "data_version", "filter_hash", "title", "summary")
+
+
 def _attach_more_oracles():
     from portflow.plans import oracle_panel as O
     from portflow.plans.registry import ORACLE
@@ -272,6 +274,7 @@ def _attach_more_oracles():
         "panel_presets": O.PRESETS_SQL,
         "filter_hash": O.FILTER_HASH_SQL,
         "snapshot_upsert": O.UPSERT_SQL,
+        "upsert_then_lookup": O.UPSERT_LOOKUP_SQL,
         "live_report": O.LIVE_SQL,
     })
 

@@ -126,6 +126,9 @@ def _rows() -> str:
 cte("sdeep", ("sbase",), _rows())
 
 
+MONTH = "service_month_start"  # the stored route-day grain is partitioned by it
+
+
 def _m(spark, sf_dir):
     # The model's one-row parts are scalar subqueries over the day grain:
     # store the day grain once so each subquery reads a small table.
@@ -164,19 +167,19 @@ def q_snap_trend(spark, sf_dir):
 @register("snap_corridors", with_ctes("SELECT * FROM snap_labels", "snap_labels"))
 def q_snap_corridors(spark, sf_dir):
     m, scope = _scoped(spark, sf_dir)
-    return S.snap_corridors(S.in_scope(m.fct_route_daily, scope))
+    return S.snap_corridors(S.in_scope(m.route_day, scope, month_col=MONTH))
 
 
 @register("snap_top_corridor", with_ctes(_TOP_CORRIDOR, "snap_labels"))
 def q_snap_top_corridor(spark, sf_dir):
     m, scope = _scoped(spark, sf_dir)
-    return S.snap_top_corridor(S.snap_corridors(S.in_scope(m.fct_route_daily, scope)))
+    return S.snap_top_corridor(S.snap_corridors(S.in_scope(m.route_day, scope, month_col=MONTH)))
 
 
 @register("snap_route_digest", with_ctes(_DIGEST, "snap_labels"))
 def q_snap_route_digest(spark, sf_dir):
     m, scope = _scoped(spark, sf_dir)
-    return S.snap_route_digest(S.snap_corridors(S.in_scope(m.fct_route_daily, scope)))
+    return S.snap_route_digest(S.snap_corridors(S.in_scope(m.route_day, scope, month_col=MONTH)))
 
 
 @register("snap_top_port", with_ctes(_TOP_PORT, "snap_records"))
@@ -188,10 +191,10 @@ def q_snap_top_port(spark, sf_dir):
 @register("snap_data_version", with_ctes("SELECT * FROM sbase", "sbase"))
 def q_snap_data_version(spark, sf_dir):
     m = _m(spark, sf_dir)
-    return S.snap_base(m.daily, m.fct_route_daily, m.fct_port_daily)
+    return S.snap_base(m.daily, m.route_day, m.fct_port_daily, MONTH)
 
 
 @register("snap_deepen_rows", with_ctes("SELECT * FROM sdeep", "sdeep"))
 def q_snap_deepen_rows(spark, sf_dir):
     m = _m(spark, sf_dir)
-    return S.intelligence_snapshots(m.daily, m.fct_route_daily, m.fct_port_daily)
+    return S.intelligence_snapshots(m.daily, m.route_day, m.fct_port_daily, month_col=MONTH)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import functions as F
 
+from portflow.operators import quality as Q
 from portflow.plans.models import TrafficModels
 from portflow.plans.oracle_base import cte, js, with_ctes
 from portflow.plans.registry import register
@@ -15,52 +14,79 @@ from portflow.sources.sinks import append_landing
 from portflow.sources.testdata import FIRST_LOAD_AT, REPEAT_LOAD_AT, star_records
 
 
-def _landed(spark, sf_dir):
+def _landed(spark, sf_dir, odd=False, bad=False):
     path = I.scratch_path(spark, "landing")
-    I.land_payloads(star_records(spark, sf_dir), path)
+    I.land_payloads(star_records(spark, sf_dir), path, odd=odd, bad=bad)
     return I.read_payloads(spark, path)
 
 
+# What the awkward records hold, and the canonical text of every landed record.
+cte(
+    "landed", ("srcp",),
+    f"""
+    SELECT * REPLACE (
+             CASE WHEN is_odd THEN 'Πειραιάς' ELSE departureportname END AS departureportname,
+             CASE WHEN is_odd THEN CAST(passengercount AS VARCHAR) || '.0' ELSE CAST(passengercount AS VARCHAR) END AS passengercount,
+             CASE WHEN is_odd THEN '100.0' ELSE CAST(vehiclecount AS VARCHAR) END AS vehiclecount,
+             CASE WHEN is_odd THEN
+               '{{"arrivalportname": ' || {js('arrivalportname')} || ', "date": ' || {js('date')} || ', "departureportname": "Πειραιάς", '
+               || '"meta": {{"a": ["q", null, true], "z": 1.5}}, "passengercount": ' || CAST(passengercount AS VARCHAR) || '.0, "routecode": '
+               || {js('routecode')} || ', "routecodenames": ' || {js('routecodenames')} || ', "vehiclecount": 100.0}}'
+             ELSE payload END AS payload)
+    FROM (SELECT *, l_orderkey % {I.ODD_EVERY} = {I.ODD_AT} AS is_odd FROM srcp)
+    """,
+)
+
+
 @register(
     "ingest_extract_records",
-    with_ctes("SELECT date, routecode, routecodenames, departureportname, arrivalportname, "
-              "CAST(passengercount AS VARCHAR) AS passengercount, CAST(vehiclecount AS VARCHAR) AS vehiclecount FROM src", "src"),
+    with_ctes("SELECT date, routecode, routecodenames, departureportname, arrivalportname, passengercount, vehiclecount FROM landed", "landed"),
 )
 def q_ingest_extract_records(spark, sf_dir):
-    """SRC1: landed payloads (four shapes, stray non-object elements) → source records."""
-    recs, _bad = I.extract_records(_landed(spark, sf_dir))
+    """SRC1: landed payloads (four shapes, stray non-object elements, wrong shapes) → source records."""
+    recs, _bad = I.extract_records(_landed(spark, sf_dir, odd=True, bad=True))
     return I.records_as_fields(recs)
 
 
-def _compact_payload() -> str:
-    return ("'{\"arrivalportname\":' || " + js("arrivalportname") + " || ',\"date\":' || " + js("date")
-            + " || ',\"departureportname\":' || " + js("departureportname")
-            + " || ',\"passengercount\":' || COALESCE(CAST(passengercount AS VARCHAR), 'null')"
-            + " || ',\"routecode\":' || " + js("routecode") + " || ',\"routecodenames\":' || " + js("routecodenames")
-            + " || ',\"vehiclecount\":' || COALESCE(CAST(vehiclecount AS VARCHAR), 'null') || '}'")
-
-
 @register(
     "ingest_raw_rows",
     with_ctes(
-        f"SELECT sha256(p) AS record_hash, date AS service_date, routecode AS route_code, routecodenames AS route_name, "
-        "departureportname AS departure_port, arrivalportname AS arrival_port, CAST(passengercount AS VARCHAR) AS passenger_count, "
-        "CAST(vehiclecount AS VARCHAR) AS vehicle_count, TIMESTAMP '2026-01-01 06:00:00' AS ingested_at, p AS raw_payload "
-        f"FROM (SELECT *, {_compact_payload()} AS p FROM src)", "src"),
+        "SELECT sha256(payload) AS record_hash, date AS service_date, routecode AS route_code, routecodenames AS route_name, "
+        "departureportname AS departure_port, arrivalportname AS arrival_port, passengercount AS passenger_count, "
+        "vehiclecount AS vehicle_count, TIMESTAMP '2026-01-01 06:00:00' AS ingested_at, payload AS raw_payload FROM landed", "landed"),
 )
 def q_ingest_raw_rows(spark, sf_dir):
-    """SRC2: records → raw rows with canonical-JSON hashes."""
-    recs, _bad = I.extract_records(_landed(spark, sf_dir))
+    """SRC2: records → raw rows with canonical-JSON hashes (decimal counts, a nested field and Greek text among them)."""
+    recs, _bad = I.extract_records(_landed(spark, sf_dir, odd=True))
     return I.raw_rows(recs, FIRST_LOAD_AT)
 
 
-@register("ingest_quarantine")
+@register(
+    "ingest_quarantine",
+    with_ctes(
+        """SELECT reason, count(*) AS count FROM (
+             SELECT list_extract(['not valid JSON', 'expected list or dict, got STRING', 'expected one of records/results/data keys',
+                                  'wrapped value is not a list', 'wrapped value is not a list'], day(CAST(date AS DATE)) % 5 + 1) AS reason
+             FROM (SELECT DISTINCT date FROM src)) GROUP BY reason""", "src"),
+)
 def q_ingest_quarantine(spark, sf_dir):
-    """SRC1 error path: payloads of the wrong shape are quarantined with a reason (none in clean landings)."""
-    _recs, bad = I.extract_records(_landed(spark, sf_dir))
+    """SRC1 error path: payloads of the wrong shape are quarantined with a reason."""
+    _recs, bad = I.extract_records(_landed(spark, sf_dir, bad=True))
     return bad.select("reason").groupBy("reason").count()
 
 
+@register(
+    "dq_landed_casts",
+    with_ctes("SELECT 'passenger_count' AS column_name, count(*) FILTER (is_odd) AS violations FROM landed "
+              "UNION ALL SELECT 'vehicle_count', count(*) FILTER (is_odd) FROM landed", "landed"),
+)
+def q_dq_landed_casts(spark, sf_dir):
+    """DQ6/DQ7 on landed rows: decimal counts that the safe cast drops are counted."""
+    raw = I.raw_rows(I.extract_records(_landed(spark, sf_dir, odd=True))[0], FIRST_LOAD_AT)
+    one = [Q.safe_cast_dropped(raw, f).select(F.lit(c).alias("column_name"), "violations") for f, c in (("passengercount", "passenger_count"), ("vehiclecount", "vehicle_count"))]
+    return one[0].unionByName(one[1])
+
+
 @register(
     "raw_append_roundtrip",
     with_ctes("SELECT * FROM row_counts_daily", "row_counts_daily"),
@@ -71,7 +97,7 @@ def q_raw_append_roundtrip(spark, sf_dir):
     landing = I.scratch_path(spark, "raw")
     append_landing(I.raw_rows(recs, FIRST_LOAD_AT), landing)
     star = star_records(spark, sf_dir).where(F.col("l_orderkey") % 7 == 0)
-    again = star.select(F.parse_json(F.to_json(F.struct(*[F.col(f) for f in I.SOURCE_FIELDS]), {"ignoreNullFields": "false"})).alias("record"))
+    again = star.select(F.to_json(F.struct(*[F.col(f) for f in I.SOURCE_FIELDS]), {"ignoreNullFields": "false"}).alias("record"))
     append_landing(I.raw_rows(again, REPEAT_LOAD_AT), landing)
     m = TrafficModels(spark, raw=spark.read.parquet(landing))
     return m.row_counts_daily
@@ -141,8 +167,8 @@ def _reader_query(reader: str, cte_name: str, col: str, cols: str):
         m = TrafficModels(spark, sf_dir).materialize()
         table = {"daily": m.row_counts_daily, "weekly": m.row_counts_weekly, "monthly": m.row_counts_monthly,
                  "routes": m.fct_route_daily, "ports": m.fct_port_daily}[reader]
-        b = m.row_counts_daily.agg(F.min("service_date").alias("s"), F.max("service_date").alias("e")).first()
-        return RD.range_read(spark, table, reader, b["s"] or _dt.date(1970, 1, 1), b["e"] or _dt.date(1970, 1, 1))
+        first, last = (m.row_counts_daily.agg(f("service_date")).scalar() for f in (F.min, F.max))
+        return RD.range_read(spark, table, reader, first, last)
 
     sql = with_ctes(
         f"SELECT {cols} FROM {cte_name} WHERE {col} BETWEEN (SELECT MIN(service_date) FROM row_counts_daily) "

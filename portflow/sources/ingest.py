@@ -3,11 +3,11 @@
 * ``extract_records`` (SRC1): a response is a JSON list, or an object whose
   first PRESENT key among records/results/data holds a list; non-object
   elements are dropped; any other shape is quarantined with a reason (or
-  raised with ``strict=True``). Parsing uses Spark's VARIANT type, so no
-  record schema has to be known up front.
-* ``raw_rows`` (SRC2): canonical JSON (sorted keys, compact, nulls kept) and
-  its SHA-256 as ``record_hash``; source fields as strings; one ``ingested_at``
-  per load.
+  raised with ``strict=True``). Shapes are told by Spark's VARIANT type, so no
+  record schema has to be known up front; a record itself is kept as text.
+* ``raw_rows`` (SRC2): canonical JSON (sorted keys, nulls kept, numbers as
+  landed: ``12.0`` is not ``12``) and its SHA-256 as ``record_hash``; source
+  fields as strings; one ``ingested_at`` per load.
 * ``plan_windows`` (SRC3): inclusive request windows, both bounds shifted back
   by the source lag, chained month/year steps, last window clipped.
 * ``audit_windows`` (SRC4): rows landed per window, empty windows, totals.
@@ -24,6 +24,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from portflow.functions.canonical import canonical_json
+
 # Wrapper keys tried in order, source field → raw column.
 WRAPPER_KEYS = ("records", "results", "data")
 FIELD_MAP = (
@@ -45,7 +47,7 @@ def read_payloads(spark: SparkSession, path: str, whole_files: bool = False) ->
 
 
 def extract_records(payloads: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """SRC1 → (records as VARIANT column ``record``, quarantined payloads with ``reason``)."""
+    """SRC1 → (records as JSON text in ``record``, quarantined payloads with ``reason``)."""
     v = F.try_parse_json(F.col("payload"))
     typed = payloads.withColumn("_v", v).withColumn("_t", F.schema_of_variant("_v"))
     present = [F.try_variant_get(F.col("_v"), f"$.{k}", "variant") for k in WRAPPER_KEYS]
@@ -63,52 +65,77 @@ def extract_records(payloads: DataFrame, strict: bool = False) -> tuple[DataFram
         fail = F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("Unexpected response: "), F.col("reason"))))
         typed = typed.where(fail.isNull())
     bad = typed.where(F.col("reason").isNotNull()).select("payload", "source_file", "reason")
+    # The same elements as text: VARIANT tells their types, the text keeps their numbers (a VARIANT stores 12.0 as 12).
+    wrapped = F.from_json("payload", ", ".join(f"{k} string" for k in WRAPPER_KEYS))
+    listed = F.when(F.col("_t").startswith("ARRAY"), F.col("payload")).otherwise(F.coalesce(*[wrapped[k] for k in WRAPPER_KEYS]))
+    both = F.arrays_zip(F.transform("_arr", F.schema_of_variant).alias("kind"), F.from_json(listed, "array<string>").alias("record"))
     recs = (
         typed.where(F.col("reason").isNull())
-        .select("source_file", F.explode("_arr").alias("record"))
-        .where(F.schema_of_variant("record").startswith("OBJECT"))
+        .select("source_file", F.explode(both).alias("e"))
+        .where(F.col("e.kind").startswith("OBJECT"))
+        .select("source_file", F.col("e.record").alias("record"))
     )
     return recs, bad
 
 
-def _as_string(record: Column, field: str) -> Column:
-    return F.try_variant_get(record, f"$.{field}", "string")
-
-
 def raw_rows(records: DataFrame, ingested_at: _dt.datetime | Column) -> DataFrame:
     """SRC2: records → raw landing rows (all source fields as strings)."""
     ts = ingested_at if isinstance(ingested_at, Column) else F.lit(ingested_at).cast("timestamp_ntz")
-    payload = F.to_json(F.col("record"))  # VARIANT objects keep keys sorted: canonical, compact
-    return records.select(
-        F.sha2(payload, 256).alias("record_hash"),
-        *[_as_string(F.col("record"), src).alias(dst) for src, dst in FIELD_MAP],
+    p = F.col("raw_payload")
+    return records.select(canonical_json(F.col("record")).alias("raw_payload")).select(
+        F.sha2(p, 256).alias("record_hash"),
+        *[F.get_json_object(p, f"$.{src}").alias(dst) for src, dst in FIELD_MAP],
         ts.alias("ingested_at"),
-        payload.alias("raw_payload"),
+        p,
     )
 
 
 def records_as_fields(records: DataFrame) -> DataFrame:
     """The source fields of extracted records, as strings (for inspection and tests)."""
-    return records.select(*[_as_string(F.col("record"), f).alias(f) for f in SOURCE_FIELDS])
+    return records.select(*[F.get_json_object("record", f"$.{f}").alias(f) for f in SOURCE_FIELDS])
 
 
 # --- landing files from the testdata -------------------------------------------------------------
 
-def land_payloads(star: DataFrame, path: str, records_per_payload: int = 500) -> None:
+ODD_EVERY, ODD_AT = 97, 5  # orders whose records land in an awkward form
+
+
+def _record_text(odd: bool) -> Column:
+    """A source record as JSON text; with ``odd``, some have decimal counts, a nested field and Greek text."""
+    plain = F.to_json(F.struct(*[F.col(f) for f in SOURCE_FIELDS]), {"ignoreNullFields": "false"})
+    if not odd:
+        return plain
+    q = lambda f: F.coalesce(F.concat(F.lit('"'), F.col(f), F.lit('"')), F.lit("null"))
+    awkward = F.concat(
+        F.lit('{"routecode":'), q("routecode"), F.lit(',"vehiclecount":1e2,"passengercount":'), F.col("passengercount").cast("string"),
+        F.lit('.0, "meta": {"z": 1.50, "a": ["q", null, true]}, "departureportname":"Πειραιάς","arrivalportname":'), q("arrivalportname"),
+        F.lit(',"routecodenames":'), q("routecodenames"), F.lit(',"date":'), q("date"), F.lit("}"),
+    )
+    return F.when(F.col("l_orderkey") % ODD_EVERY == ODD_AT, awkward).otherwise(plain)
+
+
+def _bad_payloads(star: DataFrame) -> DataFrame:
+    """A payload of a wrong shape for each day of the records, five kinds by the day of the month."""
+    kinds = ['{"records": [', '"text"', '{"other": []}', '{"data": {"a": 1}}', '{"records": null, "data": [{"date": "x"}]}']
+    day = F.dayofmonth(F.col("date").cast("date"))
+    return star.select("date").distinct().select(F.element_at(F.array(*map(F.lit, kinds)), F.pmod(day, F.lit(5)) + 1).alias("value"))
+
+
+def land_payloads(star: DataFrame, path: str, records_per_payload: int = 500, odd: bool = False, bad: bool = False) -> None:
     """Write source records as API-shaped payloads, one payload per line.
 
     Records are grouped per day and per hash bucket, with the bucket count
     per day chosen from that day's size, so every payload holds about
     ``records_per_payload`` records however skewed the days are. Shapes
     rotate over list / records / results / data wrappers, and list payloads
-    carry one non-object element that extraction must drop.
+    carry one non-object element that extraction must drop. ``odd`` lands
+    some records in an awkward form, ``bad`` adds payloads of wrong shapes.
     """
     per_day = star.groupBy("date").agg(
         (F.floor(F.count(F.lit(1)) / records_per_payload) + 1).cast("int").alias("buckets"))
-    # One row per day: small, bounded by the calendar span.
-    keyed = star.join(F.broadcast(per_day), "date").withColumn(
+    keyed = star.join(per_day, "date").withColumn(
         "bucket", F.pmod(F.xxhash64(*SOURCE_FIELDS, "l_orderkey"), F.col("buckets")))
-    body = F.to_json(F.collect_list(F.struct(*[F.col(f) for f in SOURCE_FIELDS])), {"ignoreNullFields": "false"})
+    body = F.concat(F.lit("["), F.array_join(F.collect_list(_record_text(odd)), ","), F.lit("]"))
     grouped = keyed.groupBy("date", "bucket").agg(body.alias("arr"))
     shape = F.pmod(F.xxhash64("date", "bucket"), F.lit(4))
     payload = (
@@ -117,7 +144,8 @@ def land_payloads(star: DataFrame, path: str, records_per_payload: int = 500) ->
         .when(shape == 2, F.concat(F.lit('{"results": '), F.col("arr"), F.lit(', "page": 1}')))
         .otherwise(F.concat(F.lit('{"data": '), F.col("arr"), F.lit("}")))
     )
-    grouped.select(payload.alias("value")).write.mode("overwrite").text(path)
+    out = grouped.select(payload.alias("value"))
+    (out.unionByName(_bad_payloads(star)) if bad else out).write.mode("overwrite").text(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -10,9 +10,9 @@ mid-week loses its first partial week — as the dashboard does.
 from __future__ import annotations
 
 import datetime as _dt
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Select lists of the dashboard readers.
 READERS = {
@@ -33,14 +33,18 @@ READERS = {
 }
 
 
-def range_read(spark: SparkSession, table: DataFrame, reader: str, start: _dt.date | str, end: _dt.date | str) -> DataFrame:
-    """Run the named reader against ``table`` for [start, end] (inclusive)."""
-    name, col, select_list = READERS[reader]
-    view = f"{name}_{uuid.uuid4().hex[:8]}"
-    table.createOrReplaceTempView(view)
-    s = start if isinstance(start, _dt.date) else _dt.date.fromisoformat(str(start))
-    e = end if isinstance(end, _dt.date) else _dt.date.fromisoformat(str(end))
+def range_read(spark: SparkSession, table: DataFrame, reader: str, start: _dt.date | str | Column, end: _dt.date | str | Column) -> DataFrame:
+    """Run the named reader against ``table`` for [start, end] (inclusive).
+
+    Dates are named parameters of the statement; bounds that are columns
+    (scalar subqueries over a table) are compared as they are, so nothing
+    runs when the reader is built.
+    """
+    _name, col, select_list = READERS[reader]
+    if isinstance(start, Column) or isinstance(end, Column):
+        return table.where(F.col(col).between(start, end)).select(*[c.strip() for c in select_list.split(",")]).orderBy(col)
+    s, e = (d if isinstance(d, _dt.date) else _dt.date.fromisoformat(str(d)) for d in (start, end))
     return spark.sql(
-        f"SELECT {select_list} FROM {view} WHERE {col} BETWEEN :start_date AND :end_date ORDER BY {col}",
-        args={"start_date": s, "end_date": e},
+        f"SELECT {select_list} FROM {{source}} WHERE {col} BETWEEN :start_date AND :end_date ORDER BY {col}",
+        args={"start_date": s, "end_date": e}, source=table,
     )

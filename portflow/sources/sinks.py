@@ -13,15 +13,15 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                 mode: str = "overwrite") -> None:
     """SRC6: write a model as parquet, partitioned by its date grain and clustered within files.
 
-    ``repartition`` on the partition column puts each directory's rows in
-    one task (few, large files); ``sortWithinPartitions`` on the cluster
-    columns makes parquet min/max statistics selective.
+    The REBALANCE hint on the partition columns brings a directory's rows
+    together for few, large files, but adaptive execution splits a large
+    directory over many tasks and merges small ones: no directory is bound
+    to one task. Sorting within a task makes parquet min/max statistics
+    selective.
     """
-    w = df
-    if partition_by:
-        w = w.repartition(*partition_by)
+    w = df.hint("rebalance", *partition_by) if partition_by else df.hint("rebalance")
     if cluster_by:
-        w = w.sortWithinPartitions(*cluster_by)
+        w = w.sortWithinPartitions(*(partition_by or []), *cluster_by)
     writer = w.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -40,11 +40,24 @@ def _key(df: DataFrame) -> DataFrame:
 def snapshot_upsert(target: DataFrame, source: DataFrame) -> DataFrame:
     """SRC7: MERGE on (chart_id, insight_type, data_version, filter_hash with NULL ≡ '').
 
-    Matched target rows are replaced by the source row, unmatched source rows
-    are inserted: ``target ⟕anti source ∪ source``. The result is a new
-    DataFrame; write it to a new location (parquet has no in-place MERGE).
+    A matched target row keeps its four key columns as they are (a NULL hash
+    stays NULL) and takes the 15 other columns of the source row; unmatched
+    source rows are inserted as they are. Two source rows that match one
+    target row are an error, as in MERGE; unmatched source rows with one key
+    are all inserted. The result is a new DataFrame; write it to a new
+    location (parquet has no in-place MERGE).
     """
     keys = ["chart_id", "insight_type", "data_version", "_fh"]
-    src = _key(source)
-    kept = _key(target).join(src.select(*keys).distinct(), keys, "left_anti")
-    return kept.unionByName(src).drop("_fh")
+    others = [c for c in target.columns if c not in SNAPSHOT_KEY]
+    tgt, src = _key(target), _key(source)
+    per_key = src.groupBy(*keys).agg(F.count("*").alias("_n"))
+    new = src.join(per_key, keys).select(*keys, "_n", *[F.col(c).alias(f"_s_{c}") for c in others])
+    double = F.raise_error(F.lit("snapshot_upsert: several source rows match one target row"))
+    hit = F.col("_n").isNotNull()
+    merged = tgt.join(new, keys, "left").select(*[
+        F.col(c) if c in SNAPSHOT_KEY
+        else F.when(F.col("_n") > 1, double.cast(target.schema[c].dataType)).when(hit, F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c)
+        for c in target.columns
+    ])
+    inserted = src.join(tgt.select(*keys).distinct(), keys, "left_anti").select(*target.columns)
+    return merged.unionByName(inserted)

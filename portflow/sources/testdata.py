@@ -53,19 +53,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread_if_narrow(df: DataFrame, scan: DataFrame) -> DataFrame:
-    """Spread ``df`` over the cores when its driving ``scan`` has fewer partitions than cores.
-
-    A file with a single row group scans as ONE partition; with the small
-    dimensions broadcast, the star join and all per-row work after it would
-    run in one task. The scan's partition count is known statically (unlike
-    the post-join count, which AQE may change at run time). A large input
-    already has many partitions and is left alone: no extra shuffle at scale.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if scan.rdd.getNumPartitions() < target else df
-
-
 def _json_str(c):
     # The mapped fields hold no quotes, backslashes or control characters,
     # so a quoted string is canonical JSON; NULL becomes the literal null.
@@ -96,11 +83,10 @@ def star_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Orders carry the arrival side; lineitem meets them on the order key
     # (both sides shuffle on the same key), then supplier and part.
     o = orders.join(cust, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderdate", "arr_name")
-    j = spread_if_narrow(
+    j = (
         li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey")),
-        li,
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
     )
     name = F.concat(
         F.col("p_type"),

@@ -21,10 +21,10 @@ from portflow.sources import ingest as I
 
 
 def start_landing(spark: SparkSession, source_dir: str, landing_dir: str, checkpoint_dir: str,
-                  available_now: bool = True, quarantine_dir: str | None = None):
+                  available_now: bool = True, quarantine_dir: str | None = None, max_files_per_trigger: int = 1000):
     """Start the landing stream; returns the ``StreamingQuery``."""
     payloads = (
-        spark.readStream.format("text").option("maxFilesPerTrigger", 1000).load(source_dir)
+        spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger).load(source_dir)
         .select(F.col("value").alias("payload"), F.input_file_name().alias("source_file"))
     )
 

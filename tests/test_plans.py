@@ -26,6 +26,23 @@ def test_no_python_udfs_in_registered_queries(spark):
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, k
 
 
+def test_registered_snapshot_queries_prune_months(spark):
+    qs = E.queries()
+    for k in ("snap_corridors", "snap_deepen_rows"):
+        p = plan(qs[k](spark, SF_SMALL))
+        assert "PartitionFilters: [isnotnull(service_month_start" in p and "Subquery" in p, k
+
+
+def test_month_writes_are_not_one_task_a_month(spark, tmp_path):
+    from portflow.sources.sinks import write_table
+
+    df = spark.range(10).select("id", (F.col("id") % 2).alias("m"))
+    p = df.hint("rebalance", "m")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in p
+    write_table(df, str(tmp_path / "t"), ["m"], ["id"])
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 10
+
+
 def test_snapshot_scope_prunes_month_partitions(spark):
     m = TrafficModels(spark, SF_SMALL).materialize(records=True)
     scope = S.scope_bounds(m.daily)
