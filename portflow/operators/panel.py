@@ -733,16 +733,16 @@ def live_report(daily: DataFrame, routes: DataFrame, ports: DataFrame, view) ->
         .otherwise(F.lit("No comparison baseline available"))
     )
     p1 = F.concat(
-        F.lit("Current period: "), period, F.lit(". The network recorded "), compact(pax), F.lit(" passengers and "),
-        compact(veh), F.lit(" vehicles. The leading corridor is "), F.coalesce(F.col("top_label"), F.lit("No data")),
-        F.lit(" ("), py_fixed(F.col("share"), 1), F.lit("% of scoped passengers), with "), F.coalesce(F.col("top_p"), F.lit("No data")),
-        F.lit(" as the highest-flow port. Congestion index is "), py_fixed(F.col("cong"), 0),
+        F.lit("Current period: "), period, F.lit(". The network recorded "), compact(pax, once=True), F.lit(" passengers and "),
+        compact(veh, once=True), F.lit(" vehicles. The leading corridor is "), F.coalesce(F.col("top_label"), F.lit("No data")),
+        F.lit(" ("), py_fixed(F.col("share"), 1, once=True), F.lit("% of scoped passengers), with "), F.coalesce(F.col("top_p"), F.lit("No data")),
+        F.lit(" as the highest-flow port. Congestion index is "), py_fixed(F.col("cong"), 0, once=True),
         F.lit("%. Comparison baseline: "), baseline, F.lit("."),
     )
     weekly = F.when(d7.isNull(), F.lit("Not enough history for 7-day change.")).otherwise(
-        F.concat(F.lit("7-day average passengers are "), signed_pct(d7, 1), F.lit(" vs prior week.")))
+        F.concat(F.lit("7-day average passengers are "), signed_pct(d7, 1, once=True), F.lit(" vs prior week.")))
     monthly = F.when(d30.isNull(), F.lit("Not enough history for 30-day change.")).otherwise(
-        F.concat(F.lit("30-day average passengers are "), signed_pct(d30, 1), F.lit(" vs prior 30-day window.")))
+        F.concat(F.lit("30-day average passengers are "), signed_pct(d30, 1, once=True), F.lit(" vs prior 30-day window.")))
     shift = (
         F.when(recent_top.isNull() | prior_top.isNull(), F.lit("Route rank shift data unavailable."))
         .when(recent_top == prior_top, F.concat(F.lit("Top corridor remains "), recent_top, F.lit(" across the last two weekly windows.")))
@@ -751,7 +751,7 @@ def live_report(daily: DataFrame, routes: DataFrame, ports: DataFrame, view) ->
     p2 = F.concat(F.lit("Notable shifts: "), weekly, F.lit(" "), monthly, F.lit(" "), shift)
     p3 = F.concat(F.lit("Anomaly call-out: "), F.when(
         d7.isNotNull() & (F.abs(d7) >= 20),
-        F.concat(F.lit("Traffic momentum moved "), signed_pct(d7, 1), F.lit(
+        F.concat(F.lit("Traffic momentum moved "), signed_pct(d7, 1, once=True), F.lit(
             " week-over-week, which is a notable swing. Likely causes include schedule shifts, route substitution, or reporting lag."))
     ).otherwise(F.lit("No high-severity anomaly flag triggered in the current scope.")))
     hint = (
