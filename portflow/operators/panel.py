@@ -47,32 +47,45 @@ def _label_date(d: Column) -> Column:
 
 # --- PAN-B: input preparation --------------------------------------------------------------
 
+# Frames of any origin: a date or number that is text is read if it can be, a bad date drops the row, a bad, missing or
+# absent number is 0, a missing or absent name is 'Unknown'.
+
+def _dated(df: DataFrame) -> DataFrame:
+    d = F.col("service_date")
+    if dict(df.dtypes)["service_date"] == "string":
+        d = unicode_trim(d).try_cast("date")
+    return df.withColumn("service_date", d).where(F.col("service_date").isNotNull())
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    kind = dict(df.dtypes).get(name)
+    if kind is None:
+        return F.lit(0).cast("long")
+    c = unicode_trim(F.col(name)).try_cast("double") if kind == "string" else F.col(name)
+    return F.coalesce(F.when(~F.isnan(c.cast("double")), c), F.lit(0)).cast("long")
+
+
+def _name(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("Unknown")) if name in df.columns else F.lit("Unknown")
+
+
 def prepare_daily(daily: DataFrame) -> DataFrame:
-    return daily.where(F.col("service_date").isNotNull()).select(
-        "service_date",
-        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("rows_count", "total_passengers", "total_vehicles")],
+    return _dated(daily).select(
+        "service_date", *[_number(daily, c).alias(c) for c in ("rows_count", "total_passengers", "total_vehicles")]
     )
 
 
 def prepare_routes(routes: DataFrame) -> DataFrame:
-    """Dates required; ports 'Unknown'; numbers 0; vehicles optional (0 when absent)."""
-    veh = F.col("total_vehicles") if "total_vehicles" in routes.columns else F.lit(0)
-    return routes.where(F.col("service_date").isNotNull()).select(
+    return _dated(routes).select(
         "service_date",
-        F.coalesce(F.col("departure_port"), F.lit("Unknown")).alias("departure_port"),
-        F.coalesce(F.col("arrival_port"), F.lit("Unknown")).alias("arrival_port"),
-        F.coalesce(F.col("total_passengers"), F.lit(0)).cast("long").alias("total_passengers"),
-        F.coalesce(veh, F.lit(0)).cast("long").alias("total_vehicles"),
+        *[_name(routes, c).alias(c) for c in ("departure_port", "arrival_port")],
+        *[_number(routes, c).alias(c) for c in ("total_passengers", "total_vehicles")],
     )
 
 
 def prepare_ports(ports: DataFrame) -> DataFrame:
-    return ports.where(F.col("service_date").isNotNull()).select(
-        "service_date",
-        F.coalesce(F.col("port_name"), F.lit("Unknown")).alias("port_name"),
-        (F.coalesce(F.col("total_departing_passengers"), F.lit(0))
-         + F.coalesce(F.col("total_arriving_passengers"), F.lit(0))).cast("long").alias("total_passengers"),
-    )
+    both = _number(ports, "total_departing_passengers") + _number(ports, "total_arriving_passengers")
+    return _dated(ports).select("service_date", _name(ports, "port_name").alias("port_name"), both.alias("total_passengers"))
 
 
 def _ranked(daily_p: DataFrame) -> DataFrame:

@@ -40,6 +40,28 @@ def q_prepare_scoped(spark, sf_dir):
     return P.prepare_routes(_frames(spark, sf_dir)[2])
 
 
+def _as_text(df: DataFrame, numbers: list[str]) -> DataFrame:
+    """A frame as text, with a bad date on every 13th day of a month and a bad number on every 7th."""
+    day = F.dayofmonth("service_date")
+    return df.select(
+        F.when(day == 13, F.lit("13/xx")).otherwise(F.concat(F.lit(" "), F.col("service_date").cast("string"))).alias("service_date"),
+        *[F.when(day == 7, F.lit("n/a")).otherwise(F.concat(F.col(c).cast("string"), F.lit(".0 "))).alias(c) for c in numbers],
+        *[c for c in df.columns if c not in (*numbers, "service_date")],
+    )
+
+
+@register("prepare_daily")
+def q_prepare_daily(spark, sf_dir):
+    """PAN-B on text: bad dates drop, bad numbers are 0, an absent column is 0."""
+    return P.prepare_daily(_as_text(_frames(spark, sf_dir)[1], ["rows_count", "total_passengers"]).drop("total_vehicles"))
+
+
+@register("prepare_ports")
+def q_prepare_ports(spark, sf_dir):
+    """PAN-B on text: departing and arriving passengers added, each 0 where bad."""
+    return P.prepare_ports(_as_text(_frames(spark, sf_dir)[3], ["total_departing_passengers"]))
+
+
 @register("panel_scope")
 def q_panel_scope(spark, sf_dir):
     return P.panel_scope(_frames(spark, sf_dir)[1], 7)
@@ -108,6 +130,13 @@ def _attach_oracles():
     ORACLE.update({
         "notable_change": O.NOTABLE_SQL,
         "prepare_scoped": with_ctes("SELECT * FROM pr_", "pr_"),
+        "prepare_daily": with_ctes(
+            "SELECT service_date, CASE WHEN day(service_date) = 7 THEN 0 ELSE rows_count END AS rows_count, "
+            "CASE WHEN day(service_date) = 7 THEN 0 ELSE total_passengers END AS total_passengers, CAST(0 AS BIGINT) AS total_vehicles "
+            "FROM row_counts_daily WHERE day(service_date) <> 13", "row_counts_daily"),
+        "prepare_ports": with_ctes(
+            "SELECT service_date, port_name, total_arriving_passengers + CASE WHEN day(service_date) = 7 THEN 0 ELSE total_departing_passengers END "
+            "AS total_passengers FROM port_day WHERE day(service_date) <> 13", "port_day"),
         "panel_scope": O.SCOPE_SQL,
         "panel_kpis": O.KPIS_SQL,
         "panel_top_corridors": with_ctes("SELECT * FROM ptc", "ptc"),
