@@ -14,15 +14,17 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portflow.session import ensure_checkpoint_dir
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 # A side is broadcast only if it has at most this many narrow rows (a key of 8 to 16 bytes each); beyond it the same join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -31,8 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+ARROW_BATCH = "4m"  # bytes that go to a Python worker at once; texts may be long
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors (once a session), as ``--py-files`` would: they need no copy of their own."""
+    """Prepare a session: send this package to the executors (once), as ``--py-files`` would, and keep Arrow batches
+    small, so that the memory of workers is bounded by bytes and not by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     mark = "portflow.shipped"
     if spark.conf.get(mark, "") == spark.sparkContext.applicationId:
         return
@@ -200,13 +207,10 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each is two aggregations with map-side combine and equi-joins whose
     skewed keys AQE splits, so a hub with any number of neighbours is never gathered in one task. The edge table is
-    stored after every round and shrinks to one edge a node; the number of rounds grows with the logarithm of the
-    longest path. Nodes without an edge are not returned; no edges give no rows.
+    stored after every round; rounds end when every node hangs on one root that hangs on none, and their number grows
+    with the logarithm of the longest path. Nodes without an edge are not returned; no edges give no rows.
     """
-    e = stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-    mark = None
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -214,59 +218,144 @@ def connected(edges: DataFrame) -> DataFrame:
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(moved.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == (now.n, now.h):
+        # a node counts once as a child; a root must not be one
+        seen = e.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+            e.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
+        )
+        odd = seen.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or (child > 0 and parent > 0)")
+        if odd.isEmpty():
             break
-        mark = (now.n, now.h)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("root"))
-    ).distinct()
+    roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels (node, root) with the links ``found`` (a, b) added: only the roots that they join are worked on."""
+    if labels is None:
+        return stored(connected(found), "labels")
+    x, y = (labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    lifted = found.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    top = stored(connected(stored(lifted, "lifted")), "roots")
+    new = labels.join(top.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+    return stored(new.unionByName(top.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
+def least_matches(threshold: float, values: int, batch: int, miss: float) -> dict[int, int]:
+    """For n = batch, 2 batch, ...: the least number of equal values at which P(similarity >= threshold) >= miss.
+
+    For a Beta(m + 1, n - m + 1) posterior, that probability is the chance of at most m successes in n + 1 draws.
+    """
+    out = {}
+    for n in range(batch, values + 1, batch):
+        below, m = 0.0, 0
+        for m in range(n + 1):
+            below += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+            if below >= miss:
+                break
+        out[n] = m
+    return out
 
 
-def banded_components(items: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+VALUES, BATCH, MISS = 256, 32, 0.001
+BLOCK = 512  # members of a bucket that are compared in one task, on either side
+
+
+def linked_in_block(comps: list[int], sides: list[int], sets: list[np.ndarray], threshold: int, need: dict[int, int], hashes: MinHasher) -> list[tuple[int, int]]:
+    """Links (places) that join what is not joined yet: pairs of different components (and different sides, if the
+    block has two) whose sizes allow the threshold, pruned by signature batches, likeliest first, verified exactly."""
+    comp, side, size = np.array(comps), np.array(sides), np.array([len(s) for s in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    if (side != side[0]).any():
+        k = side[i] != side[j]
+        i, j = i[k], j[k]
+    k = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]))
+    i, j = i[k], j[k]
+    equal, last = np.zeros(len(i), np.int64), 0
+    few = len(i) <= 8 * len(sets)  # then signatures cost more than they save
+    signature = None if few else np.array([hashes(s) for s in sets])
+    for n, m in () if few else need.items():
+        for a in range(0, len(i), 65_536):
+            b = slice(a, a + 65_536)
+            equal[b] += (signature[i[b], last:n] == signature[j[b], last:n]).sum(1)
+        k = equal >= m
+        i, j, equal, last = i[k], j[k], equal[k], n
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = x = root.get(y, y)
+        return x
+
+    out = []
+    for x, y in zip(*(c[np.argsort(-equal, kind="stable")].tolist() for c in (i, j))):
+        a, b = find(comps[x]), find(comps[y])
+        if a != b:
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= threshold * (len(sets[x]) + len(sets[y]) - both):
+                root[max(a, b)] = min(a, b)
+                out.append((x, y))
+    return out
+
+
+@dataclass
+class Comparison:
+    """How candidates are compared: ``verify`` takes pairs (a, b) and returns the linked ones; ``payload`` (cid,
+    payload) is what a task needs of an item, ``sets`` makes the sorted hashed sets of a list of payloads; ``miss`` is the
+    posterior probability of reaching the threshold under which a pair is pruned."""
+
+    verify: Callable[[DataFrame], DataFrame]
+    payload: DataFrame
+    sets: Callable[[list[bytes]], list[np.ndarray]]
+    threshold: int
+    miss: float = MISS
+
+
+def banded_components(items: DataFrame, prepare: Callable[[DataFrame], Comparison]) -> DataFrame:
     """(node, root) of linked items among items that share a band key; whole, without all pairs.
 
-    ``items``: cid (long), keys (array of long). ``prepare`` gets the cids of all items that share a key with another
-    and returns a function that takes pairs (a, b) of them and returns those that are linked.
-    In every bucket, first one hub (the item that meets most others, then the smallest cid) is compared with the
-    rest; members that are by then connected need no comparison any more, the others are compared with 4, 16, ...
-    further hubs of their bucket until none is left that is neither connected to nor compared with each other member.
-    So a bucket of copies costs one pair a member, and no link between items that share a bucket is lost.
+    ``items``: cid (long), keys (array of long). ``prepare`` gets the cids of all items that share a key with another.
+    In every bucket, first its smallest cid is compared with the others, which finds nearly all links: a bucket of
+    copies costs one pair a member. Buckets whose members are then not all connected are compared in blocks of at most
+    ``BLOCK`` members, a larger bucket in pairs of blocks, each its own task's work: there, only pairs that are not
+    connected yet are looked at, by signature batches pruned at the comparison's miss probability, then exactly; only
+    links that join something leave the task. No link between items that share a bucket is dropped but for that.
     """
     flat = items.select("cid", F.explode("keys").alias("key"))
-    sizes = flat.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = flat.join(sizes, "key")
-    score = members.groupBy("cid").agg(F.sum("size").alias("score"))
-    rest = stored(members.join(score, "cid").select("key", "cid", "score", F.col("cid").alias("comp")), "buckets")
-    verify = prepare(rest.select("cid").distinct())
-    edges = tested = labels = None
-    hubs = 1
-    while True:
-        live = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        rest = rest.join(live.select("key"), "key", "left_semi")
-        order = Window.partitionBy("key").orderBy(F.desc("score"), "cid")
-        top = stored(rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs), "hubs")
-        if top.isEmpty():
-            break
-        pairs = (
-            top.select("key", F.col("cid").alias("h"), F.col("comp").alias("hc"))
-            .join(rest, "key")
-            .where("h <> cid and hc <> comp")
-            .select(F.least("h", "cid").alias("a"), F.greatest("h", "cid").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(verify(pairs).select("a", "b"), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = connected(edges)
-        rest = stored(
-            rest.join(top.select("key", "cid"), ["key", "cid"], "left_anti").drop("comp")
-            .join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-            .select("key", "cid", "score", F.coalesce("root", "cid").alias("comp")),
-            "buckets",
-        )
-        hubs *= 4
-    return labels if labels is not None else items.select(F.col("cid").alias("node"), F.col("cid").alias("root")).limit(0)
+    buckets = flat.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("hub")).where("size > 1")
+    rest = stored(flat.join(buckets, "key").where("cid <> hub").select("key", "cid", "hub"), "buckets")
+    hubs = rest.select(F.col("hub").alias("cid")).distinct()
+    comparison = prepare(rest.select("cid").unionByName(hubs).distinct())
+    pairs = stored(rest.select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
+    labels = _relabelled(None, stored(comparison.verify(pairs).select("a", "b"), "links"))
+
+    left = rest.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    left = stored(left.select("key", "cid", F.coalesce("root", "cid").alias("comp")), "members")
+    live = left.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    live = live.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    split = left.join(live, "key").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    split = split.select("key", "cid", "comp", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    split = split.select("key", "cid", "comp", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
+    need = least_matches(comparison.threshold / 100, VALUES, BATCH, comparison.miss)
+    sets, threshold = comparison.sets, comparison.threshold
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, group, held = MinHasher(VALUES, 13), None, []
+
+        def links() -> pa.RecordBatch:
+            cids, comps, sides, payloads = zip(*held)
+            found = linked_in_block(comps, sides, sets(list(payloads)), threshold, need, hashes) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([cids[x] for x, _ in found], pa.int64()), pa.array([cids[y] for _, y in found], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for key, lo, hi, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, lo, hi) != group:
+                    if held:
+                        yield links()
+                    group, held = (key, lo, hi), []
+                held.append(row)
+        if held:
+            yield links()
+
+    rows = split.join(comparison.payload, "cid").select("key", "lo", "hi", "cid", "comp", "side", "payload")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return _relabelled(labels, stored(rows.mapInArrow(resolve, "a bigint, b bigint"), "links"))

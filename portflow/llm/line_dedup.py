@@ -19,7 +19,7 @@ numbers; rows that repeat a doc_id are lines of their own that share the id, and
 gives no rows; other columns are ignored.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .common import band_keys, banded_components, mix, prefix_hash, semi_by, small_enough, span_hashes, stored, text_slices
+from .common import Comparison, band_keys, banded_components, mix, powers, prefix_hash, semi_by, small_enough, span_hashes, stored, text_slices
 
 SHINGLE = 8
 THRESHOLD = 80  # per cent
@@ -39,6 +39,24 @@ _OTHER_BYTE = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 64, 256,
 _EMPTY = np.uint64(0xFFFFFFFF)
 
 
+def _trimmed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without white space at their ends; a span of nothing else ends where it starts."""
+    a, b = start.copy(), end.copy()
+    for _ in range(8):  # nearly all lines have little of it
+        i = np.flatnonzero((a < b) & C._SPACE[data[np.minimum(a, len(data) - 1)]])
+        j = np.flatnonzero((a < b) & C._SPACE[data[b - 1]])
+        if not len(i) and not len(j):
+            return a, b
+        a[i] += 1
+        b[j] = np.maximum(b[j] - 1, a[j])
+    solid = np.flatnonzero(~C._SPACE[data])
+    i, j = np.searchsorted(solid, start), np.searchsorted(solid, end)
+    a, b = start.copy(), start.copy()
+    some = j > i
+    a[some], b[some] = solid[i[some]], solid[j[some] - 1] + 1
+    return a, b
+
+
 class Slice:
     """The lines of some rows: row, line number, byte and character spans, digests."""
 
@@ -48,17 +66,17 @@ class Slice:
         starts = np.unique(np.concatenate([off[:-1], np.flatnonzero(feed) + 1]))
         starts = starts[starts < len(data)]
         ends = np.concatenate([starts[1:], [len(data)]]) if len(starts) else starts
-        solid = np.flatnonzero(~C._SPACE[data])
-        a, b = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
         self.row = np.searchsorted(off, starts, "right") - 1
         first = np.searchsorted(starts, off[:-1])
         self.number = np.arange(len(starts)) - first[self.row]
+        a, b = _trimmed(data, starts, ends)
         some = b > a
         self.row, self.number = self.row[some], self.number[some]
-        self.start, self.end = solid[a[some]], solid[b[some] - 1] + 1
+        self.start, self.end = a[some], b[some]
         self.prefix = prefix_hash(C._BYTE[data])
         chars = np.flatnonzero((data & 0xC0) != 0x80)
         self.chars = np.concatenate([chars, [len(data)]])
+        self.all: tuple[int, np.ndarray] | None = None
         self.c0 = np.searchsorted(chars, self.start)
         self.c1 = np.searchsorted(chars, self.end)
         # a line may end inside a character only in broken UTF-8, which Spark strings do not hold
@@ -70,11 +88,18 @@ class Slice:
 
     def shingles(self, k: int, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, where each of ``lines`` begins among them, and the end)."""
+        if self.all is None or self.all[0] != k:  # of the whole slice at once; those across line ends are never taken
+            a, b = self.chars[:-k], self.chars[k:]
+            self.all = k, mix((self.prefix[b] - self.prefix[a]) * powers(C._PINV, len(self.prefix))[a])
         n = np.maximum(1, self.c1[lines] - self.c0[lines] - k + 1)
         at = np.concatenate([[0], np.cumsum(n)])
         i = np.arange(at[-1]) + np.repeat(self.c0[lines] - at[:-1], n)
-        j = np.minimum(i + k, np.repeat(self.c1[lines], n))
-        return span_hashes(self.prefix, self.chars[i], self.chars[j]), at
+        short = self.c1[lines] - self.c0[lines] < k
+        if not short.any():
+            return self.all[1][i], at
+        h = self.all[1][np.minimum(i, len(self.all[1]) - 1)] if len(self.all[1]) else np.zeros(len(i), np.uint64)
+        h[at[:-1][short]] = span_hashes(self.prefix, self.start[lines[short]], self.end[lines[short]])
+        return h, at
 
 
 def _minima(h: np.ndarray, at: np.ndarray, values: int) -> np.ndarray:
@@ -126,8 +151,17 @@ def line_keys(s: Slice, k: int, bands: int, rows: int, short: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
 
-def _lines(docs: DataFrame, keyed: bool, k: int, bands: int, rows: int, short: int) -> DataFrame:
-    """A row a line: doc_id, text_hash, line_no, d1, d2 and, if asked for, keys."""
+def line_sets(lines: list[bytes], k: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of each of some lines."""
+    off = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])
+    off[-1] -= 1
+    s = Slice(np.frombuffer(b"\n".join(lines), np.uint8), off)
+    h, at = s.shingles(k, np.arange(len(s.row)))
+    return [np.unique(h[x:y]) for x, y in zip(at[:-1], at[1:])]
+
+
+def _lines(docs: DataFrame, k: int, bands: int, rows: int, short: int) -> DataFrame:
+    """A row a line: doc_id, text_hash, line_no, d1, d2, keys."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,13 +170,10 @@ def _lines(docs: DataFrame, keyed: bool, k: int, bands: int, rows: int, short: i
                 if not len(s.row):
                     continue
                 row = pa.array(first + s.row)
-                cols = [b.column(0).take(row), b.column(2).take(row), pa.array(s.number, pa.int64()), *map(pa.array, s.digests())]
-                names = ["doc_id", "text_hash", "line_no", "d1", "d2"]
-                if keyed:
-                    cols, names = [*cols, line_keys(s, k, bands, rows, short)], [*names, "keys"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols = [b.column(0).take(row), b.column(2).take(row), pa.array(s.number, pa.int64()), *map(pa.array, s.digests()), line_keys(s, k, bands, rows, short)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "line_no", "d1", "d2", "keys"])
 
-    schema = "doc_id bigint, text_hash bigint, line_no bigint, d1 bigint, d2 bigint" + ", keys array<bigint>" * keyed
+    schema = "doc_id bigint, text_hash bigint, line_no bigint, d1 bigint, d2 bigint, keys array<bigint>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(read, schema)
 
 
@@ -154,10 +185,11 @@ def fuzzy_lines(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, b
     """
     text = docs.select("doc_id", "text")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    own = _lines(text, True, k, bands, rows, short).groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("keys").alias("keys"))
+    every = stored(_lines(text, k, bands, rows, short), "every-line")
+    own = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("keys").alias("keys"))
     items = stored(own.withColumn("cid", F.monotonically_increasing_id()), "lines")
 
-    def prepare(cids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def prepare(cids: DataFrame) -> Comparison:
         picked = stored(cids.join(items.select("cid", "first.doc_id", "d1", "d2"), "cid"), "candidates")
         ids = picked.select("cid", "d1", "d2")
         ids = F.broadcast(ids) if small_enough(ids) else ids
@@ -174,29 +206,26 @@ def fuzzy_lines(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, b
         profiles = stored(found.dropDuplicates(["cid"]).select("cid", "line"), "profiles")
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def sets(column: pa.Array) -> Iterator[np.ndarray]:
-                lines = column.to_pylist()
-                data = np.frombuffer(b"\n".join(lines), np.uint8)
-                off = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])
-                off[-1] -= 1
-                h, at = (s := Slice(data, off)).shingles(k, np.arange(len(s.row)))
-                for i, j in zip(at[:-1], at[1:]):
-                    yield np.unique(h[i:j])
-
             for b in batches:
-                for i in range(0, len(b), 512):
-                    part = b.slice(i, 512)
+                for i in range(0, len(b), 1024):
+                    part = b.slice(i, 1024)
+                    ids = np.concatenate([part.column(0).to_numpy(), part.column(1).to_numpy()])
+                    _, one, which = np.unique(ids, return_index=True, return_inverse=True)  # a hub's line is cut once
+                    lines = [*part.column(2).to_pylist(), *part.column(3).to_pylist()]
+                    lines = [lines[j] for j in one.tolist()]
+                    sets = line_sets(lines, k)
                     linked = []
-                    for x, y in zip(sets(part.column(2)), sets(part.column(3))):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        linked.append(100 * both >= threshold * (len(x) + len(y) - both))
+                    for x, y in zip(which[: len(part)].tolist(), which[len(part) :].tolist()):
+                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        linked.append(100 * both >= threshold * (len(sets[x]) + len(sets[y]) - both))
                     yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in part.columns[:2]], names=["a", "b"])
 
         def verify(pairs: DataFrame) -> DataFrame:
             x, y = (profiles.select(F.col("cid").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
             return pairs.join(y, "b").join(x, "a").select("a", "b", "line_a", "line_b").mapInArrow(confirm, "a bigint, b bigint")
 
-        return verify
+        payload = profiles.select("cid", F.col("line").alias("payload"))
+        return Comparison(verify, payload, lambda lines: line_sets(lines, k), threshold, miss=1e-7)
 
     roots = banded_components(items.select("cid", "keys"), prepare)
     reached = items.select("cid", "d1", "d2", "n", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
@@ -205,7 +234,7 @@ def fuzzy_lines(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, b
     named = alike.join(keep, "root").select("d1", "d2", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
     named = stored(named, "named")
     named = F.broadcast(named) if small_enough(named) else named
-    out = _lines(text, False, k, bands, rows, short).join(named, ["d1", "d2"])
+    out = every.select("doc_id", "text_hash", "line_no", "d1", "d2").join(named, ["d1", "d2"])
     kept = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))
     return out.select("doc_id", "line_no", "keep_doc_id", "keep_line_no", kept.alias("kept"), "text_hash")
 

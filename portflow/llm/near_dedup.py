@@ -19,8 +19,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from math import comb
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MinHasher, band_keys, banded_components, digest, semi_by, shingle_set, small_enough, stored, text_slices, word_hashes
+from .common import BATCH, MISS, VALUES, Comparison, MinHasher, band_keys, banded_components, digest, least_matches, semi_by, shingle_set, small_enough, stored, text_slices, word_hashes
 
 THRESHOLD = 80  # per cent
 BANDS, ROWS = 20, 5
-VALUES, BATCH, MISS = 256, 32, 0.001
 
 _SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 _SETS_SQL = "row bigint, doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"
@@ -47,22 +45,6 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield shingle_set(words[at[i] : at[i + 1]], k)
 
 
-def least_matches(threshold: float, values: int, batch: int, miss: float) -> dict[int, int]:
-    """For n = batch, 2 batch, ...: the least number of equal values at which P(similarity >= threshold) >= miss.
-
-    For a Beta(m + 1, n - m + 1) posterior, that probability is the chance of at most m successes in n + 1 draws.
-    """
-    out = {}
-    for n in range(batch, values + 1, batch):
-        below, m = 0.0, 0
-        for m in range(n + 1):
-            below += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
-            if below >= miss:
-                break
-        out[n] = m
-    return out
-
-
 def prune(a: np.ndarray, b: np.ndarray, need: dict[int, int]) -> np.ndarray:
     """Which pairs of signatures (row by row) survive all batches; a pruned pair is not compared further."""
     alive = np.arange(len(a))
@@ -100,7 +82,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, threshold: int = THRESHOLD, ban
     classes = stored(own, "classes")
     items = full.select("row", "keys").join(classes.select(F.col("cid").alias("row")), "row").select(F.col("row").alias("cid"), "keys")
 
-    def prepare(cids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def prepare(cids: DataFrame) -> Comparison:
         picked = stored(cids.join(full.select(F.col("row").alias("cid"), "doc_id", "d1", "d2"), "cid"), "candidates")
 
         def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +127,8 @@ def near_duplicates(docs: DataFrame, k: int = 2, threshold: int = THRESHOLD, ban
             alive = stored(with_both(pairs, "signature").mapInArrow(compare, "a bigint, b bigint"), "survivors")
             return with_both(alive, "shingles").mapInArrow(confirm, "a bigint, b bigint")
 
-        return verify
+        payload = profiles.select("cid", F.col("shingles").alias("payload"))
+        return Comparison(verify, payload, lambda sets: [np.frombuffer(s, np.uint64) for s in sets], threshold)
 
     roots = banded_components(items, prepare)
     reached = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("d1", "d2", "least_id", "n_class", F.coalesce("root", "cid").alias("root"))

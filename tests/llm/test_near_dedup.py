@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from portflow.llm import common as C
 from portflow.llm import near_dedup as N
@@ -55,7 +56,9 @@ def corpus(seed):
     return rows
 
 
-def test_components_match_brute_force(spark):
+@pytest.mark.parametrize("block", [512, 9])
+def test_components_match_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", block)  # large buckets go in pairs of blocks
     rows = corpus(2)
     df = spark.createDataFrame([(d, t, 5, "r") for d, t in rows], "doc_id long, text string, cid long, root string").repartition(7)
     got = N.near_duplicates(df).collect()
@@ -75,7 +78,7 @@ def test_pipeline_form_keeps_one_of_each_group(spark):
 
 
 def test_pruning_bounds():
-    need = N.least_matches(0.8, 256, 32, 0.001)
+    need = C.least_matches(0.8, 256, 32, 0.001)
     assert list(need) == list(range(32, 257, 32)) and all(0.5 < m / n < 0.8 for n, m in need.items())
     g = np.random.default_rng(0)
     a = g.integers(0, 1 << 30, (4000, 256)).astype(np.uint32)
