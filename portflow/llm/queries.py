@@ -58,7 +58,29 @@ select query_id, rank::int as rank, vec_id, score from k where rank <= 20
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("n_class")
+
+
+ORACLE["op3_near_duplicates"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents
+), s as (
+  select doc_id, unnest(case when len(ws) < 2 then ws else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end) as g from w
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all
+), e as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), both_ways as (
+  select a as u, b as v from e union all select b, a from e
+), reach(doc_id, other) as (
+  select doc_id, doc_id from w union select both_ways.v, reach.other from reach join both_ways on both_ways.u = reach.doc_id
+)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, r.component_id, w.doc_id = r.component_id as kept
+from w left join n on n.doc_id = w.doc_id join (select doc_id, min(other) as component_id from reach group by doc_id) r on r.doc_id = w.doc_id
+"""
 
 
 @query
