@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from portflow.functions.fmt import compact, py_fixed, py_round_scaled, signed_pct
 from portflow.functions.text import unicode_trim
+from portflow.sources.sinks import through_storage
 
 # Rule thresholds of the notable-change detector.
 DELTA_THRESHOLD_PCT = 5.0
@@ -670,6 +671,34 @@ def snapshot_lines(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def panel_rows(daily: DataFrame, routes: DataFrame, ports: DataFrame, lookbacks: list[str] | None = None, end_date: str | None = None,
+               kpi_window_days: int = 7, snapshot_ts: Column | None = None) -> DataFrame:
+    """PAN-U: one auto-panel row per lookback, as the scheduled writer stores them.
+
+    The end is the newest day, or ``end_date`` if that is earlier; a lookback
+    (``full``, ``year`` or days, at least 7; 90 by default) is clipped to the
+    days there are. All three frames are cut to the window and stored (each is
+    read many times); corridors are read without vehicles on this path, so
+    vehicles are 0 and break no ties.
+    """
+    d = F.col("service_date")
+    last = F.max(d) if end_date is None else F.least(F.lit(end_date).cast("date"), F.max(d))
+    span = F.datediff(last, F.min(d)) + 1
+    out = None
+    for token in lookbacks or ["90"]:
+        days = F.least(_resolve_lookback(token, span), span)
+        start, end = daily.agg(F.date_sub(last, days - 1)).scalar(), daily.agg(last).scalar()
+        dv, rv, pv = (
+            through_storage(df.where((d >= start) & (d <= end)), f"panel-{name}")
+            for name, df in (("daily", daily), ("routes", routes.drop("total_vehicles")), ("ports", ports))
+        )
+        ctx = panel_context(dv, rv, pv, kpi_window_days)
+        version, notable = py_data_version(dv, rv).scalar(), notable_change(dv, rv).select("should_trigger").scalar()
+        row = panel_snapshot_row(ctx, version, notable, snapshot_ts)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def panel_cache_match(lines: DataFrame, current_start: Column, current_end: Column, default_scope: Column) -> DataFrame:
     """PAN-V: reuse the cached panel when the default scope is shown and its KPI dates equal the current 7 days."""
     return lines.select(

@@ -304,6 +304,24 @@ _SNAP = ("snapshot_ts, chart_id, insight_type, data_version, filter_hash, title,
 cte("snaptab", ("sdeep", "ppanel"), f"SELECT {_SNAP} FROM sdeep UNION ALL SELECT {_SNAP} FROM ppanel")
 
 PANEL_SNAPSHOT_SQL = with_ctes(f"SELECT {_SNAP} FROM ppanel", "ppanel")
+
+
+def writer_sql(end: str, lookbacks: list[int]) -> str:
+    """Panel rows over windows of the day tables that end on ``end`` or on the newest day before it."""
+    parts = []
+    for days in lookbacks:
+        window = (f"service_date BETWEEN (SELECT greatest(min(service_date), CAST(least(DATE '{end}', max(service_date)) - {days - 1} AS DATE)) "
+                  f"FROM row_counts_daily) AND (SELECT least(DATE '{end}', max(service_date)) FROM row_counts_daily)")
+        parts.append(with_ctes(f"SELECT {_SNAP} FROM ppanel", "ppanel", instead={
+            "daily": (("row_counts_daily",), f"SELECT * FROM row_counts_daily WHERE {window}"),
+            "routes": (("fct_route_daily", "row_counts_daily"),
+                       "SELECT service_date, departure_port, arrival_port, traffic_record_count, total_passengers, "
+                       f"CAST(0 AS BIGINT) AS total_vehicles FROM fct_route_daily WHERE {window}"),
+            "ports": (("fct_port_daily", "row_counts_daily"), f"SELECT * FROM fct_port_daily WHERE {window}"),
+        }))
+    return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+
+
 LOOKUP_SQL = with_ctes(
     f"""SELECT {_SNAP} FROM snaptab WHERE chart_id = 'agent_panel' AND data_version = (SELECT data_version FROM pversion)
         AND (filter_hash = '0000000000000000' OR filter_hash IS NULL) AND insight_type = 'auto_panel'

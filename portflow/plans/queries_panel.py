@@ -187,6 +187,17 @@ def q_panel_snapshot(spark, sf_dir):
     return _panel_row(m).select(*_SNAP_OUT)
 
 
+WRITER_END = "2000-06-30"
+
+
+@register("panel_writer")
+def q_panel_writer(spark, sf_dir):
+    """PAN-U: the rows that the scheduled writer stores for two lookbacks and an end date before the newest day."""
+    m = _frames(spark, sf_dir)[0]
+    rows = P.panel_rows(m.daily, m.routes, m.ports, ["90", "30"], WRITER_END, snapshot_ts=F.lit(PANEL_TS).cast("timestamp_ntz"))
+    return rows.select(*_SNAP_OUT)
+
+
 @register("live_report")
 def q_live_report(spark, sf_dir):
     m = _frames(spark, sf_dir)[0]
@@ -293,6 +304,7 @@ def _attach_more_oracles():
 
     ORACLE.update({
         "panel_snapshot": O.PANEL_SNAPSHOT_SQL,
+        "panel_writer": O.writer_sql(WRITER_END, [90, 30]),
         "panel_report": O.with_ctes(
             "SELECT title, summary, facts, anomalies, comparisons, recommendations, report_text, insight_text FROM preport", "preport"),
         "snapshot_lookup": O.LOOKUP_SQL,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,15 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     writer.parquet(path)
 
 
+def through_storage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a folder of its own under the session's shared checkpoint folder and read it back."""
+    from portflow.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/portflow-{name}-{uuid.uuid4().hex[:12]}"
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_landing(df: DataFrame, path: str) -> None:
     """SRC5: append to the landing table; re-landed copies are resolved downstream by hash."""
     df.write.mode("append").parquet(path)
