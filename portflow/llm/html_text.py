@@ -17,7 +17,7 @@ extracted each; an empty table gives no rows; other columns are ignored.
 import html
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,8 @@ OTHER_NAMES = frozenset("""nav navbar navigation menu breadcrumb breadcrumbs sid
     advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr privacy notice notices notification popup modal overlay newsletter
     subscribe subscription signup signin login register search share sharing social follow comment comments disqus reply replies respond responses discussion
     feedback related recommended recommendations trending popular pagination pager widget toolbar skip hidden copyright legal disclaimer form""".split())
-ARTICLE_NAMES = frozenset("article articlebody content main post entry story text body page wrapper container layout grid row col column columns".split())
+# Words that make a name speak about a layout ("with-sidebar") and not about the container.
+LAYOUT_WORDS = frozenset("has with no without".split())
 
 FEATURES = ("place", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after", "article_on_page")
 # The labelled table: features as above (place: -1 other, 0 unnamed, 1 article), then 1 for article blocks.
@@ -116,6 +117,13 @@ def is_article(tree: tuple, features: tuple) -> bool:
     return tree[0] >= 0.5
 
 
+@lru_cache(maxsize=4096)
+def _names_other(name: str) -> bool:
+    """Whether a class name or id is that of something other than an article: by its first or last word."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    return bool(words) and (words[0] in OTHER_NAMES or words[-1] in OTHER_NAMES) and not LAYOUT_WORDS.intersection(words)
+
+
 def _place(tag: str, attributes: str, inside: int) -> int:
     """Where the content of a container stands, given where the container itself stands."""
     if inside < 0 or tag in ("html", "body"):
@@ -124,17 +132,14 @@ def _place(tag: str, attributes: str, inside: int) -> int:
         return -1
     if not attributes.strip("/ \t\n"):
         return 1 if tag in ARTICLE else inside
-    names: set[str] = set()
     for k, a, b, c in _ATTRIBUTE.findall(attributes):
         k, v = k.lower(), a or b or c
-        if k in ("class", "id"):
-            names.update(w.lower() for w in _NAME.findall(v))
-        elif k == "role" and v.lower() in OTHER_ROLES or k == "hidden" or (k, v.lower()) == ("aria-hidden", "true") or k == "style" and "display:none" in v.replace(" ", "").lower():
+        if k in ("class", "id") and tag != "main" and any(map(_names_other, v.split())):
             return -1
-        elif (k, v.lower()) == ("role", "main") or (k, v.lower()) == ("itemprop", "articlebody"):
+        if k == "role" and v.lower() in OTHER_ROLES or k == "hidden" or (k, v.lower()) == ("aria-hidden", "true") or k == "style" and "display:none" in v.replace(" ", "").lower():
+            return -1
+        if (k, v.lower()) == ("role", "main") or (k, v.lower()) == ("itemprop", "articlebody"):
             return 1
-    if names & OTHER_NAMES and (tag == "article" or not names & ARTICLE_NAMES):
-        return -1
     return 1 if tag in ARTICLE else inside
 
 

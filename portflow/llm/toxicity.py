@@ -33,7 +33,7 @@ from .common import stored
 
 SAMPLE = 30_000  # labelled rows to learn from, at most
 LOWEST = 1.5  # least log-odds, less two standard errors, of an insult
-TERMS = 5_000  # strongest insults kept (words and beginnings)
+TERMS = 5_000  # strongest insults kept (words and beginnings), out of at most 20 times as many candidates
 SUPPORT = 3  # toxic documents that hold an insult, at least
 BEGINNINGS = (4, 5, 6)
 

@@ -19,6 +19,14 @@ def test_named_parts_go_and_the_article_stays():
     assert H.main_text(page).split("\n\n") == ["The & title", "First para\xadgraph with a link.", "Second <b> one", "Short.", "A caption."]
 
 
+def test_names_of_containers():
+    for name in ("footer container", "sidebar-left", "entry-footer", "post-comments", "adSlot ad-slot", "main-nav", "cookieBar", "is-hidden", "comment-content"):
+        assert H.main_text(f'<article><p>Kept text.</p><div class="{name}"><p>Gone text.</p></div></article>') == "Kept text.", name
+    for name in ("has-sidebar", "content-with-sidebar", "post-content", "container", "no-ads", "entry", "thread article-header"):
+        assert H.main_text(f'<article><div id="{name}"><p>Kept text.</p></div></article>') == "Kept text.", name
+    assert H.main_text('<main class="page sidebar"><p>Kept text.</p></main>') == "Kept text."
+
+
 def test_pages_without_names():
     long = "word " * 40
     page = f"<body><ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>Mail us</a></ul><h1>A title</h1><p>{long}<p>Some words.<p>{long}<ul><li><a href=a>Imprint</a><li><a href=b>Terms</a></ul>"
