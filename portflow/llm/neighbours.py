@@ -9,7 +9,7 @@ precision. A heap of k pairs a query is merged over a task's tiles, and Spark ke
 
 No pair is dropped that could be among the k nearest: the result is exact, recall against brute force is 1. Work is
 queries x rows / tile, shared evenly: base blocks have at most ``BASE`` vectors whatever their values, so equal
-vectors of any number spread over blocks. Query blocks are sent once to each group of ``GROUP`` base blocks.
+vectors of any number spread over blocks. Query blocks are sent once to each group of about ``GROUP`` base blocks.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without a vec_id, take
 no part; rows with the query's own vec_id are no candidates of it; vectors are compared with those of the same
@@ -106,11 +106,10 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = NEAREST) -> DataFrame:
     """The ``k`` rows of ``base`` with the largest inner product for each row of ``queries`` (vec_id, embedding):
     query_id, rank (from 1), vec_id, score."""
     b = stored(blocks(base, BASE), "base-blocks")
-    numbers = b.select("dim", "block").withColumn("number", F.row_number().over(Window.partitionBy("dim").orderBy("block")) - 1)  # a row a block
-    b = b.join(numbers, ["dim", "block"]).withColumn("part", F.floor(F.col("number") / GROUP))
-    parts = numbers.groupBy("dim").agg(F.max(F.floor(F.col("number") / GROUP)).alias("last"))
+    parts = stored(b.groupBy("dim").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts")), "parts")  # a row a dimension
+    b = b.join(parts, "dim").withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")))
     q = stored(blocks(queries, QUERIES), "query-blocks").join(parts, "dim")
-    q = q.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("part"))
+    q = q.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     pairs = q.join(b, ["dim", "part"]).select("q_block", "dim", "q_ids", "q_vectors", "ids", "vectors")
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
