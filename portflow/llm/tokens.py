@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from array import array
 
-MEMO = 400_000
+MEMO = 500_000
 
 # The split pattern of the tokenizer's pre-tokenizer (letters, digits, other signs, white space).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
