@@ -8,6 +8,7 @@ names; a lost executor costs the running stage only.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import tempfile
@@ -54,12 +55,15 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set(mark, spark.sparkContext.applicationId)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back: cuts the lineage, survives lost executors.
+
+    Hashes do not compress: tables of hashes are written without trying.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -75,6 +79,29 @@ def semi_by(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     return df.join(k, df[col].eqNullSafe(k["_k"]), "left_semi")
 
 
+def tidy(fn: Callable) -> Callable:
+    """``fn`` over batches; then gives the task's memory back to the system, as workers live on for other tasks."""
+
+    def run(batches):
+        yield from fn(batches)
+        _release()
+
+    return run
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:  # glibc alone has it
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):
+    _libc = None
+
+
 # --- bytes, words and shingles of one Arrow batch -------------------------------------------------------------------
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -258,6 +285,7 @@ def least_matches(threshold: float, values: int, batch: int, miss: float) -> dic
 
 VALUES, BATCH, MISS = 256, 32, 0.001
 BLOCK = 512  # members of a bucket that are compared in one task, on either side
+TOGETHER = 2 << 20  # bytes of small blocks that are worked on together
 
 
 def linked_in_block(comps: list[int], sides: list[int], sets: list[np.ndarray], threshold: int, need: dict[int, int], hashes: MinHasher) -> list[tuple[int, int]]:
@@ -330,7 +358,9 @@ def banded_components(items: DataFrame, prepare: Callable[[DataFrame], Compariso
 
     left = rest.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     left = stored(left.select("key", "cid", F.coalesce("root", "cid").alias("comp")), "members")
-    live = left.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    who = [F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(f"who{i}") for i in (0, 1)]
+    live = left.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *who).where("lo <> hi")
+    live = live.groupBy("size", "lo", "hi", "who0", "who1").agg(F.min("key").alias("key"))  # buckets of the same members are one
     live = live.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     split = left.join(live, "key").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     split = split.select("key", "cid", "comp", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -339,23 +369,32 @@ def banded_components(items: DataFrame, prepare: Callable[[DataFrame], Compariso
     sets, threshold = comparison.sets, comparison.threshold
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, group, held = MinHasher(VALUES, 13), None, []
+        hashes, group, blocks, size = MinHasher(VALUES, 13), None, [], 0
 
         def links() -> pa.RecordBatch:
-            cids, comps, sides, payloads = zip(*held)
-            found = linked_in_block(comps, sides, sets(list(payloads)), threshold, need, hashes) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([cids[x] for x, _ in found], pa.int64()), pa.array([cids[y] for _, y in found], pa.int64())], names=["a", "b"])
+            one = {cid: payload for block in blocks for cid, _, _, payload in block}  # an item of several blocks is cut once
+            made = dict(zip(one, sets(list(one.values()))))
+            out = []
+            for block in blocks:
+                if len(block) > 1:
+                    cids, comps, sides, _ = zip(*block)
+                    found = linked_in_block(comps, sides, [made[c] for c in cids], threshold, need, hashes)
+                    out += [(cids[x], cids[y]) for x, y in found]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for b in batches:
             for key, lo, hi, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if (key, lo, hi) != group:
-                    if held:
+                    if size > TOGETHER:
                         yield links()
-                    group, held = (key, lo, hi), []
-                held.append(row)
-        if held:
+                        blocks, size = [], 0
+                    group = key, lo, hi
+                    blocks.append([])
+                blocks[-1].append(row)
+                size += 200 + len(row[-1])
+        if blocks:
             yield links()
 
     rows = split.join(comparison.payload, "cid").select("key", "lo", "hi", "cid", "comp", "side", "payload")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return _relabelled(labels, stored(rows.mapInArrow(resolve, "a bigint, b bigint"), "links"))
+    return _relabelled(labels, stored(rows.mapInArrow(tidy(resolve), "a bigint, b bigint"), "links"))

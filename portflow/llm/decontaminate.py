@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_slices, word_hashes
+from .common import mix, text_slices, word_hashes, tidy
 
 MAX_EDIT = 0.2
 MIN_WORDS = 5
@@ -246,7 +246,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "edits", "first_word", "end_word"])
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(find, schema))
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(tidy(find), schema))
     return out
 
 

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|title|head(?=[\s>]))\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
@@ -222,4 +224,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(p.as_py()) for p in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(read, "page_id bigint, url string, text string, n_chars bigint")
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(read), "page_id bigint, url string, text string, n_chars bigint")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix, text_slices, word_hashes
+from .common import mix, text_slices, word_hashes, tidy
 
 MIN_MATCH = 4
 COVERED = 0.75
@@ -237,4 +237,4 @@ def scan(docs: DataFrame) -> DataFrame:
             cols = list(zip(*_scanner[0].scan(b.column(1)))) or [[]] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(read), "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")

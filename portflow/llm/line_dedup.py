@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .common import Comparison, band_keys, banded_components, mix, powers, prefix_hash, semi_by, small_enough, span_hashes, stored, text_slices
+from .common import Comparison, band_keys, banded_components, mix, powers, prefix_hash, semi_by, small_enough, span_hashes, stored, text_slices, tidy
 
 SHINGLE = 8
 THRESHOLD = 80  # per cent
@@ -174,7 +174,7 @@ def _lines(docs: DataFrame, k: int, bands: int, rows: int, short: int) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "line_no", "d1", "d2", "keys"])
 
     schema = "doc_id bigint, text_hash bigint, line_no bigint, d1 bigint, d2 bigint, keys array<bigint>"
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(read, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidy(read), schema)
 
 
 def fuzzy_lines(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, short: int = SHORT) -> DataFrame:
@@ -185,9 +185,9 @@ def fuzzy_lines(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, b
     """
     text = docs.select("doc_id", "text")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    every = stored(_lines(text, k, bands, rows, short), "every-line")
+    every = stored(_lines(text, k, bands, rows, short), "every-line", "uncompressed")
     own = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("keys").alias("keys"))
-    items = stored(own.withColumn("cid", F.monotonically_increasing_id()), "lines")
+    items = stored(own.withColumn("cid", F.monotonically_increasing_id()), "lines", "uncompressed")
 
     def prepare(cids: DataFrame) -> Comparison:
         picked = stored(cids.join(items.select("cid", "first.doc_id", "d1", "d2"), "cid"), "candidates")
@@ -202,7 +202,7 @@ def fuzzy_lines(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, b
                         continue
                     yield pa.RecordBatch.from_arrays([*map(pa.array, s.digests()), pa.array([data[x:y].tobytes() for x, y in zip(s.start, s.end)], pa.binary())], names=["d1", "d2", "line"])
 
-        found = semi_by(text, picked, "doc_id").select("text").mapInArrow(profile, "d1 bigint, d2 bigint, line binary").join(ids, ["d1", "d2"])
+        found = semi_by(text, picked, "doc_id").select("text").mapInArrow(tidy(profile), "d1 bigint, d2 bigint, line binary").join(ids, ["d1", "d2"])
         profiles = stored(found.dropDuplicates(["cid"]).select("cid", "line"), "profiles")
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def fuzzy_lines(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, b
 
         def verify(pairs: DataFrame) -> DataFrame:
             x, y = (profiles.select(F.col("cid").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-            return pairs.join(y, "b").join(x, "a").select("a", "b", "line_a", "line_b").mapInArrow(confirm, "a bigint, b bigint")
+            return pairs.join(y, "b").join(x, "a").select("a", "b", "line_a", "line_b").mapInArrow(tidy(confirm), "a bigint, b bigint")
 
         payload = profiles.select("cid", F.col("line").alias("payload"))
         return Comparison(verify, payload, lambda lines: line_sets(lines, k), threshold, miss=1e-7)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH, MISS, VALUES, Comparison, MinHasher, band_keys, banded_components, digest, least_matches, semi_by, shingle_set, small_enough, stored, text_slices, word_hashes
+from .common import BATCH, MISS, VALUES, Comparison, MinHasher, band_keys, banded_components, digest, least_matches, semi_by, shingle_set, small_enough, stored, text_slices, word_hashes, tidy
 
 THRESHOLD = 80  # per cent
 BANDS, ROWS = 20, 5
@@ -76,7 +76,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, threshold: int = THRESHOLD, ban
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SETS)], schema=_SETS)
 
     text = docs.select("doc_id", "text")
-    sets = stored(text.mapInArrow(sketch, _SETS_SQL), "shingles")
+    sets = stored(text.mapInArrow(tidy(sketch), _SETS_SQL), "shingles")
     full = sets.where("n_shingles > 0")
     own = full.groupBy("d1", "d2").agg(F.min("row").alias("cid"), F.min("doc_id").alias("least_id"), F.count("*").alias("n_class"))
     classes = stored(own, "classes")
@@ -101,7 +101,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, threshold: int = THRESHOLD, ban
 
         ids = picked.select("cid", "d1", "d2")
         ids = F.broadcast(ids) if small_enough(ids) else ids
-        found = semi_by(text, picked, "doc_id").select("text").mapInArrow(profile, _PROFILE_SQL).join(ids, ["d1", "d2"])
+        found = semi_by(text, picked, "doc_id").select("text").mapInArrow(tidy(profile), _PROFILE_SQL).join(ids, ["d1", "d2"])
         profiles = stored(found.dropDuplicates(["cid"]).select("cid", "signature", "shingles"), "profiles")
         need = least_matches(threshold / 100, values, batch, miss)
 
@@ -124,8 +124,8 @@ def near_duplicates(docs: DataFrame, k: int = 2, threshold: int = THRESHOLD, ban
             return pairs.join(y, "b").join(x, "a").select("a", "b", f"{column}_a", f"{column}_b")
 
         def verify(pairs: DataFrame) -> DataFrame:
-            alive = stored(with_both(pairs, "signature").mapInArrow(compare, "a bigint, b bigint"), "survivors")
-            return with_both(alive, "shingles").mapInArrow(confirm, "a bigint, b bigint")
+            alive = stored(with_both(pairs, "signature").mapInArrow(tidy(compare), "a bigint, b bigint"), "survivors")
+            return with_both(alive, "shingles").mapInArrow(tidy(confirm), "a bigint, b bigint")
 
         payload = profiles.select("cid", F.col("shingles").alias("payload"))
         return Comparison(verify, payload, lambda sets: [np.frombuffer(s, np.uint64) for s in sets], threshold)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 BASE, QUERIES, GROUP = 4096, 512, 16
 NEAREST = 20
@@ -99,7 +99,7 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
         for dim in list(held):
             yield row(dim)
 
-    return vectors.select("vec_id", F.col("embedding").cast("array<float>")).mapInArrow(pack, _BLOCK_SQL)
+    return vectors.select("vec_id", F.col("embedding").cast("array<float>")).mapInArrow(tidy(pack), _BLOCK_SQL)
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int = NEAREST) -> DataFrame:
@@ -138,6 +138,6 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = NEAREST) -> DataFrame:
         if query is not None:
             yield flush()
 
-    spread = pairs.mapInArrow(products, "query_id bigint, vec_id bigint, score double")
+    spread = pairs.mapInArrow(tidy(products), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return spread.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_enough, stored
+from .common import small_enough, stored, tidy
 from .tokens import default_vocabulary, encoder
 
 WINDOW = 1024
@@ -59,7 +59,7 @@ def measure(docs: DataFrame, window: int, vocabulary: str | None, end_id: int) -
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _LENGTHS)] if out else [pa.array([], f.type) for f in _LENGTHS], schema=_LENGTHS)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, _LENGTHS_SQL)
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), _LENGTHS_SQL)
 
 
 def combinations(window: int, step: int = TRIPLE_STEP) -> np.ndarray:
@@ -190,10 +190,10 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
             yield pa.RecordBatch.from_pylist([{k: x[k] for k in _PIECES.names} for x in p], _PIECES)
 
     narrow = rows.select("task", "row", "doc_id", "doc_tokens", "rest", "rank", "rest_crc32").join(before, ["task", "rest"])
-    rests = stored(narrow.select("task", "row", "doc_id", "doc_tokens", "rest", "rank", "rest_crc32", "before").mapInArrow(place, _PIECES_SQL), "rests")
+    rests = stored(narrow.select("task", "row", "doc_id", "doc_tokens", "rest", "rank", "rest_crc32", "before").mapInArrow(tidy(place), _PIECES_SQL), "rests")
     cut = rests.where("ids_crc32 is null")
     cut = F.broadcast(cut) if small_enough(cut) else cut
-    cut = rows.select("task", "row", "rest_ids").join(cut, ["task", "row"]).select(*_PIECES.names, "rest_ids").mapInArrow(checksum, _PIECES_SQL)
+    cut = rows.select("task", "row", "rest_ids").join(cut, ["task", "row"]).select(*_PIECES.names, "rest_ids").mapInArrow(tidy(checksum), _PIECES_SQL)
     full = (
         rows.where(F.size("full_crc32") > 0).join(full_from.select("task", "full_from"), "task")
         .select("doc_id", "doc_tokens", (F.col("full_from") + F.col("full_rank") + n_combined).alias("first"), F.posexplode("full_crc32").alias("j", "ids_crc32"))

@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .common import powers, prefix_hash, small_enough, span_hashes, stored, text_slices
+from .common import powers, prefix_hash, small_enough, span_hashes, stored, text_slices, tidy
 
 LENGTH, GRAM = 400, 200
-HOT = 10_000
-BATCH = 6_000  # contexts that are sorted together, unless one group has more
+HOT = 5_000
+BATCH = 2_000  # contexts that are sorted together, unless one group has more
 
 _OTHER_BYTE = np.random.Generator(np.random.PCG64(4711)).integers(1, 1 << 64, 256, dtype=np.uint64)
 
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 take = pa.array(first + row)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at - off[row]), pa.array(h.view(np.int64))], names=["doc_id", "x", "at", "h"])
 
-    found = shown.mapInArrow(find, "doc_id bigint, x bigint, at bigint, h bigint")
+    found = shown.mapInArrow(tidy(find), "doc_id bigint, x bigint, at bigint, h bigint")
     found = stored(found, "anchors")
     again = stored(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "again")
     places = found.join(again, "h")
@@ -243,14 +243,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                     at, h, is_hot = p.values()
                     a = max(0, at - reach)
                     out.append((h, is_hot, doc.as_py(), x.as_py(), at, at - a, data[a : at + length]))
-                    if len(out) == 20_000:
+                    if len(out) == 4_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
                         out = []
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    contexts = with_lists(shown, lists, "places").mapInArrow(cut, "h bigint, hot boolean, doc_id bigint, x bigint, at bigint, before int, context binary")
+    contexts = with_lists(shown, lists, "places").mapInArrow(tidy(cut), "h bigint, hot boolean, doc_id bigint, x bigint, at bigint, before int, context binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         if held:
             yield spans(held)
 
-    usual = contexts.where("not hot").select("h", "doc_id", "x", "at", "before", "context").repartition("h").sortWithinPartitions("h").mapInArrow(sort, _SPANS)
+    usual = contexts.where("not hot").select("h", "doc_id", "x", "at", "before", "context").repartition("h").sortWithinPartitions("h").mapInArrow(tidy(sort), _SPANS)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,7 +287,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 n = len(s)
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([doc] * n, pa.int64()), pa.array([x] * n, pa.int64()), pa.array(at - before + s)], names=["w1", "w2", "doc_id", "x", "a"])
 
-    each = contexts.where("hot").select("doc_id", "x", "at", "before", "context").mapInArrow(windows, "w1 bigint, w2 bigint, doc_id bigint, x bigint, a bigint").distinct()
+    each = contexts.where("hot").select("doc_id", "x", "at", "before", "context").mapInArrow(tidy(windows), "w1 bigint, w2 bigint, doc_id bigint, x bigint, a bigint").distinct()
     has_hot = not again.where(F.col("n") > hot).isEmpty()
     spans = usual
     if has_hot:
@@ -313,7 +313,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     shape = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     single = marked.where("m is null").select("doc_id", "x", "text")
-    part = with_lists(single, cover, "spans").select("doc_id", "text", "spans").mapInArrow(keep, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    part = with_lists(single, cover, "spans").select("doc_id", "text", "spans").mapInArrow(tidy(keep), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     zero = F.lit(0).cast("long")
     whole = lambda df: df.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.col("text").cast("binary").alias("kept"))
     gone = marked.where("m is not null").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept"))

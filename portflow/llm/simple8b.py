@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .tokens import default_vocabulary, encoder
 
 # Fixed values of the code: selector -> (values in a word, bits of each).
@@ -161,7 +161,7 @@ def write_ids(docs: DataFrame, name: str = "token-ids", vocabulary: str | None =
             yield row()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return stored(ordered.mapInArrow(blocks, _FILE_SQL), name)
+    return stored(ordered.mapInArrow(tidy(blocks), _FILE_SQL), name)
 
 
 def read_ids(files: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([shard] * len(ids), pa.int32()), pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x) for x in ids], pa.int64())], schema=_READ)
 
-    docs = files.select("shard", "ids_before", "doc_ids", "bytes").mapInArrow(decode, _READ_SQL)
+    docs = files.select("shard", "ids_before", "doc_ids", "bytes").mapInArrow(tidy(decode), _READ_SQL)
     # one row a shard: as many rows as the write had tasks
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     prior = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("prior"))

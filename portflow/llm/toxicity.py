@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 SAMPLE = 30_000  # labelled rows to learn from, at most
 LOWEST = 1.5  # least log-odds, less two standard errors, of an insult
@@ -160,7 +160,7 @@ def _counts(docs: DataFrame, known: set[str] | None) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select("text", "toxic").mapInArrow(count, "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return docs.select("text", "toxic").mapInArrow(tidy(count), "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def fold(doc_id):
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
             x = [f(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in x], pa.float64()) for i in range(3)] + [b.column(1).cast(pa.float64())], names=["a", "b", "c", "y"])
 
-    got = np.array(fit.select("text", "toxic").mapInArrow(vectors, "a double, b double, c double, y double").collect(), float).reshape(-1, 4)
+    got = np.array(fit.select("text", "toxic").mapInArrow(tidy(vectors), "a double, b double, c double, y double").collect(), float).reshape(-1, 4)
     if 0 < got[:, 3].sum() < len(got):
         model.coefficients = _logistic(got[:, :3], got[:, 3])
     return model
