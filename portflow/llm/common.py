@@ -11,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -79,16 +80,26 @@ def semi_by(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     return df.join(k, df[col].eqNullSafe(k["_k"]), "left_semi")
 
 
-def tidy(fn: Callable) -> Callable:
-    """``fn`` over batches; then gives the task's memory back to the system, as workers live on for other tasks."""
+def tidy(fn: Callable, encodes: bool = False) -> Callable:
+    """``fn`` over batches; then gives the task's memory back to the system, as workers live on for other tasks. A worker
+    whose task doesn't encode (``encodes``) also lets go of the tokenizer and its pieces."""
 
     def run(batches):
+        if not encodes:
+            _forget_tokenizers()
         yield from fn(batches)
         _release()
 
     return run
 
 
+def _forget_tokenizers() -> None:
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens is not None and tokens._encoders:
+        tokens._encoders.clear()
+        _release()
+
+
 def _release() -> None:
     pa.default_memory_pool().release_unused()
     if _libc is not None:

@@ -162,6 +162,7 @@ class Index:
             for i, row in enumerate(keys.tolist()):
                 for k in row:
                     self.keys.setdefault(k, []).append(i)
+        self.known = np.array(sorted(self.keys), np.uint64)
 
     def _pad(self, xs: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(xs), self.width), np.uint64)
@@ -191,13 +192,15 @@ class Index:
         for first, data, off in text_slices(column):
             words, rows = word_hashes(data, off)
             spots = self.windows(words, rows)
-            for a in range(0, len(spots), 4096):
-                part = spots[a : a + 4096]
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            for a in range(0, len(spots), 256):
+                part = spots[a : a + 256]
                 cut = [words[s : min(s + n, rows[d + 1])] for s, n, d in part.tolist()]
-                keys = sample_keys(self._pad(cut), part[:, 1], self.places).tolist()
-                best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                for (s, n, d), row in zip(part.tolist(), keys):
-                    for i in {i for k in row for i in self.keys.get(k, ()) if len(self.items[i]) == n}:
+                keys = sample_keys(self._pad(cut), part[:, 1], self.places)
+                met = np.isin(keys, self.known)
+                for w in np.flatnonzero(met.any(1)).tolist():
+                    s, n, d = part[w].tolist()
+                    for i in {i for k in keys[w][met[w]].tolist() for i in self.keys[k] if len(self.items[i]) == n}:
                         e = self.edits[i]
                         lo, hi = max(int(rows[d]), s - e), min(int(rows[d + 1]), s + n + e)
                         edits, end = edit_match(self.items[i], words[lo:hi])
@@ -206,7 +209,7 @@ class Index:
                             hit = (edits, lo + end - back - int(rows[d]), lo + end - int(rows[d]))
                             key = (first + d, i)
                             best[key] = min(best.get(key, hit), hit)
-                yield from ((d, i, *hit) for (d, i), hit in sorted(best.items()))
+            yield from ((d, i, *hit) for (d, i), hit in sorted(best.items()))
 
 
 def indexes(benchmark: DataFrame, max_edit: float = MAX_EDIT, min_words: int = MIN_WORDS, bits: int = BITS, recall: float = RECALL) -> Iterator[Index]:

@@ -59,7 +59,7 @@ def measure(docs: DataFrame, window: int, vocabulary: str | None, end_id: int) -
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _LENGTHS)] if out else [pa.array([], f.type) for f in _LENGTHS], schema=_LENGTHS)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(cut), _LENGTHS_SQL)
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut, encodes=True), _LENGTHS_SQL)
 
 
 def combinations(window: int, step: int = TRIPLE_STEP) -> np.ndarray:

@@ -161,7 +161,7 @@ def write_ids(docs: DataFrame, name: str = "token-ids", vocabulary: str | None =
             yield row()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return stored(ordered.mapInArrow(tidy(blocks), _FILE_SQL), name)
+    return stored(ordered.mapInArrow(tidy(blocks, encodes=True), _FILE_SQL), name)
 
 
 def read_ids(files: DataFrame) -> DataFrame:
