@@ -8,8 +8,8 @@ then finds its place from its rank among the rests of its length (a count within
 tasks), so nothing is sorted or gathered. Rests that no combination took are packed greedily one after the other
 into further windows and cut where a window ends: only the last window has padding.
 
-A task reads a text once and emits its length, the checksums of its full windows and the ids of its rest (less than a
-window); whole id lists are not stored.
+A task reads a text once and stores its ids with their count; a second pass over the stored ids cuts them into pieces,
+each with its place and its own ids. ``sequences`` joins the pieces of each sequence.
 
 Edge cases: a null text is empty and is packed as its end id; null or repeated doc_ids are documents of their own;
 an empty table gives no rows; other columns are ignored.
@@ -17,7 +17,6 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,30 +32,28 @@ WINDOW = 1024
 TRIPLE_STEP = 16  # the smallest part of an enumerated triple is a multiple of this
 SWEEPS = 30
 
-_LENGTHS = pa.schema([("task", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("rest", pa.int32()), ("rank", pa.int64()), ("full_rank", pa.int64()), ("full_crc32", pa.list_(pa.int64())), ("rest_crc32", pa.int64()), ("rest_ids", pa.binary())])
-_LENGTHS_SQL = "task int, row bigint, doc_id bigint, doc_tokens bigint, rest int, rank bigint, full_rank bigint, full_crc32 array<bigint>, rest_crc32 bigint, rest_ids binary"
+_LENGTHS = pa.schema([("task", pa.int32()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("rest", pa.int32()), ("rank", pa.int64()), ("full_rank", pa.int64()), ("ids", pa.binary())])
+_LENGTHS_SQL = "task int, doc_id bigint, doc_tokens bigint, rest int, rank bigint, full_rank bigint, ids binary"
 
 
 def measure(docs: DataFrame, window: int, vocabulary: str | None, end_id: int) -> DataFrame:
-    """A row a document: its ids counted, cut at full windows. ``rank`` and ``full_rank`` count the rests of the same
-    length and the full windows that the task has had before."""
+    """A row a document: its ids (little-endian unsigned 32-bit, the end id last) and their count. ``rank`` and
+    ``full_rank`` count the rests of the same length and the full windows that the task has had before."""
     path = vocabulary or default_vocabulary()
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, row, fulls = encoder(path).encode, TaskContext.get().partitionId(), 0, 0
+        enc, task, fulls = encoder(path).encode, TaskContext.get().partitionId(), 0
         seen = np.zeros(window, np.int64)
         for b in batches:
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = enc(t.as_py()) + end
                 n = len(ids) // 4
-                rest, full = n % window, 4 * (n - n % window)
-                crcs = [zlib.crc32(ids[k : k + 4 * window]) for k in range(0, full, 4 * window)]
-                out.append((task, row, i, n, rest, int(seen[rest]), fulls, crcs, zlib.crc32(ids[full:]), ids[full:]))
+                rest = n % window
+                out.append((task, i, n, rest, int(seen[rest]), fulls, ids))
                 seen[rest] += 1
-                fulls += len(crcs)
-                row += 1
+                fulls += n // window
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _LENGTHS)] if out else [pa.array([], f.type) for f in _LENGTHS], schema=_LENGTHS)
 
     return docs.select("doc_id", "text").mapInArrow(tidy(cut, encodes=True), _LENGTHS_SQL)
@@ -131,13 +128,14 @@ def slots(combos: np.ndarray, repeats: np.ndarray, window: int) -> dict[int, tup
     return {v: (np.cumsum([u[0] for u in us]), np.array([u[1] for u in us]), np.array([u[2] for u in us]), np.array([u[0] for u in us])) for v, us in out.items()}
 
 
-_PIECES = pa.schema([("task", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-_PIECES_SQL = "task int, row bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+_PIECES_SQL = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
-    """Pieces of all documents (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """Pieces of all documents (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
+    the piece's ids (little-endian unsigned 32-bit), of which ids_crc32 is the checksum.
 
     Sequence ids: first those of the combinations, then full windows of long documents, then the greedy ones.
     """
@@ -156,47 +154,49 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
 
     earlier = Window.partitionBy("rest").orderBy("task")  # a row a task in each
     before = counts.select("task", "rest", (F.sum("n").over(earlier) - F.col("n")).alias("before"))
-    fulls = rows.groupBy("task").agg(F.sum(F.size("full_crc32").cast("long")).alias("fulls"))
+    fulls = rows.groupBy("task").agg(F.sum(F.expr(f"doc_tokens div {window}")).alias("fulls"))
     full_from = stored(fulls.select("task", (F.sum("fulls").over(Window.orderBy("task")) - F.col("fulls")).alias("full_from"), "fulls"), "fulls")
     n_full = int(full_from.agg(F.sum("fulls").alias("n")).first().n or 0)
     greedy_from = n_combined + n_full
+    before = stored(before.join(full_from.select("task", "full_from"), "task"), "before")
+    before = F.broadcast(before) if small_enough(before) else before
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for task, row, doc, n, rest, rank, crc, before in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, n, rest, rank, full_rank, before, full_from, ids in zip(*(c.to_pylist() for c in b.columns)):
+
+                def piece(start, length, sequence, offset):
+                    out.append((doc, start, length, n, sequence, offset, ids[4 * start : 4 * (start + length)]))
+
+                for j in range(n // window):
+                    piece(j * window, window, n_combined + full_from + full_rank + j, 0)
                 if not rest:
                     continue
                 g, start = rank + before, n - rest
                 if g < taken[rest]:
                     ends, first, offset, many = where[rest]
                     k = int(np.searchsorted(ends, g, "right"))
-                    out.append((task, row, doc, start, rest, crc, n, int(first[k] + g - (ends[k] - many[k])), int(offset[k])))
+                    piece(start, rest, int(first[k] + g - (ends[k] - many[k])), int(offset[k]))
                     continue
                 at = int(greedy_at[rest] + (g - taken[rest]) * rest)
                 k = min(rest, window - at % window)  # of this rest, what the window takes; the next window has the others
-                whole = crc if k == rest else None
-                out.append((task, row, doc, start, k, whole, n, greedy_from + at // window, at % window))
+                piece(start, k, greedy_from + at // window, at % window)
                 if k < rest:
-                    out.append((task, row, doc, start + k, rest - k, None, n, greedy_from + at // window + 1, 0))
+                    piece(start + k, rest - k, greedy_from + at // window + 1, 0)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES)] if out else [pa.array([], f.type) for f in _PIECES], schema=_PIECES)
 
-    def checksum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = b.to_pylist()
-            for x in p:
-                a = 4 * (x["start"] - (x["doc_tokens"] - len(x["rest_ids"]) // 4))
-                x["ids_crc32"] = zlib.crc32(x["rest_ids"][a : a + 4 * x["length"]])
-            yield pa.RecordBatch.from_pylist([{k: x[k] for k in _PIECES.names} for x in p], _PIECES)
-
-    narrow = rows.select("task", "row", "doc_id", "doc_tokens", "rest", "rank", "rest_crc32").join(before, ["task", "rest"])
-    rests = stored(narrow.select("task", "row", "doc_id", "doc_tokens", "rest", "rank", "rest_crc32", "before").mapInArrow(tidy(place), _PIECES_SQL), "rests")
-    cut = rests.where("ids_crc32 is null")
-    cut = F.broadcast(cut) if small_enough(cut) else cut
-    cut = rows.select("task", "row", "rest_ids").join(cut, ["task", "row"]).select(*_PIECES.names, "rest_ids").mapInArrow(tidy(checksum), _PIECES_SQL)
-    full = (
-        rows.where(F.size("full_crc32") > 0).join(full_from.select("task", "full_from"), "task")
-        .select("doc_id", "doc_tokens", (F.col("full_from") + F.col("full_rank") + n_combined).alias("first"), F.posexplode("full_crc32").alias("j", "ids_crc32"))
-        .select("doc_id", (F.col("j").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first") + F.col("j")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = rows.join(before, ["task", "rest"]).select("doc_id", "doc_tokens", "rest", "rank", "full_rank", "before", "full_from", "ids")
+    return placed.mapInArrow(tidy(place), _PIECES_SQL).withColumn("ids_crc32", F.crc32("ids")).select(*COLUMNS, "ids")
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """The packed sequences of ``pieces`` (as ``pack`` gives them): sequence_id, n_ids (at most a window), ids (of all its
+    pieces, in order), parts (doc_id, start, length, offset of each piece)."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "start", "ids"))).alias("p")  # at most a window's
+    return pieces.groupBy("sequence_id").agg(parts).select(
+        "sequence_id",
+        F.expr("aggregate(p, 0L, (n, x) -> n + x.length)").alias("n_ids"),
+        F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"),
+        F.expr("transform(p, x -> struct(x.doc_id, x.start, x.length, x.offset))").alias("parts"),
     )
-    return rests.where("ids_crc32 is not null").select(*COLUMNS).unionByName(cut.select(*COLUMNS)).unionByName(full)

@@ -136,6 +136,6 @@ def op9_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
+    from .packing import COLUMNS, pack
 
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents")).select(*COLUMNS)

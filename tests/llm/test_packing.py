@@ -71,3 +71,21 @@ def test_nnls_meets_the_optimality_conditions():
     a = np.array([[np.count_nonzero(c == v) for c in combos] for v in (1, 2, 3)], float)
     gradient = a.T @ (h[1:] - a @ x)
     assert (x >= 0).all() and (gradient < 10).all() and (np.abs(gradient[x > 1]) < 10).all()
+
+
+def test_ids_can_be_read_from_the_result(spark):
+    enc = encoder(default_vocabulary()).encode
+    docs = [(i, f"cat läuft {i} " * (i % 40)) for i in range(200)] + [(2000, "long " * 700), (2001, None)]
+    pieces = P.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), window=64).localCheckpoint()
+    by = defaultdict(dict)
+    for r in pieces.collect():
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        by[r.doc_id][r.start] = bytes(r.ids)
+    end = np.array([0], "<u4").tobytes()
+    assert {i: b"".join(x for _, x in sorted(p.items())) for i, p in by.items()} == {i: enc(t) + end for i, t in docs}
+    seqs = P.sequences(pieces).collect()
+    assert sorted(s.sequence_id for s in seqs) == list(range(len(seqs)))
+    for s in seqs:
+        assert len(s.ids) == 4 * s.n_ids <= 4 * 64
+        for p in s.parts:
+            assert s.ids[4 * p.offset : 4 * (p.offset + p.length)] == by[p.doc_id][p.start]
