@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH, MISS, VALUES, Comparison, MinHasher, band_keys, banded_components, digest, least_matches, semi_by, shingle_set, small_enough, stored, text_slices, word_hashes, tidy
@@ -32,8 +32,8 @@ from .common import BATCH, MISS, VALUES, Comparison, MinHasher, band_keys, bande
 THRESHOLD = 80  # per cent
 BANDS, ROWS = 20, 5
 
-_SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64()))])
-_SETS_SQL = "row bigint, doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"
+_SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SETS_SQL = "row bigint, doc_id bigint, h1 bigint, h2 bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"
 _PROFILE = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
 _PROFILE_SQL = "d1 bigint, d2 bigint, signature binary, shingles binary"
 
@@ -57,26 +57,29 @@ def prune(a: np.ndarray, b: np.ndarray, need: dict[int, int]) -> np.ndarray:
     return alive
 
 
-def near_duplicates(docs: DataFrame, k: int = 2, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, values: int = VALUES, batch: int = BATCH, miss: float = MISS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, n_class (rows with an equal set).
+def _text_hashes(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
-    Documents are linked if 100 * intersection >= threshold * union of their sets of ``k``-word shingles.
-    """
+
+def _linked(docs: DataFrame, k: int, threshold: int, bands: int, rows: int, values: int, batch: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """(a row a document: doc_id, h1, h2 of its text, n_shingles, d1, d2 of its set; a row a class of equal sets: d1, d2,
+    least_id, n_class, root), both stored."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, row = MinHasher(bands * rows, 11), TaskContext.get().partitionId() << 33
         for b in batches:
             out = []
-            for i, s in zip(b.column(0).to_pylist(), _sets(b.column(1), k)):
+            for i, x, y, s in zip(*(b.column(c).to_pylist() for c in (0, 2, 3)), _sets(b.column(1), k)):
                 d = digest(s)
                 keys = band_keys(hashes(s), bands, rows)[0] if len(s) else None
-                out.append((row, i, len(s), *d, keys))
+                out.append((row, i, x, y, len(s), *d, keys))
                 row += 1
             cols = list(zip(*out)) if out else [[]] * len(_SETS)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SETS)], schema=_SETS)
 
     text = docs.select("doc_id", "text")
-    sets = stored(text.mapInArrow(tidy(sketch), _SETS_SQL), "shingles")
+    sets = stored(docs.select("doc_id", "text", *_text_hashes(docs["text"])).mapInArrow(tidy(sketch), _SETS_SQL), "shingles")
     full = sets.where("n_shingles > 0")
     own = full.groupBy("d1", "d2").agg(F.min("row").alias("cid"), F.min("doc_id").alias("least_id"), F.count("*").alias("n_class"))
     classes = stored(own, "classes")
@@ -132,7 +135,16 @@ def near_duplicates(docs: DataFrame, k: int = 2, threshold: int = THRESHOLD, ban
 
     roots = banded_components(items, prepare)
     reached = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("d1", "d2", "least_id", "n_class", F.coalesce("root", "cid").alias("root"))
-    reached = stored(reached, "reached")
+    return sets, stored(reached, "reached")
+
+
+def near_duplicates(docs: DataFrame, k: int = 2, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, values: int = VALUES, batch: int = BATCH, miss: float = MISS) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, n_class (rows with an equal set).
+
+    Documents are linked if 100 * intersection >= threshold * union of their sets of ``k``-word shingles.
+    """
+    sets, reached = _linked(docs, k, threshold, bands, rows, values, batch, miss)
+    full = sets.where("n_shingles > 0")
     least = reached.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = reached.join(least, "root").select("d1", "d2", "component_id", "n_class")
     linked = full.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", "n_class")
@@ -141,8 +153,25 @@ def near_duplicates(docs: DataFrame, k: int = 2, threshold: int = THRESHOLD, ban
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names it. All columns stay."""
-    gone = near_duplicates(docs, k, threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = stored(gone, "gone")
-    gone = F.broadcast(gone) if small_enough(gone) else gone
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` with one row of each component: of its rows with the smallest id (null only if all are) the one with the
+    smallest text hash. Rows go by their id and text, so a row never takes another text of its id along; of fully
+    repeated rows (same id, same text) one stays. All columns stay."""
+    sets, reached = _linked(docs, k, threshold, BANDS, ROWS, VALUES, BATCH, MISS)
+    full = sets.where("n_shingles > 0").select("doc_id", "h1", "h2", "d1", "d2")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    first = full.groupBy("d1", "d2").agg(F.min(place).alias("first"))
+    classes = reached.select("d1", "d2", "n_class", "root").join(first, ["d1", "d2"])
+    keep = classes.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n_class").alias("n")).where("n > 1").select("root", "keep")
+    named = stored(classes.select("d1", "d2", "root").join(keep, "root").select("d1", "d2", "keep"), "keepers")
+    alike = full.join(named, ["d1", "d2"]).withColumn("kept", place.eqNullSafe(F.col("keep")))
+    alike = alike.groupBy(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "kept").agg(F.count("*").alias("n"))
+    alike = stored(alike.where("not kept or n > 1"), "alike")
+    repeated = alike.where("kept").select("_id", "_h1", "_h2")
+
+    def among(keys: DataFrame, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if small_enough(keys) else keys
+        h1, h2 = _text_hashes(docs["text"])
+        return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & (h1 == keys["_h1"]) & (h2 == keys["_h2"]), how)
+
+    out = among(alike.select("_id", "_h1", "_h2"), "left_anti")
+    return out if repeated.isEmpty() else out.unionByName(among(repeated, "left_semi").dropDuplicates(["doc_id", "text"]))

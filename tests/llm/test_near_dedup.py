@@ -94,3 +94,25 @@ def test_connected_chain_and_hub(spark):
     got = dict(C.connected(spark.createDataFrame(edges, "a long, b long")).collect())
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[j] == 1 for j in [*range(1000, 1400), 2000]) and 5 not in got
     assert C.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pipeline_form_decides_on_rows(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    near = lambda w: text(w) + " more"
+    rows = [
+        (1, text("a")), (None, near("a")), (None, text("clean")), (None, None),  # a null-id copy beside a clean null-id text
+        (2, text("b")), (3, near("b")), (3, text("other")),  # a repeated id with two texts, one a copy
+        (4, text("c")), (4, text("c")), (4, text("c")), (5, near("c")),  # a repeated row
+        (None, text("d")), (None, text("d")), (None, near("d")),  # copies without any id
+        (6, text("e")), (6, near("e")),  # two near texts of one id
+        (7, ""), (7, ""),
+    ]
+    df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, _id string").repartition(5)
+    got = N.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    got = sorted(((str(r.doc_id), r.text or "") for r in got.collect()))
+    loose = [r for r in got if r[1] in (text("d"), near("d"), text("e"), near("e"))]
+    assert sorted(r[0] for r in loose) == ["6", "None"]
+    assert [r for r in got if r not in loose] == sorted([
+        ("1", text("a")), ("None", text("clean")), ("None", ""), ("2", text("b")), ("3", text("other")), ("4", text("c")), ("7", ""), ("7", ""),
+    ])
