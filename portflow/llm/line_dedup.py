@@ -5,10 +5,10 @@ lines. Equal lines become one item first, so any number of copies costs one row
 candidates, pairs are verified on their full shingle sets, and distributed union-find gives the components; the line
 with the smallest (doc_id, line number) of a component is kept.
 
-Signatures: lines of up to ``SHORT`` shingles have ``BANDS * ROWS`` independent minima, lines from 0.8 * ``SHORT`` on
-one permutation split into as many bins (empty bins borrow from the next one), which costs one hash a shingle whatever
-the number of values. Both kinds of keys are made between these lengths, so two lines similar enough always share a
-kind. A pair at similarity 0.8 is missed with probability (1 - 0.8^4)^10 = 0.005, at 0.9 with 2e-5.
+Signatures: lines of up to ``SHORT`` distinct shingles have ``BANDS * ROWS`` independent minima, lines from 0.8 *
+``SHORT`` on one permutation split into as many bins (empty bins borrow from the next one), which costs one hash a
+shingle whatever the number of values. Both kinds of keys are made between these numbers, so two lines similar enough
+always share a kind, however often they repeat themselves. A pair at similarity 0.8 is missed with probability (1 - 0.8^4)^10 = 0.005, at 0.9 with 2e-5.
 
 Everything up to the keys is numpy on whole slices of a batch (UTF-8 bytes, character starts, prefix hashes): there is
 no loop over lines or characters. Sets hold 64-bit hashes of shingles.
@@ -115,10 +115,16 @@ def _minima(h: np.ndarray, at: np.ndarray, values: int) -> np.ndarray:
 
 def _binned(h: np.ndarray, at: np.ndarray, values: int) -> np.ndarray:
     """One permutation in ``values`` bins; an empty bin borrows from the next that is not, marked by the distance."""
+    return _binned_counted(h, at, values)[0]
+
+
+def _binned_counted(h: np.ndarray, at: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures as of ``_binned``, each line's number of distinct shingles by bin and the lower 32 bits)."""
     n = len(at) - 1
     slot = np.repeat(np.arange(n, dtype=np.uint64) * np.uint64(values), np.diff(at))
     slot += ((h >> np.uint64(32)) * np.uint64(values)) >> np.uint64(32)
-    key = np.sort((slot << np.uint64(32)) | (h & _EMPTY))
+    key = np.sort((slot << np.uint64(32)) | (h & _EMPTY))  # by line: each keeps its place among the lines
+    distinct = np.add.reduceat(np.concatenate([[True], key[1:] != key[:-1]]), at[:-1], dtype=np.int64)
     slot = key >> np.uint64(32)
     first = np.concatenate([[True], slot[1:] != slot[:-1]])
     out = np.full(n * values, _EMPTY + np.uint64(1), np.uint64)
@@ -132,18 +138,22 @@ def _binned(h: np.ndarray, at: np.ndarray, values: int) -> np.ndarray:
         away = np.where(e, away + np.uint64(1), np.uint64(0))
         from_here = np.where(e, from_here, out[:, j])
         out[e, j] = (mix(from_here[e] + (away[e] << np.uint64(40))) & _EMPTY)
-    return out.astype(np.uint32)
+    return out.astype(np.uint32), distinct
 
 
 def line_keys(s: Slice, k: int, bands: int, rows: int, short: int) -> pa.Array:
     """Band keys of each line, as a list array."""
-    n = np.maximum(1, s.c1 - s.c0 - k + 1)
-    few, many = np.flatnonzero(n <= short), np.flatnonzero(n >= short * 4 // 5)
+    n = np.maximum(1, s.c1 - s.c0 - k + 1)  # positions; only lines near or over the limit have their shingles counted
+    least = short * 4 // 5
+    many = np.flatnonzero(n >= least)
     keys = [np.zeros((0, bands), np.int64)] * 2
+    if len(many):
+        binned, n[many] = _binned_counted(*s.shingles(k, many), bands * rows)
+        binned, many = binned[n[many] >= least], many[n[many] >= least]
+        keys[1] = band_keys(binned, bands, rows, salt=bands)
+    few = np.flatnonzero(n <= short)
     if len(few):
         keys[0] = band_keys(_minima(*s.shingles(k, few), bands * rows), bands, rows)
-    if len(many):
-        keys[1] = band_keys(_binned(*s.shingles(k, many), bands * rows), bands, rows, salt=bands)
     owner = np.concatenate([few, many])
     order = np.argsort(owner, kind="stable")
     flat = np.concatenate(keys)[order].ravel()

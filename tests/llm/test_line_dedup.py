@@ -107,3 +107,21 @@ def F_lang():
     from pyspark.sql import functions as F
 
     return F.lit("en").alias("lang")
+
+
+def test_lines_that_repeat_themselves(spark):
+    """Lengths of 100, 200 and 1,000 characters: equal or nearly equal sets, whatever the number of positions."""
+    rows, i = [], 0
+    for unit in ("-", "=-", "word ", "buy now! ", "läuft weiter und weiter "):
+        for n in (100, 200, 1000):
+            rows.append((i, "own line %d %s\n" % (i, chr(97 + i) * 3) + (unit * n)[:n]))
+            i += 1
+    rng = np.random.default_rng(5)
+    for n in (100, 131, 170, 400):  # lines that do not repeat themselves, and the same ones twice over
+        line = "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+        rows += [(i, line), (i + 1, line + line)]
+        i += 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {((r.doc_id is None, r.doc_id or 0, r.line_no), (r.keep_doc_id is None, r.keep_doc_id or 0, r.keep_line_no)) for r in L.fuzzy_lines(df).collect()}
+    assert got == set(brute(rows))
+    assert {((False, d, 1), (False, d // 3 * 3, 1)) for d in range(15)} <= got
