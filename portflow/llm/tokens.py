@@ -2,7 +2,8 @@
 
 The library splits a text by a fixed pattern and merges each piece by itself, so a piece's ids do not depend on its
 surroundings. A worker remembers the ids of pieces it has seen (``MEMO`` at most, the rest are encoded anew each time)
-and has the library's merge model encode only new pieces.
+and has the library's merge model encode only new pieces. A text that holds the content of an added token (such as
+``<|endoftext|>``, which the library takes out before it splits) goes to the library's own ``encode`` as a whole.
 """
 
 from __future__ import annotations
@@ -45,13 +46,15 @@ class WordMemoEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.get = _Memo(self.tok.model.tokenize, memo).__getitem__
         self.any = regex.compile(PATTERN).findall
         self.plain = re.compile(_PLAIN).findall
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
+        if any(a in text for a in self.added):
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.get, (self.any if _OTHER.search(text) else self.plain)(text)))
 
 

@@ -49,3 +49,13 @@ def test_write_and_read(spark):
         at += r.n_tokens
     assert sorted((r.n_tokens, r.ids_crc32) for r in got) == sorted((len(b) // 4, zlib.crc32(b)) for _, _, b in want)
     assert S.read_ids(S.write_ids(df.limit(0))).count() == 0
+
+
+def test_added_tokens_are_those_of_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = default_vocabulary()
+    fresh, e = Tokenizer.from_file(path), encoder(path)
+    for t in ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n", "<|endoftext", *HARD]:
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == fresh.encode(t or "", add_special_tokens=False).ids
+    assert np.frombuffer(e.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
