@@ -3,7 +3,9 @@
 Templates (licence notices) and base phrases become token sequences; one suffix automaton holds all their substrings.
 A file is streamed through it: at every token the automaton has the longest match that ends there. Maximal matches of
 at least ``MIN_MATCH`` tokens are chained in the order of the file and of the template, and the share of a template's
-tokens that its best chain covers is its coverage; a template covered to at least ``COVERED`` gives its label. A base
+tokens that its best chain covers is its coverage. A template covered to at least ``COVERED``, with all tokens that it
+requires (a version, "lesser") among them, is a span; of spans that cover the same words only the one with the most
+tokens stays, and the spans that stay give the labels. A base
 phrase stands wherever the automaton's state has it as a suffix, so all its places are found, overlapping ones too.
 
 Words are runs of digits, ASCII letters (lower-cased) and bytes beyond ASCII. Only runs of tokens whose every pair of
@@ -41,6 +43,9 @@ NOTICES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
     ("gpl-2", "licensed under the gnu general public license version 2"),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
@@ -52,6 +57,9 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
+# Tokens that a span of a label's template must match wherever the template has them.
+REQUIRED = {"gpl-2": {"2"}, "gpl-3": {"3"}, "lgpl": {"lesser"}, "apache-2": {"2"}, "mpl-2": {"2"}, "cc-by-nc": {"nc", "noncommercial"}, "cc-by-sa": {"sharealike"}}
+
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -137,6 +145,7 @@ class Scanner:
         self.min_match, self.covered, self.gap = min_match, covered, gap
         self.phrases = [(tokens(p), label) for p, label in base.items()]
         self.templates = [(label, tokens(t)) for label, t in notices]
+        self.required = [{i for i, w in enumerate(t.split()) if w in REQUIRED.get(label, ())} for label, t in notices]
         self.automaton = Automaton([p for p, _ in self.phrases] + [t for _, t in self.templates])
         pairs = {(a, b) for s in self.automaton.sequences for a, b in zip(s, s[1:])}
         self.pairs = np.unique(self._pair(np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.uint64)))
@@ -169,7 +178,7 @@ class Scanner:
             yield int(np.searchsorted(rows, x, "right")) - 1, x, y
 
     def scan(self, column: pa.Array) -> Iterator[tuple]:
-        """Per row: (n_words, n_base, first_word, last_word, base_labels, labels, score)."""
+        """Per row: (n_words, n_base, first_word, last_word, base_labels, labels, score, spans)."""
         for _, data, off in text_slices(column):
             words, rows = word_hashes(data, off, WORD_BYTES)
             found: dict[int, tuple[list, list]] = {}
@@ -187,54 +196,88 @@ class Scanner:
             for r in range(len(off) - 1):
                 n = int(rows[r + 1] - rows[r])
                 if r not in found:
-                    yield n, 0, None, None, "", "", 0.0
+                    yield n, 0, None, None, "", "", 0.0, []
                     continue
                 bases, matches = found[r]
-                cover = self.chain(matches)
+                cover, spans = self.chain(matches)
                 own = {self.phrases[k][1] for _, k in bases}
-                labels = own | {x for x, c in cover.items() if c >= self.covered}
+                labels = own | {x["label"] for x in spans}
                 starts = [x for x, _ in bases]
-                yield n, len(bases), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(labels)), 1.0 if own else min(1.0, max(cover.values(), default=0.0))
+                yield n, len(bases), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(labels)), 1.0 if own else min(1.0, cover), spans
 
-    def chain(self, matches: list[tuple[int, int, int]]) -> dict[str, float]:
-        """Coverage of each label's best template. A match (end in the file, state, tokens) may follow another if it comes
+    def chain(self, matches: list[tuple[int, int, int]]) -> tuple[float, list[dict]]:
+        """(coverage of the best template, spans). A match (end in the file, state, tokens) may follow another if it comes
         later in the file, at most ``gap`` tokens on, and later in the template; of overlaps only the new part counts."""
-        spans: dict[int, list[tuple[int, int, int]]] = {}
+        parts: dict[int, list[tuple[int, int, int]]] = {}
         for end, s, n in matches:
             for k, e in self.automaton.places[s]:
                 if k >= len(self.phrases):
-                    spans.setdefault(k - len(self.phrases), []).append((end, e, n))
-        out: dict[str, float] = {}
-        for k, parts in spans.items():
-            label, template = self.templates[k]
-            parts.sort()
-            best: list[int] = []
-            low = 0
-            for i, (end, e, n) in enumerate(parts):
-                while parts[low][0] < end - len(template) - self.gap:  # none that far back is near enough
-                    low += 1
-                most = n
-                for j in range(low, i):
-                    end2, e2, _ = parts[j]
-                    new = min(n, e - e2, end - end2)
-                    if new > 0 and end2 >= end - n - self.gap:
-                        most = max(most, best[j] + new)
-                best.append(most)
-            out[label] = max(out.get(label, 0.0), max(best) / len(template))
-        return out
+                    parts.setdefault(k - len(self.phrases), []).append((end, e, n))
+        cover, found = 0.0, []
+        for k, own in parts.items():
+            todo = [sorted(own)]
+            while todo:  # the best chain, then those before and after it
+                own = todo.pop()
+                tokens, steps = self._best(own, len(self.templates[k][1]), self.required[k])
+                cover = max(cover, tokens / len(self.templates[k][1]))
+                if tokens < self.covered * len(self.templates[k][1]):
+                    continue
+                words = {end - i for end, _, new in steps for i in range(1, new + 1)}
+                first, last = min(words), max(words) + 1
+                if self.required[k] <= {e - i for _, e, new in steps for i in range(1, new + 1)}:
+                    found.append((tokens, tokens / len(self.templates[k][1]), k, first, last, words))
+                todo += [x for x in ([p for p in own if p[0] <= first], [p for p in own if p[0] - p[2] >= last]) if x]
+        found.sort(key=lambda x: (-x[0], -x[1], x[2], x[3]))
+        taken: set[int] = set()
+        spans = []
+        for tokens, share, k, first, last, words in found:
+            if 2 * len(words & taken) <= len(words):
+                taken |= words
+                spans.append({"template": k, "label": self.templates[k][0], "first_word": first, "end_word": last, "coverage": min(1.0, share)})
+        return cover, sorted(spans, key=lambda x: (x["first_word"], x["template"]))
+
+    def _best(self, parts: list[tuple[int, int, int]], length: int, required: set[int]) -> tuple[int, list[tuple[int, int, int]]]:
+        """(tokens, steps (end in the file, end in the template, new tokens)) of the chain that covers most; of equal ones
+        one with all that is required."""
+        best: list[int] = []
+        back: list[tuple[int, int]] = []  # (part before, new tokens)
+        low = 0
+        for i, (end, e, n) in enumerate(parts):
+            while parts[low][0] < end - length - self.gap:  # none that far back is near enough
+                low += 1
+            most, via = n, (-1, n)
+            for j in range(low, i):
+                end2, e2, _ = parts[j]
+                new = min(n, e - e2, end - end2)
+                if new > 0 and end2 >= end - n - self.gap and best[j] + new > most:
+                    most, via = best[j] + new, (j, new)
+            best.append(most)
+            back.append(via)
+        steps: list[tuple[int, int, int]] = []
+        top = max(best)
+        for i in sorted((i for i, x in enumerate(best) if x == top), key=lambda i: abs(2 * i - len(best))):  # from the middle: halves what is left
+            steps = []
+            while i >= 0:
+                steps.append((*parts[i][:2], back[i][1]))
+                i = back[i][0]
+            if required <= {e - x for _, e, new in steps for x in range(1, new + 1)}:
+                break
+        return top, steps
 
 
 _scanner: list[Scanner] = []
+_SPANS = pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("coverage", pa.float64())]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and
+    spans: template (its place in ``NOTICES``), label, first_word, end_word, coverage of each notice found."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _scanner:
             _scanner.append(Scanner())
         for b in batches:
-            cols = list(zip(*_scanner[0].scan(b.column(1)))) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+            cols = list(zip(*_scanner[0].scan(b.column(1)))) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), _SPANS]))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(read), "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(read), "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<template: int, label: string, first_word: bigint, end_word: bigint, coverage: double>>")

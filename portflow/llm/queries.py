@@ -108,7 +108,9 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan
 
-    return scan(table(spark, sf_dir, "documents"))
+    labels = F.array_distinct(F.concat(F.split("base_labels", ","), F.col("spans.label")))
+    digest = F.array_join(F.array_sort(F.array_remove(labels, "")), ",")
+    return scan(table(spark, sf_dir, "documents")).withColumn("labels", digest).drop("spans")
 
 
 @query

@@ -52,3 +52,21 @@ def test_base_phrases_match_brute_force(spark):
     assert by[402].labels == "gpl-3" and by[500].labels == "mit" and by[500].n_base == 0 and by[501].labels == "" and 0 < by[501].score < 0.5
     assert by[502].labels == ""  # out of order: no chain covers the notice
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_notices_of_one_family_are_told_apart(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    lgpl = gpl.replace("program", "library").replace("General", "Lesser General").replace("version 2", "version 2.1")
+    cc = "Licensed under a Creative Commons Attribution 4.0 International License"
+    rows = [
+        ("gpl-2", gpl), ("gpl-3", gpl.replace("version 2", "version 3")), ("", gpl.replace("version 2", "version 1")),
+        ("lgpl", lgpl), ("lgpl", lgpl.replace("2.1", "3")), ("cc-by", cc), ("cc-by-sa", cc.replace("Attribution", "Attribution-ShareAlike")),
+        ("gpl-2,lgpl", "a b c " + gpl + " x " * 60 + lgpl),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.scan(df).collect()}
+    assert [got[i].labels for i in range(len(rows))] == [x for x, _ in rows]
+    n, m = len(words(gpl)), len(words(lgpl))
+    assert [(s.label, s.first_word, s.end_word, s.coverage) for s in got[7].spans] == [("gpl-2", 3, 3 + n, 1.0), ("lgpl", 63 + n, 63 + n + m, 1.0)]
+    twice = L.Scanner().scan(__import__("pyarrow").array([gpl + " x " * 60 + gpl]))
+    assert [s["first_word"] for s in next(twice)[-1]] == [0, n + 60]
