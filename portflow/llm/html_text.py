@@ -6,7 +6,9 @@ container that names itself an article, inside one that names itself something e
 comments, ...), or neither. A small CART tree, trained on the labelled table below when the module is first used, says
 which blocks are the article's. Their texts are joined in page order.
 
-Scripts, styles, comments, form fields and the head are no blocks. Character references are decoded after cutting, so
+Scripts, styles, comments, form fields and the title are no blocks. Of elements whose content is not the page's text, only
+script, style, textarea and title run to the end of the page if they do not end; the others (select, svg, object, ...)
+are then read like any container. A head needs no rule: what may stand in it has no text but in such elements. Character references are decoded after cutting, so
 an escaped tag stays text. White space of any kind inside a block becomes one space; ``br`` counts as white space.
 
 Edge cases: null and empty pages, and pages without an article block, give an empty text; broken markup (tags without
@@ -27,7 +29,9 @@ from .common import tidy
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|title|head(?=[\s>]))\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
+    r"|<(?P<nested>template|svg|math|object)\b[^>]*+>.*?</(?P=nested)\s*+>"
+    r"|<(?P<flat>noscript|select|iframe|canvas)\b[^>]*+>(?:(?!<(?P=flat)\b).)*?</(?P=flat)\s*+>"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)"""
     r"|</?[a-z][^>]*+(?:>|\Z)",

@@ -71,3 +71,18 @@ def test_rows_and_columns(spark):
     df = spark.createDataFrame([(1, None, None, "t"), (1, "u", "<article>x y</article>", None), (None, "v", "", "t")], "page_id long, url string, html string, text string")
     assert sorted(map(str, map(tuple, H.extract(df).collect()))) == sorted(map(str, [(1, None, "", 0), (1, "u", "x y", 3), (None, "v", "", 0)]))
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_elements_without_an_end_do_not_take_the_page():
+    from portflow.llm import html_text
+
+    text = "This is the article of the page and it has a good number of words, so that it is one block of text. " * 3
+    want = " ".join(text.split())
+    body = f"<body><article><p>{text}</p></article></body></html>"
+    head = "<html><head><meta charset=utf-8><title>A title</title><style>p { }</style><script>x = '<p>'</script>"
+    for page in (head + body, head + "</head>" + body, head + f"<article><p>{text}</p></article>",
+                 *(head + f"</head><body><{t} class=x>" + body[6:] for t in ("select", "svg", "object", "noscript", "math", "template", "iframe", "canvas"))):
+        assert [b[0] for b in html_text.blocks(page)] == [want], page[:200]
+    for t in ("select", "svg", "noscript", "object"):  # those that end are no text
+        assert [b[0] for b in html_text.blocks(head + f"<body><{t}><b>not this</b></{t}>" + body[6:])] == [want]
+    assert [b[0] for b in html_text.blocks(f"<body><p>{text}</p><script>never ended <p>{text}</p>")] == [want]
