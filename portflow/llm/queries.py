@@ -141,3 +141,45 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import COLUMNS, pack
 
     return pack(table(spark, sf_dir, "documents")).select(*COLUMNS)
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_source_divergence"] = r"""
+with d as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from documents
+), c as (
+  select lang, source, term, count(*) as n from (select lang, source, unnest(ts) as term from d) group by all
+), k as (
+  select lang, term from (select lang, unnest(list_distinct(ts)) as term from d) group by all having count(*) >= 3
+), v as (
+  select lang, count(*) as v from k group by all
+), g as (
+  select distinct d.lang, d.source, coalesce(v.v, 0) as v from d left join v using (lang)
+), cells as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, g.v from g join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), p as (
+  select lang, source, term, n, 1 + (1000000000::hugeint * (n + 1)) // (sum(n) over (partition by lang, source) + v) as p from cells
+), ql as (
+  select lang, term, 1 + (1000000000::hugeint * (n + 1)) // (sum(n) over (partition by lang) + v) as q
+  from (select lang, term, v, sum(n) as n from cells group by all)
+), pairs as (
+  select x.lang, x.source, 'pair' as part, y.source as item, coalesce(sum((a.p - b.p) * (a.p - b.p) // b.p), 0) as value
+  from g x join g y on x.lang = y.lang and x.source <> y.source
+  left join p a on a.lang = x.lang and a.source = x.source left join p b on b.lang = y.lang and b.source = y.source and b.term = a.term
+  where a.term is null or b.term is not null group by all
+), terms as (
+  select p.lang, p.source, 'term' as part, p.term as item, (p.p - ql.q) * (p.p - ql.q) // ql.q as value
+  from p join ql on ql.lang = p.lang and ql.term = p.term where p.n > 0 and p.p > ql.q
+)
+select lang, source, part, item, value::bigint as value, rank::int as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (from pairs union all from terms))
+where part = 'pair' or rank <= 200
+"""
