@@ -143,6 +143,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).select(*COLUMNS)
 
 
+@query
+def op11_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .inner_search import QUERY_EVERY, top_inner_products
+
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0)
+
+
+# sums of products of whole doubles are exact up to 2**53
+ORACLE["op11_inner_products"] = """
+with v as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e, len(embedding) as d from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(1024 * x::double))) = 0
+), s as (
+  select q.r, q.vec_id as query_id, b.vec_id, case when q.d = 0 then 0 else list_inner_product(q.e, b.e)::bigint end as score
+  from v q join v b on q.d = b.d and q.r <> b.r where q.vec_id % 100 = 0
+), k as (
+  select query_id, vec_id, score, row_number() over (partition by r order by score desc, vec_id) as rank from s
+)
+select query_id, rank::int as rank, vec_id, score from k where rank <= 10
+"""
+
+
 @query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import source_divergence
