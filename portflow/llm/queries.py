@@ -165,6 +165,72 @@ select query_id, rank::int as rank, vec_id, score from k where rank <= 10
 """
 
 
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damage, repair, with_ids
+
+    turns = table(spark, sf_dir, "conversations")
+    return with_ids(repair(damage(turns)), turns)
+
+
+ORACLE["op12_conversations"] = r"""
+with recursive harm as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, row_number() over () as r,
+    list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint) as bytes
+  from conversations
+), crc as (
+  select * exclude (bytes), xor(4294967295, list_reduce(bytes, lambda crc, byte:
+    list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)), 4294967295)) % 20 as h
+  from harm
+), damaged as (
+  select conv_id, turn, case when h = 4 then 'user' else role end as role,
+    case when h = 1 then '' when h = 2 then translate(text, '.!?', '') else text end as text, r, copy
+  from crc, (values (1), (2)) c(copy) where h <> 0 and (copy = 1 or h = 3)
+), placed as (
+  select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text, r, copy) as i from damaged
+), marked as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+      when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+      when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else '' end as fault,
+    role[1] as c, lag(role[1]) over (partition by conv_id order by i) || role[1] not in ('su', 'ua', 'au') as illegal
+  from placed
+), stats as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (illegal) as illegal, count(*) as n
+  from marked group by conv_id
+), best as (
+  -- by rows done: the least cost (9 digits) and letters, by the last role written (none, system, user, assistant)
+  select conv_id, 0::bigint as i, '000000000' as v0, null::varchar as v1, '000000003I' as v2, '000000006II' as v3 from stats
+  union all
+  select conv_id, i, v0, v1, v2, least(v3, lpad((left(v2, 9)::int + 3)::varchar, 9, '0') || substr(v2, 10) || 'I') from (
+    select conv_id, i, v0, v1, v3, least(v2, lpad((left(least(v0, v1, v3), 9)::int + 3)::varchar, 9, '0') || substr(least(v0, v1, v3), 10) || 'I') as v2 from (
+      select b.conv_id, m.i,
+        lpad((left(v0, 9)::int + 4)::varchar, 9, '0') || substr(v0, 10) || 'D' as v0,
+        least(lpad((left(v1, 9)::int + 4)::varchar, 9, '0') || substr(v1, 10) || 'D', case when w.ok and c = 's' then lpad((left(v0, 9)::int + w.x)::varchar, 9, '0') || substr(v0, 10) || 'K' end) as v1,
+        least(lpad((left(v2, 9)::int + 4)::varchar, 9, '0') || substr(v2, 10) || 'D',
+          case when w.ok then lpad((left(least(v0, v1, v3), 9)::int + w.x + case when c = 'u' then 0 else 3 end)::varchar, 9, '0') || substr(least(v0, v1, v3), 10) || case when c = 'u' then 'K' else 'R' end end) as v2,
+        least(lpad((left(v3, 9)::int + 4)::varchar, 9, '0') || substr(v3, 10) || 'D',
+          case when w.ok then lpad((left(v2, 9)::int + w.x + case when c = 'a' then 0 else 3 end)::varchar, 9, '0') || substr(v2, 10) || case when c = 'a' then 'K' else 'R' end end) as v3
+      from best b join marked m on m.conv_id is not distinct from b.conv_id and m.i = b.i + 1,
+        lateral (select m.fault not in ('blank', 'duplicate') as ok, case when m.fault = 'truncated' then 3 else 0 end as x) w
+    )
+  )
+), final as (
+  select s.*, left(least(v0, v3), 9)::bigint as cost, substr(least(v0, v3), 10) as audit from stats s join best b on b.conv_id is not distinct from s.conv_id and b.i = s.n
+), letters as (
+  select conv_id, p, audit[p] as e, p - length(replace(left(audit, p), 'I', '')) as inserted, length(replace(left(audit, p), 'D', '')) as kept from (select conv_id, audit, unnest(range(1, length(audit) + 1)) as p from final)
+), edits as (
+  select l.conv_id, l.p, l.e, l.kept, m.role, m.text, max(case when l.kept = 1 and l.e = 'K' and m.c = 's' then 1 else 0 end) over (partition by l.conv_id) as system
+  from letters l left join marked m on l.e <> 'I' and m.conv_id is not distinct from l.conv_id and m.i = l.p - l.inserted where l.e <> 'D'
+), text as (
+  select conv_id, sha256(string_agg(case when e = 'K' then role when (kept - system) % 2 = 1 then 'user' else 'assistant' end || ':' || case when e = 'I' then '' else text end, chr(10) order by p)) as h from edits group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, coalesce(h, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join final f on f.conv_id is not distinct from o.conv_id left join text t on t.conv_id is not distinct from o.conv_id
+"""
+
+
 @query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import source_divergence

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "labels", "pages"):
+    for t in ("documents", "embeddings", "benchmark", "labels", "pages", "conversations"):
         c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     return c
 
@@ -34,10 +34,10 @@ def run(spark, key):
 
 def test_all_are_registered():
     names = [k for k in E.queries() if k.startswith("op")]
-    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in E.queries()
+    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 14)] == [1] * 13 and "pipeline" in E.queries()
 
 
-@pytest.mark.parametrize("key", ["op2_neighbours", "op3_near_duplicates"])
+@pytest.mark.parametrize("key", ["op2_neighbours", "op3_near_duplicates", "op11_inner_products", "op12_conversations", "op13_source_divergence"])
 def test_against_sql(spark, con, key):
     df = run(spark, key)
     names = sorted(df.columns)
