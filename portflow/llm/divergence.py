@@ -42,7 +42,8 @@ from .common import stored, tidy
 MIN_DOCS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
-ENTRIES = 200_000  # counts that a task gathers before it passes them on
+ENTRIES = 500_000  # counts that a task gathers before it passes them on
+ONE_DOC = 1 << 48
 PIECE = 1 << 20
 BIG = "decimal(38,0)"
 # Bytes of terms are letters and all beyond ASCII; A-Z is read as a-z, every other byte ends a term.
@@ -66,26 +67,28 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that hold it); the groups of ``docs`` have '' for null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        held: dict[tuple[str, str], dict[bytes, int]] = {}  # a term's number: documents in the high digits, occurrences below
         size = 0
 
         def flush():
-            rows = [(g[0], g[1], t, n, d) for g, found in held.items() for t, (n, d) in found.items()]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()).cast(pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], schema=_COUNTS)
+            langs, sources, found, numbers = [], [], [], []
+            for (lang, source), group in held.items():
+                langs += [lang] * len(group)
+                sources += [source] * len(group)
+                found += group.keys()
+                numbers += group.values()
+            cols = [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(found, pa.binary()).cast(pa.string())]
+            cols += [pa.array([x % ONE_DOC for x in numbers], pa.int64()), pa.array([x // ONE_DOC for x in numbers], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, schema=_COUNTS)
 
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 group = held.setdefault((lang, source), {})
-                before = len(group)
+                size -= len(group)
+                get = group.get
                 for t, n in terms(text.as_buffer().to_pybytes()).items():
-                    have = group.get(t)
-                    if have is None:
-                        group[t] = [n, 1]
-                    else:
-                        have[0] += n
-                        have[1] += 1
-                size += len(group) - before
+                    group[t] = get(t, 0) + n + ONE_DOC
+                size += len(group)
                 if size >= ENTRIES:
                     yield flush()
                     held, size = {}, 0
@@ -145,21 +148,29 @@ def corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         a, n, of = np.concatenate(pick_a), np.concatenate(pick_b), np.concatenate(of)
         names, lang = np.unique(np.array(langs, object), return_inverse=True)
-        key, where = np.unique(np.stack([lang[of], source[a], source[n]], 1), axis=0, return_inverse=True)
-        for one, two, x, y in ((0, 1, a, n), (1, 0, n, a)):
-            value = f(p[x], p[y]) - f(p[x], z[y]) - f(z[x], p[y]) + f(z[x], z[y])
-            halves = [np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)]
-            np.add.at(halves[0], where, (value >> 32) * mult[n])
-            np.add.at(halves[1], where, (value & 0xFFFFFFFF) * mult[n])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[key[:, 0]], pa.string()), pa.array(key[:, 1 + one]), pa.array(key[:, 1 + two]), pa.array(halves[0]), pa.array(halves[1])],
-                names=["lang", "a", "b", "hi", "lo"],
-            )
+        have, number = np.unique(source, return_inverse=True)
+        code, where = (lang[of] * len(have) + number[a]) * len(have) + number[n], None
+        if len(names) * len(have) ** 2 > 1 << 20:  # too many for a sum a pair that may occur
+            code, where = np.unique(code, return_inverse=True)
+        else:
+            code, where = np.arange(len(names) * len(have) ** 2), code
+        first, second = have[code // len(have) % len(have)], have[code % len(have)]
+        in_lang = names[code // len(have) ** 2]
+        many_n = mult[n]
+        for left, right, x, y in ((first, second, a, n), (second, first, n, a)):
+            px, py, zx, zy = p[x], p[y], z[x], z[y]
+            value = f(px, py) - f(px, zy) - f(zx, py) + f(zx, zy)
+            hi, lo = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+            np.add.at(hi, where, (value >> 32) * many_n)
+            np.add.at(lo, where, (value & 0xFFFFFFFF) * many_n)
+            k = np.flatnonzero((hi != 0) | (lo != 0))
+            yield pa.RecordBatch.from_arrays([pa.array(in_lang[k], pa.string()), pa.array(left[k]), pa.array(right[k]), pa.array(hi[k]), pa.array(lo[k])], names=["lang", "a", "b", "hi", "lo"])
 
 
 def source_divergence(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value, rank: parts `pair` (every other source of the language) and `term` (the best terms)."""
-    counts = stored(term_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
+    # one shuffle: what is dealt by (lang, term) is dealt by (lang, source, term) as well
+    counts = term_counts(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     row = F.collect_list(F.struct("source", "n")).alias("row")  # an entry a source at most
     rows = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), row)
     rows = stored(rows.where(F.col("docs") >= MIN_DOCS).select("lang", "term", "total", "row"), "term-rows")
