@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from portflow.functions.fmt import compact, py_fixed, py_round_scaled, signed_pct
 from portflow.functions.text import unicode_trim
-from portflow.sources.sinks import through_storage
+from portflow.operators.panel_inputs import prepare_daily, prepare_ports, prepare_routes  # noqa: F401
+from portflow.operators.panel_views import PanelViews, resolve_lookback
 
 # Rule thresholds of the notable-change detector.
 DELTA_THRESHOLD_PCT = 5.0
@@ -46,49 +47,6 @@ def _label_date(d: Column) -> Column:
     return F.date_format(d, "dd MMM yyyy")
 
 
-# --- PAN-B: input preparation --------------------------------------------------------------
-
-# Frames of any origin: a date or number that is text is read if it can be, a bad date drops the row, a bad, missing or
-# absent number is 0, a missing or absent name is 'Unknown'.
-
-def _dated(df: DataFrame) -> DataFrame:
-    d = F.col("service_date")
-    if dict(df.dtypes)["service_date"] == "string":
-        d = unicode_trim(d).try_cast("date")
-    return df.withColumn("service_date", d).where(F.col("service_date").isNotNull())
-
-
-def _number(df: DataFrame, name: str) -> Column:
-    kind = dict(df.dtypes).get(name)
-    if kind is None:
-        return F.lit(0).cast("long")
-    c = unicode_trim(F.col(name)).try_cast("double") if kind == "string" else F.col(name)
-    return F.coalesce(F.when(~F.isnan(c.cast("double")), c), F.lit(0)).cast("long")
-
-
-def _name(df: DataFrame, name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit("Unknown")) if name in df.columns else F.lit("Unknown")
-
-
-def prepare_daily(daily: DataFrame) -> DataFrame:
-    return _dated(daily).select(
-        "service_date", *[_number(daily, c).alias(c) for c in ("rows_count", "total_passengers", "total_vehicles")]
-    )
-
-
-def prepare_routes(routes: DataFrame) -> DataFrame:
-    return _dated(routes).select(
-        "service_date",
-        *[_name(routes, c).alias(c) for c in ("departure_port", "arrival_port")],
-        *[_number(routes, c).alias(c) for c in ("total_passengers", "total_vehicles")],
-    )
-
-
-def prepare_ports(ports: DataFrame) -> DataFrame:
-    both = _number(ports, "total_departing_passengers") + _number(ports, "total_arriving_passengers")
-    return _dated(ports).select("service_date", _name(ports, "port_name").alias("port_name"), both.alias("total_passengers"))
-
-
 def _ranked(daily_p: DataFrame) -> DataFrame:
     # Day grain: the newest-first row number over all days of the view is small.
     return daily_p.withColumn("rn", F.row_number().over(Window.orderBy(F.col("service_date").desc())))
@@ -112,154 +70,113 @@ def notable_change(daily: DataFrame, routes: DataFrame, delta_threshold_pct: flo
         F.coalesce(F.sum("total_passengers"), F.lit(0)).alias("p")
     ).agg(F.struct(F.max("p").alias("top"), F.sum("p").alias("total"))).scalar()
     trend = trend.select("*", conc.getField("top").alias("c_top"), conc.getField("total").alias("c_total"))
-    delta = (F.col("recent") - F.col("prior")) / F.col("prior") * 100.0
-    share = F.col("c_top").cast("double") / F.col("c_total").cast("double") * 100.0
+    reasons = _notable_reasons(F.col("n"), F.col("recent"), F.col("prior"), F.col("c_top"), F.col("c_total"),
+                               delta_threshold_pct, concentration_threshold_pct, min_recent_avg_passengers)
+    return trend.select(reasons.alias("reasons")).select((F.size("reasons") > 0).alias("should_trigger"), "reasons")
+
+
+def _notable_reasons(n: Column, recent: Column, prior: Column, top: Column, total: Column, delta_threshold_pct: float = DELTA_THRESHOLD_PCT,
+                     concentration_threshold_pct: float = CONCENTRATION_THRESHOLD_PCT,
+                     min_recent_avg_passengers: float = MIN_RECENT_AVG_PASSENGERS) -> Column:
+    delta = (recent - prior) / prior * 100.0
+    share = top.cast("double") / total.cast("double") * 100.0
     r1 = F.when(
-        (F.col("n") >= 14) & (F.col("prior") > 0) & (F.abs(delta) >= delta_threshold_pct)
-        & (F.col("recent") >= min_recent_avg_passengers),
+        (n >= 14) & (prior > 0) & (F.abs(delta) >= delta_threshold_pct) & (recent >= min_recent_avg_passengers),
         F.concat(F.lit("7-day passenger average changed "), signed_pct(delta, 1), F.lit(" vs prior week")),
     )
     r2 = F.when(
-        (F.coalesce(F.col("c_total"), F.lit(0)) > 0) & (share >= concentration_threshold_pct),
+        (F.coalesce(total, F.lit(0)) > 0) & (share >= concentration_threshold_pct),
         F.concat(F.lit("Top corridor concentration reached "), py_fixed(share, 1), F.lit("%")),
     )
-    # Scalar subqueries may not sit inside lambdas: project them first.
-    return trend.select(r1.alias("r1"), r2.alias("r2")).select(
-        F.filter(F.array("r1", "r2"), lambda x: x.isNotNull()).alias("reasons")
-    ).select((F.size("reasons") > 0).alias("should_trigger"), "reasons")
+    return F.array_compact(F.array(r1, r2))
 
 
 # --- PAN-C … PAN-H: scope, KPIs, leaders, deltas ------------------------------------------------
 
-def panel_scope(daily: DataFrame, kpi_window_days: int = 7) -> DataFrame:
-    """PAN-C: KPI window (n ≥ 7 calendar days to the newest day), baseline and labels."""
-    n = max(7, int(kpi_window_days))
-    d = F.col("service_date")
-    agg = prepare_daily(daily).agg(F.max(d).alias("end_date"), F.min(d).alias("view_start"))
-    kpi_start = F.greatest(F.col("view_start"), F.date_sub(F.col("end_date"), n - 1))
+def _scope(view_start: Column, end: Column, n: int) -> list[Column]:
+    """KPI window (n calendar days to the newest one), baseline and labels, as text."""
+    kpi_start = F.greatest(view_start, F.date_sub(end, n - 1))
     b_end = F.date_sub(kpi_start, 1)
-    has = b_end >= F.col("view_start")
-    b_start = F.when(has & (F.date_sub(b_end, 55) >= F.col("view_start")), F.date_sub(b_end, 55)).otherwise(F.col("view_start"))
-    empty = F.col("end_date").isNull()
-    return agg.select(
-        F.when(empty, "unknown").when(has, b_start.cast("string")).otherwise(F.col("view_start").cast("string")).alias("baseline_start"),
-        F.when(empty, "unknown").when(has, b_end.cast("string")).otherwise(F.col("view_start").cast("string")).alias("baseline_end"),
+    has = b_end >= view_start
+    b_start = F.when(has & (F.date_sub(b_end, 55) >= view_start), F.date_sub(b_end, 55)).otherwise(view_start)
+    empty = end.isNull()
+    current = F.concat(_label_date(kpi_start), F.lit(" -> "), _label_date(end))
+    return [
+        F.when(empty, "unknown").when(has, b_start.cast("string")).otherwise(view_start.cast("string")).alias("baseline_start"),
+        F.when(empty, "unknown").when(has, b_end.cast("string")).otherwise(view_start.cast("string")).alias("baseline_end"),
         F.when(empty, "unknown").otherwise(kpi_start.cast("string")).alias("kpi_start"),
-        F.when(empty, "unknown").otherwise(F.col("end_date").cast("string")).alias("kpi_end"),
+        F.when(empty, "unknown").otherwise(end.cast("string")).alias("kpi_end"),
         F.when(empty | ~has, "No comparison baseline available")
         .otherwise(F.concat(_label_date(b_start), F.lit(" -> "), _label_date(b_end))).alias("baseline_label"),
-        F.when(empty, "No current period available")
-        .otherwise(F.concat(F.lit("Current period: "), _label_date(kpi_start), F.lit(" -> "), _label_date(F.col("end_date"))))
-        .alias("kpi_label"),
-        F.when(empty, "No data")
-        .otherwise(F.concat(F.lit("Global network | Report period "), _label_date(kpi_start), F.lit(" -> "),
-                            _label_date(F.col("end_date")))).alias("scope_label"),
-    )
+        F.when(empty, "No current period available").otherwise(F.concat(F.lit("Current period: "), current)).alias("kpi_label"),
+        F.when(empty, "No data").otherwise(F.concat(F.lit("Global network | Report period "), current)).alias("scope_label"),
+    ]
 
 
-def _kpi_bounds(daily_p: DataFrame, n: int) -> Column:
+def panel_scope(daily: DataFrame, kpi_window_days: int = 7) -> DataFrame:
+    """PAN-C: KPI window (n ≥ 7 calendar days to the newest day), baseline and labels."""
     d = F.col("service_date")
-    return daily_p.agg(
-        F.struct(
-            F.greatest(F.min(d), F.date_sub(F.max(d), n - 1)).alias("kpi_start"), F.max(d).alias("end_date")
-        )
-    ).scalar()
+    ends = prepare_daily(daily).agg(F.min(d).alias("view_start"), F.max(d).alias("view_end"))
+    return ends.select(*_scope(F.col("view_start"), F.col("view_end"), max(7, int(kpi_window_days))))
+
+
+def _kpi_columns(n: int) -> list[Column]:
+    """PAN-D from a view's ordered pass; a view without days has zeros."""
+    nr, peak = F.coalesce(F.col("n_rows"), F.lit(0)), F.col("reference_peak")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    cong = F.when(peak > 0, F.least(F.col("recent_rows_avg") / peak * 100.0, F.lit(100.0))).otherwise(0.0)
+    return [
+        nr.alias("n_rows"), *[count(c) for c in ("passengers", "vehicles", "traffic_rows", "active_corridors")],
+        cong.alias("congestion_raw"),
+        F.coalesce(F.col("r7"), F.lit(0.0)).alias("recent_7d"),
+        F.when(nr >= 14, F.col("p7")).alias("prior_7d"),
+        F.when(nr >= 30, F.col("r30")).alias("recent_30d"),
+        F.when(nr >= 60, F.col("p30")).alias("prior_30d"),
+        F.coalesce(F.col("rn_"), F.lit(0.0)).alias("recent_window"),
+        F.when(nr >= 2 * n, F.col("pn_")).alias("prior_window"),
+    ]
 
 
-def _in(df: DataFrame, start: Column, end: Column) -> DataFrame:
-    return df.where(F.col("service_date").between(start, end))
+def _published() -> list[Column]:
+    """The KPI block as published (rounded like the source document)."""
+    return [
+        F.col("passengers"), F.col("vehicles"), F.col("traffic_rows"), F.col("active_corridors"),
+        py_round(F.col("congestion_raw"), 1).alias("congestion_index_pct"),
+        *[py_round(F.col(c), 1).alias(f"{c}_avg_passengers") for c in ("recent_7d", "prior_7d", "recent_30d", "prior_30d")],
+    ]
+
+
+def panel_kpis(daily: DataFrame, routes: DataFrame, kpi_window_days: int = 7) -> DataFrame:
+    """PAN-D: the KPI block as published."""
+    views = PanelViews(daily, kpi_window_days=kpi_window_days)
+    rows = views.table().join(views.day_part(), "ord", "left").join(views.corridor_counts(routes, False), "ord", "left")
+    return rows.select(*_kpi_columns(views.n)).select(*_published())
+
+
+def _shared(leaders: Column, total: Column) -> Column:
+    """Leaders with their share of the window's passengers."""
+    share = lambda c: F.when(total > 0, c["passengers"].cast("double") / total.cast("double") * 100.0).otherwise(0.0)
+    return F.transform(leaders, lambda c: F.struct(
+        c["rank"].alias("rank"), c["pair_label"].alias("pair_label"), c["passengers"].alias("passengers"),
+        c["vehicles"].alias("vehicles"), py_round(share(c), 1).alias("share_pct")))
 
 
 def panel_top_corridors(daily: DataFrame, routes: DataFrame, kpi_window_days: int = 7) -> DataFrame:
     """PAN-E: top 5 corridors of the KPI window, share of the window's passengers."""
-    n = max(7, int(kpi_window_days))
-    dp, rp = prepare_daily(daily), prepare_routes(routes)
-    kb = _kpi_bounds(dp, n)
-    total = _in(dp, kb.getField("kpi_start"), kb.getField("end_date")).agg(F.sum("total_passengers")).scalar()
-    order = [F.col("passengers").desc(), F.col("vehicles").desc(), F.col("departure_port").asc(), F.col("arrival_port").asc()]
-    g = _in(rp, kb.getField("kpi_start"), kb.getField("end_date")).groupBy("departure_port", "arrival_port").agg(
-        F.sum("total_passengers").alias("passengers"), F.sum("total_vehicles").alias("vehicles")
-    ).orderBy(*order).limit(5)
-    share = F.when(F.coalesce(total, F.lit(0)) > 0, F.col("passengers").cast("double") / total.cast("double") * 100.0).otherwise(0.0)
-    return g.select(
-        F.row_number().over(Window.orderBy(*order)).alias("rank"),
-        F.concat(F.col("departure_port"), F.lit(" -> "), F.col("arrival_port")).alias("pair_label"),
-        F.col("passengers").cast("long").alias("passengers"),
-        F.col("vehicles").cast("long").alias("vehicles"),
-        py_round(share, 1).alias("share_pct"),
-    )
+    views = PanelViews(daily, kpi_window_days=kpi_window_days)
+    rows = views.corridor_lists(routes, False).join(views.day_part().select("ord", "passengers"), "ord", "left")
+    return rows.select(F.inline(_shared(F.col("leaders"), F.coalesce("passengers", F.lit(0)))))
 
 
 def panel_top_ports(daily: DataFrame, ports: DataFrame, kpi_window_days: int = 7) -> DataFrame:
     """PAN-F: top 5 ports by departing + arriving passengers, name as tie-break."""
-    n = max(7, int(kpi_window_days))
-    kb = _kpi_bounds(prepare_daily(daily), n)
-    order = [F.col("passengers").desc(), F.col("port_name").asc()]
-    g = _in(prepare_ports(ports), kb.getField("kpi_start"), kb.getField("end_date")).groupBy("port_name").agg(
-        F.sum("total_passengers").cast("long").alias("passengers")
-    ).orderBy(*order).limit(5)
-    return g.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "port_name", "passengers")
+    return PanelViews(daily, kpi_window_days=kpi_window_days).port_list(ports).select(F.inline("top_ports"))
 
 
 def panel_prev_top(daily: DataFrame, routes: DataFrame) -> DataFrame:
     """PAN-G: leading corridor of calendar days end−13 … end−7 (NULL when none)."""
-    end = prepare_daily(daily).agg(F.max("service_date")).scalar()
-    g = _in(prepare_routes(routes), F.date_sub(end, 13), F.date_sub(end, 7)).groupBy("departure_port", "arrival_port").agg(
-        F.sum("total_passengers").alias("p")
-    ).orderBy(F.col("p").desc(), F.col("departure_port").asc(), F.col("arrival_port").asc()).limit(1)
-    return g.agg(F.first(F.concat(F.col("departure_port"), F.lit(" -> "), F.col("arrival_port"))).alias("previous_top_corridor_label"))
-
-
-def _kpis(daily_p: DataFrame, routes_p: DataFrame, n: int) -> DataFrame:
-    """PAN-D aggregate: one row over the ranked day rows."""
-    kb = _kpi_bounds(daily_p, n)
-    in_kpi = F.col("service_date").between(kb.getField("kpi_start"), kb.getField("end_date"))
-    p = F.col("total_passengers").cast("double")
-    rn = F.col("rn")
-    agg = _ranked(daily_p).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(F.when(in_kpi, F.col("total_passengers"))), F.lit(0)).cast("long").alias("passengers"),
-        F.coalesce(F.sum(F.when(in_kpi, F.col("total_vehicles"))), F.lit(0)).cast("long").alias("vehicles"),
-        F.coalesce(F.sum(F.when(in_kpi, F.col("rows_count"))), F.lit(0)).cast("long").alias("traffic_rows"),
-        F.avg(F.when(rn <= 7, F.col("rows_count").cast("double"))).alias("recent_rows_avg"),
-        F.percentile(F.col("rows_count").cast("double"), 0.95).alias("reference_peak"),
-        F.avg(F.when(rn <= 7, p)).alias("r7"),
-        F.avg(F.when(rn.between(8, 14), p)).alias("p7"),
-        F.avg(F.when(rn <= 30, p)).alias("r30"),
-        F.avg(F.when(rn.between(31, 60), p)).alias("p30"),
-        F.avg(F.when(rn <= n, p)).alias("rn_"),
-        F.avg(F.when(rn.between(n + 1, 2 * n), p)).alias("pn_"),
-    )
-    corridors = _in(routes_p, kb.getField("kpi_start"), kb.getField("end_date")).select(
-        "departure_port", "arrival_port").distinct().agg(F.count(F.lit(1))).scalar()
-    nr = F.col("n_rows")
-    peak = F.col("reference_peak")
-    cong = F.when(peak > 0, F.least(F.col("recent_rows_avg") / peak * 100.0, F.lit(100.0))).otherwise(0.0)
-    return agg.select(
-        "n_rows", "passengers", "vehicles", "traffic_rows",
-        F.coalesce(corridors, F.lit(0)).cast("long").alias("active_corridors"),
-        cong.alias("congestion_raw"),
-        F.coalesce(F.col("r7"), F.lit(0.0)).alias("recent_7d"),
-        F.when(nr >= 14, F.col("p7")).alias("prior_7d"),
-        F.when(nr >= 30, F.col("r30")).alias("recent_30d"),
-        F.when(nr >= 60, F.col("p30")).alias("prior_30d"),
-        F.coalesce(F.col("rn_"), F.lit(0.0)).alias("recent_window"),
-        F.when(nr >= 2 * n, F.col("pn_")).alias("prior_window"),
-    )
-
-
-def panel_kpis(daily: DataFrame, routes: DataFrame, kpi_window_days: int = 7) -> DataFrame:
-    """PAN-D: the KPI block as published (rounded like the source document)."""
-    n = max(7, int(kpi_window_days))
-    k = _kpis(prepare_daily(daily), prepare_routes(routes), n)
-    return k.select(
-        "passengers", "vehicles", "traffic_rows", "active_corridors",
-        py_round(F.col("congestion_raw"), 1).alias("congestion_index_pct"),
-        py_round(F.col("recent_7d"), 1).alias("recent_7d_avg_passengers"),
-        py_round(F.col("prior_7d"), 1).alias("prior_7d_avg_passengers"),
-        py_round(F.col("recent_30d"), 1).alias("recent_30d_avg_passengers"),
-        py_round(F.col("prior_30d"), 1).alias("prior_30d_avg_passengers"),
-    )
+    views = PanelViews(daily)
+    return views.table().join(views.corridor_lists(routes, False), "ord", "left").select("previous_top_corridor_label")
 
 
 def _delta(name: str, label: str, period: str, cur: Column, prev: Column) -> Column:
@@ -293,25 +210,31 @@ def _dedup(arr: Column, field: str, cap: int) -> Column:
     return F.slice(first, 1, cap)
 
 
-def panel_context(daily: DataFrame, routes: DataFrame, ports: DataFrame, kpi_window_days: int = 7,
-                  notable: DataFrame | None = None) -> DataFrame:
-    """The whole source document as one row of typed columns (PAN-C … PAN-J)."""
-    n = max(7, int(kpi_window_days))
-    dp, rp = prepare_daily(daily), prepare_routes(routes)
-    k = _kpis(dp, rp, n)
-    scope = panel_scope(daily, n).select(F.struct("*")).scalar()
-    tc = panel_top_corridors(daily, routes, n).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "pair_label", "passengers", "vehicles", "share_pct"))).alias("a")
-    ).scalar()
-    tp = panel_top_ports(daily, ports, n).agg(F.sort_array(F.collect_list(F.struct("rank", "port_name", "passengers"))).alias("a")).scalar()
-    prev = panel_prev_top(daily, routes).scalar()
-    reasons = (notable if notable is not None else notable_change(daily, routes)).select("reasons").scalar()
-
-    base = k.select(
-        "*", scope.alias("scope"), F.coalesce(tc, F.array()).alias("top_corridors"),
-        F.coalesce(tp, F.array()).alias("top_ports"), prev.alias("previous_top_corridor_label"),
-        F.coalesce(reasons, F.array()).alias("notable_change_reasons"),
-    ).withColumn("deltas", _deltas(n))
+def panel_context(daily: DataFrame, routes: DataFrame, ports: DataFrame, kpi_window_days: int = 7) -> DataFrame:
+    """The whole source document of the frames as they are, as one row of typed columns (PAN-C … PAN-J)."""
+    return panel_contexts(PanelViews(daily, kpi_window_days=kpi_window_days), routes, ports)
+
+
+def panel_contexts(views: PanelViews, routes: DataFrame, ports: DataFrame) -> DataFrame:
+    """One source document a view, as a row of typed columns, in one pass over each frame.
+
+    Beside the document's parts: ``ord`` and ``lookback`` of the view, its
+    ``data_version`` (PAN-O) and ``should_trigger`` (PAN-A).
+    """
+    n = views.n
+    rows = views.table()
+    for part in (views.day_part(), views.corridor_lists(routes), views.corridor_counts(routes), views.port_list(ports)):
+        rows = rows.join(part, "ord", "left")  # a row a view
+    rows = rows.select("*", views.newest.alias("newest"))
+    end = F.when(F.col("n_rows").isNotNull(), F.col("newest"))
+    version = F.when(F.col("n_rows").isNull(), "empty").otherwise(_version_text(
+        F.col("newest"), F.col("rows_sum"), F.col("pax_sum"), F.coalesce("digest", F.lit("none"))))
+    base = rows.select(
+        "ord", "lookback", *_kpi_columns(n), F.struct(*_scope(F.col("view_start"), end, n)).alias("scope"),
+        F.coalesce(_shared(F.col("leaders"), F.coalesce("passengers", F.lit(0))), F.array()).alias("top_corridors"),
+        F.coalesce("top_ports", F.array()).alias("top_ports"), "previous_top_corridor_label", version.alias("data_version"),
+        _notable_reasons(F.coalesce("n_rows", F.lit(0)), F.col("r7"), F.col("p7"), F.col("c_top"), F.col("c_total")).alias("notable_change_reasons"),
+    ).withColumn("should_trigger", F.size("notable_change_reasons") > 0).withColumn("deltas", _deltas(n))
 
     top = F.get(F.col("top_corridors"), 0)
     port = F.get(F.col("top_ports"), 0)
@@ -412,14 +335,7 @@ def panel_source_json(ctx: DataFrame) -> DataFrame:
 
 
 def _source_json() -> Column:
-    k = F.struct(
-        "passengers", "vehicles", "traffic_rows", "active_corridors",
-        py_round(F.col("congestion_raw"), 1).alias("congestion_index_pct"),
-        py_round(F.col("recent_7d"), 1).alias("recent_7d_avg_passengers"),
-        py_round(F.col("prior_7d"), 1).alias("prior_7d_avg_passengers"),
-        py_round(F.col("recent_30d"), 1).alias("recent_30d_avg_passengers"),
-        py_round(F.col("prior_30d"), 1).alias("prior_30d_avg_passengers"),
-    )
+    k = F.struct(*_published())
     doc = F.struct(
         F.lit("auto_panel_source_v2").alias("schema_version"),
         F.col("scope"),
@@ -445,8 +361,8 @@ def _clean_list(arr: Column, cap: int) -> Column:
     return F.slice(F.filter(F.transform(arr, lambda x: F.trim(x)), lambda x: x != ""), 1, cap)
 
 
-def panel_report(ctx: DataFrame, with_source_json: bool = False) -> DataFrame:
-    """PAN-L: the deterministic report card (title, summary, lists, text)."""
+def panel_report(ctx: DataFrame, with_source_json: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """PAN-L: the deterministic report card (title, summary, lists, text); ``keep`` names further columns to carry along."""
     top = F.get(F.col("top_corridors"), 0)
     port = F.get(F.col("top_ports"), 0)
     cong1 = py_round(F.col("congestion_raw"), 1)
@@ -492,6 +408,7 @@ def panel_report(ctx: DataFrame, with_source_json: bool = False) -> DataFrame:
         outlook,
     ), lambda x: x.isNotNull())
     return ctx.select(
+        *keep,
         F.lit(REPORT_TITLE).alias("title"),
         summary.alias("summary"),
         _clean_list(facts, 4).alias("facts"),
@@ -528,16 +445,18 @@ def py_data_version(daily: DataFrame, routes: DataFrame | None) -> DataFrame:
     else:
         digest = F.lit("none")
     agg = dp.agg(F.max("service_date").alias("mx"), F.count(F.lit(1)).alias("n"),
-                 F.coalesce(F.sum("rows_count"), F.lit(0)).cast("long").alias("rows"),
-                 F.coalesce(F.sum("total_passengers"), F.lit(0)).cast("long").alias("pax"))
+                 F.sum("rows_count").alias("rows"), F.sum("total_passengers").alias("pax"))
     return agg.select(
-        F.when(F.col("n") == 0, F.lit("empty")).otherwise(F.concat(
-            F.col("mx").cast("string"), F.lit("|rows:"), F.col("rows").cast("string"), F.lit("|pax:"),
-            F.col("pax").cast("string"), F.lit("|top:"), F.substring(F.sha2(digest, 256), 1, 16),
-        )).alias("data_version")
+        F.when(F.col("n") == 0, F.lit("empty")).otherwise(_version_text(F.col("mx"), F.col("rows"), F.col("pax"), digest)).alias("data_version")
     )
 
 
+def _version_text(newest: Column, rows: Column, pax: Column, digest: Column) -> Column:
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("long").cast("string")
+    return F.concat(newest.cast("string"), F.lit("|rows:"), whole(rows), F.lit("|pax:"), whole(pax), F.lit("|top:"),
+                    F.substring(F.sha2(digest, 256), 1, 16))
+
+
 def filter_hash(filters: Column) -> Column:
     """PAN-P: sha256 of the filters as compact ASCII JSON, first 16 hex.
 
@@ -571,8 +490,8 @@ def ascii_json(text: Column) -> Column:
 
 # --- PAN-L row, PAN-Q … PAN-T: the snapshot table ------------------------------------------------------
 
-def panel_snapshot_row(ctx: DataFrame, data_version: Column, notable: Column, snapshot_ts: Column | None = None) -> DataFrame:
-    """The auto-panel row of the snapshot table (deterministic rendering).
+def panel_snapshot_row(ctx: DataFrame, snapshot_ts: Column | None = None) -> DataFrame:
+    """The auto-panel row of the snapshot table for each row of the context (deterministic rendering).
 
     Narrative generation by an external model is not part of this build: a
     notable change is recorded as the deterministic fallback the reference
@@ -580,11 +499,12 @@ def panel_snapshot_row(ctx: DataFrame, data_version: Column, notable: Column, sn
     """
     ts = snapshot_ts if snapshot_ts is not None else F.lit(DEFAULT_NOW).cast("timestamp_ntz")
     # Report and source document from ONE pass over the context.
-    rep = panel_report(ctx, with_source_json=True)
+    rep = panel_report(ctx, with_source_json=True, keep=("data_version", "should_trigger"))
+    notable = F.col("should_trigger")
     null_s = F.lit(None).cast("string")
     return rep.select(
         ts.alias("snapshot_ts"), F.lit("agent_panel").alias("chart_id"), F.lit("auto_panel").alias("insight_type"),
-        F.lit("weekly").alias("grain"), null_s.alias("filter_hash"), data_version.alias("data_version"), "title", "summary",
+        F.lit("weekly").alias("grain"), null_s.alias("filter_hash"), "data_version", "title", "summary",
         "facts", "anomalies", "comparisons", "recommendations", "report_text", "insight_text",
         F.when(notable, "deterministic_no_api_key").otherwise("deterministic_skip").alias("generation_mode"),
         F.when(notable, F.lit("LLM provider API key not set")).otherwise(null_s).alias("generation_error"),
@@ -677,26 +597,12 @@ def panel_rows(daily: DataFrame, routes: DataFrame, ports: DataFrame, lookbacks:
 
     The end is the newest day, or ``end_date`` if that is earlier; a lookback
     (``full``, ``year`` or days, at least 7; 90 by default) is clipped to the
-    days there are. All three frames are cut to the window and stored (each is
-    read many times); corridors are read without vehicles on this path, so
-    vehicles are 0 and break no ties.
+    days there are. The lookbacks are nested views of one pass over each
+    frame: nothing is stored, and more lookbacks read nothing more. Corridors
+    are read without vehicles on this path, so vehicles are 0 and break no ties.
     """
-    d = F.col("service_date")
-    last = F.max(d) if end_date is None else F.least(F.lit(end_date).cast("date"), F.max(d))
-    span = F.datediff(last, F.min(d)) + 1
-    out = None
-    for token in lookbacks or ["90"]:
-        days = F.least(_resolve_lookback(token, span), span)
-        start, end = daily.agg(F.date_sub(last, days - 1)).scalar(), daily.agg(last).scalar()
-        dv, rv, pv = (
-            through_storage(df.where((d >= start) & (d <= end)), f"panel-{name}")
-            for name, df in (("daily", daily), ("routes", routes.drop("total_vehicles")), ("ports", ports))
-        )
-        ctx = panel_context(dv, rv, pv, kpi_window_days)
-        version, notable = py_data_version(dv, rv).scalar(), notable_change(dv, rv).select("should_trigger").scalar()
-        row = panel_snapshot_row(ctx, version, notable, snapshot_ts)
-        out = row if out is None else out.unionByName(row)
-    return out
+    views = PanelViews(daily, lookbacks or ["90"], end_date, kpi_window_days)
+    return panel_snapshot_row(panel_contexts(views, routes.drop("total_vehicles"), ports), snapshot_ts)
 
 
 def panel_cache_match(lines: DataFrame, current_start: Column, current_end: Column, default_scope: Column) -> DataFrame:
@@ -811,15 +717,6 @@ def live_report(daily: DataFrame, routes: DataFrame, ports: DataFrame, view) ->
 
 # --- PAN-U: presets ---------------------------------------------------------------------------------
 
-def _resolve_lookback(token: str, span_days: Column) -> Column:
-    t = token.strip().lower()
-    if t in {"full", "all"}:
-        return F.greatest(span_days, F.lit(7))
-    if t in {"year", "1y", "365", "last365", "last365d"}:
-        return F.lit(365)
-    return F.lit(max(7, int(t)))
-
-
 def panel_presets(daily: DataFrame, routes: DataFrame, presets: list[str]) -> DataFrame:
     """PAN-U: per preset, the window clipped to the available days and its data version.
 
@@ -832,7 +729,7 @@ def panel_presets(daily: DataFrame, routes: DataFrame, presets: list[str]) -> Da
     span = F.datediff(b.getField("mx"), b.getField("mn")) + 1
     items = []
     for i, token in enumerate(presets):
-        lb = _resolve_lookback(token, span)
+        lb = resolve_lookback(token, span)
         eff = F.least(lb, span)
         items.append(F.struct(F.lit(i + 1).alias("ord"), F.lit(token).alias("preset"), lb.alias("lookback_days"),
                               eff.alias("effective_days"), F.date_sub(b.getField("mx"), eff - 1).alias("start_date"),

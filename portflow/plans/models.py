@@ -128,6 +128,11 @@ class TrafficModels:
             "service_date", "departure_port", "arrival_port", "traffic_record_count", "total_passengers", "total_vehicles"
         )
 
+    @property
+    def routes_by_month(self) -> DataFrame:
+        """``routes`` with the month column that the stored route-day grain is partitioned by."""
+        return self.route_day.select("service_month_start", *self.routes.columns)
+
     @property
     def ports(self) -> DataFrame:
         return self.fct_port_daily

@@ -21,7 +21,7 @@ def _frames(spark, sf_dir):
     # The panel reads the day-grain facts many times (scope, KPIs, leaders):
     # store them once, then every subquery reads the small tables.
     m = TrafficModels(spark, sf_dir).materialize()
-    return m, m.daily, m.routes, m.ports
+    return m, m.daily, m.routes_by_month, m.ports
 
 
 def _ctx(spark, sf_dir):
@@ -163,11 +163,8 @@ PANEL_TS = _dt.datetime(2026, 1, 3, 0, 5, 0)
 
 
 def _panel_row(m, kpi_window_days: int = 7, ts=PANEL_TS):
-    d, r, p = m.daily, m.routes, m.ports
-    ctx = P.panel_context(d, r, p, kpi_window_days)
-    version = P.py_data_version(d, r).scalar()
-    notable = P.notable_change(d, r).select("should_trigger").scalar()
-    return P.panel_snapshot_row(ctx, version, notable, F.lit(ts).cast("timestamp_ntz"))
+    d, r, p = m.daily, m.routes_by_month, m.ports
+    return P.panel_snapshot_row(P.panel_context(d, r, p, kpi_window_days), F.lit(ts).cast("timestamp_ntz"))
 
 
 def snapshot_table_of(m) -> DataFrame:
@@ -194,7 +191,7 @@ WRITER_END = "2000-06-30"
 def q_panel_writer(spark, sf_dir):
     """PAN-U: the rows that the scheduled writer stores for two lookbacks and an end date before the newest day."""
     m = _frames(spark, sf_dir)[0]
-    rows = P.panel_rows(m.daily, m.routes, m.ports, ["90", "30"], WRITER_END, snapshot_ts=F.lit(PANEL_TS).cast("timestamp_ntz"))
+    rows = P.panel_rows(m.daily, m.routes_by_month, m.ports, ["90", "30"], WRITER_END, snapshot_ts=F.lit(PANEL_TS).cast("timestamp_ntz"))
     return rows.select(*_SNAP_OUT)
 
 
