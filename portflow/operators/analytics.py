@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from portflow.functions.days import within_days
 from portflow.functions.fmt import compact, fixed
 from portflow.functions.keys import pair_label
 from portflow.functions.numeric import safe_share
@@ -46,7 +47,7 @@ class View:
     def apply(self, df: DataFrame, col: str = "service_date") -> DataFrame:
         if self.full and col == "service_date":
             return df
-        return df.where(F.col(col).between(self.start, self.end))
+        return within_days(df, self.start, self.end, col)
 
 
 def bounds(daily: DataFrame) -> Column:
@@ -275,7 +276,8 @@ def _window_plan(daily_v: DataFrame, view: View) -> dict[str, Column]:
     has_room = anchor >= view.start
     full = F.date_sub(anchor, BASELINE_WINDOWS * WINDOW_DAYS - 1) >= view.start
     n = F.when(~has_room | cur_end.isNull(), 0).when(full, BASELINE_WINDOWS).otherwise(1)
-    return {"cur_end": cur_end, "cur_start": cur_start, "anchor": anchor, "full": full, "n": n}
+    oldest = F.when(full, F.date_sub(anchor, BASELINE_WINDOWS * WINDOW_DAYS - 1)).otherwise(F.least(view.start, cur_start))
+    return {"cur_end": cur_end, "cur_start": cur_start, "anchor": anchor, "full": full, "n": n, "oldest": oldest}
 
 
 def _window_index(d: Column, p: dict[str, Column], view: View) -> Column:
@@ -294,9 +296,12 @@ def window_metrics(daily: DataFrame, routes: DataFrame, ports: DataFrame, view:
 
     All windows in one pass per input: every day row is tagged with its
     window index and aggregated by it — no per-window re-scan, no range join.
+    Corridors and ports are read from the oldest window's first day on (by
+    month, where the frame is stored by month).
     """
-    daily_v, routes_v, ports_v = view.apply(daily), view.apply(routes), view.apply(ports)
+    daily_v = view.apply(daily)
     p = _window_plan(daily_v, view)
+    routes_v, ports_v = (within_days(view.apply(df), p["oldest"], p["cur_end"]) for df in (routes, ports))
     idx = _window_index(F.col("service_date"), p, view)
 
     d = daily_v.withColumn("w", idx).where(F.col("w").isNotNull()).groupBy("w").agg(

@@ -225,12 +225,10 @@ def panel_contexts(views: PanelViews, routes: DataFrame, ports: DataFrame) -> Da
     rows = views.table()
     for part in (views.day_part(), views.corridor_lists(routes), views.corridor_counts(routes), views.port_list(ports)):
         rows = rows.join(part, "ord", "left")  # a row a view
-    rows = rows.select("*", views.newest.alias("newest"))
-    end = F.when(F.col("n_rows").isNotNull(), F.col("newest"))
     version = F.when(F.col("n_rows").isNull(), "empty").otherwise(_version_text(
         F.col("newest"), F.col("rows_sum"), F.col("pax_sum"), F.coalesce("digest", F.lit("none"))))
     base = rows.select(
-        "ord", "lookback", *_kpi_columns(n), F.struct(*_scope(F.col("view_start"), end, n)).alias("scope"),
+        "ord", "lookback", *_kpi_columns(n), F.struct(*_scope(F.col("view_start"), F.col("newest"), n)).alias("scope"),
         F.coalesce(_shared(F.col("leaders"), F.coalesce("passengers", F.lit(0))), F.array()).alias("top_corridors"),
         F.coalesce("top_ports", F.array()).alias("top_ports"), "previous_top_corridor_label", version.alias("data_version"),
         _notable_reasons(F.coalesce("n_rows", F.lit(0)), F.col("r7"), F.col("p7"), F.col("c_top"), F.col("c_total")).alias("notable_change_reasons"),
@@ -531,6 +529,54 @@ def snapshot_latest(snapshots: DataFrame, chart_id: Column, insight_type: Column
     return snapshots.where(cond).orderBy(F.col("snapshot_ts").desc()).limit(1)
 
 
+def snapshot_answers(snapshots: DataFrame, requests: DataFrame) -> DataFrame:
+    """PAN-Q/R for a table of requests: the row a panel shows for each, in one as-of join.
+
+    ``requests``: request_id, chart_id, insight_type (NULL: any), data_version,
+    filter_hash. In order: a row of the version with the filter hash
+    (``match`` is ``exact``), one of the version without a hash
+    (``unfiltered``), the newest of any version (``latest``); the newest row
+    within each, ties to the smaller insight type, version and hash. A request
+    that finds nothing has a row with NULLs.
+
+    A snapshot can answer under six keys (three levels, with its insight type
+    or any); only the newest one a key leaves its task, by map-side combine, so
+    charts with any number of versions ship one narrow row a key and task.
+    Requests look their three keys up by an equi-join, and only the chosen rows
+    are fetched whole.
+    """
+    value, any_value = lambda c: F.concat(F.lit("="), F.col(c)), F.lit("*")
+
+    def keys(of_row: bool) -> Column:
+        """(level, insight, version, hash) under which a snapshot answers, or which a request asks for."""
+        version, hashed = value("data_version"), value("filter_hash")
+        insights = [value("insight_type"), any_value] if of_row else [F.coalesce(value("insight_type"), any_value)]
+        bare = F.col("filter_hash").isNull() if of_row else F.lit(True)
+        levels = [(0, version, hashed, hashed.isNotNull()), (1, version, any_value, bare), (2, any_value, any_value, F.lit(True))]
+        return F.explode(F.array_compact(F.array(*[
+            F.when(fits, F.struct(F.lit(level).alias("level"), i.alias("insight"), v.alias("version"), h.alias("hash")))
+            for level, v, h, fits in levels for i in insights
+        ])))
+
+    key = ["chart_id", "k.level", "k.insight", "k.version", "k.hash"]
+    who = F.struct("insight_type", "data_version", "filter_hash", "snapshot_ts")
+    # the newest, ties to the smallest names: the least of (age, names)
+    age = F.struct((-F.unix_micros(F.col("snapshot_ts").cast("timestamp"))).alias("age"), F.col("insight_type").alias("i"),
+                   F.col("data_version").alias("v"), F.col("filter_hash").alias("h"))
+    newest = snapshots.select("chart_id", keys(True).alias("k"), who.alias("who"), age.alias("age"))
+    newest = newest.groupBy(*key).agg(F.min_by("who", "age").alias("who"))
+    asked = requests.select("request_id", "chart_id", keys(False).alias("k")).select("request_id", *key)
+    found = asked.join(newest, ["chart_id", "level", "insight", "version", "hash"])
+    best = found.groupBy("request_id", "chart_id").agg(F.min(F.struct("level", "who")).alias("b"))
+    best = best.select("request_id", F.col("chart_id").alias("_c"), "b.level", F.col("b.who").alias("_w"))
+    same = (snapshots["chart_id"] == F.col("_c")) & (snapshots["snapshot_ts"] == F.col("_w.snapshot_ts"))
+    for c in ("insight_type", "data_version", "filter_hash"):
+        same = same & snapshots[c].eqNullSafe(F.col(f"_w.{c}"))
+    rows = best.join(snapshots, same).dropDuplicates(["request_id"]).drop("_c", "_w")
+    match = F.when(F.col("level") == 0, "exact").when(F.col("level") == 1, "unfiltered").when(F.col("level") == 2, "latest")
+    return requests.select("request_id").join(rows, "request_id", "left").withColumn("match", match).drop("level")
+
+
 def snapshot_freshness(snapshots: DataFrame, now: Column, chart_id: str = "agent_panel", insight_type: str = "auto_panel",
                        stale_after_hours: float = STALE_AFTER_HOURS) -> DataFrame:
     """PAN-S: hours since the newest matching snapshot; stale when none or older than the limit."""

@@ -53,20 +53,17 @@ class PanelViews:
         d = F.col("service_date")
         last = F.max(d) if end_date is None else F.least(F.lit(end_date).cast("date"), F.max(d))
         newest = F.max(d) if end_date is None else F.max(F.when(d <= F.lit(end_date).cast("date"), d))
-        bounds = days.agg(F.struct(F.min(d).alias("first"), last.alias("last"), newest.alias("newest"))).scalar()
-        self.first, self.last, self.newest = (bounds.getField(c) for c in ("first", "last", "newest"))
+        ends = days.agg(F.min(d).alias("first"), last.alias("last"), newest.alias("newest"))
+        span = F.datediff("last", "first") + 1
+        starts = [F.lit(None).cast("date")] if lookbacks is None else [
+            F.date_sub("last", F.least(resolve_lookback(t, span), span) - 1) for t in lookbacks]
+        ends = ends.select(
+            "last", "newest", F.greatest(F.date_sub("newest", self.n - 1), "first").alias("kpi_start"),
+            F.array(*[F.struct(F.lit(i + 1).alias("ord"), x.alias("start")) for i, x in enumerate(starts)]).alias("views"),
+        )
+        low = F.array_min(F.transform("views", lambda v: v["start"]))
+        self.bounds = ends.select(F.struct("*", low.alias("low"), F.least("kpi_start", F.date_sub("newest", 13)).alias("recent_low"))).scalar()
         self.days = days if end_date is None else days.where(d <= F.lit(end_date).cast("date"))
-        self.kpi_start = F.greatest(F.date_sub(self.newest, self.n - 1), self.first)
-
-    def starts(self) -> list[Column]:
-        """First day of each view; NULL for a view without one."""
-        if self.lookbacks is None:
-            return [F.lit(None).cast("date")]
-        span = F.datediff(self.last, self.first) + 1
-        return [F.date_sub(self.last, F.least(resolve_lookback(t, span), span) - 1) for t in self.lookbacks]
-
-    def _views(self) -> Column:
-        return F.array(*[F.struct(F.lit(i + 1).alias("ord"), s.alias("start")) for i, s in enumerate(self.starts())])
 
     def table(self) -> DataFrame:
         """One row a view: ord, lookback."""
@@ -80,17 +77,16 @@ class PanelViews:
         d, n = F.col("service_date"), self.n
         newest_first = Window.orderBy(d.desc())  # the calendar bounds the day grain
         so_far = newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = self.days.select("*", F.row_number().over(newest_first).alias("rn"), F.lead(d).over(newest_first).alias("older"),
-                                self.kpi_start.alias("_kpi_start"), self._views().alias("_views"))
+        rows = self.days.select("*", F.row_number().over(newest_first).alias("rn"), F.lead(d).over(newest_first).alias("older"), self.bounds.alias("_b"))
         rn, p = F.col("rn"), F.col("total_passengers").cast("double")
-        kpi = d >= F.col("_kpi_start")
+        kpi = d >= F.col("_b.kpi_start")
 
         def mean(first: int, last: int, c: Column = p) -> Column:
             return F.avg(F.when(rn.between(first, last), c)).over(so_far)
 
         sums = {"passengers": "total_passengers", "vehicles": "total_vehicles", "traffic_rows": "rows_count"}
         rows = rows.select(
-            "older", "_views", d.alias("view_start"), rn.alias("n_rows"),
+            "older", "_b", d.alias("view_start"), F.max(d).over(so_far).alias("newest"), rn.alias("n_rows"),
             *[F.coalesce(F.sum(F.when(kpi, F.col(c))).over(so_far), F.lit(0)).cast("long").alias(a) for a, c in sums.items()],
             F.sum("rows_count").over(so_far).alias("rows_sum"), F.sum("total_passengers").over(so_far).alias("pax_sum"),
             mean(1, 7, F.col("rows_count").cast("double")).alias("recent_rows_avg"),
@@ -100,18 +96,17 @@ class PanelViews:
         )
         # a view is read off at its oldest day
         older, start = F.col("older"), F.col("view_start")
-        ends = F.filter("_views", lambda v: (v["start"].isNull() & older.isNull()) | ((start >= v["start"]) & (older.isNull() | (older < v["start"]))))
-        return rows.select(F.explode(ends).alias("v"), "*").select("v.ord", *[c for c in rows.columns if c not in ("older", "_views")])
+        ends = F.filter("_b.views", lambda v: (v["start"].isNull() & older.isNull()) | ((start >= v["start"]) & (older.isNull() | (older < v["start"]))))
+        return rows.select(F.explode(ends).alias("v"), "*").select("v.ord", *[c for c in rows.columns if c not in ("older", "_b")])
 
     def _in_views(self, df: DataFrame, everything: bool) -> DataFrame:
         """Rows of any view with ``views``, the ords that hold them; of the KPI and previous windows only, if not ``everything``."""
-        low = F.least(self.kpi_start, F.date_sub(self.newest, 13))
-        if everything:
-            low = None if self.lookbacks is None else F.least(*self.starts()) if len(self.starts()) > 1 else self.starts()[0]
-        bounded = within_days(df, low, None if self.lookbacks is None else self.last)
+        low, last = self.bounds.getField("low" if everything else "recent_low"), self.bounds.getField("last")
+        if self.lookbacks is None:
+            low, last = None if everything else low, None
+        tagged = within_days(df, low, last).select("*", self.bounds.alias("_b"))
         d = F.col("service_date")
-        tagged = bounded.select("*", self._views().alias("_views"), self.kpi_start.alias("_kpi_start"), self.newest.alias("_newest"))
-        return tagged.withColumn("views", F.transform(F.filter("_views", lambda v: v["start"].isNull() | (d >= v["start"])), lambda v: v["ord"]))
+        return tagged.withColumn("views", F.transform(F.filter("_b.views", lambda v: v["start"].isNull() | (d >= v["start"])), lambda v: v["ord"]))
 
     def _corridors(self, routes: DataFrame, everything: bool) -> DataFrame:
         """ord, corridor, sums of the KPI window, the previous window, all days; known: both ports are named."""
@@ -120,8 +115,8 @@ class PanelViews:
         keep = ["_known", "_raw"] + ([MONTH_COLUMN] if MONTH_COLUMN in routes.columns else [])
         rows = self._in_views(prepare_routes(raw, keep), everything)
         d = F.col("service_date")
-        kpi = d.between(F.col("_kpi_start"), F.col("_newest"))
-        prev = d.between(F.date_sub("_newest", 13), F.date_sub("_newest", 7))
+        kpi = d.between(F.col("_b.kpi_start"), F.col("_b.newest"))
+        prev = d.between(F.date_sub("_b.newest", 13), F.date_sub("_b.newest", 7))
         p, v = F.col("total_passengers"), F.col("total_vehicles")
         sums = {
             "kpi_rows": F.count(F.when(kpi, 1)), "kpi_pax": F.sum(F.when(kpi, p)), "kpi_veh": F.sum(F.when(kpi, v)),
@@ -164,7 +159,7 @@ class PanelViews:
     def port_list(self, ports: DataFrame) -> DataFrame:
         """Per view: the KPI window's leading ports."""
         keep = [MONTH_COLUMN] if MONTH_COLUMN in ports.columns else []
-        rows = self._in_views(prepare_ports(ports, keep), False).where(F.col("service_date").between(F.col("_kpi_start"), F.col("_newest")))
+        rows = self._in_views(prepare_ports(ports, keep), False).where(F.col("service_date").between(F.col("_b.kpi_start"), F.col("_b.newest")))
         once = rows.groupBy("views", "port_name").agg(F.sum("total_passengers").alias("p"))
         each = once.select(F.explode("views").alias("ord"), "port_name", "p").groupBy("ord", "port_name").agg(F.sum("p").cast("long").alias("passengers"))
         order = Window.partitionBy("ord").orderBy(F.col("passengers").desc(), "port_name")

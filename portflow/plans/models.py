@@ -13,7 +13,6 @@ table, not the chain).
 
 from __future__ import annotations
 
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ from portflow.operators import rollups as U
 from portflow.operators.records import RECORD_COLUMNS
 from portflow.operators.staging import stg_clean
 from portflow.sources import testdata
-from portflow.sources.sinks import write_table
+from portflow.sources.sinks import scratch_path, write_table
 
 
 class TrafficModels:
@@ -169,9 +168,7 @@ class TrafficModels:
         return self
 
     def _store(self, name: str, df: DataFrame, partition_by: list[str] | None, cluster_by: list[str]) -> DataFrame:
-        from portflow.session import ensure_checkpoint_dir
-
-        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/portflow-{uuid.uuid4().hex[:12]}/{name}"
+        path = scratch_path(self.spark, name)
         write_table(df, path, partition_by, cluster_by)
         _PATHS.append(path)
         return self.spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in df.schema.fields])
@@ -183,10 +180,17 @@ _PATHS: list[str] = []
 
 
 def _input_key(models: TrafficModels) -> tuple | None:
-    """Session and input files of a chain over the testdata; None for a chain over a DataFrame of the caller."""
+    """Session and input files (name, time, length) of a chain over the testdata; None for a chain over a DataFrame of the caller."""
     if models.sf_dir is None:
         return None
-    files = testdata.table(models.spark, models.sf_dir, "lineitem").inputFiles()
+    jvm, conf = models.spark.sparkContext._jvm, models.spark.sparkContext._jsc.hadoopConfiguration()
+    files = []
+    for t in testdata.CHAIN_TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(testdata.path(models.sf_dir, t))
+        found = path.getFileSystem(conf).listFiles(path, True)
+        while found.hasNext():
+            f = found.next()
+            files.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))  # overwritten under its name: another input
     return models.spark.sparkContext.applicationId, models.sf_dir.rstrip("/"), tuple(sorted(files))
 
 

@@ -207,6 +207,8 @@ SCOPE_SQL = with_ctes(
     "pkb",
 )
 
+cte("pscope_all", ("pkb",), SCOPE_SQL[SCOPE_SQL.index("SELECT CASE WHEN end_date IS NULL THEN 'unknown'"):])
+
 KPIS_SQL = with_ctes(
     "SELECT passengers, vehicles, traffic_rows, active_corridors, round(congestion_raw, 1) AS congestion_index_pct, "
     "round(recent_7d, 1) AS recent_7d_avg_passengers, round(prior_7d, 1) AS prior_7d_avg_passengers, "
@@ -412,10 +414,54 @@ UPSERT_SQL = with_ctes(
 
 
 UPSERT_LOOKUP_SQL = with_ctes(
-    """SELECT TIMESTAMP '2026-01-04 00:05:00' AS snapshot_ts, chart_id, insight_type, data_version, filter_hash, title, summary
+    """SELECT TIMESTAMP '2026-01-05 00:05:00' AS snapshot_ts, chart_id, insight_type, data_version, filter_hash, title, summary
        FROM snaptab WHERE chart_id = 'agent_panel'""",
     "snaptab",
 )
+TOUCHED_SQL = with_ctes(
+    """SELECT COUNT(*) AS rows_count, CAST(1 AS BIGINT) AS changed_rows, CAST(1 AS INTEGER) AS rewritten_buckets, TRUE AS other_files_kept
+       FROM (SELECT DISTINCT departure_port, arrival_port, date_trunc('month', service_date) FROM routes)""",
+    "routes",
+)
+ANSWERS_SQL = with_ctes(
+    f"""SELECT request_id, match, chart_id, insight_type, data_version, filter_hash, snapshot_ts, title FROM (
+      SELECT r.request_id, CASE WHEN s.chart_id IS NULL THEN NULL WHEN s.data_version = r.v AND s.filter_hash = r.h THEN 'exact'
+               WHEN s.data_version = r.v AND s.filter_hash IS NULL THEN 'unfiltered' ELSE 'latest' END AS match,
+             s.chart_id, s.insight_type, s.data_version, s.filter_hash, s.snapshot_ts, s.title,
+             row_number() OVER (PARTITION BY r.request_id ORDER BY CASE WHEN s.data_version = r.v AND s.filter_hash = r.h THEN 0
+               WHEN s.data_version = r.v AND s.filter_hash IS NULL THEN 1 ELSE 2 END, s.snapshot_ts DESC, s.insight_type, s.data_version, s.filter_hash) AS n
+      FROM (SELECT i AS request_id, c, k, CASE WHEN v = 'now' THEN (SELECT data_version FROM pversion) ELSE v END AS v, h FROM (VALUES
+              (1, 'agent_panel', 'auto_panel', 'now', '00000000000000aa'), (2, 'agent_panel', 'auto_panel', 'now', '00000000000000bb'),
+              (3, 'agent_panel', NULL, 'now', NULL), (4, 'agent_panel', 'auto_panel', 'older data', '00000000000000aa'),
+              (5, 'agent_panel', 'auto_panel', 'no such data', '00000000000000aa'), (6, 'traffic_pulse', NULL, 'no such data', ''),
+              (7, 'no_such_chart', 'auto_panel', 'now', '00000000000000aa'), (8, 'agent_panel', 'deepen_chart', 'now', '00000000000000aa')) t(i, c, k, v, h)) r
+      LEFT JOIN (SELECT {_SNAP} FROM snaptab
+                 UNION ALL SELECT * REPLACE ('00000000000000aa' AS filter_hash, 'filtered' AS title) FROM (SELECT {_SNAP} FROM snaptab WHERE chart_id = 'agent_panel')
+                 UNION ALL SELECT * REPLACE ('older data' AS data_version, TIMESTAMP '2026-01-06 00:05:00' AS snapshot_ts, 'written later' AS title)
+                           FROM (SELECT {_SNAP} FROM snaptab WHERE chart_id = 'agent_panel')) s
+        ON s.chart_id = r.c AND (r.k IS NULL OR s.insight_type = r.k)) WHERE n = 1""",
+    "snaptab", "pversion",
+)
+_NUMBER = "CAST(NULL AS DOUBLE)"
+SOURCE_FIELDS_SQL = with_ctes(
+    "SELECT part, CAST(ord AS INTEGER) AS ord, text, CAST(number AS DOUBLE) AS number FROM ("
+    f"SELECT 'schema_version' AS part, 1 AS ord, 'auto_panel_source_v2' AS text, {_NUMBER} AS number "
+    f"UNION ALL SELECT 'previous_top_corridor_label', 1, previous_top_corridor_label, {_NUMBER} FROM pprev "
+    + "".join(f"UNION ALL SELECT 'scope.{c}', 1, {c}, {_NUMBER} FROM pscope_all " for c in
+              ("baseline_start", "baseline_end", "kpi_start", "kpi_end", "baseline_label", "kpi_label", "scope_label"))
+    + "".join(f"UNION ALL SELECT 'kpis.{c}', 1, NULL, {e} FROM pk " for c, e in {
+        "passengers": "passengers", "vehicles": "vehicles", "traffic_rows": "traffic_rows", "active_corridors": "active_corridors",
+        "congestion_index_pct": "round(congestion_raw, 1)", "recent_7d_avg_passengers": "round(recent_7d, 1)",
+        "prior_7d_avg_passengers": "round(prior_7d, 1)", "recent_30d_avg_passengers": "round(recent_30d, 1)",
+        "prior_30d_avg_passengers": "round(prior_30d, 1)"}.items())
+    + "UNION ALL SELECT 'top_corridors', rank, pair_label || '|' || passengers || '|' || vehicles, share_pct FROM ptc "
+    "UNION ALL SELECT 'top_ports', rank, port_name, passengers FROM ptp "
+    "UNION ALL SELECT 'deltas', ord, concat_ws('|', name, label, period, direction, severity, summary), value_pct FROM pdelta "
+    f"UNION ALL SELECT 'signals', ord, concat_ws('|', kind, severity, summary), {_NUMBER} FROM psig "
+    f"UNION ALL SELECT 'action_candidates', ord, concat_ws('|', action, rationale, priority), {_NUMBER} FROM pact "
+    f"UNION ALL SELECT 'notable_change_reasons', i, reasons[i], {_NUMBER} FROM (SELECT reasons, unnest(range(1, len(reasons) + 1)) AS i FROM pnotable))",
+    "pprev", "pscope_all", "pk", "ptc", "ptp", "pdelta", "psig", "pact", "pnotable",
+)
 
 
 def _signed(x: str) -> str:

@@ -25,7 +25,8 @@ def _frames(spark, sf_dir, store: bool = False):
     # over the day grain (window plans) ask for it to be stored once.
     m = _m(spark, sf_dir).materialize() if store else _m(spark, sf_dir)
     view = N.full_view(m.daily)
-    return m, view, view.apply(m.daily), view.apply(m.routes), view.apply(m.ports)
+    routes = m.routes_by_month if store else m.routes
+    return m, view, view.apply(m.daily), view.apply(routes), view.apply(m.ports)
 
 
 # ---- oracle building blocks ---------------------------------------------------------------
@@ -200,6 +201,51 @@ def q_scope_routes(spark, sf_dir):
     return N.scope_routes(m.routes, port=port)
 
 
+def _leader(spark, sf_dir):
+    """The leading corridor, from the stored route-day grain: (models, departure, arrival) with scalar subqueries."""
+    m = _m(spark, sf_dir).materialize()
+    top = N.top_corridors(m.routes, 1).agg(F.struct(F.first("departure_port").alias("d"), F.first("arrival_port").alias("a"))).scalar()
+    return m, top.getField("d"), top.getField("a")
+
+
+_LEADER_SQL = "(SELECT departure_port, arrival_port FROM rrank ORDER BY passengers DESC, vehicles DESC, pair_label LIMIT 1)"
+_IN_LEADER = f"(departure_port, arrival_port) IN {_LEADER_SQL}"
+
+
+@register("scope_corridor", with_ctes(f"SELECT * FROM routes WHERE {_IN_LEADER}", "routes", "rrank"))
+def q_scope_corridor(spark, sf_dir):
+    """ANA6: rows of one corridor, the leading one."""
+    m, dep, arr = _leader(spark, sf_dir)
+    return N.scope_routes(m.routes, corridor=(dep, arr))
+
+
+@register("scope_corridor_and_port", with_ctes(
+    f"""SELECT CASE WHEN s = 1 THEN 'arrival' ELSE 'other' END AS port_choice, COUNT(service_date) AS rows_count,
+               CAST(COALESCE(SUM(total_passengers), 0) AS BIGINT) AS total_passengers
+        FROM (VALUES (1), (2)) c(s) LEFT JOIN (SELECT * FROM routes WHERE {_IN_LEADER}) r ON s = 1 GROUP BY s""", "routes", "rrank"))
+def q_scope_corridor_and_port(spark, sf_dir):
+    """ANA6: corridor, then a port; one at an end of the corridor changes nothing, one elsewhere leaves no row."""
+    m, dep, arr = _leader(spark, sf_dir)
+    other = m.routes.where((F.col("departure_port") != dep) & (F.col("departure_port") != arr)).agg(F.min("departure_port")).scalar()
+    out = None
+    for choice, port in (("arrival", arr), ("other", other)):
+        rows = N.scope_routes(m.routes, corridor=(dep, arr), port=port).agg(
+            F.count("service_date").alias("rows_count"), F.coalesce(F.sum("total_passengers"), F.lit(0)).alias("total_passengers"))
+        rows = rows.select(F.lit(choice).alias("port_choice"), "rows_count", "total_passengers")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("scoped_corridor_daily", with_ctes(
+    f"""SELECT service_date, CAST(SUM(traffic_record_count) AS BIGINT) AS rows_count, COUNT(DISTINCT {_LABEL}) AS distinct_route_pairs,
+               CAST(SUM(total_passengers) AS BIGINT) AS total_passengers, CAST(SUM(total_vehicles) AS BIGINT) AS total_vehicles
+        FROM routes WHERE {_IN_LEADER} GROUP BY service_date""", "routes", "rrank"))
+def q_scoped_corridor_daily(spark, sf_dir):
+    """ANA6 then ANA7: the day frame that the dashboard rebuilds from a corridor's rows."""
+    m, dep, arr = _leader(spark, sf_dir)
+    return N.daily_from_routes(N.scope_routes(m.routes, corridor=(dep, arr)))
+
+
 @register("daily_from_routes", with_ctes(
     f"SELECT service_date, CAST(SUM(traffic_record_count) AS BIGINT) AS rows_count, COUNT(DISTINCT {_LABEL}) AS distinct_route_pairs, "
     "CAST(SUM(total_passengers) AS BIGINT) AS total_passengers, CAST(SUM(total_vehicles) AS BIGINT) AS total_vehicles "
@@ -248,7 +294,7 @@ def q_netflow_reconcile(spark, sf_dir):
 
 def _metrics(spark, sf_dir):
     m, view, d, r, p = _frames(spark, sf_dir, store=True)
-    return N.window_metrics(m.daily, m.routes, m.ports, view)
+    return N.window_metrics(d, r, p, view)
 
 
 @register("window_kpis", with_ctes("SELECT * EXCLUDE (window_index) FROM wmet WHERE window_index = 0", "wmet"))

@@ -157,7 +157,8 @@ _attach_oracles()
 import datetime as _dt  # noqa: E402
 
 from portflow.operators import analytics as N  # noqa: E402
-from portflow.sources.sinks import snapshot_upsert  # noqa: E402
+from portflow.sources.sinks import scratch_path, snapshot_upsert, through_storage  # noqa: E402
+from portflow.sources.snapshot_store import SnapshotStore  # noqa: E402
 
 PANEL_TS = _dt.datetime(2026, 1, 3, 0, 5, 0)
 
@@ -285,16 +286,100 @@ def q_snapshot_upsert(spark, sf_dir):
 
 @register("upsert_then_lookup")
 def q_upsert_then_lookup(spark, sf_dir):
-    """SRC7 then PAN-Q: a panel row re-written with hash '' keeps its NULL hash and is found again under its version."""
+    """SRC7 twice, then PAN-Q: stored rows re-written with hash '' keep their NULL hash and are found again under their version."""
     m = _frames(spark, sf_dir)[0]
-    target = snapshot_table_of(m)
-    later = F.lit(PANEL_TS + _dt.timedelta(days=1)).cast("timestamp_ntz")
-    merged = snapshot_upsert(target, target.withColumn("snapshot_ts", later).withColumn("filter_hash", F.lit("")))
+    target = through_storage(snapshot_table_of(m), "snapshot-rows")
+    store = SnapshotStore.create(target, scratch_path(spark, "snapshot-store"))
+    for days in (1, 2):
+        later = F.lit(PANEL_TS + _dt.timedelta(days=days)).cast("timestamp_ntz")
+        store.upsert(target.withColumn("snapshot_ts", later).withColumn("filter_hash", F.lit("")))
     version = P.py_data_version(m.daily, m.routes).scalar()
-    found = P.snapshot_lookup(merged, F.lit("agent_panel"), version, F.lit("0000000000000000"), F.lit("auto_panel"))
+    found = P.snapshot_lookup(store.read(), F.lit("agent_panel"), version, F.lit("0000000000000000"), F.lit("auto_panel"))
     return found.select("snapshot_ts", "chart_id", "insight_type", "data_version", "filter_hash", "title", "summary")
 
 
+@register("upsert_touched_buckets")
+def q_upsert_touched_buckets(spark, sf_dir):
+    """SRC7 on a table with a row a corridor and day-of-year version: an upsert of one corridor's rows leaves all other buckets' files alone."""
+    m = _frames(spark, sf_dir)[0]
+    rows = m.routes_by_month.groupBy("departure_port", "arrival_port", "service_month_start").agg(F.sum("total_passengers").alias("p"))
+    rows = rows.select(
+        F.concat("departure_port", F.lit(" -> "), "arrival_port").alias("chart_id"), F.lit("corridor_month").alias("insight_type"),
+        F.col("service_month_start").cast("string").alias("data_version"), F.lit(None).cast("string").alias("filter_hash"),
+        F.lit(PANEL_TS).cast("timestamp_ntz").alias("snapshot_ts"), F.col("p").cast("string").alias("title"))
+    rows = through_storage(rows, "corridor-months")
+    store = SnapshotStore.create(rows, scratch_path(spark, "snapshot-store"), 64)
+    file = F.col("_metadata.file_path")
+    before = through_storage(store.stored().select("bucket", file.alias("file")).distinct(), "files-before")
+    one = rows.agg(F.min(F.struct("chart_id", "data_version")).alias("k")).scalar()
+    change = rows.where((F.col("chart_id") == one.getField("chart_id")) & (F.col("data_version") == one.getField("data_version")))
+    rewritten = store.upsert(change.withColumn("title", F.lit("changed")))
+    after = store.stored().select("bucket", file.alias("file")).distinct()
+    kept = before.join(after, ["bucket", "file"], "left_semi").where(~F.col("bucket").isin(rewritten)).count()
+    untouched = before.where(~F.col("bucket").isin(rewritten)).count()
+    return store.read().agg(
+        F.count("*").alias("rows_count"), F.count(F.when(F.col("title") == "changed", 1)).alias("changed_rows"),
+        F.lit(len(rewritten)).alias("rewritten_buckets"), F.lit(kept == untouched).alias("other_files_kept"))
+
+
+@register("snapshot_answers")
+def q_snapshot_answers(spark, sf_dir):
+    """PAN-Q/R as one lookup of several requests: a hash that is there, one that isn't, a stale and an unknown version, an unknown chart."""
+    m = _frames(spark, sf_dir)[0]
+    snaps = through_storage(snapshot_table_of(m), "snapshot-rows")
+    panel = snaps.where(F.col("chart_id") == "agent_panel")
+    filtered = panel.withColumn("filter_hash", F.lit("00000000000000aa")).withColumn("title", F.lit("filtered"))
+    newer = F.lit(PANEL_TS + _dt.timedelta(days=3)).cast("timestamp_ntz")
+    other = panel.withColumn("data_version", F.lit("older data")).withColumn("snapshot_ts", newer).withColumn("title", F.lit("written later"))
+    snaps = snaps.unionByName(filtered).unionByName(other)
+    version = P.py_data_version(m.daily, m.routes).scalar()
+    ask = lambda i, chart, kind, v, h: F.struct(
+        F.lit(i).alias("request_id"), F.lit(chart).alias("chart_id"), F.lit(kind).cast("string").alias("insight_type"), v.alias("data_version"), F.lit(h).cast("string").alias("filter_hash"))
+    asked = F.array(
+        ask(1, "agent_panel", "auto_panel", version, "00000000000000aa"), ask(2, "agent_panel", "auto_panel", version, "00000000000000bb"),
+        ask(3, "agent_panel", None, version, None), ask(4, "agent_panel", "auto_panel", F.lit("older data"), "00000000000000aa"),
+        ask(5, "agent_panel", "auto_panel", F.lit("no such data"), "00000000000000aa"), ask(6, "traffic_pulse", None, F.lit("no such data"), ""),
+        ask(7, "no_such_chart", "auto_panel", version, "00000000000000aa"), ask(8, "agent_panel", "deepen_chart", version, "00000000000000aa"))
+    requests = m.daily.agg(F.count("*")).select(asked.alias("a")).select(F.inline("a"))
+    return P.snapshot_answers(snaps, requests).select("request_id", "match", "chart_id", "insight_type", "data_version", "filter_hash", "snapshot_ts", "title")
+
+
+@register("panel_source_fields")
+def q_panel_source_fields(spark, sf_dir):
+    """PAN-K read back: the stored source document's parts, a row a field or list entry."""
+    doc = P.panel_source_json(_ctx(spark, sf_dir))
+    kpis = "passengers vehicles traffic_rows active_corridors congestion_index_pct recent_7d_avg_passengers prior_7d_avg_passengers recent_30d_avg_passengers prior_30d_avg_passengers"
+    scope = "baseline_start baseline_end kpi_start kpi_end baseline_label kpi_label scope_label"
+    strings = lambda names: ", ".join(f"{n}: string" for n in names.split())
+    schema = (
+        f"schema_version string, scope struct<{strings(scope)}>, kpis struct<{', '.join(f'{n}: double' for n in kpis.split())}>, "
+        "top_corridors array<struct<pair_label: string, passengers: long, vehicles: long, share_pct: double>>, "
+        f"top_ports array<struct<port_name: string, passengers: long>>, deltas array<struct<{strings('name label period direction severity summary')}, value_pct: double>>, "
+        f"signals array<struct<{strings('kind severity summary')}>>, action_candidates array<struct<{strings('action rationale priority')}>>, "
+        "previous_top_corridor_label string, notable_change_reasons array<string>")
+    d = doc.select(F.from_json("source_snapshot_json", schema).alias("d")).select("d.*")
+
+    def row(part: str, n, text, number=F.lit(None)):
+        return F.struct(F.lit(part).alias("part"), n.cast("int").alias("ord"), text.cast("string").alias("text"), number.cast("double").alias("number"))
+
+    def entries(column: str, text, number):
+        return F.transform(column, lambda x, i: row(column, i + 1, text(x), number(x)))
+
+    none = lambda x: F.lit(None)
+    parts = F.concat(
+        F.array(row("schema_version", F.lit(1), F.col("schema_version")), row("previous_top_corridor_label", F.lit(1), F.col("previous_top_corridor_label"))),
+        F.array(*[row(f"scope.{n}", F.lit(1), F.col(f"scope.{n}")) for n in scope.split()]),
+        F.array(*[row(f"kpis.{n}", F.lit(1), F.lit(None), F.col(f"kpis.{n}")) for n in kpis.split()]),
+        entries("top_corridors", lambda x: F.concat(x["pair_label"], F.lit("|"), x["passengers"].cast("string"), F.lit("|"), x["vehicles"].cast("string")), lambda x: x["share_pct"]),
+        entries("top_ports", lambda x: x["port_name"], lambda x: x["passengers"]),
+        entries("deltas", lambda x: F.concat_ws("|", *[x[c] for c in "name label period direction severity summary".split()]), lambda x: x["value_pct"]),
+        entries("signals", lambda x: F.concat_ws("|", *[x[c] for c in "kind severity summary".split()]), none),
+        entries("action_candidates", lambda x: F.concat_ws("|", *[x[c] for c in "action rationale priority".split()]), none),
+        entries("notable_change_reasons", lambda x: x, none),
+    )
+    return d.select(F.inline(parts))
+
+
 def _attach_more_oracles():
     from portflow.plans import oracle_panel as O
     from portflow.plans.registry import ORACLE
@@ -313,6 +398,9 @@ def _attach_more_oracles():
         "filter_hash": O.FILTER_HASH_SQL,
         "snapshot_upsert": O.UPSERT_SQL,
         "upsert_then_lookup": O.UPSERT_LOOKUP_SQL,
+        "upsert_touched_buckets": O.TOUCHED_SQL,
+        "snapshot_answers": O.ANSWERS_SQL,
+        "panel_source_fields": O.SOURCE_FIELDS_SQL,
         "live_report": O.LIVE_SQL,
     })
 

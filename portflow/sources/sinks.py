@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The snapshot table's merge key (NULL filter hash ≡ '').
@@ -30,11 +30,21 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     writer.parquet(path)
 
 
-def through_storage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a folder of its own under the session's shared checkpoint folder and read it back."""
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under the session's shared checkpoint folder; what is written there goes when the session ends."""
     from portflow.session import ensure_checkpoint_dir
 
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/portflow-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/portflow-{name}-{uuid.uuid4().hex[:12]}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)  # the driver's shutdown deletes it, whatever its file system
+    return f"{path}/{name}"
+
+
+def through_storage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a scratch folder of its own and read it back."""
+    path = scratch_path(df.sparkSession, name)
     write_table(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

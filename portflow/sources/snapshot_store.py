@@ -61,12 +61,13 @@ class SnapshotStore:
         key = [F.coalesce(F.col(c), F.lit("")) if c == "filter_hash" else F.col(c) for c in SNAPSHOT_KEY]
         return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
 
-    def _stored(self) -> DataFrame:
+    def stored(self) -> DataFrame:
+        """The rows with their bucket."""
         full = StructType([*self.schema.fields]).add("bucket", IntegerType())
         return self.spark.read.schema(full).parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self._stored().drop("bucket")
+        return self.stored().drop("bucket")
 
     def upsert(self, source: DataFrame) -> list[int]:
         """Merge ``source`` into the table; returns the buckets that were rewritten.
@@ -79,7 +80,7 @@ class SnapshotStore:
         touched = [r.bucket for r in source.select("bucket").distinct().collect()]
         if not touched:
             return []
-        target = self._stored().where(F.col("bucket").isin(touched))
+        target = self.stored().where(F.col("bucket").isin(touched))
         merged = snapshot_upsert(target.drop("bucket"), source.drop("bucket"))
         merged = through_storage(merged.withColumn("bucket", self.bucket()), "upsert-merged")
         changed = self._changed(target, merged)

@@ -35,6 +35,8 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+CHAIN_TABLES = "customer lineitem nation orders part supplier".split()  # what the traffic records are made of
+
 RAW_COLUMNS = [
     "record_hash",
     "service_date",
@@ -49,8 +51,12 @@ RAW_COLUMNS = [
 ]
 
 
+def path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(path(sf_dir, name))
 
 
 def _json_str(c):

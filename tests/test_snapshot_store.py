@@ -67,6 +67,6 @@ def test_double_match_writes_nothing(spark, tmp_path):
 def test_plan_reads_touched_directories_only(spark, tmp_path):
     path = str(tmp_path / "snaps")
     store = SnapshotStore.create(rows(spark, *[("t0", f"c{i}", "v1", None, "x") for i in range(50)]), path, 8)
-    plan = store._stored().where(F.col("bucket").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
+    plan = store.stored().where(F.col("bucket").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan
     assert store.read().columns[1:5] == SNAPSHOT_KEY
