@@ -31,6 +31,7 @@ from .tokens import default_vocabulary, encoder
 WINDOW = 1024
 TRIPLE_STEP = 16  # the smallest part of an enumerated triple is a multiple of this
 SWEEPS = 30
+MEMO = 125_000  # pieces a worker remembers twice over; in the pipeline its memory is shared with what earlier stages left
 
 _LENGTHS = pa.schema([("task", pa.int32()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("rest", pa.int32()), ("rank", pa.int64()), ("full_rank", pa.int64()), ("ids", pa.binary())])
 _LENGTHS_SQL = "task int, doc_id bigint, doc_tokens bigint, rest int, rank bigint, full_rank bigint, ids binary"
@@ -43,7 +44,7 @@ def measure(docs: DataFrame, window: int, vocabulary: str | None, end_id: int) -
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, fulls = encoder(path).encode, TaskContext.get().partitionId(), 0
+        enc, task, fulls = encoder(path, MEMO).encode, TaskContext.get().partitionId(), 0
         seen = np.zeros(window, np.int64)
         for b in batches:
             out = []

@@ -1,8 +1,8 @@
 """Byte-level BPE ids of whole texts by the tokenizers library, fast on repeated words.
 
 The library splits a text by a fixed pattern and merges each piece by itself, so a piece's ids do not depend on its
-surroundings. A worker remembers the ids of pieces it has seen (``MEMO`` at most, the rest are encoded anew each time)
-and has the library's merge model encode only new pieces. A text that holds the content of an added token (such as
+surroundings. A worker remembers the ids of the pieces it met last (two generations of ``MEMO``) and has the library's
+merge model encode only the others. A text that holds the content of an added token (such as
 ``<|endoftext|>``, which the library takes out before it splits) goes to the library's own ``encode`` as a whole.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from array import array
 
-MEMO = 500_000
+MEMO = 200_000
 
 # The split pattern of the tokenizer's pre-tokenizer (letters, digits, other signs, white space).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -25,16 +25,21 @@ _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not i
 
 
 class _Memo(dict):
-    """Ids (little-endian unsigned 32-bit, as bytes) of pieces; encodes what it lacks, keeps ``most`` of them."""
+    """Ids (little-endian unsigned 32-bit, as bytes) of pieces; encodes what it lacks. Two generations of ``most`` pieces:
+    when one is full it becomes the older one, and the pieces that are met again move on from there."""
 
     def __init__(self, merge, most: int):
         super().__init__()
-        self.merge, self.most = merge, most
+        self.merge, self.most, self.older = merge, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
-        if len(self) < self.most:
-            self[piece] = out
+        out = self.older.get(piece)
+        if out is None:
+            out = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = out
         return out
 
 
@@ -61,10 +66,10 @@ class WordMemoEncoder:
 _encoders: dict[str, WordMemoEncoder] = {}
 
 
-def encoder(path: str) -> WordMemoEncoder:
-    """One encoder a worker process and vocabulary file."""
+def encoder(path: str, memo: int = MEMO) -> WordMemoEncoder:
+    """One encoder a worker process and vocabulary file; ``memo``: pieces of a generation, if it has to be made."""
     if path not in _encoders:
-        _encoders[path] = WordMemoEncoder(path)
+        _encoders[path] = WordMemoEncoder(path, memo)
     return _encoders[path]
 
 
