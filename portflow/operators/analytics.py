@@ -464,39 +464,47 @@ def port_balance(ports: DataFrame, n: int = 10) -> DataFrame:
 
 # --- ANA18–ANA21: concentration, weekday profiles -------------------------------------
 
-PERIOD = {"daily": (None, 7), "weekly": ("week", 4), "monthly": ("month", 3)}
+# Per grain, the calendar unit and the rows of the trailing mean.
+PERIOD = {"daily": ("day", 7), "weekly": ("week", 4), "monthly": ("month", 3)}
 
 
-def concentration(daily: DataFrame, routes: DataFrame, grain: str = "daily", top_k: int = 3) -> DataFrame:
-    """ANA18: share of the top-k corridors of the scope per period, with a trailing mean."""
-    unit, smooth = PERIOD[grain]
-
-    def period(c: Column) -> Column:
-        return c if unit is None else F.trunc(c, unit)
+def concentrations(daily: DataFrame, routes: DataFrame, grains: list[str] | None = None, top_k: int = 3) -> DataFrame:
+    """ANA18 at several grains at once: grain, period_start, passengers of all and of the scope's top-k corridors, share, trailing mean.
 
-    labelled = routes.withColumn("pair_label", pair_label(F.col("departure_port"), F.col("arrival_port")))
-    leaders = (
-        labelled.groupBy("pair_label").agg(F.sum("total_passengers").alias("p"))
-        .orderBy(F.col("p").desc(), F.col("pair_label").asc()).limit(top_k).select("pair_label")
-    )
+    One aggregation of the corridor rows by GROUPING SETS gives the scope's
+    sum of each corridor, which names the leaders, and its sums per period of
+    every grain; another of the day rows gives the periods' totals.
+    """
+    grains = list(PERIOD) if grains is None else grains
+    # days have no unit to cut to; a period is told from its sisters by which of the columns is set
+    cut = {g: F.col("service_date") if g == "daily" else F.trunc("service_date", PERIOD[g][0]) for g in grains}
+    grain = F.coalesce(*[F.when(F.grouping(g) == 0, g) for g in grains]).alias("grain")
+    start = F.coalesce(*[F.when(F.grouping(g) == 0, F.col(g)) for g in grains]).alias("period_start")
+
+    rows = routes.select(pair_label(F.col("departure_port"), F.col("arrival_port")).alias("pair_label"), "total_passengers", *[c.alias(g) for g, c in cut.items()])
+    label, whole = F.col("pair_label"), [F.col(g) for g in grains]
+    sets = rows.groupingSets([[label], *[[g, label] for g in whole]], label, *whole).agg(grain, start, F.sum("total_passengers").alias("p"))
+    leaders = sets.where(F.col("grain").isNull()).orderBy(F.col("p").desc(), F.col("pair_label").asc()).limit(top_k).select("pair_label")
     # ``leaders`` holds at most top_k rows: a bounded broadcast.
-    top = (
-        labelled.join(F.broadcast(leaders), "pair_label", "left_semi")
-        .groupBy(period(F.col("service_date")).alias("period_start"))
-        .agg(F.sum("total_passengers").alias("top_passengers"))
-    )
-    base = daily.groupBy(period(F.col("service_date")).alias("period_start")).agg(
-        F.sum("total_passengers").alias("total_passengers")
-    )
-    m = base.join(top, "period_start", "left").withColumn(
+    top = sets.where(F.col("grain").isNotNull()).join(F.broadcast(leaders), "pair_label", "left_semi")
+    top = top.groupBy("grain", "period_start").agg(F.sum("p").alias("top_passengers"))
+    days = daily.select("total_passengers", *[c.alias(g) for g, c in cut.items()])
+    base = days.groupingSets([[g] for g in whole], *whole).agg(grain, start, F.sum("total_passengers").alias("total_passengers"))
+    m = base.select("grain", "period_start", "total_passengers").join(top, ["grain", "period_start"], "left").withColumn(
         "top_passengers", F.coalesce(F.col("top_passengers"), F.lit(0)).cast("long")
     )
     share = F.when(F.col("total_passengers") != 0,
                    F.col("top_passengers").cast("double") / F.col("total_passengers").cast("double") * 100.0).otherwise(0.0)
     m = m.withColumn("top_share_pct", share)
-    # Period grain (bounded by the calendar span), trailing window of rows, min 1.
-    w = Window.orderBy("period_start").rowsBetween(-(smooth - 1), 0)
-    return m.withColumn("top_share_pct_smooth", F.avg("top_share_pct").over(w))
+    # Period grain (bounded by the calendar span), trailing windows of rows, min 1.
+    by_start = Window.partitionBy("grain").orderBy("period_start")
+    smooth = F.coalesce(*[F.when(F.col("grain") == g, F.avg("top_share_pct").over(by_start.rowsBetween(1 - PERIOD[g][1], 0))) for g in grains])
+    return m.withColumn("top_share_pct_smooth", smooth)
+
+
+def concentration(daily: DataFrame, routes: DataFrame, grain: str = "daily", top_k: int = 3) -> DataFrame:
+    """ANA18: share of the top-k corridors of the scope per period, with a trailing mean."""
+    return concentrations(daily, routes, [grain], top_k).drop("grain")
 
 
 def weekday_month_matrix(daily: DataFrame) -> DataFrame:

@@ -93,30 +93,34 @@ def _result(table: str, column: str, check: str, violations: Column) -> list[Col
 
 
 def run_checks(table: str, df: DataFrame, checks: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Evaluate the declared checks of ``table`` on ``df``."""
+    """Evaluate the declared checks of ``table`` on ``df``, in one pass over it.
+
+    Row-level checks are conditional sums. Where a table has a ``unique``
+    check, the sums are taken by its key first: a key's rows beyond the first
+    are its violations, so the one shuffle that uniqueness needs serves all
+    checks of the table (none, where the table is dealt by that key already).
+    Further unique checks of one table have a pass of their own.
+    """
     checks = CHECKS[table] if checks is None else checks
-    row_checks = [(c, k) for c, k in checks if k != "unique"]
-    parts: list[DataFrame] = []
-    if row_checks:
-        aggs = [_violation(table, c, k).alias(f"v{i}") for i, (c, k) in enumerate(row_checks)]
-        one = df.agg(*aggs)
-        stack = F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("check_name"), F.col(f"v{i}").alias("violations"))
-            for i, (c, k) in enumerate(row_checks)
-        ])
-        parts.append(
-            one.select(F.explode(stack).alias("r")).select(
-                F.lit(table).alias("table_name"), "r.column_name", "r.check_name", "r.violations"
-            )
-        )
-    for c, k in checks:
-        if k == "unique":
-            dup = (
-                df.where(F.col(c).isNotNull()).groupBy(c).count().where(F.col("count") > 1)
-                .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("violations"))
-            )
-            parts.append(dup.select(*_result(table, c, k, F.col("violations"))))
-    out = reduce(DataFrame.unionByName, parts)
+    unique = [c for c, k in checks if k == "unique"]
+    key = unique[0] if unique else None
+    names = {check: f"v{i}" for i, check in enumerate(checks)}
+    sums = [_violation(table, c, k).alias(names[c, k]) for c, k in checks if k != "unique"]
+    if key is None:
+        one = df.agg(*sums)
+    else:
+        # a group has one key: its surplus rows, and the sums of its rows
+        surplus = F.when(F.col(key).isNotNull(), F.count(F.lit(1)) - 1).otherwise(0).alias(names[key, "unique"])
+        by_key = df.groupBy(key).agg(surplus, *sums).drop(key)
+        one = by_key.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in by_key.columns])
+    stack = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("check_name"), F.col(names[c, k]).alias("violations"))
+        for c, k in checks if k != "unique" or c == key
+    ])
+    out = one.select(F.inline(stack)).select(F.lit(table).alias("table_name"), "column_name", "check_name", "violations")
+    for c in unique[1:]:
+        again = run_checks(table, df, [(c, "unique")])
+        out = out.unionByName(again.drop("passed"))
     return out.withColumn("passed", F.col("violations") == 0)
 
 
@@ -138,30 +142,44 @@ def safe_cast_dropped(raw: DataFrame, field: str) -> DataFrame:
     return raw.agg(F.coalesce(F.sum(F.when(cast_dropped(field), 1).otherwise(0)), F.lit(0)).cast("long").alias("violations"))
 
 
-def key_collisions(rec: DataFrame, key: str, natural: Column) -> DataFrame:
-    """DQ8–DQ10: keys that map to more than one natural value."""
-    bad = rec.groupBy(key).agg(F.countDistinct(natural).alias("n")).where(F.col("n") > 1)
-    return bad.agg(F.count(F.lit(1)).cast("long").alias("violations"))
-
+def collision_checks(rec: DataFrame) -> DataFrame:
+    """DQ8–DQ10: keys that map to more than one natural value, in one pass over the records.
 
-def custom_checks(raw: DataFrame, rec: DataFrame) -> DataFrame:
+    Two values are there when the least is not the greatest, so no distinct
+    count is needed: one aggregation by both keys (map-side combine leaves a
+    row a key pair), then each key is looked at on that small table.
+    """
     code, name, dep, arr = (F.col(c) for c in ("route_code", "route_name", "departure_port", "arrival_port"))
-    parts = [
-        ("stg_sailing_traffic", "passenger_count", "passenger_count_safe_cast_did_not_drop_values",
-         safe_cast_dropped(raw, "passengercount")),
-        ("stg_sailing_traffic", "vehicle_count", "vehicle_count_safe_cast_did_not_drop_values",
-         safe_cast_dropped(raw, "vehiclecount")),
-        ("int_traffic_record", "route_key", "route_key_has_no_hash_collisions",
-         key_collisions(rec, "route_key", natural_route_key(code, name, dep, arr))),
-        ("int_traffic_record", "route_pair_key", "route_pair_key_has_no_hash_collisions",
-         key_collisions(rec, "route_pair_key", natural_pair_key(code, name, dep, arr))),
-        ("int_traffic_record", "route_pair_key", "route_pair_key_maps_to_single_route_key",
-         key_collisions(rec, "route_pair_key", F.col("route_key"))),
+    values = {"route": natural_route_key(code, name, dep, arr), "pair": natural_pair_key(code, name, dep, arr)}
+    ends = [f(v).alias(f"{n}_{w}") for n, v in values.items() for w, f in (("lo", F.min), ("hi", F.max))]
+    keys = rec.groupBy("route_pair_key", "route_key").agg(*ends)
+
+    def differ(lo: str, hi: str) -> Column:
+        return (F.min(lo) != F.max(hi)).cast("long")
+
+    by_route = keys.groupBy("route_key").agg(differ("route_lo", "route_hi").alias("route"))
+    by_pair = keys.groupBy("route_pair_key").agg(
+        differ("pair_lo", "pair_hi").alias("pair"), differ("route_key", "route_key").alias("single"))
+    rows = [
+        (by_route, "route", "route_key", "route_key_has_no_hash_collisions"),
+        (by_pair, "pair", "route_pair_key", "route_pair_key_has_no_hash_collisions"),
+        (by_pair, "single", "route_pair_key", "route_pair_key_maps_to_single_route_key"),
     ]
-    frames = [df.select(*_result(t, c, k, F.col("violations"))) for t, c, k, df in parts]
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    frames = []
+    for df in (by_route, by_pair):
+        mine = [(c, k, name) for d, c, k, name in rows if d is df]
+        one = df.agg(*[count(c).alias(c) for c, _, _ in mine])
+        frames.append(one.select(F.inline(F.array(*[F.struct(*_result("int_traffic_record", k, name, F.col(c))) for c, k, name in mine]))))
     return reduce(DataFrame.unionByName, frames).withColumn("passed", F.col("violations") == 0)
 
 
+def custom_checks(raw: DataFrame, rec: DataFrame) -> DataFrame:
+    """DQ6–DQ10: the safe casts in one pass over the landing table, the key collisions in one over the records."""
+    casts = landing_checks(raw).where(F.col("check_name").contains("safe_cast"))
+    return casts.unionByName(collision_checks(rec))
+
+
 def landing_checks(raw: DataFrame) -> DataFrame:
     """Raw-table, staging and safe-cast checks in ONE aggregation over the landing table.
 
@@ -188,18 +206,3 @@ def landing_checks(raw: DataFrame) -> DataFrame:
         for i, (t, col, k, _) in enumerate(rows)
     ])
     return one.select(F.inline(stack)).withColumn("passed", F.col("violations") == 0)
-
-
-def collision_checks(rec: DataFrame) -> DataFrame:
-    """DQ8–DQ10 only (the record-level custom checks)."""
-    code, name, dep, arr = (F.col(c) for c in ("route_code", "route_name", "departure_port", "arrival_port"))
-    parts = [
-        ("int_traffic_record", "route_key", "route_key_has_no_hash_collisions",
-         key_collisions(rec, "route_key", natural_route_key(code, name, dep, arr))),
-        ("int_traffic_record", "route_pair_key", "route_pair_key_has_no_hash_collisions",
-         key_collisions(rec, "route_pair_key", natural_pair_key(code, name, dep, arr))),
-        ("int_traffic_record", "route_pair_key", "route_pair_key_maps_to_single_route_key",
-         key_collisions(rec, "route_pair_key", F.col("route_key"))),
-    ]
-    frames = [df.select(*_result(t, c, k, F.col("violations"))) for t, c, k, df in parts]
-    return reduce(DataFrame.unionByName, frames).withColumn("passed", F.col("violations") == 0)

@@ -21,9 +21,9 @@ def _m(spark, sf_dir):
 
 
 def _frames(spark, sf_dir, store: bool = False):
-    # The full view needs no filter; builders with several scalar subqueries
-    # over the day grain (window plans) ask for it to be stored once.
-    m = _m(spark, sf_dir).materialize() if store else _m(spark, sf_dir)
+    # The full view needs no filter; all builders of a session read the route-day
+    # grain that the first one stored. ``store`` adds its month column.
+    m = _m(spark, sf_dir).materialize()
     view = N.full_view(m.daily)
     routes = m.routes_by_month if store else m.routes
     return m, view, view.apply(m.daily), view.apply(routes), view.apply(m.ports)
@@ -428,7 +428,8 @@ def _conc_sql(unit: str | None, smooth: int) -> str:
     )
 
 
-for _g, (_u, _sm) in {"daily": (None, 7), "weekly": ("week", 4), "monthly": ("month", 3)}.items():
+_CONC = [("daily", None, 7), ("weekly", "week", 4), ("monthly", "month", 3)]
+for _g, _u, _sm in _CONC:
 
     def _conc(spark, sf_dir, _g=_g):
         _, _, d, r, _p = _frames(spark, sf_dir)
@@ -437,6 +438,14 @@ for _g, (_u, _sm) in {"daily": (None, 7), "weekly": ("week", 4), "monthly": ("mo
     register(f"concentration_{_g}", _conc_sql(_u, _sm))(_conc)
 
 
+@register("concentration_grains", " UNION ALL ".join(
+    f"SELECT '{g}' AS grain, * FROM ({_conc_sql(u, sm)})" for g, u, sm in _CONC))
+def q_concentration_grains(spark, sf_dir):
+    """ANA18 at all three grains from one aggregation by grouping sets."""
+    _, _, d, r, _ = _frames(spark, sf_dir)
+    return N.concentrations(d, r)
+
+
 @register("weekday_month_matrix", with_ctes(
     "SELECT strftime(service_date, '%Y-%m') AS year_month, strftime(service_date, '%a') AS weekday, "
     "AVG(CAST(total_passengers AS DOUBLE)) AS avg_passengers FROM dv GROUP BY 1, 2", "dv"))

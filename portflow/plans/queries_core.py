@@ -18,6 +18,11 @@ def _m(spark, sf_dir) -> TrafficModels:
     return TrafficModels(spark, sf_dir)
 
 
+def _stored(spark, sf_dir) -> TrafficModels:
+    """Marts derive from the route-day grain: they read the one that the session has stored."""
+    return TrafficModels(spark, sf_dir).materialize()
+
+
 @register("stg_clean", with_ctes("SELECT * EXCLUDE (raw_payload) FROM stg", "stg"))
 def q_stg_clean(spark, sf_dir):
     return _m(spark, sf_dir).stg.drop("raw_payload")
@@ -31,7 +36,7 @@ def q_int_traffic_record(spark, sf_dir):
 for _g in ("daily", "weekly", "monthly", "yearly"):
 
     def _rc(spark, sf_dir, _g=_g):
-        return getattr(_m(spark, sf_dir), f"row_counts_{_g}")
+        return getattr(_stored(spark, sf_dir), f"row_counts_{_g}")
 
     register(f"row_counts_{_g}", with_ctes(f"SELECT * FROM row_counts_{_g}", f"row_counts_{_g}"))(_rc)
 
@@ -73,12 +78,8 @@ def q_record_calendar(spark, sf_dir):
 
 
 _MODEL_KEYS = {
-    "int_route_day": "route_day",
-    "int_port_movement": "port_movement",
     "int_port_day": "port_day",
     "dim_port": "dim_port",
-    "dim_route": "dim_route",
-    "dim_route_pair": "dim_route_pair",
     "fct_route_daily": "fct_route_daily",
     "fct_route_weekly": "fct_route_weekly",
     "fct_route_monthly": "fct_route_monthly",
@@ -89,6 +90,15 @@ _MODEL_KEYS = {
 for _key, _attr in _MODEL_KEYS.items():
 
     def _model(spark, sf_dir, _attr=_attr):
-        return getattr(_m(spark, sf_dir), _attr)
+        return getattr(_stored(spark, sf_dir), _attr)
 
     register(_key, with_ctes(f"SELECT * FROM {_attr}", _attr))(_model)
+
+
+# made from records, the grain below the stored one
+for _key, _attr in {"int_route_day": "route_day", "int_port_movement": "port_movement", "dim_route": "dim_route", "dim_route_pair": "dim_route_pair"}.items():
+
+    def _from_records(spark, sf_dir, _attr=_attr):
+        return getattr(_m(spark, sf_dir), _attr)
+
+    register(_key, with_ctes(f"SELECT * FROM {_attr}", _attr))(_from_records)

@@ -57,10 +57,14 @@ def dq_table(m: TrafficModels, table: str) -> DataFrame:
     return Q.run_checks(table, getattr(m, TABLE_ATTRS[table]))
 
 
+# Tables made of records, below the stored route-day grain.
+_BELOW_DAYS = ("raw_sailing_traffic", "stg_sailing_traffic", "int_traffic_record", "int_port_movement", "dim_route", "dim_route_pair")
+
 for _t in Q.CHECKS:
 
     def _q(spark, sf_dir, _t=_t):
-        return dq_table(TrafficModels(spark, sf_dir), _t)
+        m = TrafficModels(spark, sf_dir)
+        return dq_table(m if _t in _BELOW_DAYS else m.materialize(), _t)
 
     register(f"dq_{_t}", _wrap(_sql_table(_t), _CTE.get(_t, _t)))(_q)
 

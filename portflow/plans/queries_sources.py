@@ -10,7 +10,7 @@ from portflow.plans.oracle_base import cte, js, with_ctes
 from portflow.plans.registry import register
 from portflow.sources import ingest as I
 from portflow.sources import readers as RD
-from portflow.sources.sinks import append_landing
+from portflow.sources.sinks import append_landing, through_storage
 from portflow.sources.testdata import FIRST_LOAD_AT, REPEAT_LOAD_AT, star_records
 
 
@@ -117,10 +117,18 @@ cte(
 )
 
 
+def _day_counts(spark, sf_dir):
+    """Landed rows per valid service date, stored: the one scan that bounds, windows and the audit are made from."""
+    return through_storage(I.landed_days(TrafficModels(spark, sf_dir).raw), "landed-days")
+
+
 def _bounds(spark, sf_dir):
-    raw = TrafficModels(spark, sf_dir).raw
-    d = F.col("service_date").try_cast("date")
-    return raw.agg(F.min(d).alias("start_date"), F.max(d).alias("end_date"))
+    """First and last landed day; of the landing only the date is read."""
+    return _span(I.landed_days(TrafficModels(spark, sf_dir).raw))
+
+
+def _span(days):
+    return days.agg(F.min("d").alias("start_date"), F.max("d").alias("end_date"))
 
 
 @register("plan_windows", with_ctes("SELECT * FROM pwin_m", "pwin_m"))
@@ -157,9 +165,27 @@ def q_plan_windows_day(spark, sf_dir):
         "pwin_m", "raw"),
 )
 def q_audit_windows(spark, sf_dir):
-    """SRC4: rows landed per planned window."""
-    m = TrafficModels(spark, sf_dir)
-    return I.audit_windows(I.plan_windows(_bounds(spark, sf_dir), "month", 8, 1), m.raw)
+    """SRC4: rows landed per planned window, from one scan of the landing table."""
+    days = _day_counts(spark, sf_dir)
+    return I.audit_days(I.plan_windows(_span(days), "month", 8, 1), days)
+
+
+@register(
+    "load_audit",
+    with_ctes(
+        """SELECT w.window_index, w.window_start, w.window_end, CAST(count(r.service_date) AS BIGINT) AS rows_loaded,
+                  CASE WHEN count(r.service_date) = 0 THEN 'empty' ELSE 'loaded' END AS status, COUNT(*) OVER () AS total_windows,
+                  CAST(SUM(CASE WHEN count(r.service_date) = 0 THEN 1 ELSE 0 END) OVER () AS BIGINT) AS empty_windows,
+                  CAST(SUM(count(r.service_date)) OVER () AS BIGINT) AS total_rows,
+                  (SELECT COUNT(*) FROM raw) AS rows_written
+           FROM pwin_m w LEFT JOIN raw r ON TRY_CAST(r.service_date AS DATE) BETWEEN w.window_start AND w.window_end GROUP BY ALL""",
+        "pwin_m", "raw"),
+)
+def q_load_audit(spark, sf_dir):
+    """SRC4 at load time: windows counted while the landing is written, nothing read again."""
+    raw = TrafficModels(spark, sf_dir).raw
+    windows = through_storage(I.plan_windows(_bounds(spark, sf_dir), "month", 8, 1), "windows")
+    return I.land_and_audit(raw, I.scratch_path(spark, "landing"), windows)
 
 
 def _reader_query(reader: str, cte_name: str, col: str, cols: str):

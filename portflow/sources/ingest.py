@@ -19,12 +19,12 @@ landed files are the input here (see README).
 from __future__ import annotations
 
 import datetime as _dt
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portflow.functions.canonical import canonical_json
+from portflow.sources.sinks import scratch_path  # noqa: F401
 
 # Wrapper keys tried in order, source field → raw column.
 WRAPPER_KEYS = ("records", "results", "data")
@@ -148,12 +148,6 @@ def land_payloads(star: DataFrame, path: str, records_per_payload: int = 500, od
     (out.unionByName(_bad_payloads(star)) if bad else out).write.mode("overwrite").text(path)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    from portflow.session import ensure_checkpoint_dir
-
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/portflow-{name}-{uuid.uuid4().hex[:12]}"
-
-
 # --- SRC3 / SRC4: request windows ---------------------------------------------------------------------
 
 def plan_windows(bounds: DataFrame, unit: str = "month", size: int = 8, lag_days: int = 0) -> DataFrame:
@@ -191,19 +185,32 @@ def plan_windows(bounds: DataFrame, unit: str = "month", size: int = 8, lag_days
         F.least(F.date_sub(F.col("next_ws"), 1), F.col("e")).alias("window_end"))
 
 
+def landed_days(raw: DataFrame) -> DataFrame:
+    """d, n: landed rows per valid service date, by map-side combine; of the landing only the date is read."""
+    d = F.col("service_date").try_cast("date")
+    return raw.select(d.alias("d")).where(F.col("d").isNotNull()).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+
+
 def audit_windows(windows: DataFrame, raw: DataFrame) -> DataFrame:
-    """SRC4: rows landed per planned window, empty or loaded, with run totals.
+    """SRC4: rows landed per planned window, empty or loaded, with run totals."""
+    return audit_days(windows, landed_days(raw))
+
+
+def audit_days(windows: DataFrame, days: DataFrame) -> DataFrame:
+    """SRC4 from ``landed_days``.
 
     Windows are disjoint and cover a bounded calendar span, so each day maps
     to at most one window: a day → window calendar (one row per day of the
     span) turns the range condition into an equi-join on the date.
     """
     cal = windows.select("window_index", F.explode(F.sequence("window_start", "window_end")).alias("d"))
-    d = F.col("service_date").try_cast("date")
-    per_day = raw.select(d.alias("d")).where(F.col("d").isNotNull()).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
-    counts = per_day.join(cal, "d").groupBy("window_index").agg(F.sum("n").alias("rows_loaded"))
-    out = windows.join(counts, "window_index", "left").withColumn(
-        "rows_loaded", F.coalesce(F.col("rows_loaded"), F.lit(0)).cast("long"))
+    counts = days.join(cal, "d").groupBy("window_index").agg(F.sum("n").alias("rows_loaded"))
+    return _audited(windows.join(counts, "window_index", "left"))
+
+
+def _audited(counted: DataFrame) -> DataFrame:
+    """Status and run totals of windows with ``rows_loaded``."""
+    out = counted.withColumn("rows_loaded", F.coalesce(F.col("rows_loaded"), F.lit(0)).cast("long"))
     tot = Window.partitionBy()  # window grain: bounded by the planned windows
     return out.select(
         "window_index", "window_start", "window_end", "rows_loaded",
@@ -212,3 +219,40 @@ def audit_windows(windows: DataFrame, raw: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("rows_loaded") == 0, 1).otherwise(0)).over(tot).alias("empty_windows"),
         F.sum("rows_loaded").over(tot).alias("total_rows"),
     )
+
+
+MAX_OBSERVED = 400  # windows that are counted while writing: metrics that every task carries
+
+
+def land_and_audit(raw: DataFrame, path: str, windows: DataFrame) -> DataFrame:
+    """SRC4 at load time: append ``raw`` to ``path`` and return its audit, with ``rows_written``.
+
+    The windows are counted as observed metrics of the write itself, so the
+    audit reads no data again. A task that ran twice could count twice: the
+    number of rows observed is held against the row counts that the written
+    files state, and if they differ, or if there are more than
+    ``MAX_OBSERVED`` windows, the audit is taken from the written files.
+    """
+    planned = [(w.window_index, w.window_start, w.window_end) for w in windows.limit(MAX_OBSERVED + 1).collect()]
+    d = F.col("service_date").try_cast("date")
+    seen = Observation()
+    few = len(planned) <= MAX_OBSERVED
+    counts = [F.count_if(d.between(F.lit(a), F.lit(b))).alias(f"w{i}") for i, a, b in planned] if few else []
+    spark = raw.sparkSession
+    before = spark.read.schema(raw.schema).parquet(path).count() if _there(spark, path) else 0  # row counts are in the footers
+    append = raw.observe(seen, F.count(F.lit(1)).alias("rows"), *counts)
+    append.write.mode("append").parquet(path)
+    got, stored = seen.get, spark.read.schema(raw.schema).parquet(path)
+    written = stored.count() - before
+    if few and got["rows"] == written:
+        pairs = F.map_from_arrays(F.array(*[F.lit(i) for i, _, _ in planned]).cast("array<int>"), F.array(*[F.lit(got[f"w{i}"]) for i, _, _ in planned]).cast("array<bigint>"))
+        counted = windows.withColumn("rows_loaded", F.element_at(pairs, F.col("window_index").cast("int"))) if planned else windows.withColumn("rows_loaded", F.lit(0))
+        audit = _audited(counted)
+    else:
+        audit = audit_windows(windows, stored if before == 0 else raw)
+    return audit.withColumn("rows_written", F.lit(written).cast("long"))
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
