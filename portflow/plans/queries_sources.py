@@ -206,3 +206,87 @@ def _reader_query(reader: str, cte_name: str, col: str, cols: str):
 for _r, _c in (("daily", "row_counts_daily"), ("weekly", "row_counts_weekly"), ("monthly", "row_counts_monthly"),
                ("routes", "fct_route_daily"), ("ports", "fct_port_daily")):
     _reader_query(_r, _c, RD.READERS[_r][1], RD.READERS[_r][2])
+
+
+# ---- stored tables: layouts, state, buckets ------------------------------------------------------------
+
+from portflow.operators import rollups as U  # noqa: E402
+from portflow.plans.models import TABLE_ATTRS  # noqa: E402
+from portflow.sources.catalogue import LAYOUTS, TOKEN_TABLES, Catalogue, bucketed  # noqa: E402
+
+BUCKETS = 64
+_CTE_OF = {
+    "raw_sailing_traffic": "raw", "stg_sailing_traffic": "stg", "int_traffic_record": "rec", "int_route_day": "route_day",
+    "int_port_movement": "port_movement", "int_port_day": "port_day",
+    **{f"fct_route_traffic_{g}": f"fct_route_{g}" for g in ("daily", "weekly", "monthly")},
+    **{f"fct_port_activity_{g}": f"fct_port_{g}" for g in ("daily", "weekly", "monthly")},
+}
+
+
+# Tables made of the stored route-day grain.
+_STORABLE = [t for t in TABLE_ATTRS if t not in ("raw_sailing_traffic", "stg_sailing_traffic", "int_traffic_record", "int_port_movement", "dim_route", "dim_route_pair")]
+
+
+def _layout_sql() -> str:
+    parts = []
+    for t in _STORABLE:
+        grain = LAYOUTS[t].grain
+        day = f"TRY_CAST({grain} AS DATE)" if grain else "CAST(NULL AS DATE)"
+        parts.append(f"SELECT '{t}' AS table_name, COUNT(*) AS rows_count, CAST(MIN({day}) AS DATE) AS first_day, CAST(MAX({day}) AS DATE) AS last_day, "
+                     f"COUNT(DISTINCT date_trunc('{LAYOUTS[t].unit}', {day})) AS periods FROM {_CTE_OF.get(t, t)}")
+    return with_ctes(" UNION ALL ".join(parts), *[_CTE_OF.get(t, t) for t in _STORABLE])
+
+
+@register("stored_layouts", _layout_sql())
+def q_stored_layouts(spark, sf_dir):
+    """SRC6: every table that derives from route-day stored in its layout; rows, days and directories as they lie there."""
+    m = TrafficModels(spark, sf_dir).materialize()
+    cat, out = Catalogue(spark), None
+    for t in _STORABLE:
+        cat.write(t, getattr(m, TABLE_ATTRS[t]))
+        grain = LAYOUTS[t].grain
+        rows = spark.read.parquet(cat.path(t))
+        day = F.col(grain).try_cast("date") if grain else F.lit(None).cast("date")
+        one = rows.agg(F.lit(t).alias("table_name"), F.count("*").alias("rows_count"), F.min(day).alias("first_day"), F.max(day).alias("last_day"),
+                       F.countDistinct(F.col("period") if grain else F.lit(None)).alias("periods"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register(
+    "refresh_token_stored",
+    with_ctes(
+        "SELECT 'row_counts_daily' AS table_name, (SELECT COUNT(*) FROM row_counts_daily) AS rows_count, TRUE AS in_token, TRUE AS changed_by_rewrite "
+        "UNION ALL SELECT 'fct_route_traffic_daily', (SELECT COUNT(*) FROM fct_route_daily), TRUE, FALSE "
+        "UNION ALL SELECT 'fct_port_activity_daily', (SELECT COUNT(*) FROM fct_port_daily), TRUE, FALSE "
+        "UNION ALL SELECT 'intelligence_snapshots', CAST(3 AS BIGINT), TRUE, FALSE", "row_counts_daily", "fct_route_daily", "fct_port_daily"),
+)
+def q_refresh_token_stored(spark, sf_dir):
+    """ANA5 from stored tables: the token names every table, and only the one that is written again changes in it."""
+    from portflow.operators import snapshots as S
+
+    m = TrafficModels(spark, sf_dir).materialize()
+    cat = Catalogue(spark)
+    tables = {"row_counts_daily": m.row_counts_daily, "fct_route_traffic_daily": m.fct_route_daily, "fct_port_activity_daily": m.fct_port_daily,
+              "intelligence_snapshots": S.intelligence_snapshots(m.daily, m.route_day, m.fct_port_daily, month_col="service_month_start")}
+    for t in TOKEN_TABLES:
+        cat.write(t, tables[t])
+    before = through_storage(cat.state().withColumn("data_token", cat.token().scalar()), "state-before")
+    cat.write("row_counts_daily", tables["row_counts_daily"])
+    after = cat.state().select("table_name", F.col("last_modified").alias("later"))
+    return before.join(after, "table_name").select(
+        "table_name", "rows_count", F.contains(F.col("data_token"), F.concat("table_name", F.lit(":"))).alias("in_token"),
+        (F.col("later") != F.col("last_modified")).alias("changed_by_rewrite"))
+
+
+def _from_buckets(grain: str):
+    def q(spark, sf_dir):
+        daily = bucketed(TrafficModels(spark, sf_dir).materialize().fct_route_daily, BUCKETS)
+        return {"weekly": U.fct_route_weekly, "monthly": U.fct_route_monthly}[grain](daily)
+
+    q.__doc__ = f"SRC6: the {grain} route fact from the bucketed daily one, without a shuffle."
+    register(f"route_{grain}_from_buckets", with_ctes(f"SELECT * FROM fct_route_{grain}", f"fct_route_{grain}"))(q)
+
+
+_from_buckets("weekly")
+_from_buckets("monthly")
