@@ -44,6 +44,8 @@ NEGATIONS = "not never no without hardly nicht nie kein keine ohne ne pas jamais
 REPORTS = "said says called quoted wrote reported claimed alleged sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
 
 NONE, END, INSULT, THREAT, TARGET, NEGATION, REPORT = range(7)
+INSULT_AT, THREAT_AT = 7, 8  # a hit with a target after it in its clause
+HITS = (INSULT, THREAT, INSULT_AT, THREAT_AT)
 _TOKEN = re.compile(r"[^\W_]+|[.,;:!?\n]")
 
 
@@ -63,10 +65,24 @@ def _reset(states: int) -> dict:
 
 # Each counts words only as far as it must; state 0 is the start of a clause.
 INSULTS = Transducer(_reset(1))  # a hit passes with its weight
-AIMED = Transducer(_reset(2) | {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.3)})
+AIMED = Transducer(_reset(2) | {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.3)} | {(s, INSULT_AT): (s, 1.3) for s in range(2)})
 THREATENED = Transducer(_reset(2) | {(0, TARGET): (1, 1.0), (0, THREAT): (0, 0.0), (1, THREAT): (1, 1.0)})
-NEGATED = Transducer(_reset(4) | {(s, NEGATION): (3, 1.0) for s in range(4)} | {(s, x): (s - 1, 1.0) for s in (1, 2, 3) for x in (NONE, TARGET, REPORT)} | {(s, x): (s - 1, 0.4) for s in (1, 2, 3) for x in (INSULT, THREAT)})
-REPORTED = Transducer(_reset(2) | {(0, REPORT): (1, 1.0)} | {(1, x): (1, 0.6) for x in (INSULT, THREAT)})
+NEGATED = Transducer(_reset(4) | {(s, NEGATION): (3, 1.0) for s in range(4)} | {(s, x): (s - 1, 1.0) for s in (1, 2, 3) for x in (NONE, TARGET, REPORT)} | {(s, x): (s - 1, 0.4) for s in (1, 2, 3) for x in HITS})
+REPORTED = Transducer(_reset(2) | {(0, REPORT): (1, 1.0)} | {(1, x): (1, 0.6) for x in HITS})
+# Read from the right: a target marks the hits before it, up to the clause's beginning.
+AHEAD = {(0, TARGET): 1, (1, END): 0}
+MARKED = {INSULT: INSULT_AT, THREAT: THREAT_AT}
+
+
+def look_ahead(symbols: list[int]) -> list[int]:
+    """Symbols with the hits marked that a target follows in their clause."""
+    out, state = list(symbols), 0
+    for i in range(len(out) - 1, -1, -1):
+        x = out[i]
+        state = AHEAD.get((state, x), state)
+        if state and x in MARKED:
+            out[i] = MARKED[x]
+    return out
 
 
 class Composition:
@@ -85,7 +101,7 @@ class Composition:
                 steps = [p.step(s, x) for p, s in zip(self.parts, state)]
                 arc = self.arcs[state, x] = (tuple(s for s, _ in steps), math.prod(f for _, f in steps))
             state = arc[0]
-            if x == INSULT or x == THREAT:
+            if x in HITS:
                 total += w * arc[1]
                 hit = True
             elif x == END and hit:
@@ -135,7 +151,7 @@ class Features:
         if not any(x[0] == INSULT or x[0] == THREAT for x in set(seen)):
             return 0.0, 0.0, 0.0
         kinds, weights = zip(*seen)
-        scores = [s for s in self.grammar.clauses(kinds, weights) if s > 0]
+        scores = [s for s in self.grammar.clauses(look_ahead(kinds), weights) if s > 0]
         return math.log1p(sum(scores)), max(scores, default=0.0), math.log1p(len(scores))
 
 
@@ -214,9 +230,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the column ``toxicity`` (0 to 1) set; all rows and all other columns stay."""
-    return docs.withColumn("toxicity", F.pandas_udf(_scorer(model), "double")("text"))
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """``docs`` with the column ``name`` (0 to 1) set; all rows and all other columns stay."""
+    return docs.withColumn(name, F.pandas_udf(_scorer(model), "double")("text"))
 
 
 def _scorer(model: Model):

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 from portflow.llm import toxicity as T
@@ -16,7 +18,10 @@ def test_grammar_scores_clauses():
     assert g("You idiot.") > g("an idiot.") > g("you are not an idiot.") > 0
     assert g("He said: x") == 0.0
     assert g("she said an idiot came") < g("an idiot came")
-    assert g("i will kill") == 0.0 and g("kill you now") == 0.0 and g("i tell you i kill") > 0
+    assert g("i will kill") == 0.0 and g("kill time. you now") == 0.0 and g("you go. i kill") == 0.0
+    assert g("kill you now") == g("i will kill you") == g("i tell you i kill") == 2.0  # the target may stand on either side
+    assert g("ich werde dich töten") == g("je vais te frapper toi") == g("voy a matar a ellos") == 2.0
+    assert g("idiot, you") == 2.0 and g("an idiot you are") == g("you are an idiot") == 2.6
     assert g("not now. an idiot") == 2.0  # a clause end resets the negation
     assert g("le vequance") == 3.0
     assert f("") == f(None) == f("\n!!") == (0.0, 0.0, 0.0)
@@ -45,6 +50,42 @@ def test_composition_equals_separate_transducers():
         assert len(got) == len(want) and all(abs(a - b) < 1e-12 for a, b in zip(got, want))
 
 
+def clause_scores(text, insults):
+    """A clause's score by its words, with no states: each hit's weight times what the words around it say."""
+    out = []
+    for clause in re.split(r"[.,;:!?\n]", text.lower()):
+        words = re.findall(r"[^\W_]+", clause)
+        total, hit = 0.0, False
+        for i, w in enumerate(words):
+            if w not in insults and w not in T.THREATS:
+                continue
+            hit = True
+            weight = insults.get(w, 2.0)
+            aimed = any(x in T.TARGETS and x not in insults for x in words)
+            if w in insults:
+                weight *= 1.3 if aimed else 1.0
+            elif not aimed:
+                weight = 0.0
+            weight *= 0.4 if any(x in T.NEGATIONS for x in words[max(0, i - 3) : i]) else 1.0
+            weight *= 0.6 if any(x in T.REPORTS for x in words[:i]) else 1.0
+            total += weight
+        if hit:
+            out.append(total)
+    return out
+
+
+def test_clauses_against_brute_force():
+    rng = random.Random(8)
+    insults = {"idiot": 2.0, "grumf": 1.5}
+    f = T.Features(T.Model(insults, {}, [0.0, 1.0, 1.0, 1.0]))
+    words = ["idiot", "grumf", "kill", "töten", "you", "dich", "ellos", "not", "kein", "said", "écrit", "ana", "bolo", "cedi", "dufo"]
+    for _ in range(2000):
+        text = "".join(rng.choice(words) + rng.choice([" "] * 6 + [". ", ", ", "\n"]) for _ in range(rng.randrange(14)))
+        want = [x for x in clause_scores(text, insults) if x > 0]
+        got = f(text)
+        assert abs(got[0] - math.log1p(sum(want))) < 1e-9 and abs(got[1] - max(want, default=0.0)) < 1e-9 and abs(got[2] - math.log1p(len(want))) < 1e-9, text
+
+
 def test_learns_and_scores_every_row(spark):
     rng = random.Random(1)
     plain = ["ana", "bolo", "cedi", "dufo", "elga"]
