@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from portflow.llm import decontaminate, line_dedup, near_dedup, packing
 from portflow.llm import toxicity as tox
-from portflow.llm.common import ship, stored, table
+from portflow.llm.common import free_name, ship, stored, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = tox.train(docs, table(spark, sf_dir, "labels"))
-    return tox.score(docs, model).where(F.col("toxicity") < 0.5).select(*docs.columns)
+    name = free_name(docs, "toxicity")
+    return tox.score(docs, model, name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

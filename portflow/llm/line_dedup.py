@@ -15,8 +15,9 @@ no loop over lines or characters. Sets hold 64-bit hashes of shingles.
 
 Edge cases: null and empty texts have no lines; a line with fewer characters than a shingle has itself as its only
 shingle; lines of documents without a doc_id come after all others as keepers, in the order of their copies' line
-numbers; rows that repeat a doc_id are lines of their own that share the id, and one of them is kept; an empty table
-gives no rows; other columns are ignored.
+numbers; texts that share a doc_id, or lack one, are told apart by their hash; of rows with equal doc_id and text
+``drop_repeated_lines`` takes one (``fuzzy_lines`` marks the line of each of them as kept); an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .common import Comparison, band_keys, banded_components, mix, powers, prefix_hash, semi_by, small_enough, span_hashes, stored, text_slices, tidy
+from .common import Comparison, band_keys, banded_components, free_name, mix, powers, prefix_hash, semi_by, small_enough, span_hashes, stored, text_slices, tidy
 
 SHINGLE = 8
 THRESHOLD = 80  # per cent
@@ -194,7 +195,7 @@ def fuzzy_lines(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, b
     Lines are linked if 100 * intersection >= threshold * union of their sets of ``k``-character shingles.
     """
     text = docs.select("doc_id", "text")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "text_hash")
     every = stored(_lines(text, k, bands, rows, short), "every-line", "uncompressed")
     own = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("keys").alias("keys"))
     items = stored(own.withColumn("cid", F.monotonically_increasing_id()), "lines", "uncompressed")
@@ -241,20 +242,21 @@ def fuzzy_lines(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, b
     reached = items.select("cid", "d1", "d2", "n", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     alike = stored(reached.where("n > 1 or root is not null").select("d1", "d2", "first", F.coalesce("root", "cid").alias("root")), "alike")
     keep = alike.groupBy("root").agg(F.min("first").alias("keep"))
-    named = alike.join(keep, "root").select("d1", "d2", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
+    named = alike.join(keep, "root").select("d1", "d2", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), F.col("keep.text_hash").alias("keep_hash"))
     named = stored(named, "named")
     named = F.broadcast(named) if small_enough(named) else named
     out = every.select("doc_id", "text_hash", "line_no", "d1", "d2").join(named, ["d1", "d2"])
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no")) & F.col("text_hash").eqNullSafe(F.col("keep_hash"))
     return out.select("doc_id", "line_no", "keep_doc_id", "keep_line_no", kept.alias("kept"), "text_hash")
 
 
 def drop_repeated_lines(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` without lines that are alike a line kept elsewhere. Documents that lose all their lines go; documents
     without any line stay as they are, and so do texts that lose none. All columns stay; n_chars, if there, is recounted."""
-    gone = fuzzy_lines(docs, k, threshold).where("not kept").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("_lines"))
-    gone = stored(gone.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "gone")  # a list holds one document's line numbers
-
+    docs = _without_twins(docs)
+    id_, hash_, lines_ = (free_name(docs, n) for n in ("line_doc_id", "line_text_hash", "lines_gone"))
+    gone = fuzzy_lines(docs, k, threshold).where("not kept").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias(lines_))
+    gone = stored(gone.withColumnsRenamed({"doc_id": id_, "text_hash": hash_}), "gone")  # a list holds one document's line numbers
     @F.pandas_udf("string")
     def rest(text: pd.Series, lines: pd.Series) -> pd.Series:
         def cut(t, drop):
@@ -266,9 +268,23 @@ def drop_repeated_lines(docs: DataFrame, k: int = SHINGLE, threshold: int = THRE
 
         return pd.Series([cut(t, d) for t, d in zip(text, lines)], dtype=object)
 
-    j = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left")
-    j = j.withColumn("text", F.when(F.col("_lines").isNull(), docs["text"]).otherwise(rest(docs["text"], F.col("_lines"))))
-    j = j.where("_lines is null or text is not null")
+    j = docs.join(gone, docs["doc_id"].eqNullSafe(gone[id_]) & (F.xxhash64(docs["text"]) == gone[hash_]), "left")
+    j = j.withColumn("text", F.when(F.col(lines_).isNull(), docs["text"]).otherwise(rest(docs["text"], F.col(lines_))))
+    j = j.where(F.col(lines_).isNull() | F.col("text").isNotNull())
     if "n_chars" in docs.columns:
-        j = j.withColumn("n_chars", F.when(F.col("_lines").isNull(), docs["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        j = j.withColumn("n_chars", F.when(F.col(lines_).isNull(), docs["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return j.select(*docs.columns)
+
+
+def _without_twins(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of those with equal doc_id and text that hold a line; what a line of either would lose, both would keep."""
+    twin, id_, key = (free_name(docs, n) for n in ("twin", "twin_doc_id", "twin_text_hash"))
+    line = F.length(F.trim(F.col("text"), F.lit(" \t\n\r\x0b\x0c"))) > 0
+    keys = docs.where(line).groupBy(F.col("doc_id").alias(id_), F.xxhash64("text").alias(key)).agg(F.count("*").alias(twin)).where(F.col(twin) > 1)
+    keys = stored(keys, "twins")
+    if keys.isEmpty():
+        return docs
+    side = F.broadcast(keys) if small_enough(keys) else keys
+    marked = docs.join(side, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)) & line, "left")
+    single = marked.where(F.col(twin).isNull()).select(*docs.columns)
+    return single.unionByName(marked.where(F.col(twin).isNotNull()).select(*docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -103,6 +103,22 @@ def test_pipeline_form(spark):
     ])
 
 
+def test_repeated_rows_and_clashing_columns(spark):
+    """One of fully repeated rows keeps a line, with an id or without; two texts of one id are rows of their own."""
+    line = "a line that stands in many rows here"
+    rows = [(1, line), (1, line), (1, line), (2, f"{line}\nown words of the second"), (2, f"{line}\nquite different words of it"),
+            (None, "nobody knows whose line this is"), (None, "nobody knows whose line this is"), (None, "nobody knows whose line this is\nand another thing"),
+            (3, None), (3, None), (4, ""), (4, ""), (None, None)]
+    names = ["_id", "_hash", "_lines", "line_doc_id", "Line_Text_Hash", "lines_gone", "twin", "i", "h", "n"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names)).repartition(4)
+    out = L.drop_repeated_lines(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, line), (2, "own words of the second"), (2, "quite different words of it"), (None, "nobody knows whose line this is"),
+                          (None, "and another thing"), (3, None), (3, None), (4, ""), (4, ""), (None, None)], key=str)
+    assert all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in out.collect())
+
+
 def F_lang():
     from pyspark.sql import functions as F
 
