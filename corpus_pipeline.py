@@ -23,6 +23,9 @@ from portflow.llm import toxicity as tox
 from portflow.llm.common import free_name, ship, stored, table
 
 
+MEMO = 60_000  # pieces that a worker of the last stage remembers, twice over: executors still hold what earlier stages grew
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = tox.train(docs, table(spark, sf_dir, "labels"))
@@ -47,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, memo=MEMO)
 
 
 STAGES = [

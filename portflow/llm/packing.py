@@ -31,20 +31,20 @@ from .tokens import default_vocabulary, encoder
 WINDOW = 1024
 TRIPLE_STEP = 16  # the smallest part of an enumerated triple is a multiple of this
 SWEEPS = 30
-MEMO = 125_000  # pieces a worker remembers twice over; in the pipeline its memory is shared with what earlier stages left
+MEMO = 125_000  # pieces a worker remembers, twice over
 
 _LENGTHS = pa.schema([("task", pa.int32()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("rest", pa.int32()), ("rank", pa.int64()), ("full_rank", pa.int64()), ("ids", pa.binary())])
 _LENGTHS_SQL = "task int, doc_id bigint, doc_tokens bigint, rest int, rank bigint, full_rank bigint, ids binary"
 
 
-def measure(docs: DataFrame, window: int, vocabulary: str | None, end_id: int) -> DataFrame:
+def measure(docs: DataFrame, window: int, vocabulary: str | None, end_id: int, memo: int = MEMO) -> DataFrame:
     """A row a document: its ids (little-endian unsigned 32-bit, the end id last) and their count. ``rank`` and
     ``full_rank`` count the rests of the same length and the full windows that the task has had before."""
     path = vocabulary or default_vocabulary()
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, fulls = encoder(path, MEMO).encode, TaskContext.get().partitionId(), 0
+        enc, task, fulls = encoder(path, memo).encode, TaskContext.get().partitionId(), 0
         seen = np.zeros(window, np.int64)
         for b in batches:
             out = []
@@ -134,13 +134,13 @@ _PIECES_SQL = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, se
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, end_id: int = 0, memo: int = MEMO) -> DataFrame:
     """Pieces of all documents (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
     the piece's ids (little-endian unsigned 32-bit), of which ids_crc32 is the checksum.
 
     Sequence ids: first those of the combinations, then full windows of long documents, then the greedy ones.
     """
-    rows = stored(measure(docs, window, vocabulary, end_id), "lengths")
+    rows = stored(measure(docs, window, vocabulary, end_id, memo), "lengths")
     counts = stored(rows.groupBy("task", "rest").agg(F.count("*").alias("n")), "counts")
     histogram = np.zeros(window, np.int64)
     for r in counts.groupBy("rest").agg(F.sum("n").alias("n")).collect():  # at most window rows
