@@ -43,7 +43,9 @@ FAST = ["stg_clean", "int_traffic_record", "row_counts_weekly", "fct_route_month
         "dq_custom", "top_routes_pax", "explore_routes", "port_netflow", "netflow_reconcile", "window_kpis", "kpi_deltas",
         "concentration_monthly", "weekday_profile", "snap_deepen_rows", "snap_route_digest", "notable_change", "panel_signals",
         "panel_actions", "plan_windows", "audit_windows", "fmt_compact", "ingest_extract_records", "ingest_raw_rows",
-        "ingest_quarantine", "dq_landed_casts", "snapshot_upsert", "upsert_then_lookup", "snapshot_lines", "filter_hash", "load_weekly"]
+        "ingest_quarantine", "dq_landed_casts", "snapshot_upsert", "upsert_then_lookup", "snapshot_lines", "filter_hash", "load_weekly",
+        "snapshot_answers", "upsert_touched_buckets", "panel_source_fields", "panel_writer", "load_audit", "scope_corridor",
+        "scope_corridor_and_port", "concentration_grains", "refresh_token_stored", "route_weekly_from_buckets"]
 
 
 @pytest.mark.parametrize("key", FAST)
