@@ -13,14 +13,18 @@
 4. A window that holds l bytes before the anchor is repeated if another context shares l bytes before and
    ``LENGTH`` - l bytes from the anchor on. The neighbours' extensions cut both orders into classes for every l, so
    windows in the same pair of classes are repeats: no pair of contexts is ever listed.
-5. Anchors with more than ``HOT`` contexts are never gathered in a task: their windows' 128-bit hashes are counted by
-   Spark with map-side combine instead.
+5. A group of more than ``HOT`` contexts is split until its parts can be sorted (``split_groups``). A part holds the
+   contexts that share all bytes which its windows, from ``lo`` to ``hi`` bytes before the anchor, have in common; among
+   them, contexts that are equal over all bytes of these windows are repeats from end to end, leave one span each and
+   one of them for the rest. Parts that are still large are split by narrower ranges of windows. Hashes are counted by
+   Spark with map-side combine; no task holds a large group, and a context leaves spans and never its windows.
 
 Edge cases: null and empty texts have nothing to remove; texts shorter than ``LENGTH`` bytes neither lose bytes nor
 match; rows that repeat a doc_id are texts of their own, and equal rows are copies of each other; null doc_ids are
 ids like others; an empty table gives no rows; other columns are ignored.
 """
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -35,6 +39,7 @@ from .common import powers, prefix_hash, small_enough, span_hashes, stored, text
 LENGTH, GRAM = 400, 200
 HOT = 5_000
 BATCH = 2_000  # contexts that are sorted together, unless one group has more
+FAN = 4  # ranges that a large part is split into
 
 _OTHER_BYTE = np.random.Generator(np.random.PCG64(4711)).integers(1, 1 << 64, 256, dtype=np.uint64)
 
@@ -198,6 +203,70 @@ def _runs(flags: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
     return row, at[row] - (hi - 1), at[row] - lo + length
 
 
+_CONTEXT = ["h", "doc_id", "x", "at", "before", "context"]
+
+
+def split_groups(contexts: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(parts of at most ``most`` contexts, with a group number of their own in ``h``; spans already known to repeat).
+
+    A part is a range of windows, ``lo`` to ``hi`` bytes before the anchor, of contexts that share the bytes common to
+    all these windows (core). Two contexts that share a window of the range share its core, so they stay together.
+    Contexts equal over all bytes of the range (whole) are one class: its windows repeat if it has two members, and one
+    member meets the other classes. Contexts cut short by the ends of their texts have part of the range only and are
+    classes of their own. A range of one window has one class a core, so the splitting ends.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 800):
+                b = batch.slice(i, 800)
+                c = b.column("context").cast(pa.large_binary())
+                off = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+                data, off = np.frombuffer(c.buffers()[2], np.uint8)[off[0] : off[-1]], off - off[0]
+                before, lo, hi = (b.column(k).to_numpy().astype(np.int64) for k in ("before", "lo", "hi"))
+                anchor = off[:-1] + before
+                first, last = np.maximum(lo, length - (off[1:] - anchor)), np.minimum(hi, before)
+                full = (first == lo) & (last == hi)
+                some = np.flatnonzero(first <= last)
+                prefixes = [prefix_hash(v[data]) for v in (C._BYTE, _OTHER_BYTE)]
+                core = [span_hashes(p, (anchor - lo)[some], (anchor + length - hi)[some]) for p in prefixes]
+                k = some[full[some]]
+                whole = [np.zeros(len(full), np.uint64) for _ in prefixes]
+                for w, p in zip(whole, prefixes):
+                    w[k] = span_hashes(p, (anchor - hi)[k], (anchor - lo + length)[k])
+                out = b.take(pa.array(some))
+                added = [*(v.view(np.int64) for v in core), *(w[some].view(np.int64) for w in whole), full[some]]
+                yield pa.RecordBatch.from_arrays([*out.columns, *map(pa.array, added)], names=[*out.schema.names, "c1", "c2", "w1", "w2", "full"])
+
+    core, whole = ["h", "lo", "c1", "c2"], ["h", "lo", "c1", "c2", "w1", "w2"]
+    row = "h bigint, doc_id bigint, x bigint, at bigint, before int, context binary, lo int, hi int"
+    me = F.struct("doc_id", "x", "at")
+    now = contexts.select(*_CONTEXT, F.lit(0).alias("lo"), F.lit(length - gram).alias("hi"))
+    parts, spans = [], []
+    while True:
+        now = stored(now.mapInArrow(tidy(keys), f"{row}, c1 bigint, c2 bigint, w1 bigint, w2 bigint, full boolean"), "split")
+        classes = stored(now.where("full").groupBy(*whole).agg(F.count("*").alias("n"), F.min(me).alias("one")), "classes")
+        units = classes.select(*core).unionByName(now.where("not full").select(*core))
+        cores = stored(units.groupBy(*core).agg(F.count("*").alias("k")).where("k > 1"), "cores")
+        twice = classes.where("n > 1").select(*whole)
+        twice = F.broadcast(twice) if small_enough(twice) else twice
+        spans.append(now.where("full").join(twice, whole, "left_semi").select("doc_id", "x", (F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + length).alias("b")))
+        few = F.broadcast(cores) if small_enough(cores) else cores
+        more = classes.join(few, core).select(*whole, "k", "one")  # classes that meet others
+        more = F.broadcast(more) if small_enough(more) else more
+        alone = now.where("not full").join(few, core)
+        on = now.where("full").join(more, whole).where(me.eqNullSafe(F.col("one"))).drop("one").unionByName(alone)
+        parts.append(on.where(F.col("k") <= most).select(F.xxhash64(*core).alias("h"), *_CONTEXT[1:]))
+        rest = on.where(F.col("k") > most)
+        if cores.where(F.col("k") > most).isEmpty():
+            break
+        step = F.ceil((F.col("hi") - F.col("lo") + 1) / FAN).cast("int")
+        ranges = rest.withColumn("from", F.explode(F.sequence("lo", "hi", step)))
+        now = ranges.select(*_CONTEXT, F.col("from").alias("lo"), F.least(F.col("from") + step - 1, "hi").cast("int").alias("hi"))
+    together = lambda frames: functools.reduce(DataFrame.unionByName, frames)
+    return together(parts), together(spans)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (the text's
     remaining bytes)."""
@@ -274,26 +343,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         if held:
             yield spans(held)
 
-    usual = contexts.where("not hot").select("h", "doc_id", "x", "at", "before", "context").repartition("h").sortWithinPartitions("h").mapInArrow(tidy(sort), _SPANS)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(len(b)):
-                doc, x, at, before, context = (c[i].as_py() for c in b.columns)
-                data = np.frombuffer(context, np.uint8)
-                s = np.arange(max(0, len(data) - length + 1))
-                s = s[(s <= before) & (s + length >= before + gram)]
-                one, two = (span_hashes(prefix_hash(v[data]), s, s + length).view(np.int64) for v in (C._BYTE, _OTHER_BYTE))
-                n = len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([doc] * n, pa.int64()), pa.array([x] * n, pa.int64()), pa.array(at - before + s)], names=["w1", "w2", "doc_id", "x", "a"])
-
-    each = contexts.where("hot").select("doc_id", "x", "at", "before", "context").mapInArrow(tidy(windows), "w1 bigint, w2 bigint, doc_id bigint, x bigint, a bigint").distinct()
-    has_hot = not again.where(F.col("n") > hot).isEmpty()
-    spans = usual
-    if has_hot:
-        each = stored(each, "windows")
-        twice = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        spans = usual.unionByName(each.join(twice, ["w1", "w2"]).select("doc_id", "x", "a", (F.col("a") + length).alias("b")))
+    group = contexts.where("not hot").select(*_CONTEXT)
+    done = None
+    if not again.where(F.col("n") > hot).isEmpty():
+        parts, done = split_groups(stored(contexts.where("hot").select(*_CONTEXT), "hot"), length, gram, hot)
+        group = group.unionByName(parts)
+    spans = group.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(sort), _SPANS)
+    spans = spans if done is None else spans.unionByName(done)
     cover = stored(spans.groupBy("doc_id", "x").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

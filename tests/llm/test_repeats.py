@@ -88,3 +88,19 @@ def test_suffix_order_is_that_of_the_bytes(broken, monkeypatch):
             for j in range(i):
                 if len(rows[i]) >= k and len(rows[j]) >= k:
                     assert (c[i] == c[j]) == (group[i] == group[j] and rows[i][:k] == rows[j][:k])
+
+
+def test_one_group_of_many_contexts(spark):
+    """20,000 texts share a passage between words of their own; some are cut within it, some share a side as well."""
+    rng = random.Random(21)
+    draw = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    p, sides = draw(47), [draw(20) for _ in range(5)]
+    rows = []
+    for i in range(20_000):
+        left = rng.choice(sides) if i % 7 == 0 else draw(rng.randrange(12, 30))
+        right = rng.choice(sides) if i % 11 == 0 else draw(rng.randrange(12, 30))
+        a, b = (rng.randrange(10), 47) if i % 13 == 0 else (0, 47 - rng.randrange(10)) if i % 17 == 0 else (0, 47)
+        rows.append((i, left + p[a:b] + right))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = [tuple(r) for r in R.remove_repeats(df, length=40, gram=12).drop("kept").collect()]
+    assert sorted(got, key=str) == brute(rows, 40)
