@@ -13,11 +13,12 @@
 4. A window that holds l bytes before the anchor is repeated if another context shares l bytes before and
    ``LENGTH`` - l bytes from the anchor on. The neighbours' extensions cut both orders into classes for every l, so
    windows in the same pair of classes are repeats: no pair of contexts is ever listed.
-5. A group of more than ``HOT`` contexts is split until its parts can be sorted (``split_groups``). A part holds the
-   contexts that share all bytes which its windows, from ``lo`` to ``hi`` bytes before the anchor, have in common; among
-   them, contexts that are equal over all bytes of these windows are repeats from end to end, leave one span each and
-   one of them for the rest. Parts that are still large are split by narrower ranges of windows. Hashes are counted by
-   Spark with map-side combine; no task holds a large group, and a context leaves spans and never its windows.
+5. Before they are sorted, equal contexts collapse, and large groups are split until their parts can be sorted
+   (``split_groups``). A part holds the contexts that share all bytes which its windows, from ``lo`` to ``hi`` bytes
+   before the anchor, have in common; contexts that are equal over all bytes of these windows are repeats from end to
+   end, leave one span each and one of them for the rest. Parts of more than ``MOST`` such classes are split by narrower
+   ranges of windows. Hashes are counted by Spark with map-side combine: no task holds a large group, and a context
+   leaves spans, never its windows.
 
 Edge cases: null and empty texts have nothing to remove; texts shorter than ``LENGTH`` bytes neither lose bytes nor
 match; rows that repeat a doc_id are texts of their own, and equal rows are copies of each other; null doc_ids are
@@ -37,7 +38,7 @@ from . import common as C
 from .common import powers, prefix_hash, small_enough, span_hashes, stored, text_slices, tidy
 
 LENGTH, GRAM = 400, 200
-HOT = 5_000
+MOST = 5_000  # classes of contexts that are sorted together at most
 BATCH = 2_000  # contexts that are sorted together, unless one group has more
 FAN = 4  # ranges that a large part is split into
 
@@ -252,10 +253,12 @@ def split_groups(contexts: DataFrame, length: int, gram: int, most: int) -> tupl
         twice = F.broadcast(twice) if small_enough(twice) else twice
         spans.append(now.where("full").join(twice, whole, "left_semi").select("doc_id", "x", (F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + length).alias("b")))
         few = F.broadcast(cores) if small_enough(cores) else cores
-        more = classes.join(few, core).select(*whole, "k", "one")  # classes that meet others
+        more = classes.join(few, core).select("k", "one", F.col("h").alias("_h"), F.col("lo").alias("_lo"))  # classes that meet others
         more = F.broadcast(more) if small_enough(more) else more
+        # by the row itself: a class of any size sends one row to this join
+        same = (F.col("h") == F.col("_h")) & (F.col("lo") == F.col("_lo")) & F.col("x").eqNullSafe(F.col("one.x")) & F.col("at").eqNullSafe(F.col("one.at")) & F.col("doc_id").eqNullSafe(F.col("one.doc_id"))
         alone = now.where("not full").join(few, core)
-        on = now.where("full").join(more, whole).where(me.eqNullSafe(F.col("one"))).drop("one").unionByName(alone)
+        on = now.where("full").join(more, same).select(*now.columns, "k").unionByName(alone)
         parts.append(on.where(F.col("k") <= most).select(F.xxhash64(*core).alias("h"), *_CONTEXT[1:]))
         rest = on.where(F.col("k") > most)
         if cores.where(F.col("k") > most).isEmpty():
@@ -267,7 +270,7 @@ def split_groups(contexts: DataFrame, length: int, gram: int, most: int) -> tupl
     return together(parts), together(spans)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (the text's
     remaining bytes)."""
     reach = length - gram
@@ -292,7 +295,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     found = stored(found, "anchors")
     again = stored(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "again")
     places = found.join(again, "h")
-    lists = stored(places.groupBy("doc_id", "x").agg(F.collect_set(F.struct("at", "h", F.col("n") > hot)).alias("places")), "places")  # one document's anchors
+    lists = stored(places.groupBy("doc_id", "x").agg(F.collect_set(F.struct("at", "h")).alias("places")), "places")  # one document's anchors
 
     def semi(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
         ids = ids.select(F.col("doc_id").alias("_id"), F.col("x").alias("_x")).distinct()
@@ -304,22 +307,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         return semi(df, lists, "left_semi").join(other, df["doc_id"].eqNullSafe(F.col("_id")) & (df["x"] == F.col("_x"))).drop("_id", "_x")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "hot", "doc_id", "x", "at", "before", "context"]
+        names = _CONTEXT
         for b in batches:
             for doc, x, t, places in zip(*b.columns):
                 data, out = t.as_buffer().to_pybytes(), []
                 for p in places.as_py():
-                    at, h, is_hot = p.values()
+                    at, h = p.values()
                     a = max(0, at - reach)
-                    out.append((h, is_hot, doc.as_py(), x.as_py(), at, at - a, data[a : at + length]))
+                    out.append((h, doc.as_py(), x.as_py(), at, at - a, data[a : at + length]))
                     if len(out) == 4_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
                         out = []
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    contexts = with_lists(shown, lists, "places").mapInArrow(tidy(cut), "h bigint, hot boolean, doc_id bigint, x bigint, at bigint, before int, context binary")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    contexts = with_lists(shown, lists, "places").mapInArrow(tidy(cut), "h bigint, doc_id bigint, x bigint, at bigint, before int, context binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -343,13 +346,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         if held:
             yield spans(held)
 
-    group = contexts.where("not hot").select(*_CONTEXT)
-    done = None
-    if not again.where(F.col("n") > hot).isEmpty():
-        parts, done = split_groups(stored(contexts.where("hot").select(*_CONTEXT), "hot"), length, gram, hot)
-        group = group.unionByName(parts)
-    spans = group.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(sort), _SPANS)
-    spans = spans if done is None else spans.unionByName(done)
+    parts, done = split_groups(contexts, length, gram, most)
+    spans = parts.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(sort), _SPANS).unionByName(done)
     cover = stored(spans.groupBy("doc_id", "x").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

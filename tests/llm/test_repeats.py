@@ -48,12 +48,12 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("hot", [10_000, 12])
-def test_matches_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize("most", [10_000, 12, 2])
+def test_matches_brute_force(spark, most, monkeypatch):
     monkeypatch.setattr(R, "BATCH", 50)
-    rows = corpus(hot)
+    rows = corpus(most)
     df = spark.createDataFrame([(i, t, 1, "m") for i, t in rows], "doc_id long, text string, x int, m string").repartition(5)
-    got = R.remove_repeats(df, length=40, gram=12, hot=hot)
+    got = R.remove_repeats(df, length=40, gram=12, most=most)
     res = got.collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in res), key=str) == brute(rows, 40)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in res)
