@@ -249,12 +249,12 @@ def split_groups(contexts: DataFrame, length: int, gram: int, most: int) -> tupl
         classes = stored(now.where("full").groupBy(*whole).agg(F.count("*").alias("n"), F.min(me).alias("one")), "classes")
         units = classes.select(*core).unionByName(now.where("not full").select(*core))
         cores = stored(units.groupBy(*core).agg(F.count("*").alias("k")).where("k > 1"), "cores")
-        twice = classes.where("n > 1").select(*whole)
-        twice = F.broadcast(twice) if small_enough(twice) else twice
+        # these sides grow with the texts: they are merged at every size, and adaptive execution splits a hot class
+        twice = classes.where("n > 1").select(*whole).hint("merge")
         spans.append(now.where("full").join(twice, whole, "left_semi").select("doc_id", "x", (F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + length).alias("b")))
-        few = F.broadcast(cores) if small_enough(cores) else cores
+        few = cores.hint("merge")
         more = classes.join(few, core).select("k", "one", F.col("h").alias("_h"), F.col("lo").alias("_lo"))  # classes that meet others
-        more = F.broadcast(more) if small_enough(more) else more
+        more = more.hint("merge")
         # by the row itself: a class of any size sends one row to this join
         same = (F.col("h") == F.col("_h")) & (F.col("lo") == F.col("_lo")) & F.col("x").eqNullSafe(F.col("one.x")) & F.col("at").eqNullSafe(F.col("one.at")) & F.col("doc_id").eqNullSafe(F.col("one.doc_id"))
         alone = now.where("not full").join(few, core)
