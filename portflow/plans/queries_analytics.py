@@ -193,8 +193,8 @@ def q_refresh_token(spark, sf_dir):
            SELECT port_name, SUM(total_departing_passengers + total_arriving_passengers) AS p FROM ports
            WHERE port_name IS NOT NULL GROUP BY port_name ORDER BY p DESC, port_name LIMIT 1))""", "routes", "ports"))
 def q_scope_routes(spark, sf_dir):
-    """Routes touching the busiest port (the port is a scalar subquery)."""
-    m = _m(spark, sf_dir)
+    """Routes touching the busiest port (the port is a scalar subquery over the stored port days)."""
+    m = _m(spark, sf_dir).materialize()
     flow = m.ports.where(F.col("port_name").isNotNull()).groupBy("port_name").agg(
         F.sum(F.col("total_departing_passengers") + F.col("total_arriving_passengers")).alias("p"))
     port = flow.orderBy(F.col("p").desc(), "port_name").limit(1).select("port_name").scalar()
