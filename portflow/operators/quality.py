@@ -137,9 +137,19 @@ def cast_dropped(field: str) -> Column:
     )
 
 
+def _dropped(field: str) -> Column:
+    return F.coalesce(F.sum(F.when(cast_dropped(field), 1).otherwise(0)), F.lit(0)).cast("long")
+
+
 def safe_cast_dropped(raw: DataFrame, field: str) -> DataFrame:
     """DQ6/DQ7: raw rows whose value the safe cast dropped."""
-    return raw.agg(F.coalesce(F.sum(F.when(cast_dropped(field), 1).otherwise(0)), F.lit(0)).cast("long").alias("violations"))
+    return raw.agg(_dropped(field).alias("violations"))
+
+
+def safe_casts_dropped(raw: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """DQ6/DQ7 of several fields in one pass: a row (column_name, violations) for each payload field → column."""
+    one = raw.agg(*[_dropped(f).alias(c) for f, c in fields.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("violations")) for c in fields.values()])))
 
 
 def collision_checks(rec: DataFrame) -> DataFrame:

@@ -83,8 +83,7 @@ def q_ingest_quarantine(spark, sf_dir):
 def q_dq_landed_casts(spark, sf_dir):
     """DQ6/DQ7 on landed rows: decimal counts that the safe cast drops are counted."""
     raw = I.raw_rows(I.extract_records(_landed(spark, sf_dir, odd=True))[0], FIRST_LOAD_AT)
-    one = [Q.safe_cast_dropped(raw, f).select(F.lit(c).alias("column_name"), "violations") for f, c in (("passengercount", "passenger_count"), ("vehiclecount", "vehicle_count"))]
-    return one[0].unionByName(one[1])
+    return Q.safe_casts_dropped(raw, {"passengercount": "passenger_count", "vehiclecount": "vehicle_count"})
 
 
 @register(

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 import __spark_entry__ as E
+from portflow.operators import quality as Q
 from portflow.operators import records as R
 from portflow.operators import rollups as U
 from portflow.operators.staging import stg_clean
@@ -94,3 +95,18 @@ def test_stored_records_feed_the_route_days(spark, star):
 def test_scope_routes_reads_the_stored_chain(spark):
     p = plan(E.queries()["scope_routes"](spark, SF_SMALL))
     assert "lineitem.parquet" not in p and "int_route_day" in p
+
+
+def test_casts_of_several_fields_are_counted_in_one_pass(spark):
+    df = raw(spark, [
+        dict(raw_payload='{"date": "2024-03-06", "passengercount": "10.0", "vehiclecount": 2}'),
+        dict(raw_payload='{"date": "2024-03-06", "passengercount": 10.5, "vehiclecount": "x"}'),
+        dict(raw_payload='{"date": "2024", "passengercount": "y", "vehiclecount": "x"}'),
+    ])
+    got = Q.safe_casts_dropped(df, {"passengercount": "passenger_count", "vehiclecount": "vehicle_count"})
+    assert [tuple(r) for r in got.collect()] == [("passenger_count", 2), ("vehicle_count", 1)]
+
+
+def test_landed_casts_read_the_landing_once(spark, star):
+    p = plan(E.queries()["dq_landed_casts"](spark, star))
+    assert p.split("== Initial Plan ==")[-1].count("FileScan text") == 1
