@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from portflow.functions.keys import natural_pair_key, natural_route_key
 from portflow.functions.text import unicode_trim
-from portflow.operators.staging import safe_date, safe_int
+from portflow.operators.staging import PLAIN_COUNT, PLAIN_INT, safe_date, safe_int
 
 
 def _route_fact(period: str) -> list[tuple[str, str]]:
@@ -127,14 +127,18 @@ def run_checks(table: str, df: DataFrame, checks: list[tuple[str, str]] | None =
 # --- custom checks -----------------------------------------------------------
 
 def cast_dropped(field: str) -> Column:
-    """DQ6/DQ7 condition: the payload has a valid date and a non-empty value that does not cast to a whole number."""
+    """DQ6/DQ7 condition: the payload has a valid date and a non-empty value that does not cast to a whole number.
+
+    A plain whole number casts, whatever the date: only other values are trimmed and have their date read.
+    """
     p = F.col("raw_payload")
     v = F.get_json_object(p, f"$.{field}")
-    return (
+    dropped = (
         safe_date(F.get_json_object(p, "$.date")).isNotNull()
         & F.nullif(unicode_trim(v), F.lit("")).isNotNull()
         & safe_int(v).isNull()
     )
+    return F.when(v.rlike(PLAIN_INT), F.lit(False)).otherwise(dropped)
 
 
 def _dropped(field: str) -> Column:
@@ -199,13 +203,17 @@ def landing_checks(raw: DataFrame) -> DataFrame:
     """
     staged = safe_date(F.col("service_date")).isNotNull()
 
+    def negative(c: str) -> Column:
+        # a count of digits alone is none, whatever the date
+        return F.when(F.col(c).rlike(PLAIN_COUNT), F.lit(False)).otherwise(staged & (safe_int(F.col(c)) < 0))
+
     def cnt(cond: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("long")
 
     rows = [
         ("raw_sailing_traffic", "record_hash", "not_null", F.col("record_hash").isNull()),
-        ("stg_sailing_traffic", "passenger_count", "non_negative", staged & (safe_int(F.col("passenger_count")) < 0)),
-        ("stg_sailing_traffic", "vehicle_count", "non_negative", staged & (safe_int(F.col("vehicle_count")) < 0)),
+        ("stg_sailing_traffic", "passenger_count", "non_negative", negative("passenger_count")),
+        ("stg_sailing_traffic", "vehicle_count", "non_negative", negative("vehicle_count")),
         ("stg_sailing_traffic", "passenger_count", "passenger_count_safe_cast_did_not_drop_values", cast_dropped("passengercount")),
         ("stg_sailing_traffic", "vehicle_count", "vehicle_count_safe_cast_did_not_drop_values", cast_dropped("vehiclecount")),
     ]

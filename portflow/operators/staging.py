@@ -11,17 +11,22 @@ from portflow.functions.text import clean_text, fold_port, unicode_trim
 # '2026' or '2026-03-06T10:00' and turn them into dates.
 DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}$"
 INT_PATTERN = r"^[+-]?\d+$"
+# Texts that are their own trimmed form and, the numbers, in any case a long: they need no trimming.
+# ``\z``, not ``$``, which also matches before a line end.
+PLAIN_DATE = r"^\d{4}-\d{1,2}-\d{1,2}\z"
+PLAIN_INT = r"^[+-]?\d{1,18}\z"
+PLAIN_COUNT = r"^\d{1,18}\z"
 
 
 def safe_date(c: Column) -> Column:
     t = unicode_trim(c)
-    return F.when(t.rlike(DATE_PATTERN), t.try_cast("date"))
+    return F.when(c.rlike(PLAIN_DATE), c.try_cast("date")).otherwise(F.when(t.rlike(DATE_PATTERN), t.try_cast("date")))
 
 
 def safe_int(c: Column) -> Column:
     """SAFE_CAST(x AS INTEGER): surrounding white space allowed, '12.0' / 'x' / '' → NULL."""
     t = unicode_trim(c)
-    return F.when(t.rlike(INT_PATTERN), t.try_cast("long"))
+    return F.when(c.rlike(PLAIN_INT), c.try_cast("long")).otherwise(F.when(t.rlike(INT_PATTERN), t.try_cast("long")))
 
 
 def route_name_source() -> Column:

@@ -1,10 +1,13 @@
 """Checks counted in one pass; the audit of a load taken while it is written."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
+from portflow.functions.text import unicode_trim
 from portflow.operators import quality as Q
+from portflow.operators.staging import DATE_PATTERN, INT_PATTERN, safe_date, safe_int
 from portflow.plans.models import TrafficModels
 from portflow.sources import ingest as I
 from tests.conftest import SF_SMALL
@@ -60,3 +63,39 @@ def test_load_audit_counts_while_writing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(I, "MAX_OBSERVED", 2)
     assert [tuple(r) for r in I.land_and_audit(raw, str(tmp_path / "b"), windows).orderBy("window_index").collect()] == by_write
     assert I.land_and_audit(raw.limit(0), str(tmp_path / "c"), windows).agg(F.sum("rows_loaded")).first()[0] == 0
+
+
+# Dates and numbers as they come: plain, in white space of all kinds, at a line end, too long, in other digits, none.
+DATES = ["2024-03-06", "2024-3-6", " 2024-03-06", "2024-03-06\n", "2024-03-06\u0085", " 2024-03-06 ", "2024-13-06", "2024-03-06x", "2024", "٢٠٢٤-03-06", "", None]
+NUMBERS = ["5", "+5", "-5", " 5", "-5\n", "7\u0085", " 7 ", "- 7", "9" * 18, "-" + "9" * 18, "9" * 19, "9223372036854775807", "5.0", "x", "٥", "+", " ", "", None]
+
+
+def test_plain_values_are_cast_as_trimmed_ones(spark):
+    dates, numbers = spark.createDataFrame([(d,) for d in DATES], "v string"), spark.createDataFrame([(n,) for n in NUMBERS], "v string")
+    t = unicode_trim(F.col("v"))
+    for df, got, want in ((dates, safe_date(F.col("v")), F.when(t.rlike(DATE_PATTERN), t.try_cast("date"))),
+                          (numbers, safe_int(F.col("v")), F.when(t.rlike(INT_PATTERN), t.try_cast("long")))):
+        rows = df.select("v", got.alias("got"), want.alias("want")).collect()
+        assert [r for r in rows if r.got != r.want] == [] and any(r.got is not None for r in rows) and any(r.got is None for r in rows)
+
+
+def test_landing_checks_of_every_date_and_number(spark):
+    rows = [(f"h{d}-{n}", d, n, n, json.dumps({"date": d, "passengercount": n, "vehiclecount": n})) for d in DATES for n in NUMBERS]
+    df = spark.createDataFrame(rows, "record_hash string, service_date string, passenger_count string, vehicle_count string, raw_payload string")
+    dates = df.where(safe_date(F.col("service_date")).isNotNull()).select("service_date").distinct().count()
+    # negative: three that cast; dropped: not empty, no whole number of 64 bits
+    assert dates == 6 and counted(Q.landing_checks(df)) == {
+        ("record_hash", "not_null"): 0,
+        **{(c, "non_negative"): dates * 3 for c in ("passenger_count", "vehicle_count")},
+        **{(c, f"{c}_safe_cast_did_not_drop_values"): dates * 6 for c in ("passenger_count", "vehicle_count")},
+    }
+
+
+def test_plain_counts_need_no_trimming(spark):
+    """Whole numbers are told by one match each; what is trimmed, and the date, stand in the other branch."""
+    rows = [("h", "2024-03-06", "1", "2", "{}")]
+    df = spark.createDataFrame(rows, "record_hash string, service_date string, passenger_count string, vehicle_count string, raw_payload string")
+    for c in (Q.cast_dropped("passengercount"), safe_int(F.col("passenger_count")), safe_date(F.col("service_date"))):
+        tree = df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+        first = tree.split(" THEN ")[0]
+        assert "RLIKE" in first and "regexp_replace" not in first
