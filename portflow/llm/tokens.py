@@ -22,6 +22,7 @@ _OTHER = re.compile(rf"[^\x09-\x0d\x20-\x7e{_LATIN}¿¡«»–—‘’“”…
 # The byte-level alphabet: printable bytes stand for themselves, the others, in order, for characters from 256 on.
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
+_SPACE_CHAR = chr(_BYTE_CHARS[32])
 
 
 class _Memo(dict):
@@ -35,7 +36,9 @@ class _Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.older.get(piece)
         if out is None:
-            out = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+            plain = piece.isascii() and piece.isprintable()  # of these only the space has another character
+            shown = piece.replace(" ", _SPACE_CHAR) if plain else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+            out = array("I", [t.id for t in self.merge(shown)]).tobytes()
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()

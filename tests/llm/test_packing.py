@@ -89,3 +89,16 @@ def test_ids_can_be_read_from_the_result(spark):
         assert len(s.ids) == 4 * s.n_ids <= 4 * 64
         for p in s.parts:
             assert s.ids[4 * p.offset : 4 * (p.offset + p.length)] == by[p.doc_id][p.start]
+
+
+def test_a_worker_remembers_the_pieces_of_a_long_corpus():
+    from types import SimpleNamespace
+
+    from portflow.llm.tokens import _Memo
+
+    merged = []
+    get = _Memo(lambda piece: merged.append(piece) or [SimpleNamespace(id=1)], P.MEMO).__getitem__
+    pieces = [f" p{i}" for i in range(300_000)]
+    for p in [*pieces, *pieces]:
+        get(p)
+    assert len(merged) == len(pieces)  # none is merged again

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from portflow.llm import simple8b as S
-from portflow.llm.tokens import default_vocabulary, encoder
+from portflow.llm.tokens import WordMemoEncoder, default_vocabulary, encoder
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -59,3 +59,12 @@ def test_added_tokens_are_those_of_a_fresh_tokenizer():
     for t in ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n", "<|endoftext", *HARD]:
         assert np.frombuffer(e.encode(t), "<u4").tolist() == fresh.encode(t or "", add_special_tokens=False).ids
     assert np.frombuffer(e.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_pieces_reach_the_merges_in_the_byte_level_alphabet():
+    from tokenizers import Tokenizer
+
+    path = default_vocabulary()
+    tok, enc = Tokenizer.from_file(path), WordMemoEncoder(path, memo=3)
+    for t in ("a b  c", " ~!x", "tab\tand\x7f\x00\x1f", "line\n\n  end ", "ü b", "a\xa0b", "   "):
+        assert enc.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
