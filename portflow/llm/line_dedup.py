@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .common import Comparison, band_keys, banded_components, free_name, mix, powers, prefix_hash, semi_by, small_enough, span_hashes, stored, text_slices, tidy
+from .common import Comparison, band_keys, banded_components, common, free_name, mix, powers, prefix_hash, semi_by, small_enough, span_hashes, stored, text_slices, tidy
 
 SHINGLE = 8
 THRESHOLD = 80  # per cent
 BANDS, ROWS = 10, 4
 SHORT = 160
+BLOCK = 1 << 14  # shingles whose minima are taken together
 
 _OTHER_BYTE = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 64, 256, dtype=np.uint64)
 _EMPTY = np.uint64(0xFFFFFFFF)
@@ -109,8 +110,19 @@ def _minima(h: np.ndarray, at: np.ndarray, values: int) -> np.ndarray:
     a = g.integers(1, 1 << 64, values, dtype=np.uint64) | np.uint64(1)
     b = g.integers(0, 1 << 64, values, dtype=np.uint64)
     out = np.empty((len(at) - 1, values), np.uint32)
-    for j in range(values):
-        out[:, j] = np.minimum.reduceat((h * a[j] + b[j]) >> np.uint64(32), at[:-1])
+    made = np.empty(min(len(h), 2 * BLOCK), np.uint64)
+    first = 0
+    while first < len(at) - 1:  # lines of about BLOCK shingles, so that what is made of them stays in the processor's cache
+        last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK, "right")) - 1)
+        x, starts = h[at[first] : at[last]], at[first:last] - at[first]
+        if len(x) > len(made):  # a line longer than that
+            made = np.empty(len(x), np.uint64)
+        t = made[: len(x)]
+        for j in range(values):
+            np.multiply(x, a[j], out=t)
+            np.add(t, b[j], out=t)
+            out[first:last, j] = np.minimum.reduceat(t, starts) >> np.uint64(32)  # the least number has the least upper half
+        first = last
     return out
 
 
@@ -123,8 +135,13 @@ def _binned_counted(h: np.ndarray, at: np.ndarray, values: int) -> tuple[np.ndar
     """(signatures as of ``_binned``, each line's number of distinct shingles by bin and the lower 32 bits)."""
     n = len(at) - 1
     slot = np.repeat(np.arange(n, dtype=np.uint64) * np.uint64(values), np.diff(at))
-    slot += ((h >> np.uint64(32)) * np.uint64(values)) >> np.uint64(32)
-    key = np.sort((slot << np.uint64(32)) | (h & _EMPTY))  # by line: each keeps its place among the lines
+    made = h >> np.uint64(32)
+    made *= np.uint64(values)
+    made >>= np.uint64(32)
+    slot += made
+    slot <<= np.uint64(32)
+    key = np.bitwise_or(slot, np.bitwise_and(h, _EMPTY, out=made), out=slot)
+    key.sort()  # by line: each keeps its place among the lines
     distinct = np.add.reduceat(np.concatenate([[True], key[1:] != key[:-1]]), at[:-1], dtype=np.int64)
     slot = key >> np.uint64(32)
     first = np.concatenate([[True], slot[1:] != slot[:-1]])
@@ -168,7 +185,13 @@ def line_sets(lines: list[bytes], k: int) -> list[np.ndarray]:
     off[-1] -= 1
     s = Slice(np.frombuffer(b"\n".join(lines), np.uint8), off)
     h, at = s.shingles(k, np.arange(len(s.row)))
-    return [np.unique(h[x:y]) for x, y in zip(at[:-1], at[1:])]
+    for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+        h[x:y].sort()
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    new[at[:-1]] = True
+    h, ends = h[new], np.cumsum(new)[at[1:] - 1].tolist()
+    return [h[x:y] for x, y in zip([0, *ends], ends)]
 
 
 def _lines(docs: DataFrame, k: int, bands: int, rows: int, short: int) -> DataFrame:
@@ -227,7 +250,7 @@ def fuzzy_lines(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, b
                     sets = line_sets(lines, k)
                     linked = []
                     for x, y in zip(which[: len(part)].tolist(), which[len(part) :].tolist()):
-                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        both = common(sets[x], sets[y])
                         linked.append(100 * both >= threshold * (len(sets[x]) + len(sets[y]) - both))
                     yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in part.columns[:2]], names=["a", "b"])
 

@@ -141,3 +141,32 @@ def test_lines_that_repeat_themselves(spark):
     got = {((r.doc_id is None, r.doc_id or 0, r.line_no), (r.keep_doc_id is None, r.keep_doc_id or 0, r.keep_line_no)) for r in L.fuzzy_lines(df).collect()}
     assert got == set(brute(rows))
     assert {((False, d, 1), (False, d // 3 * 3, 1)) for d in range(15)} <= got
+
+
+def test_sets_and_minima_of_many_lines_at_once(monkeypatch):
+    import portflow.llm.common as C
+    import portflow.llm.line_dedup as L
+
+    lines = [b"short", b"q" * 40, b"the same words, the same words", "äöü ßßß".encode(), b"x" * 8, b"the same words, the other words", b"short"]
+
+    def own(line):
+        s = L.Slice(np.frombuffer(line, np.uint8), np.array([0, len(line)]))
+        return np.unique(s.shingles(8, np.arange(1))[0])
+
+    unique = np.unique
+    want = [own(x) for x in lines]
+    calls = []
+    monkeypatch.setattr(np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    got = L.line_sets(lines, 8)
+    assert len(calls) <= 1  # none a line
+    monkeypatch.undo()
+    assert len(got) == len(want) and all(np.array_equal(x, y) for x, y in zip(got, want))
+    for x in [*got, got[0][:0]]:
+        for y in [*got, got[0][:0]]:
+            assert C.common(x, y) == len(set(x.tolist()) & set(y.tolist()))
+    h, at = np.concatenate(got), np.concatenate([[0], np.cumsum([len(x) for x in got])])
+    whole = L._minima(h, at, 12)
+    for block in (1, 7, 30):
+        monkeypatch.setattr(L, "BLOCK", block)
+        assert np.array_equal(L._minima(h, at, 12), whole)
+    assert L._minima(h[:0], np.array([0]), 12).shape == (0, 12)
