@@ -27,12 +27,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_slices, word_hashes, tidy
+from .common import arrow_column, mix, text_slices, word_hashes, tidy
 
 MAX_EDIT = 0.2
 MIN_WORDS = 5
@@ -256,15 +255,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark. All columns stay."""
     for index in indexes(benchmark, **settings):
-        docs = docs.where(F.pandas_udf(_cleaner(index), "boolean")("text"))
+        docs = docs.where(arrow_column(_cleaner(index), "boolean")("text"))
     return docs
 
 
 def _cleaner(index: Index):
-    def clean(texts: pd.Series) -> pd.Series:
-        out = np.ones(len(texts), bool)
-        for row, *_ in index.search(pa.array(texts, pa.string(), from_pandas=True)):
-            out[row] = False
-        return pd.Series(out)
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = np.ones(len(texts), bool)
+            for row, *_ in index.search(texts):
+                out[row] = False
+            yield pa.array(out)
 
     return clean

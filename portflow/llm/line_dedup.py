@@ -23,13 +23,12 @@ rows; other columns are ignored, whatever their names.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .common import Comparison, band_keys, banded_components, common, free_name, mix, powers, prefix_hash, semi_by, small_enough, span_hashes, stored, text_slices, tidy
+from .common import Comparison, arrow_column, band_keys, banded_components, common, free_name, mix, powers, prefix_hash, semi_by, small_enough, span_hashes, stored, text_slices, tidy
 
 SHINGLE = 8
 THRESHOLD = 80  # per cent
@@ -280,19 +279,20 @@ def drop_repeated_lines(docs: DataFrame, k: int = SHINGLE, threshold: int = THRE
     id_, hash_, lines_ = (free_name(docs, n) for n in ("line_doc_id", "line_text_hash", "lines_gone"))
     gone = fuzzy_lines(docs, k, threshold).where("not kept").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias(lines_))
     gone = stored(gone.withColumnsRenamed({"doc_id": id_, "text_hash": hash_}), "gone")  # a list holds one document's line numbers
-    @F.pandas_udf("string")
-    def rest(text: pd.Series, lines: pd.Series) -> pd.Series:
+
+    def rest(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         def cut(t, drop):
             if t is None or drop is None:
                 return t
-            drop = set(drop.tolist())
+            drop = set(drop)
             left = [x for i, x in enumerate(t.split("\n")) if i not in drop]
             return "\n".join(left) if any(x.strip(" \t\n\r\x0b\x0c") for x in left) else None
 
-        return pd.Series([cut(t, d) for t, d in zip(text, lines)], dtype=object)
+        for text, lines in batches:
+            yield pa.array([cut(t.as_py(), d.as_py()) for t, d in zip(text, lines)], pa.string())
 
     j = docs.join(gone, docs["doc_id"].eqNullSafe(gone[id_]) & (F.xxhash64(docs["text"]) == gone[hash_]), "left")
-    j = j.withColumn("text", F.when(F.col(lines_).isNull(), docs["text"]).otherwise(rest(docs["text"], F.col(lines_))))
+    j = j.withColumn("text", F.when(F.col(lines_).isNull(), docs["text"]).otherwise(arrow_column(rest, "string", 2)(docs["text"], F.col(lines_))))
     j = j.where(F.col(lines_).isNull() | F.col("text").isNotNull())
     if "n_chars" in docs.columns:
         j = j.withColumn("n_chars", F.when(F.col(lines_).isNull(), docs["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

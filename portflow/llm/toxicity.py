@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tidy
+from .common import arrow_column, stored, tidy
 
 SAMPLE = 30_000  # labelled rows to learn from, at most
 LOWEST = 1.5  # least log-odds, less two standard errors, of an insult
@@ -232,16 +232,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     """``docs`` with the column ``name`` (0 to 1) set; all rows and all other columns stay."""
-    return docs.withColumn(name, F.pandas_udf(_scorer(model), "double")("text"))
+    return docs.withColumn(name, arrow_column(_scorer(model), "double")("text"))
 
 
 def _scorer(model: Model):
-    import pandas as pd
-
-    def probability(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = model.features()
-        for t in texts:
-            yield pd.Series(model.probability(np.array([f(x) for x in t], float).reshape(-1, 3)))
+        for texts in batches:
+            yield pa.array(model.probability(np.array([f(x.as_py()) for x in texts], float).reshape(-1, 3)))
 
-    probability.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return probability

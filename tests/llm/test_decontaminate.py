@@ -89,3 +89,25 @@ def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     one = sorted(map(str, D.contaminated(d, b).collect()))
     monkeypatch.setattr(D, "ITEMS", 9)
     assert len(set(one) ^ set(map(str, D.contaminated(d, b).collect()))) <= 1
+
+
+def test_column_steps_of_the_pipeline_need_no_pandas_and_give_memory_back(spark, monkeypatch):
+    import subprocess
+    import sys
+
+    import pyarrow as pa
+
+    from portflow.llm import common as C
+    from portflow.llm import toxicity as T
+
+    index = next(D.indexes(spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")))
+    model = T.Model({"idiot": 3.0}, {}, [-2.0, 1.0, 1.0, 1.0])
+    texts = pa.array(["x one two three four five six y", None, "", "you idiot"])
+    freed = []
+    monkeypatch.setattr(C, "_release", lambda: freed.append(1))
+    for made, kind, want in ((D._cleaner(index), "boolean", [False, True, True, True]), (T._scorer(model), "double", None)):
+        out = [x for a in C.arrow_column(made, kind).func(iter([texts, texts])) for x in a.to_pylist()]
+        assert len(out) == 8 and out[:4] == out[4:] and (want is None or out[:4] == want)
+    assert len(freed) == 2  # once a task
+    code = "import sys, portflow.llm.decontaminate, portflow.llm.line_dedup, portflow.llm.toxicity; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code]).returncode == 0
