@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_enough, stored, tidy
-from .tokens import default_vocabulary, encoder
+from .tokens import MEMO, default_vocabulary, encoder
 
 WINDOW = 1024
 TRIPLE_STEP = 16  # the smallest part of an enumerated triple is a multiple of this
 SWEEPS = 30
-MEMO = 400_000  # pieces a worker remembers, twice over (some 200 MB)
 
 _LENGTHS = pa.schema([("task", pa.int32()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("rest", pa.int32()), ("rank", pa.int64()), ("full_rank", pa.int64()), ("ids", pa.binary())])
 _LENGTHS_SQL = "task int, doc_id bigint, doc_tokens bigint, rest int, rank bigint, full_rank bigint, ids binary"

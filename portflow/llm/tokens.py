@@ -11,13 +11,14 @@ from __future__ import annotations
 import re
 from array import array
 
-MEMO = 200_000
+MEMO = 400_000  # some 200 MB
 
 # The split pattern of the tokenizer's pre-tokenizer (letters, digits, other signs, white space).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# The same pattern for texts of ASCII and Latin letters only, for the faster standard module.
+# The same pattern for texts of ASCII and Latin letters only, for the faster standard module; words and numbers, which no
+# other alternative can start, are tried first.
 _LATIN = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
-_PLAIN = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+"""
+_PLAIN = rf""" ?[{_LATIN}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+"""
 _OTHER = re.compile(rf"[^\x09-\x0d\x20-\x7e{_LATIN}¿¡«»–—‘’“”…]")
 # The byte-level alphabet: printable bytes stand for themselves, the others, in order, for characters from 256 on.
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -68,3 +68,28 @@ def test_pieces_reach_the_merges_in_the_byte_level_alphabet():
     tok, enc = Tokenizer.from_file(path), WordMemoEncoder(path, memo=3)
     for t in ("a b  c", " ~!x", "tab\tand\x7f\x00\x1f", "line\n\n  end ", "ü b", "a\xa0b", "   "):
         assert enc.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_the_files_encoder_remembers_the_pieces_of_a_long_corpus():
+    from portflow.llm.tokens import WordMemoEncoder
+
+    e = WordMemoEncoder(default_vocabulary())
+    memo, merged = e.get.__self__, []
+    merge = memo.merge
+    memo.merge = lambda piece: merged.append(piece) or merge(piece)
+    text = "".join(f" {a}x{b}" for a in range(300) for b in "abcdefghij") + "".join(f" w{'abcdefghij'[i % 10] * (i // 10 % 9 + 1)}" for i in range(90))
+    many = [f" {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576 % 26)}q" for i in range(300_000)]
+    first = [e.encode(text), *map(e.encode, many)]
+    seen = len(merged)
+    assert [e.encode(text), *map(e.encode, many)] == first
+    assert len(merged) == seen  # none is merged again
+
+
+def test_words_tried_first_are_split_as_by_the_whole_pattern():
+    import regex
+
+    from portflow.llm.tokens import PATTERN, WordMemoEncoder
+
+    e = WordMemoEncoder(default_vocabulary())
+    for t in ("I'll don't 'tis ''s 're 12's x'm'd  'vex", " 'sa 's 12'll\n\n 'd é'é", "a'b 'S'T  1a a1 --'s ", "l'été «x» 'ß"):
+        assert e.plain(t) == regex.findall(PATTERN, t)
