@@ -7,13 +7,15 @@ key holds every counted column; they never add up distinct counts of days.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portflow.functions.calendar import month_start, week_start
 from portflow.functions.keys import route_key, route_pair_key
 from portflow.functions.numeric import round_ratio
-from portflow.operators.records import nameless, shown_name
+from portflow.operators.records import nameless, nameless_pair_key, shown_name
 
 ROUTE_ATTRS = ["route_key", "route_pair_key", "route_code", "route_name", "departure_port", "arrival_port"]
 CALENDAR = ["service_date", "service_week_start", "service_month_start", "service_year"]
@@ -58,12 +60,49 @@ def route_day_sums(clean: DataFrame) -> DataFrame:
     return base.groupBy(*ROUTE_DAY_BASE).agg(*_route_day_measures())
 
 
+def dealt_route_day_sums(clean: DataFrame, dealt_by: Sequence[str], tasks: int) -> DataFrame:
+    """``route_day_sums`` with the month, dealt into directories of months as a write wants them, by one shuffle.
+
+    Rows that are dealt by ``dealt_by``, which stand beside the cleaned
+    columns, are summed where they lie; what is left meets the rows of its
+    group in one of a month's cells. A month has more cells the more
+    ``tasks`` there are, so that no month is bound to one task.
+    """
+    base = clean.withColumn("nameless", nameless()).withColumn("route_name", shown_name())
+    sums = [F.count(F.lit(1)).alias("records")]
+    for c in ("passenger_count", "vehicle_count"):
+        sums += [F.sum(c).alias(c), F.count(c).alias(f"{c}_known")]
+    here = base.groupBy(*dealt_by, *ROUTE_DAY_BASE).agg(*sums) if dealt_by else base.select(
+        *ROUTE_DAY_BASE, F.lit(1).cast("long").alias("records"),
+        *[x for c in ("passenger_count", "vehicle_count") for x in (F.col(c), F.col(c).isNotNull().cast("long").alias(f"{c}_known"))])
+    met = in_cells(here.withColumn("service_month_start", month_start(F.col("service_date"))), "service_month_start", ROUTE_DAY_BASE, tasks)
+    return met.groupBy("service_month_start", CELL, *ROUTE_DAY_BASE).agg(
+        F.sum("records").alias("traffic_record_count"),
+        F.coalesce(F.sum("passenger_count"), F.lit(0)).cast("long").alias("total_passengers"),
+        F.coalesce(F.sum("vehicle_count"), F.lit(0)).cast("long").alias("total_vehicles"),
+        round_ratio(F.sum("passenger_count"), F.sum("passenger_count_known")).alias("avg_passengers_per_record"),
+        round_ratio(F.sum("vehicle_count"), F.sum("vehicle_count_known")).alias("avg_vehicles_per_record"),
+    ).drop(CELL)
+
+
+CELL = "_cell"
+TASKS_PER_CELL = 8  # fixed value: a directory is dealt over one of so many tasks
+
+
+def in_cells(df: DataFrame, directory: str, group: Sequence[str], tasks: int) -> DataFrame:
+    """``df`` dealt over ``tasks`` by its directory and one of the directory's cells; rows of a ``group`` share a cell."""
+    cells = -(-tasks // TASKS_PER_CELL)
+    return df.withColumn(CELL, F.pmod(F.xxhash64(*group), F.lit(cells)).cast("int")).repartition(tasks, directory, CELL)
+
+
+def tell_nameless(rows: DataFrame) -> DataFrame:
+    """``nameless`` of canonical records or route-day rows: a pair key without code and name tells it."""
+    return rows.withColumn("nameless", F.col("route_code").isNull() & (F.col("route_pair_key") == nameless_pair_key()))
+
+
 def sums_of_records(rec: DataFrame) -> DataFrame:
-    """``route_day_sums`` of canonical records (a pair key without code and name tells the nameless ones)."""
-    no_name = F.lit(None).cast("string")
-    tag = route_pair_key(no_name, no_name, F.col("departure_port"), F.col("arrival_port"))
-    base = rec.withColumn("nameless", F.col("route_code").isNull() & (F.col("route_pair_key") == tag))
-    return base.groupBy(*ROUTE_DAY_BASE).agg(*_route_day_measures())
+    """``route_day_sums`` of canonical records."""
+    return tell_nameless(rec).groupBy(*ROUTE_DAY_BASE).agg(*_route_day_measures())
 
 
 def route_day_rows(sums: DataFrame) -> DataFrame:
@@ -182,6 +221,37 @@ def fct_port_daily(port_day: DataFrame) -> DataFrame:
     return port_day.select("service_date", "port_name", *PORT_MEASURES)
 
 
+def route_period_of_days(route_day: DataFrame, grain: str, directory: str | None = None, tasks: int = 0) -> DataFrame:
+    """FCT2 or FCT3 (``grain`` week or month) from route-day rows whose keys are those of their other columns.
+
+    The same rows as from the daily fact, grouped by what the keys are made
+    of: no key is shuffled. With ``directory`` (a span of the calendar, as
+    ``trunc`` names it) the groups are dealt into cells of directories over
+    ``tasks``, as a write wants them, by the one shuffle that they need.
+    """
+    name, start = {"week": ("week_start", week_start), "month": ("year_month", month_start)}[grain]
+    keys = [name, *ROUTE_DAY_BASE[1:]]
+    days = tell_nameless(route_day).select(
+        start(F.col("service_date")).alias(name), *ROUTE_DAY_BASE[1:], "traffic_record_count", "total_passengers", "total_vehicles")
+    if directory:
+        days = in_cells(days.withColumn("_span", F.trunc(name, directory)), "_span", keys, tasks)
+        keys = ["_span", CELL, *keys]
+    sums = days.groupBy(*keys).agg(
+        F.sum("traffic_record_count").alias("traffic_record_count"),
+        F.coalesce(F.sum("total_passengers"), F.lit(0)).cast("long").alias("total_passengers"),
+        F.coalesce(F.sum("total_vehicles"), F.lit(0)).cast("long").alias("total_vehicles"),
+    )
+    code, dep, arr = (F.col(c) for c in ("route_code", "departure_port", "arrival_port"))
+    own = F.when(~F.col("nameless"), F.col("route_name"))
+    made = {
+        "route_key": route_key(code, own, dep, arr), "route_pair_key": route_pair_key(code, own, dep, arr),
+        "avg_passengers_per_record": round_ratio("total_passengers", "traffic_record_count"),
+        "avg_vehicles_per_record": round_ratio("total_vehicles", "traffic_record_count"),
+    }
+    return sums.withColumns(made).select(
+        name, *ROUTE_ATTRS, "traffic_record_count", "total_passengers", "total_vehicles", "avg_passengers_per_record", "avg_vehicles_per_record")
+
+
 def _port_period(port_daily: DataFrame, period, name: str) -> DataFrame:
     return port_daily.groupBy(period.alias(name), "port_name").agg(
         *[F.sum(m).alias(m) for m in PORT_MEASURES]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,10 @@ def route_name_source() -> Column:
     )
 
 
-def stg_clean(raw: DataFrame, name_src: Column | None = None) -> DataFrame:
+def stg_clean(raw: DataFrame, name_src: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """STG1–STG6: keep rows with a valid date; clean names, ports and counts.
 
-    ``name_src``: the name to clean, where ``route_name_source`` was taken before.
+    ``name_src``: the name to clean, where ``route_name_source`` was taken before; ``keep``: further columns to keep.
     """
     name_src = route_name_source() if name_src is None else name_src
     sd = safe_date(F.col("service_date"))
@@ -59,4 +61,5 @@ def stg_clean(raw: DataFrame, name_src: Column | None = None) -> DataFrame:
         safe_int(F.col("vehicle_count")).alias("vehicle_count"),
         F.col("ingested_at").cast("timestamp_ntz").alias("ingested_at"),
         F.col("raw_payload"),
+        *keep,
     )

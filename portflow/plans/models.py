@@ -29,21 +29,26 @@ from portflow.sources.sinks import scratch_path, write_table
 
 
 class TrafficModels:
-    def __init__(self, spark: SparkSession, sf_dir: str | None = None, raw: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, raw: DataFrame | None = None, hash_of_payload: bool = False):
+        """``hash_of_payload``: the hashes of ``raw`` are those of its payloads, as ``ingest.raw_rows`` makes them."""
         if raw is None and sf_dir is None:
             raise ValueError("need sf_dir or a raw DataFrame")
         self.spark = spark
         self.sf_dir = sf_dir
         self._raw = raw
+        self._hashed = raw is None or hash_of_payload  # ``testdata.raw_traffic`` hashes the payload; a landing of the caller may hold any hash
 
     # --- source + cleaning ------------------------------------------------
     @cached_property
     def raw(self) -> DataFrame:
         return self._raw if self._raw is not None else testdata.raw_traffic(self.spark, self.sf_dir)
 
-    @property
-    def _hash_of_payload(self) -> bool:
-        return self._raw is None  # ``testdata.raw_traffic`` hashes the payload; a landing of the caller may hold any hash
+    @cached_property
+    def _to_dedup(self) -> tuple[DataFrame, bool, tuple[str, ...]]:
+        """The landing, whether its hash is its payload's, and what it is dealt by: ours brings the copies of a payload together."""
+        if self._raw is not None:
+            return self.raw, self._hashed, ()
+        return testdata.raw_traffic(self.spark, self.sf_dir, dealt=True), True, testdata.DEALT_BY
 
     @cached_property
     def stg(self) -> DataFrame:
@@ -51,7 +56,7 @@ class TrafficModels:
 
     @cached_property
     def records(self) -> DataFrame:
-        return R.records_from_raw(self.raw, self._hash_of_payload)
+        return R.records_from_raw(*self._to_dedup)
 
     # --- intermediates ----------------------------------------------------
     @cached_property
@@ -60,7 +65,7 @@ class TrafficModels:
 
     @cached_property
     def _route_day_sums(self) -> DataFrame:
-        return U.route_day_sums(R.clean_from_raw(self.raw, self._hash_of_payload))
+        return U.route_day_sums(R.clean_from_raw(*self._to_dedup))
 
     @cached_property
     def port_movement(self) -> DataFrame:
@@ -91,11 +96,11 @@ class TrafficModels:
 
     @cached_property
     def fct_route_weekly(self) -> DataFrame:
-        return U.fct_route_weekly(self.fct_route_daily)
+        return U.route_period_of_days(self.route_day, "week")
 
     @cached_property
     def fct_route_monthly(self) -> DataFrame:
-        return U.fct_route_monthly(self.fct_route_daily)
+        return U.route_period_of_days(self.route_day, "month")
 
     @cached_property
     def fct_port_daily(self) -> DataFrame:
@@ -147,7 +152,7 @@ class TrafficModels:
         return self.fct_port_daily
 
     # --- materialisation ----------------------------------------------------
-    def materialize(self, records: bool = False) -> "TrafficModels":
+    def materialize(self, records: bool = False, payload: bool = True) -> "TrafficModels":
         """The chain with its route-day grain (and optionally the records) stored once and read back.
 
         Every day-grain table derives exactly from ``int_route_day``, so one
@@ -159,31 +164,48 @@ class TrafficModels:
         directories, not thousands of day directories) and sorted by day
         within files, so scopes prune directories and skip row groups.
         Reading back cuts the lineage: later subqueries start from storage.
+
+        Records are stored by what their other columns are made of; without
+        ``payload`` that column is not stored and not among the records.
         """
         key = _input_key(self)
         stored = _STORED.setdefault(key, {}) if key else {}
-        if records and "records" not in stored:
-            stored["records"] = self._store("int_traffic_record", self.records, MONTH, ["service_date", "route_key"]).select(*RECORD_COLUMNS)
+        kept = "records" if payload else "records_without_payload"
+        if records and kept not in stored:
+            base = R.record_base(self.records if payload else self.records.drop("raw_payload"))
+            rows = R.records_of_base(self._store("int_traffic_record", base, MONTH, ["service_date", "route_code", "route_name"]))
+            stored[kept] = rows.select(*[c for c in RECORD_COLUMNS if c in rows.columns])
         if "route_day" not in stored:
             # from the stored records where there are some: the chain runs once
-            sums = U.sums_of_records(stored["records"]) if "records" in stored else self._route_day_sums
-            sums = sums.withColumn(MONTH[0], month_start(F.col("service_date")))
-            stored["route_day"] = self._store("int_route_day", sums, MONTH, ["service_date", "departure_port", "arrival_port"], U.route_day_rows)
+            rec = stored.get("records_without_payload", stored.get("records"))
+            dealt = self.sf_dir is not None and self._raw is None
+            if dealt and rec is not None:
+                sums = U.dealt_route_day_sums(rec.withColumn("route_name", R.own_name()), (), testdata.record_tasks(self.spark, self.sf_dir))
+            elif dealt:
+                raw, hashed, dealt_by = self._to_dedup
+                sums = U.dealt_route_day_sums(
+                    R.clean_from_raw(raw, hashed, dealt_by), [R.DEALT + c for c in dealt_by], testdata.record_tasks(self.spark, self.sf_dir))
+            else:
+                sums = U.sums_of_records(rec) if rec is not None else self._route_day_sums
+                sums = sums.withColumn(MONTH[0], month_start(F.col("service_date")))
+            stored["route_day"] = self._store("int_route_day", sums, MONTH, ["service_date", "departure_port", "arrival_port"], U.route_day_rows, dealt)
             self.__dict__["route_day"] = stored["route_day"]
             # The two day-grain tables that analytics read over and over are
             # small (days, days × ports): stored too, from the stored grain.
             for attr, sort in (("row_counts_daily", ["service_date"]), ("port_day", ["service_date", "port_name"])):
                 self.__dict__.pop(attr, None)
                 stored[attr] = self._store(attr, getattr(self, attr), None, sort)
-        for name in [k for k in self.__dict__ if k not in ("spark", "sf_dir", "_raw", "raw", "stg", "records")]:
+        for name in [k for k in self.__dict__ if k not in ("spark", "sf_dir", "_raw", "_hashed", "_to_dedup", "raw", "stg", "records")]:
             self.__dict__.pop(name)
-        self.__dict__.update({k: v for k, v in stored.items() if k != "records" or records})
+        self.__dict__.update({k: v for k, v in stored.items() if not k.startswith("records")})
+        if records:
+            self.__dict__["records"] = stored[kept]
         return self
 
     def _store(self, name: str, df: DataFrame, partition_by: list[str] | None, cluster_by: list[str],
-               finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+               finish: Callable[[DataFrame], DataFrame] | None = None, dealt: bool = False) -> DataFrame:
         path = scratch_path(self.spark, name)
-        write_table(df, path, partition_by, cluster_by, finish=finish)
+        write_table(df, path, partition_by, cluster_by, finish=finish, dealt=dealt)
         _PATHS.append(path)
         schema = (finish(df) if finish else df).schema
         return self.spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])

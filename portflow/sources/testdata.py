@@ -80,7 +80,7 @@ def star_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date"))
     nation = table(spark, sf_dir, "nation")
     dep = nation.select(F.col("n_nationkey").alias("dep_key"), F.col("n_name").alias("dep_name"))
     arr = nation.select(F.col("n_nationkey").alias("arr_key"), F.col("n_name").alias("arr_name"))
@@ -121,9 +121,21 @@ def star_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw landing table (all source fields as strings) built from testdata."""
-    s = star_records(spark, sf_dir)
+# Raw columns that ``raw_traffic`` deals records by where it deals them: equal payloads have them equal.
+DEALT_BY = ("service_date", "route_code", "departure_port", "arrival_port")
+_DEALT_FIELDS = ("date", "routecode", "departureportname", "arrivalportname")
+
+
+def raw_traffic(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """The raw landing table (all source fields as strings) built from testdata.
+
+    ``dealt``: the records are dealt by ``DEALT_BY`` before they are hashed and
+    landed again, so that the copies of a payload lie in one task and neither
+    hash, payload nor copy travels to a dedup.
+    """
+    s = star_records(spark, sf_dir).withColumn("again", F.col("l_orderkey") % 7 == 0).drop("l_orderkey")
+    if dealt:
+        s = s.repartition(record_tasks(spark, sf_dir), *_DEALT_FIELDS)
     payload = F.concat(
         F.lit('{"arrivalportname": '), _json_str(F.col("arrivalportname")),
         F.lit(', "date": '), _json_str(F.col("date")),
@@ -135,7 +147,7 @@ def raw_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("}"),
     )
     loads = F.when(
-        F.col("l_orderkey") % 7 == 0,
+        F.col("again"),
         F.array(F.lit(FIRST_LOAD_AT).cast("timestamp_ntz"), F.lit(REPEAT_LOAD_AT).cast("timestamp_ntz")),
     ).otherwise(F.array(F.lit(FIRST_LOAD_AT).cast("timestamp_ntz")))
     return s.select(
