@@ -11,7 +11,7 @@ from portflow.plans.registry import register
 from portflow.sources import ingest as I
 from portflow.sources import readers as RD
 from portflow.sources.sinks import append_landing, through_storage
-from portflow.sources.testdata import FIRST_LOAD_AT, REPEAT_LOAD_AT, star_records
+from portflow.sources.testdata import FIRST_LOAD_AT, REPEAT_LOAD_AT, record_tasks, star_records
 
 
 def _landed(spark, sf_dir, odd=False, bad=False):
@@ -241,8 +241,12 @@ def q_stored_layouts(spark, sf_dir):
     """SRC6: every table that derives from route-day stored in its layout; rows, days and directories as they lie there."""
     m = TrafficModels(spark, sf_dir).materialize()
     cat, out = Catalogue(spark), None
+    tasks = record_tasks(spark, sf_dir)
+    # the large tables: the days lie by month in storage, weeks and months are dealt by year as they are summed
+    dealt = {t: getattr(m, TABLE_ATTRS[t]) for t in ("int_route_day", "fct_route_traffic_daily")} | {
+        f"fct_route_traffic_{g}ly": U.route_period_of_days(m.route_day, g, "year", tasks) for g in ("week", "month")}
     for t in _STORABLE:
-        cat.write(t, getattr(m, TABLE_ATTRS[t]))
+        cat.write(t, dealt[t] if t in dealt else getattr(m, TABLE_ATTRS[t]), dealt=t in dealt)
         grain = LAYOUTS[t].grain
         rows = spark.read.parquet(cat.path(t))
         day = F.col(grain).try_cast("date") if grain else F.lit(None).cast("date")

@@ -82,12 +82,15 @@ class Catalogue:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, table: str, df: DataFrame) -> None:
-        """Replace a table. Rows whose date is no date lie in a directory of their own."""
+    def write(self, table: str, df: DataFrame, dealt: bool = False) -> None:
+        """Replace a table. Rows whose date is no date lie in a directory of their own.
+
+        ``dealt``: the rows of a directory lie in few tasks already, so that nothing is shuffled for the write.
+        """
         layout = LAYOUTS[table]
         grained = layout.grain is not None
         out = df.withColumn(PERIOD, layout.period()) if grained else df
-        write_table(out, self.path(table), [PERIOD] if grained else None, [*([layout.grain] if grained else []), *layout.cluster])
+        write_table(out, self.path(table), [PERIOD] if grained else None, [*([layout.grain] if grained else []), *layout.cluster], dealt=dealt)
         self.schemas[table] = df.limit(0)
 
     def read(self, table: str, start: Column | None = None, end: Column | None = None) -> DataFrame:

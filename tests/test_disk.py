@@ -93,3 +93,19 @@ def test_writes_free_their_shuffles_and_are_packed(spark, tmp_path):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
     assert glob.glob(f"{tmp_path}/t/m=3/*.zstd.parquet") and glob.glob(f"{tmp_path}/l/*.zstd.parquet")
     assert spark.read.parquet(str(tmp_path / "t")).agg(F.sum("count")).first()[0] == 1000
+
+
+def test_stored_layouts_are_not_shuffled_again(spark, star, monkeypatch):
+    seen = {}
+    write = sinks.write_table
+
+    def told(df, path, *args, dealt=False, **more):
+        seen[path.rsplit("/", 1)[-1]] = dealt
+        return write(df, path, *args, dealt=dealt, **more)
+
+    monkeypatch.setattr("portflow.sources.catalogue.write_table", told)
+    found = {r.table_name: r.rows_count for r in E.queries()["stored_layouts"](spark, star).collect()}
+    assert all(seen[t] for t in ("int_route_day", "fct_route_traffic_daily", "fct_route_traffic_weekly", "fct_route_traffic_monthly"))
+    m = TrafficModels(spark, star)
+    assert found["int_route_day"] == m.route_day.count()
+    assert found["fct_route_traffic_weekly"] == U.fct_route_weekly(U.fct_route_daily(m.route_day)).count()
