@@ -10,6 +10,7 @@ from portflow.operators import quality as Q
 from portflow.plans.models import TABLE_ATTRS, TrafficModels
 from portflow.plans.oracle_base import sdate, sint, with_ctes
 from portflow.plans.registry import register
+from portflow.sources.sinks import through_storage
 
 # Oracle CTE name per warehouse table.
 _CTE = {
@@ -112,9 +113,12 @@ def q_dq_summary(spark, sf_dir):
     """Every declared and custom check over the whole chain, one result table.
 
     Twenty tables are checked: the records and day-grain facts are stored
-    once, and each table's checks read storage instead of the star join.
+    once, and each table's checks read storage instead of the star join. No
+    check reads the records' payloads. One table's results are stored before
+    the next one's are made, so that the shuffles of two never lie on disk
+    together.
     """
-    m = TrafficModels(spark, sf_dir).materialize(records=True)
+    m = TrafficModels(spark, sf_dir).materialize(records=True, payload=False)
     landing = ("raw_sailing_traffic", "stg_sailing_traffic")
-    parts = [Q.landing_checks(m.raw)] + [dq_table(m, t) for t in Q.CHECKS if t not in landing]
-    return reduce(DataFrame.unionByName, parts + [Q.collision_checks(m.records)])
+    parts = [("landing", Q.landing_checks(m.raw)), *((t, dq_table(m, t)) for t in Q.CHECKS if t not in landing), ("collisions", Q.collision_checks(m.records))]
+    return reduce(DataFrame.unionByName, [through_storage(df, f"checks-of-{name}") for name, df in parts])

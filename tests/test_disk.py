@@ -76,6 +76,13 @@ def test_weekly_fact_shuffles_no_key(spark, star):
         assert exchanges(df) and not [line for line in exchanges(df) if "route_key" in line or "route_pair_key" in line]
 
 
+def test_unique_ids_are_told_apart_whatever_they_are(spark, odd):
+    ids = ["a" * 64, "a" * 64, "A" * 64, "a" * 63, None, None, "x", "x", "x", ""]
+    rec = R.records_from_raw(odd).limit(1).drop("event_id").crossJoin(spark.createDataFrame([(i,) for i in ids], "event_id string"))
+    got = {(r.column_name, r.check_name): r.violations for r in Q.run_checks("int_traffic_record", rec).collect()}
+    assert got["event_id", "unique"] == 3 and got["event_id", "not_null"] == 2
+
+
 def shuffle_files(spark):
     blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
     return {b for b in blocks.mkString(",").split(",") if b.startswith("shuffle_")}
@@ -95,6 +102,13 @@ def test_writes_free_their_shuffles_and_are_packed(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).agg(F.sum("count")).first()[0] == 1000
 
 
+def test_summary_holds_one_tables_checks_at_a_time(spark, star):
+    df = E.queries()["dq_summary"](spark, star)
+    assert "lineitem" not in plan(df) and "checks-of-" in plan(df)
+    m = TrafficModels(spark, star).materialize(records=True, payload=False)
+    assert "raw_payload" not in m.records.columns and rows(m.records) == rows(TrafficModels(spark, star).records.drop("raw_payload"))
+
+
 def test_stored_layouts_are_not_shuffled_again(spark, star, monkeypatch):
     seen = {}
     write = sinks.write_table
