@@ -102,6 +102,14 @@ def test_writes_free_their_shuffles_and_are_packed(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).agg(F.sum("count")).first()[0] == 1000
 
 
+def test_payloads_land_packed_with_all_records(spark, star, tmp_path):
+    records = testdata.star_records(spark, star)
+    I.land_payloads(records, str(tmp_path / "p"), records_per_payload=3, odd=True, bad=True)
+    assert glob.glob(f"{tmp_path}/p/*.gz") and not glob.glob(f"{tmp_path}/p/*.txt")
+    got, bad = I.extract_records(I.read_payloads(spark, str(tmp_path / "p")))
+    assert got.count() == records.count() and bad.count() == records.select("date").distinct().count()
+
+
 def test_summary_holds_one_tables_checks_at_a_time(spark, star):
     df = E.queries()["dq_summary"](spark, star)
     assert "lineitem" not in plan(df) and "checks-of-" in plan(df)
